@@ -74,3 +74,20 @@ def whole_texts(spark: SparkSession, path: str, glob: str | None = None) -> Data
     df = reader.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"),
                      F.regexp_replace("value", "^\\uFEFF", "").alias("text"))
+
+
+def rename_parts(spark: SparkSession, path: str, extension: str) -> None:
+    """Give the part files of a written folder a new extension (``.md`` for Markdown text).
+
+    A metadata-only rename through the cluster's file system API; no data moves.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for status in fs.listStatus(root):
+        p = status.getPath()
+        name = p.getName()
+        if name.startswith("part-") and not name.endswith(extension):
+            stem = name.rsplit(".", 1)[0] if "." in name else name
+            fs.rename(p, jvm.org.apache.hadoop.fs.Path(root, stem + extension))

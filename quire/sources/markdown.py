@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.jscompat import js_string
 from ..functions.ordinal import with_ordinal
-from .files import whole_texts
+from .files import rename_parts, whole_texts
 
 # The patterns of the Markdown structures the tool recognises.
 LIST_UNORDERED_RE = r"(?m)^[\s]*[-*+]\s+(.+)$"
@@ -247,7 +247,7 @@ def _with_preamble(lines: DataFrame, preamble: Sequence[str], empty_marker: str)
 
 
 def write_markdown_table(df: DataFrame, path: str, alignment: str = "left", title: str | None = None,
-                         overwrite: bool = True, single_file: bool = False) -> None:
+                         overwrite: bool = True, single_file: bool = False, extension: str | None = None) -> None:
     """K9: header, alignment separator and rows; every part file starts with its own header."""
     sep = {"center": ":---:", "right": "---:"}.get(alignment, "---")
     pre = ([f"# {title}", ""] if title else []) + [
@@ -257,6 +257,8 @@ def write_markdown_table(df: DataFrame, path: str, alignment: str = "left", titl
         lines = lines.coalesce(1)
     _with_preamble(lines, pre, "<!-- Empty table -->").write.mode(
         "overwrite" if overwrite else "errorifexists").text(path)
+    if extension:
+        rename_parts(df.sparkSession, path, extension)
 
 
 def list_lines(df: DataFrame, ordered: bool = False, order_by=None) -> DataFrame:
