@@ -63,10 +63,10 @@ def read_json(spark: SparkSession, path: str, layout: str = "rows", lines: bool
         if schema is not None:
             reader = reader.schema(schema)
         return reader.json(path)
-    doc = reader.option("singleVariantColumn", "doc").json(path).select(
-        F.col("_metadata.file_path").alias("path"), "doc")
+    from .files import whole_texts
+    doc = whole_texts(spark, path).withColumnRenamed("text", "doc")  # one row per file, key order kept
     if layout == "scalar":
-        return doc.select("path", F.col("doc").alias("value"), variant_js_type(F.col("doc")).alias("type"))
+        return json_scalar(doc, "doc", keep=["path"])
     if layout == "indexed":
         return json_indexed(doc, "doc", keep=["path"])
     return json_entries(doc, "doc", keep=["path"])
@@ -77,16 +77,22 @@ def _as_variant(df: DataFrame, col: str) -> Column:
     return F.col(col) if isinstance(dt, T.VariantType) else F.try_parse_json(F.col(col))
 
 
+def _as_text(df: DataFrame, col: str) -> Column:
+    """JSON text of a column; VARIANT objects come back with sorted keys, text keeps its order."""
+    dt = df.schema[col].dataType
+    return F.to_json(F.col(col)) if isinstance(dt, T.VariantType) else F.col(col)
+
+
 def json_indexed(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     """A JSON array (text or VARIANT column) -> rows (index, value, type)."""
-    arr = F.from_json(F.to_json(_as_variant(df, col)), "array<variant>")
+    arr = F.from_json(_as_text(df, col), "array<variant>")
     return df.select(*keep, F.posexplode(arr).alias("index", "value")).select(
         *keep, F.col("index").cast("long").alias("index"), "value", variant_js_type(F.col("value")).alias("type"))
 
 
 def json_entries(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     """A JSON object (text or VARIANT column) -> rows (key, value, type), in key order."""
-    m = F.from_json(F.to_json(_as_variant(df, col)), "map<string,variant>")
+    m = F.from_json(_as_text(df, col), "map<string,variant>")
     return df.select(*keep, F.posexplode(m).alias("pos", "key", "value")).select(
         *keep, "pos", "key", "value", variant_js_type(F.col("value")).alias("type"))
 
@@ -120,6 +126,8 @@ def write_json(df: DataFrame, path: str, sort_keys: bool = False, overwrite: boo
     lines_df = out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]),
                                     {"ignoreNullFields": "false"}).alias("value"))
     lines_df.mapInPandas(_array_document, "value string").write.mode(mode).text(path)
+    from .files import rename_parts
+    rename_parts(df.sparkSession, path, ".json")
 
 
 def _array_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -247,7 +247,7 @@ def _with_preamble(lines: DataFrame, preamble: Sequence[str], empty_marker: str)
 
 
 def write_markdown_table(df: DataFrame, path: str, alignment: str = "left", title: str | None = None,
-                         overwrite: bool = True, single_file: bool = False, extension: str | None = None) -> None:
+                         overwrite: bool = True, single_file: bool = False, extension: str | None = ".md") -> None:
     """K9: header, alignment separator and rows; every part file starts with its own header."""
     sep = {"center": ":---:", "right": "---:"}.get(alignment, "---")
     pre = ([f"# {title}", ""] if title else []) + [
@@ -283,6 +283,7 @@ def write_markdown_list(df: DataFrame, path: str, ordered: bool = False, order_b
     pre = [f"# {title}", ""] if title else []
     _with_preamble(list_lines(df, ordered, order_by), pre, "<!-- Empty list -->").write.mode(
         "overwrite" if overwrite else "errorifexists").text(path)
+    rename_parts(df.sparkSession, path, ".md")
 
 
 def heading_lines(df: DataFrame) -> DataFrame:
@@ -299,3 +300,4 @@ def heading_lines(df: DataFrame) -> DataFrame:
 def write_markdown_headings(df: DataFrame, path: str, overwrite: bool = True) -> None:
     _with_preamble(heading_lines(df), [], "<!-- Empty headings -->").write.mode(
         "overwrite" if overwrite else "errorifexists").text(path)
+    rename_parts(df.sparkSession, path, ".md")
