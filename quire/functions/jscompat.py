@@ -210,6 +210,13 @@ def _ts_literal(ms: float, dtype: T.DataType) -> Column:
     return F.lit(ms_to_iso(ms)).cast(target)
 
 
+def bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once: the ladder refers to its input many times, and
+    Catalyst inlines projected expressions into filters, so the value is bound to a lambda
+    variable (a one-element ``transform``) instead of being re-derived per reference."""
+    return F.transform(F.array(c), fn).getItem(0)
+
+
 def js_compare(c: Column, dtype: T.DataType, value, op: str) -> Column:
     """Loose ``c <op> value`` (number, then date, then text), decided per plan where possible.
 
@@ -242,15 +249,18 @@ def js_compare(c: Column, dtype: T.DataType, value, op: str) -> Column:
     if isinstance(dtype, T.StringType):
         if num is None and ms is None:
             return _cmp(c, F.lit(text), op)
-        n = js_number(c, dtype)
-        expr = None
-        if num is not None:
-            expr = F.when(n.isNotNull(), _cmp(n, F.lit(num), op))
-        if ms is not None:
-            ts = _js_trim(c).try_cast("timestamp")
-            branch = _cmp(F.unix_millis(ts), F.lit(ms), op)
-            expr = F.when(ts.isNotNull(), branch) if expr is None else expr.when(ts.isNotNull(), branch)
-        return expr.otherwise(_cmp(c, F.lit(text), op))
+
+        def ladder(v: Column) -> Column:
+            n = js_number(v, dtype)
+            expr = None
+            if num is not None:
+                expr = F.when(n.isNotNull(), _cmp(n, F.lit(num), op))
+            if ms is not None:
+                ts = _js_trim(v).try_cast("timestamp")
+                branch = _cmp(F.unix_millis(ts), F.lit(ms), op)
+                expr = F.when(ts.isNotNull(), branch) if expr is None else expr.when(ts.isNotNull(), branch)
+            return expr.otherwise(_cmp(v, F.lit(text), op))
+        return bind(c, ladder)
 
     return _cmp(js_string(c, dtype), F.lit(text), op)
 

@@ -77,7 +77,7 @@ def markdown_hits(t: Column) -> Column:
 
 def is_csv_text(t: Column) -> Column:
     lines = F.filter(F.split(t, "\n"), lambda ln: F.length(_trim(ln)) > 0)
-    first, second = F.element_at(lines, 1), F.element_at(lines, 2)
+    first, second = F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(2))
     checks = []
     for d in CSV_DELIMITERS:
         pat = "\\Q" + d + "\\E"
@@ -86,13 +86,52 @@ def is_csv_text(t: Column) -> Column:
     return (F.size(lines) >= 2) & F.coalesce(F.greatest(*checks), F.lit(False))
 
 
+def content_sample(text: Column) -> Column:
+    """The trimmed first 1 KB (characters) of a text, which every content rule looks at."""
+    return _trim(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS))
+
+
 def detect_by_content(text: Column) -> Column:
-    """struct(format, confidence) from the first 1 KB; NULL format when no pattern fits."""
-    t = _trim(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS))
+    """struct(format, confidence) from the first 1 KB; NULL format when no pattern fits.
+
+    As a single expression the sample is re-derived inside every rule; over a DataFrame
+    prefer ``with_content_format``, which projects the sample once."""
+    return detect_by_sample(content_sample(text))
+
+
+def with_content_format(df: DataFrame, text_col: str, name: str = "detected") -> DataFrame:
+    """T2 over a DataFrame in layered projections: the 1 KB sample once, then every rule once
+    as a flag, then the format from the flags. Each layer is referenced several times by
+    the next, so CollapseProject keeps them apart and no rule is evaluated twice."""
+    s = F.col("_q_sample")
+    lines = F.col("_q_lines")
+    csv_checks = []
+    for d in CSV_DELIMITERS:
+        pat = "\\Q" + d + "\\E"
+        a = F.size(F.split(F.try_element_at(lines, F.lit(1)), pat, -1))
+        b = F.size(F.split(F.try_element_at(lines, F.lit(2)), pat, -1))
+        csv_checks.append((a > 1) & (a == b))
+    fmt = (F.when(F.col("_q_json"), F.lit("json")).when(F.col("_q_xml"), F.lit("xml"))
+           .when(F.col("_q_md") >= 2, F.lit("md")).when(F.col("_q_csv"), F.lit("csv")))
+    return (df.withColumn("_q_sample", content_sample(F.col(text_col)))
+            .withColumns({"_q_json": is_json_text(s), "_q_xml": is_xml_text(s), "_q_md": markdown_hits(s),
+                          "_q_lines": F.slice(F.filter(F.split(s, "\n"), lambda ln: F.length(_trim(ln)) > 0), 1, 2)})
+            .withColumn("_q_csv", (F.size(lines) >= 2) & F.coalesce(F.greatest(*csv_checks), F.lit(False)))
+            .withColumn("_q_fmt", fmt)
+            .withColumn(name, F.struct(F.col("_q_fmt").alias("format"), _confidence(F.col("_q_fmt")).alias("confidence"),
+                                       F.lit("content").alias("method")))
+            .drop("_q_sample", "_q_json", "_q_xml", "_q_md", "_q_lines", "_q_csv", "_q_fmt"))
+
+
+def _confidence(fmt: Column) -> Column:
+    return F.when(fmt.isin("json", "xml"), 0.9).when(fmt == "md", 0.7).when(fmt == "csv", 0.6)
+
+
+def detect_by_sample(t: Column) -> Column:
+    """T2 rules over an already trimmed 1 KB sample."""
     fmt = (F.when(is_json_text(t), F.lit("json")).when(is_xml_text(t), F.lit("xml"))
            .when(markdown_hits(t) >= 2, F.lit("md")).when(is_csv_text(t), F.lit("csv")))
-    conf = (F.when(fmt == "json", 0.9).when(fmt == "xml", 0.9).when(fmt == "md", 0.7).when(fmt == "csv", 0.6))
-    return F.struct(fmt.alias("format"), conf.alias("confidence"), F.lit("content").alias("method"))
+    return F.struct(fmt.alias("format"), _confidence(fmt).alias("confidence"), F.lit("content").alias("method"))
 
 
 def combine(ext: Column, content: Column) -> Column:
@@ -113,9 +152,9 @@ def detect_files(spark: SparkSession, path: str, analyze_content: bool = True) -
     files = list_files(spark, path)
     if not analyze_content:
         return files.select("path", detect_by_extension(F.col("path")).alias("d")).select("path", "d.*")
-    heads = file_heads(files, SAMPLE_CHARS)
+    heads = with_content_format(file_heads(files, SAMPLE_CHARS), "head", "_q_content")
     ext = detect_by_extension(F.col("path"))
-    content = F.when(F.col("read_error").isNull(), detect_by_content(F.col("head")))
+    content = F.when(F.col("read_error").isNull(), F.col("_q_content"))
     return heads.select("path", combine(ext, content).alias("d")).select("path", "d.*")
 
 

@@ -284,7 +284,7 @@ def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col:
                                                     "XML tags may be unbalanced (this is a basic check)", key)))
     elif fmt == "csv":
         lines = F.filter(F.split(t, "\n"), lambda ln: F.length(F.regexp_replace(ln, r"^\s+|\s+$", "")) > 0)
-        first = F.size(F.split(F.element_at(lines, 1), ",", -1))
+        first = F.size(F.split(F.try_element_at(lines, F.lit(1)), ",", -1))
         head10 = F.slice(lines, 2, 9)
         bad = F.size(F.filter(head10, lambda ln: F.size(F.split(ln, ",", -1)) != first))
         arr = F.array(

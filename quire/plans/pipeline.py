@@ -210,7 +210,7 @@ def _variant_ddl_to_type(ddl: str) -> T.DataType:
 def _csv_records(text: Column) -> Column:
     """Header-row CSV text -> array of maps (header -> cell), naive comma split."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda ln: F.length(ln) > 0)
-    header = F.split(F.element_at(lines, 1), ",")
+    header = F.split(F.try_element_at(lines, F.lit(1)), ",")
     body = F.slice(lines, 2, 1 << 30)
     return F.transform(body, lambda ln: F.map_from_arrays(header, F.slice(
         F.concat(F.split(ln, ",", -1), F.array_repeat(F.lit(None).cast("string"), F.size(header))), 1, F.size(header))))

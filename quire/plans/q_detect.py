@@ -66,9 +66,8 @@ SELECT source, id, fmt AS format,
 FROM (SELECT source, id, {_sql_content('s')} AS fmt FROM (SELECT source, id, {_SAMPLE} AS s FROM ({_CORPUS_SQL})))
 """)
 def t2_detect_content(spark, sf_dir):
-    c = _text_corpus(spark, sf_dir)
-    return c.select("source", "id", D.detect_by_content(F.col("text")).alias("d")).select(
-        "source", "id", "d.format", "d.confidence")
+    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d")
+    return c.select("source", "id", "d.format", "d.confidence")
 
 
 def _sql_ext(e: str) -> str:
@@ -111,7 +110,7 @@ GROUP BY ALL
 """)
 def t5_pair_warnings(spark, sf_dir):
     """Loss warnings for converting every payload (format detected from content) to each format."""
-    c = _text_corpus(spark, sf_dir).select(D.detect_by_content(F.col("text")).alias("d")).select(
+    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d").select(
         F.coalesce(F.col("d.format"), F.lit("unknown")).alias("source_format"),
         F.explode(F.array(*[F.lit(f) for f in D.SUPPORTED_FORMATS])).alias("target_format"))
     return c.groupBy("source_format", "target_format").agg(F.count(F.lit(1)).alias("documents")).select(

@@ -26,14 +26,14 @@ def row_tag_of(head: Column) -> Column:
     tags = F.regexp_extract_all(head, F.lit(TAG_RE), 1)
     body = F.slice(tags, 2, 1 << 20)
     repeated = F.filter(body, lambda t: F.size(F.filter(body, lambda u: u == t)) > 1)
-    return F.coalesce(F.element_at(repeated, 1), F.element_at(body, 1), F.element_at(tags, 1))
+    return F.coalesce(F.try_element_at(repeated, F.lit(1)), F.try_element_at(body, F.lit(1)), F.try_element_at(tags, F.lit(1)))
 
 
 def detect_row_tags(spark: SparkSession, path: str, nbytes: int = 4096) -> DataFrame:
     """(path, root_tag, row_tag) per file, from each file's first ``nbytes``."""
     heads = file_heads(list_files(spark, path, "*.xml"), nbytes)
     tags = F.regexp_extract_all(F.coalesce("head", F.lit("")), F.lit(TAG_RE), 1)
-    return heads.select("path", F.element_at(tags, 1).alias("root_tag"),
+    return heads.select("path", F.try_element_at(tags, F.lit(1)).alias("root_tag"),
                         row_tag_of(F.coalesce("head", F.lit(""))).alias("row_tag"))
 
 
@@ -112,10 +112,13 @@ def xml_entries(df: DataFrame, xml_col: str, keep=()) -> DataFrame:
         F.regexp_extract(c, r"^<([A-Za-z_][\w.:-]*)", 1).alias("key"),
         F.regexp_extract(c, r"^<[A-Za-z_][\w.:-]*((?:\s[^>]*?)?)/?>", 1).alias("attrs"),
         F.regexp_extract(c, r"^<[^>]*>([\s\S]*)</[^>]+>$", 1).alias("inner")))
-    ex = df.select(*keep, F.posexplode(parsed).alias("pos", "c"))
-    cnt = F.count(F.lit(1)).over(_window(keep, "c.key"))
+    # occurrences of each child name within its own document: an array expression, no shuffle
+    counted = F.transform(parsed, lambda c: F.struct(
+        c["key"].alias("key"), c["attrs"].alias("attrs"), c["inner"].alias("inner"),
+        F.size(F.filter(parsed, lambda o: o["key"] == c["key"])).alias("n")))
+    ex = df.select(*keep, F.posexplode(counted).alias("pos", "c"))
     inner = F.col("c.inner")
-    kind = (F.when(cnt > 1, F.lit("array"))
+    kind = (F.when(F.col("c.n") > 1, F.lit("array"))
             .when((F.trim(inner) == "") & (F.trim(F.col("c.attrs")) == ""), F.lit("null"))
             .when(inner.rlike("<[A-Za-z_]"), F.lit("object"))
             .when(F.trim(F.col("c.attrs")) != "", F.lit("text"))
@@ -123,11 +126,6 @@ def xml_entries(df: DataFrame, xml_col: str, keep=()) -> DataFrame:
     return ex.select(*keep, "pos", F.col("c.key").alias("key"), F.trim(inner).alias("value"), kind.alias("type"))
 
 
-def _window(keep, key):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keep, key) if keep else Window.partitionBy(key)
-
-
 # ---------------------------------------------------------------------------------------
 # Sink
 # ---------------------------------------------------------------------------------------
