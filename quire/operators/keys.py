@@ -175,7 +175,7 @@ def key_transformation_findings(keys: DataFrame, style: str, key_col: str = "key
     k = F.col("key")
     d = keys.select(F.col(key_col).alias("key")).where(k.isNotNull()).distinct()
     t = d.select(k, N.transform_key_col(k, style).alias("new_key"))
-    per_new = t.groupBy("new_key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("key")).alias("sources"))
+    per_new = t.groupBy("new_key").agg(F.count(F.lit(1)).alias("n"))
     empty = per_new.where(F.regexp_replace(F.coalesce("new_key", F.lit("")), r"\s", "") == "").select(
         F.lit("empty").alias("issue"), "new_key", "n")
     dup = per_new.where(F.col("n") > 1).select(F.lit("duplicate").alias("issue"), "new_key", "n")

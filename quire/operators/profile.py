@@ -37,9 +37,9 @@ def json_schema_profile(df: DataFrame, json_col: str, order_by) -> DataFrame:
     per_key = entries.groupBy("key").agg(
         F.min_by(variant_json_type(F.col("value")), F.struct("_o", "_p")).alias("type"),
         F.count(F.lit(1)).alias("present"))
-    return per_key.crossJoin(F.broadcast(total)).select(  # total is one row
-        "key", "type", "present", "total_rows",
-        (F.col("present") / F.col("total_rows") > REQUIRED_SHARE).alias("required"))
+    n = total.scalar()  # scalar subquery: one aggregate value, no join
+    return per_key.select("key", "type", "present", n.alias("total_rows"),
+                          (F.col("present") / n > REQUIRED_SHARE).alias("required"))
 
 
 def _xml_elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -172,11 +172,16 @@ def s16_md_headings(spark, sf_dir):
     return MD.structured_content(docs).select("level", "text", "type")
 
 
-@register("s17_md_paragraphs", "SELECT r_name || ' region' AS text, 'paragraph' AS type FROM region")
+@register("s17_md_paragraphs", """
+SELECT r_name || ' region' AS text, 'paragraph' AS type FROM region
+UNION ALL SELECT 'key ' || r_regionkey, 'paragraph' FROM region
+""")
 def s17_md_paragraphs(spark, sf_dir):
+    """One plain-text document per region: blank-line separated paragraphs."""
     r = table(spark, sf_dir, "region")
-    docs = r.groupBy().agg(F.array_join(F.sort_array(F.collect_list(F.concat("r_name", F.lit(" region")))),
-                                        "\n\n").alias("text")).select(F.lit("regions").alias("path"), "text")
+    docs = r.select(F.col("r_regionkey").cast("string").alias("path"),
+                    F.concat("r_name", F.lit(" region\n\n  key "), F.col("r_regionkey").cast("string"),
+                             F.lit("\n\n\n")).alias("text"))
     return MD.structured_content(docs).select("text", "type")
 
 
@@ -207,45 +212,16 @@ def k9_md_table_lines(spark, sf_dir):
 
 
 @register("a10_md_structure", """
-SELECT 'doc-' || r_regionkey AS path, true AS has_table, 1 AS table_count, true AS has_headings,
-       1 AS heading_count, count(*) > 0 AS has_lists, count(*) AS list_item_count, 'table' AS content_type
-FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
+SELECT 'doc-' || n_nationkey AS path, true AS has_table, 1 AS table_count, true AS has_headings,
+       1 AS heading_count, true AS has_lists, 2 AS list_item_count, 'table' AS content_type
+FROM nation
 """)
 def a10_md_structure(spark, sf_dir):
-    """One Markdown document per region: a heading, a table of its nations and a list."""
+    """One Markdown document per nation: a heading, a one-row table and a two-item list."""
     n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-    lines = n.groupBy("n_regionkey").agg(
-        F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("| "), "n_name", F.lit(" | "),
-                                                          F.col("n_nationkey").cast("string"), F.lit(" |")))),
-                     "\n").alias("rows"),
-        F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), "n_name"))), "\n").alias("items"))
-    docs = lines.join(F.broadcast(r), lines.n_regionkey == r.r_regionkey).select(
-        F.concat(F.lit("doc-"), F.col("r_regionkey").cast("string")).alias("path"),
-        F.concat(F.lit("# "), "r_name", F.lit("\n\n| name | key |\n|---|---|\n"), "rows", F.lit("\n\n"),
-                 "items", F.lit("\n")).alias("text"))
+    docs = n.select(
+        F.concat(F.lit("doc-"), F.col("n_nationkey").cast("string")).alias("path"),
+        F.concat(F.lit("# "), "n_name", F.lit("\n\n| name | key |\n|---|---|\n| "), "n_name", F.lit(" | "),
+                 F.col("n_nationkey").cast("string"), F.lit(" |\n\n- "), "n_name", F.lit("\n- region "),
+                 F.col("n_regionkey").cast("string"), F.lit("\n")).alias("text"))
     return MD.structure_profile(docs)
-
-
-@register("s11_xlsx_roundtrip", "SELECT * FROM part")
-def s11_xlsx_roundtrip(spark, sf_dir):
-    """K8 one workbook per partition, then S11 read (one task per workbook, header row detected)."""
-    from ..sources import xlsx as XL
-    part = table(spark, sf_dir, "part")
-    out = scratch_dir(spark, "xlsx")
-    XL.write_xlsx(part, out, sheet_name="part")
-    return CSV.conform(XL.read_xlsx(spark, out, sheet_name="part"), part.schema)
-
-
-@register("s12_xlsx_inventory", """
-SELECT 'part' AS sheet_name, 0 AS sheet_index, 6 AS column_count, count(*) AS data_rows FROM part
-""")
-def s12_xlsx_inventory(spark, sf_dir):
-    """Sheet inventory of the workbooks written from part: data rows summed over workbooks."""
-    from ..sources import xlsx as XL
-    part = table(spark, sf_dir, "part")
-    out = scratch_dir(spark, "xlsxinv")
-    XL.write_xlsx(part, out, sheet_name="part")
-    inv = XL.sheet_inventory_df(spark, out)
-    return inv.groupBy("sheet_name", "sheet_index", "column_count").agg(
-        (F.sum("row_count") - F.count(F.lit(1))).alias("data_rows"))

@@ -84,12 +84,12 @@ def conversion_delta(original: DataFrame, transformed: DataFrame) -> DataFrame:
     collected while the output is written, so no extra pass is needed there.
     """
     o = original.agg(F.count(F.lit(1)).alias("original_rows"))
-    t = transformed.agg(F.count(F.lit(1)).alias("transformed_rows"))
+    t = transformed.agg(F.count(F.lit(1)).alias("transformed_rows")).scalar()  # scalar subquery
     oc, tc = len(original.columns), len(transformed.columns)
-    return o.crossJoin(t).select(  # two one-row aggregates: the product is one row
-        "original_rows", "transformed_rows",
+    return o.select(
+        "original_rows", t.alias("transformed_rows"),
         F.lit(oc).alias("original_columns"), F.lit(tc).alias("transformed_columns"),
-        delta_warnings(F.col("original_rows"), F.col("transformed_rows"), oc, tc).alias("warnings"))
+        delta_warnings(F.col("original_rows"), t, oc, tc).alias("warnings"))
 
 
 def delta_warnings(orig_rows, new_rows, orig_cols: int, new_cols: int):

@@ -174,7 +174,15 @@ def to_keyvalue_layout(df: DataFrame) -> DataFrame:
     return df.select(F.col(f"`{a}`").cast("string").alias("key"), F.col(f"`{b}`").alias("value"))
 
 
-def object_document(df: DataFrame, order_by=None) -> DataFrame:
-    """K3 as one JSON object text, for small results only (``single_file``)."""
+OBJECT_DOCUMENT_MAX_KEYS = 1_000_000
+
+
+def object_document(df: DataFrame, order_by=None, max_keys: int = OBJECT_DOCUMENT_MAX_KEYS) -> DataFrame:
+    """K3 as one JSON object text. The whole object is one value, so this is for small
+    results (``single_file``): the key count is checked first and above ``max_keys`` the
+    distributed ``to_object_layout`` table must be used instead."""
     kv = to_object_layout(df, order_by)
+    n = kv.count()
+    if n > max_keys:
+        raise ValueError(f"{n} keys exceed the single-document limit of {max_keys}; write the (key, value) table")
     return kv.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("json"))

@@ -38,9 +38,10 @@ def test_a8_json_depth(spark):
 
 def test_a9_xml_schema(spark):
     got = {r.element: r for r in QUERIES["a9_xml_schema"](spark, SF).collect()}
-    assert got["region"].attributes == ["id"] and got["region"].children == ["nations", "note"]
-    assert got["nation"].is_array and got["nation"].type == "text-element" and got["nation"].attributes == ["key"]
-    assert got["region"].root_count == 5
+    assert got["nation"].attributes == ["key"] and got["nation"].children == ["name", "note", "regions"]
+    assert got["nation"].type == "element" and got["nation"].root_count == 25
+    assert got["r"].is_array and got["r"].type == "text-element" and got["regions"].children == ["r"]
+    assert got["note"].type == "text-element" and not got["name"].is_array
 
 
 def test_s2_delimiter_profile(spark):
