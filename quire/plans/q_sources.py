@@ -136,8 +136,8 @@ SELECT n_nationkey AS id, n_name AS name_text, n_nationkey * 100 AS name_code, n
 def s10_xml_attributes(spark, sf_dir):
     """Attributes and text-with-attributes survive a write/read and lose Spark's prefixes."""
     n = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("_id"),
-        F.struct(F.col("n_name").alias("_VALUE"), (F.col("n_nationkey") * 100).alias("_code")).alias("name"),
+        F.col("n_nationkey").alias("@id"),
+        F.struct(F.col("n_name").alias("_VALUE"), (F.col("n_nationkey") * 100).alias("@code")).alias("name"),
         F.col("n_regionkey").alias("region"))
     out = scratch_dir(spark, "xmlattr")
     XML.write_xml(n, out, row_tag="nation")
@@ -225,3 +225,30 @@ def a10_md_structure(spark, sf_dir):
                  F.col("n_nationkey").cast("string"), F.lit(" |\n\n- "), "n_name", F.lit("\n- region "),
                  F.col("n_regionkey").cast("string"), F.lit("\n")).alias("text"))
     return MD.structure_profile(docs)
+
+
+@register("s3_csv_clean", """
+SELECT c_custkey AS "name_key", nullif(trim(c_mktsegment), '') AS column_1, c_name AS "label" FROM customer
+""")
+def s3_csv_clean(spark, sf_dir):
+    """Padded headers and cells, an empty header and empty cells: trimmed, column_<n>, nulls."""
+    from ..sources.markdown import _with_preamble
+    cu = table(spark, sf_dir, "customer")
+    lines = cu.select(F.concat(F.col("c_custkey").cast("string"), F.lit(",  "), F.col("c_mktsegment"), F.lit(" , "),
+                               F.col("c_name"), F.lit("  ")).alias("value"))
+    out = scratch_dir(spark, "csvclean")
+    _with_preamble(lines, [" name_key ,, label "], "").write.text(out)
+    return CSV.read_csv(spark, out, sep=",")
+
+
+@register("k6_xml_names", """
+SELECT c_custkey AS "_1id", c_name AS "c_name", c_mktsegment AS "field_xmlSegment" FROM customer
+""")
+def k6_xml_names(spark, sf_dir):
+    """Column names that are not valid XML names are sanitised on write and come back so."""
+    cu = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("1id"), F.col("c_name").alias("c name"), F.col("c_mktsegment").alias("xmlSegment"))
+    out = scratch_dir(spark, "xmlnames")
+    XML.write_xml(cu, out, row_tag="customer")
+    back = XML.read_xml(spark, out, row_tag="customer")
+    return back.select(F.col("_1id").cast("long").alias("_1id"), "c_name", "field_xmlSegment")

@@ -2,9 +2,9 @@
 
 The row element is found by sniffing each file's head for the first element name that
 repeats (the tool looks for the repeated child of the document); the scan itself is
-Spark's splittable ``rowTag`` reader. Attributes arrive with Spark's ``_`` prefix and the
-text of an element with attributes as ``_VALUE``; ``normalise_xml`` renames them to the
-tool's plain keys and ``text`` (D24, S10).
+Spark's splittable ``rowTag`` reader. Attributes arrive with an ``@`` prefix and the text
+of an element with attributes as ``_VALUE``; ``normalise_xml`` renames them to the tool's
+plain keys and ``text`` (D24, S10). Writing, columns named ``@x`` become attributes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from ..functions import names as N
 from .files import file_heads, list_files
 
-ATTR_PREFIX = "_"
+# Attributes use "@" (not Spark's default "_"): sanitised element names may start with "_"
+# and must stay elements, and "@" can never occur in a sanitised name.
+ATTR_PREFIX = "@"
 VALUE_TAG = "_VALUE"
 TAG_RE = r"<([A-Za-z_][A-Za-z0-9_.:-]*)[\s/>]"
 
@@ -130,9 +132,18 @@ def xml_entries(df: DataFrame, xml_col: str, keep=()) -> DataFrame:
 # Sink
 # ---------------------------------------------------------------------------------------
 
+def xml_name(name: str) -> str:
+    """K6 for one field; attribute (``@x``) and element-text (``_VALUE``) fields keep their role."""
+    if name == VALUE_TAG:
+        return name
+    if name.startswith(ATTR_PREFIX) and len(name) > 1:
+        return ATTR_PREFIX + N.sanitize_xml_name(name[len(ATTR_PREFIX):])
+    return N.sanitize_xml_name(name)
+
+
 def _sanitised_type(dt: T.DataType) -> T.DataType:
     if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(N.sanitize_xml_name(f.name), _sanitised_type(f.dataType), f.nullable)
+        return T.StructType([T.StructField(xml_name(f.name), _sanitised_type(f.dataType), f.nullable)
                              for f in dt.fields])
     if isinstance(dt, T.ArrayType):
         return T.ArrayType(_sanitised_type(dt.elementType), dt.containsNull)
@@ -149,7 +160,7 @@ def xml_ready(df: DataFrame) -> DataFrame:
             c = F.to_json(c)
         elif nt != f.dataType:
             c = c.cast(nt)
-        out.append(c.alias(N.sanitize_xml_name(f.name)))
+        out.append(c.alias(xml_name(f.name)))
     return df.select(*out)
 
 
@@ -161,6 +172,7 @@ def write_xml(df: DataFrame, path: str, root_tag: str = "data", row_tag: str = "
         out = out.coalesce(1)
     (out.write.mode("overwrite" if overwrite else "errorifexists").format("xml")
      .option("rootTag", root_tag).option("rowTag", row_tag).option("nullValue", "")
+     .option("attributePrefix", ATTR_PREFIX).option("valueTag", VALUE_TAG)
      .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
      .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
      .option("declaration", 'version="1.0" encoding="UTF-8"').save(path))
