@@ -133,3 +133,54 @@ def convert_data(df: DataFrame, steps: Sequence) -> ConvertedData:
     observed = df.observe(obs_in, F.count(F.lit(1)).alias("rows"))
     out = apply_transformations(observed, steps).observe(obs_out, F.count(F.lit(1)).alias("rows"))
     return ConvertedData(out, len(df.columns), obs_in, obs_out)
+
+
+def validate_transformation(spec: dict):
+    """Plan-time check of one request-style step (type, style, parameters)."""
+    from ..functions.names import STYLES
+    from ..operators.filters import Report
+    rep = Report()
+    kind, params = spec.get("type"), spec.get("parameters")
+    if not kind:
+        rep.errors.append("Transformation type is required")
+    if not params:
+        rep.errors.append("Transformation parameters are required")
+        return rep
+    if kind == "keyStyle":
+        style = params.get("style")
+        if not style:
+            rep.errors.append("Key style is required for keyStyle transformation")
+        elif style not in STYLES:
+            rep.errors.append(f"Invalid key style: {style}")
+    elif kind == "columnOperation":
+        if not params.get("operations") and not params.get("operation"):
+            rep.errors.append("Column operations are required for columnOperation transformation")
+    elif kind == "filter":
+        if not (params.get("columnFilters") or params.get("dateRange") or params.get("customConditions")):
+            rep.warnings.append("No filter criteria specified")
+    else:
+        rep.warnings.append(f"Unknown transformation type: {kind}")
+    return rep
+
+
+def validate_transformations(df: DataFrame, specs: Sequence[dict]):
+    """V12 for a whole list, then the column and filter checks (V10, V11) step by step on the
+    schema each step produces (built lazily: no data is read)."""
+    from ..operators.columns import validate_operations
+    from ..operators.filters import Report, validate_filter_criteria
+    rep = Report()
+    current = df
+    for i, spec in enumerate(specs, 1):
+        r = validate_transformation(spec)
+        rep.errors += [f"Transformation {i}: {e}" for e in r.errors]
+        rep.warnings += [f"Transformation {i}: {w}" for w in r.warnings]
+        if r.errors or spec.get("type") not in TRANSFORMATION_TYPES:
+            continue
+        step = from_spec(spec)
+        inner = (validate_operations(current, step.operations) if isinstance(step, ColumnOps)
+                 else validate_filter_criteria(current, step.criteria) if isinstance(step, Filter) else Report())
+        rep.errors += [f"Transformation {i}: {e}" for e in inner.errors]
+        rep.warnings += [f"Transformation {i}: {w}" for w in inner.warnings]
+        if not inner.errors:
+            current = step.apply(current)
+    return rep

@@ -70,3 +70,19 @@ def test_column_statistics(spark):
     assert (stats["age"].null_count, stats["age"].unique_count, stats["age"].type) == (1, 2, "number")
     empty = spark.createDataFrame([(None,)], "x string")
     assert C.column_statistics(empty).first().type == "mixed"  # D28
+
+
+def test_validate_transformations(small):
+    from quire.plans.transformations import validate_transformations
+    rep = validate_transformations(small, [
+        {"type": "keyStyle", "parameters": {"style": "kebab"}},
+        {"type": "keyStyle", "parameters": {"style": "uppercase"}},
+        {"type": "columnOperation", "parameters": {"operations": [{"type": "rename", "columnName": "age",
+                                                                   "newName": "AGE2"}]}},
+        {"type": "filter", "parameters": {"columnFilters": [{"columnName": "age", "operator": "equals", "value": 1}]}},
+        {"type": "filter", "parameters": {}},
+        {"type": "sort", "parameters": {"by": "x"}}])
+    assert rep.errors[0] == "Transformation 1: Invalid key style: kebab"
+    assert any("Column 'age' does not exist" in e for e in rep.errors)  # names are upper case after step 2
+    assert any("Transformation 5: Transformation parameters are required" == e for e in rep.errors)
+    assert any("Unknown transformation type: sort" in w for w in rep.warnings)
