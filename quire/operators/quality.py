@@ -33,6 +33,7 @@ MD_SPECIAL_CHARS = ["|", "\\", "`", "*", "_", "{", "}", "[", "]", "(", ")", "#",
 XML_NAME_RE = r"^[a-zA-Z_][\w\-.]*$"
 XML_CONTROL_RE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 SHEET_NAME_BAD_RE = r"[\\/?*\[\]:]"
+CONTENT_SAMPLE_CHARS = 2048
 
 
 def finding(severity: str, code: str, message, field=None, row=None) -> Column:
@@ -265,12 +266,15 @@ def file_checks(files: DataFrame, fmt: str, strict_extension: bool = False,
 
 def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col: str = "path") -> DataFrame:
     """V9: JSON parses; XML starts with '<', has elements, balanced tags; CSV field counts of
-    the first 10 lines; Markdown patterns. ``heads`` holds the first 2 KB of each file
-    (or whole texts: JSON is parsed whole, since a cut sample is nearly always invalid)."""
+    the first 10 lines; Markdown patterns. Rules look at the first 2 K characters of ``text_col``
+    (a file head or a whole text), except JSON, which is parsed whole since a cut sample is
+    nearly always invalid."""
     from .detect import markdown_hits
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    full = F.coalesce(F.col(text_col), F.lit(""))
+    t = F.substring(full, 1, CONTENT_SAMPLE_CHARS)
     key = F.col(key_col)
     if fmt == "json":
+        t = full
         arr = F.array(F.when(F.try_parse_json(t).isNull(), finding("error", "INVALID_JSON", "Invalid JSON content", key)))
     elif fmt == "xml":
         opens = F.size(F.regexp_extract_all(t, F.lit(r"<[^/][^>]*[^/]>"), 0))
