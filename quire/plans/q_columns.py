@@ -97,7 +97,7 @@ def _a1_sql() -> str:
         parts.append(f"""
 SELECT {i} AS pos, '{c}' AS name, '{t}' AS type,
        count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) AS unique_count,
-       (SELECT to_json(list(v ORDER BY k)) FROM (SELECT p_partkey AS k, {txt} AS v FROM part
+       (SELECT CAST(to_json(list(v ORDER BY k)) AS VARCHAR) FROM (SELECT p_partkey AS k, {txt} AS v FROM part
          WHERE {c} IS NOT NULL ORDER BY p_partkey LIMIT 3)) AS sample_values
 FROM part""")
     return " UNION ALL ".join(parts)

@@ -78,8 +78,8 @@ _SUGGEST_PATHS = "SELECT doc_id, 'file_' || doc_id || '.' || substr(lang, 1, 1)
 
 
 @register("t4_format_suggestions", f"""
-SELECT doc_id, to_json(CASE WHEN len(sim) > 0 THEN list_transform(sim, lambda e: {_sql_ext('e')})
-                          ELSE ['csv', 'xlsx', 'json', 'xml', 'md'] END) AS suggested
+SELECT doc_id, CAST(to_json(CASE WHEN len(sim) > 0 THEN list_transform(sim, lambda e: {_sql_ext('e')})
+                          ELSE ['csv', 'xlsx', 'json', 'xml', 'md'] END) AS VARCHAR) AS suggested
 FROM (SELECT doc_id, list_filter([{", ".join(f"'{e}'" for e, _ in D.EXTENSION_FORMATS)}],
         lambda e: contains(e, substr(ext, 2)) OR contains(ext, substr(e, 2))) AS sim
       FROM (SELECT doc_id, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext FROM ({_SUGGEST_PATHS})))
@@ -102,7 +102,7 @@ def _sql_pairs(s: str, t: str) -> str:
 
 
 @register("t5_pair_warnings", f"""
-SELECT source_format, target_format, to_json({_sql_pairs('source_format', 'target_format')}) AS warnings,
+SELECT source_format, target_format, CAST(to_json({_sql_pairs('source_format', 'target_format')}) AS VARCHAR) AS warnings,
        count(*) AS documents
 FROM (SELECT coalesce({_sql_content('s')}, 'unknown') AS source_format, unnest(['csv','xlsx','json','xml','md'])
         AS target_format FROM (SELECT {_SAMPLE} AS s FROM ({_CORPUS_SQL})))

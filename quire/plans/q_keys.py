@@ -66,8 +66,8 @@ def p10_snake_roundtrip(spark, sf_dir):
 
 @register("p11_key_style_nested", """
 SELECT o_orderkey AS "oOrderkey",
-       to_json({'oOrderstatus': o_orderstatus, 'oOrderpriority': o_orderpriority,
-                'oAmounts': [{'oTotalprice': o_totalprice}]}) AS "oInfo"
+       CAST(to_json({'oOrderstatus': o_orderstatus, 'oOrderpriority': o_orderpriority,
+                'oAmounts': [{'oTotalprice': o_totalprice}]}) AS VARCHAR) AS "oInfo"
 FROM orders
 """)
 def p11_nested(spark, sf_dir):
@@ -155,7 +155,7 @@ def _a7_sql() -> str:
         f"CASE WHEN {_sql_style('key', s)} <> key THEN {{'style': '{s}', 'result': {_sql_style('key', s)}, "
         f"'description': 'Convert to {s}'}} END" for s in styles) + "], lambda x: x IS NOT NULL)")
     return f"""
-SELECT key, to_json({issues}) AS issues, to_json({sugg}) AS suggestions,
+SELECT key, CAST(to_json({issues}) AS VARCHAR) AS issues, CAST(to_json({sugg}) AS VARCHAR) AS suggestions,
        {_sql_style('key', 'snake_case')} AS transformed, {_sql_style('key', 'snake_case')} <> key AS changed
 FROM (SELECT DISTINCT key FROM ({_CORPUS_SQL}) WHERE key IS NOT NULL)
 """

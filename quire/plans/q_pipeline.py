@@ -35,8 +35,8 @@ def c1_apply_transformations(spark, sf_dir):
 @register("a3_conversion_delta", """
 SELECT (SELECT count(*) FROM customer) AS original_rows,
        count(*) AS transformed_rows, 5 AS original_columns, 5 AS transformed_columns,
-       to_json([(SELECT count(*) FROM customer) - count(*) || ' rows were filtered out during transformation'])
-         AS warnings
+       CAST(to_json([(SELECT count(*) FROM customer) - count(*) || ' rows were filtered out during transformation'])
+         AS VARCHAR) AS warnings
 FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 1000
 """)
 def a3_conversion_delta(spark, sf_dir):

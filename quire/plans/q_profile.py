@@ -71,7 +71,7 @@ def a9_xml_schema(spark, sf_dir):
 
 
 @register("v1_structure_checks", """
-SELECT 'warning' AS severity, 'MISSING_FIELDS' AS code, NULL AS field, doc_id AS "row",
+SELECT 'warning' AS severity, 'MISSING_FIELDS' AS code, CAST(NULL AS VARCHAR) AS field, doc_id AS "row",
        'Row ' || doc_id || ' missing fields: quality, toxic' AS message
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL
 """)
@@ -81,7 +81,7 @@ def v1_structure_checks(spark, sf_dir):
 
 
 @register("v3_csv_checks", """
-SELECT 'warning' AS severity, 'PROBLEMATIC_CSV_CHARACTERS' AS code, 'rows' AS field, NULL AS "row",
+SELECT 'warning' AS severity, 'PROBLEMATIC_CSV_CHARACTERS' AS code, 'rows' AS field, CAST(NULL AS BIGINT) AS "row",
        'Data contains quotes or newlines that will be escaped in CSV' AS message
 FROM documents HAVING bool_or(regexp_matches(text, '[\\n\\r"]') OR regexp_matches(lang, '[\\n\\r"]')
                               OR regexp_matches(source, '[\\n\\r"]'))
@@ -91,7 +91,7 @@ def v3_csv_checks(spark, sf_dir):
 
 
 @register("v4_json_checks", """
-SELECT 'error' AS severity, 'INVALID_JSON' AS code, 'j' AS field, NULL AS "row",
+SELECT 'error' AS severity, 'INVALID_JSON' AS code, 'j' AS field, CAST(NULL AS BIGINT) AS "row",
        count(*) || ' values are not valid JSON' AS message
 FROM (SELECT html AS j FROM pages UNION ALL SELECT props FROM events) WHERE NOT json_valid(j) HAVING count(*) > 0
 """)
@@ -102,7 +102,7 @@ def v4_json_checks(spark, sf_dir):
 
 
 @register("v5_xml_checks", """
-SELECT 'warning' AS severity, 'XML_CONTROL_CHARACTERS' AS code, 'rows' AS field, NULL AS "row",
+SELECT 'warning' AS severity, 'XML_CONTROL_CHARACTERS' AS code, 'rows' AS field, CAST(NULL AS BIGINT) AS "row",
        'Data contains control characters invalid in XML' AS message
 FROM documents HAVING bool_or(regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))
 """)
@@ -125,7 +125,7 @@ def _md_sql() -> str:
          "Data contains Markdown special characters that will be escaped"),
     ]
     return " UNION ALL ".join(
-        f"SELECT 'warning' AS severity, '{code}' AS code, 'rows' AS field, NULL AS \"row\", '{msg}' AS message "
+        f"SELECT 'warning' AS severity, '{code}' AS code, 'rows' AS field, CAST(NULL AS BIGINT) AS \"row\", '{msg}' AS message "
         f"FROM documents HAVING {cond}" for cond, code, msg in checks)
 
 
@@ -135,7 +135,7 @@ def v6_md_checks(spark, sf_dir):
 
 
 @register("v7_xlsx_checks", """
-SELECT 'error' AS severity, 'EXCEL_ROW_LIMIT_EXCEEDED' AS code, 'rows' AS field, NULL AS "row",
+SELECT 'error' AS severity, 'EXCEL_ROW_LIMIT_EXCEEDED' AS code, 'rows' AS field, CAST(NULL AS BIGINT) AS "row",
        'Data has ' || count(*) || ' rows, exceeding Excel''s limit of 1048576' AS message
 FROM lineitem HAVING count(*) > 1048576
 """)
@@ -153,7 +153,7 @@ def v8_file_checks(spark, sf_dir):
 
 
 @register("v9_content_xml", """
-SELECT 'warning' AS severity, 'UNBALANCED_XML_TAGS' AS code, CAST(page_id AS VARCHAR) AS field, NULL AS "row",
+SELECT 'warning' AS severity, 'UNBALANCED_XML_TAGS' AS code, CAST(page_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
        'XML tags may be unbalanced (this is a basic check)' AS message
 FROM pages
 WHERE len(regexp_extract_all(substring(html, 1, 2048), '<[^/][^>]*[^/]>'))
@@ -166,7 +166,7 @@ def v9_content_xml(spark, sf_dir):
 
 
 @register("v9_content_csv", r"""
-SELECT 'warning' AS severity, 'INCONSISTENT_CSV_FIELDS' AS code, CAST(doc_id AS VARCHAR) AS field, NULL AS "row",
+SELECT 'warning' AS severity, 'INCONSISTENT_CSV_FIELDS' AS code, CAST(doc_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
        bad || ' lines have different field counts than the first line' AS message
 FROM (SELECT doc_id, len(list_filter(lines[2:10], lambda l: len(string_split(l, ',')) <> len(string_split(lines[1], ','))))
         AS bad

@@ -212,8 +212,9 @@ def k9_md_table_lines(spark, sf_dir):
 
 
 @register("a10_md_structure", """
-SELECT 'doc-' || n_nationkey AS path, true AS has_table, 1 AS table_count, true AS has_headings,
-       1 AS heading_count, true AS has_lists, 2 AS list_item_count, 'table' AS content_type
+SELECT 'doc-' || n_nationkey AS path, true AS has_table, CAST(1 AS BIGINT) AS table_count, true AS has_headings,
+       CAST(1 AS BIGINT) AS heading_count, true AS has_lists, CAST(2 AS BIGINT) AS list_item_count,
+       'table' AS content_type
 FROM nation
 """)
 def a10_md_structure(spark, sf_dir):
@@ -228,7 +229,8 @@ def a10_md_structure(spark, sf_dir):
 
 
 @register("s3_csv_clean", """
-SELECT c_custkey AS "name_key", nullif(trim(c_mktsegment), '') AS column_1, c_name AS "label" FROM customer
+SELECT CAST(c_custkey AS INTEGER) AS "name_key", nullif(trim(c_mktsegment), '') AS column_1, c_name AS "label"
+FROM customer
 """)
 def s3_csv_clean(spark, sf_dir):
     """Padded headers and cells, an empty header and empty cells: trimmed, column_<n>, nulls."""
