@@ -254,3 +254,27 @@ def k6_xml_names(spark, sf_dir):
     XML.write_xml(cu, out, row_tag="customer")
     back = XML.read_xml(spark, out, row_tag="customer")
     return back.select(F.col("_1id").cast("long").alias("_1id"), "c_name", "field_xmlSegment")
+
+
+@register("s11_xlsx_roundtrip", "SELECT * FROM part")
+def s11_xlsx_roundtrip(spark, sf_dir):
+    """K8 one workbook per partition, then S11 read (one task per workbook, header row detected)."""
+    from ..sources import xlsx as XL
+    part = table(spark, sf_dir, "part")
+    out = scratch_dir(spark, "xlsx")
+    XL.write_xlsx(part, out, sheet_name="part")
+    return CSV.conform(XL.read_xlsx(spark, out, sheet_name="part"), part.schema)
+
+
+@register("s12_xlsx_inventory", """
+SELECT 'part' AS sheet_name, 0 AS sheet_index, CAST(6 AS BIGINT) AS column_count, count(*) AS data_rows FROM part
+""")
+def s12_xlsx_inventory(spark, sf_dir):
+    """Sheet inventory of the workbooks written from part: data rows summed over workbooks."""
+    from ..sources import xlsx as XL
+    part = table(spark, sf_dir, "part")
+    out = scratch_dir(spark, "xlsxinv")
+    XL.write_xlsx(part, out, sheet_name="part")
+    inv = XL.sheet_inventory_df(spark, out)
+    return inv.groupBy("sheet_name", "sheet_index", "column_count").agg(
+        (F.sum("row_count") - F.count(F.lit(1))).alias("data_rows"))
