@@ -54,10 +54,10 @@ def best_delimiter(scores: Column) -> Column:
 def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per (file, delimiter) with its score, and the file's chosen delimiter."""
     heads = file_heads(list_files(spark, path, glob), SNIFF_BYTES)
-    scored = heads.select("path", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
+    scored = heads.select("path", "length", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
     scored = scored.withColumn("chosen", best_delimiter(F.col("scores")))
-    return scored.select("path", F.explode("scores").alias("s"), "chosen").select(
-        "path", "s.delimiter", "s.score", (F.col("s.delimiter") == F.col("chosen")).alias("chosen"))
+    return scored.select("path", "length", F.explode("scores").alias("s"), "chosen").select(
+        "path", "length", "s.delimiter", "s.score", (F.col("s.delimiter") == F.col("chosen")).alias("chosen"))
 
 
 def detect_delimiter_text(text: Column) -> Column:
@@ -82,7 +82,7 @@ def clean_csv(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True,
              infer_schema: bool = True, schema: T.StructType | str | None = None, encoding: str = "utf-8",
              multiline: bool = False, null_value: str | None = None, timestamp_format: str | None = None,
-             sampling_ratio: float | None = None, clean: bool = True) -> DataFrame:
+             sampling_ratio: float | None = None, clean: bool = True, _input_size: int | None = None) -> DataFrame:
     """Header row, trimmed headers, empty lines skipped, typed cells, BOM, quoted fields.
 
     ``sep=None`` sniffs the delimiter per file (S2); files that disagree are read per
@@ -91,11 +91,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     """
     if sep is None:
         chosen = (delimiter_profile(spark, path).where("chosen").groupBy("delimiter")
-                  .agg(F.collect_list("path").alias("paths")).collect())  # <= 4 rows
+                  .agg(F.collect_list("path").alias("paths"), F.sum("length").alias("bytes")).collect())  # <= 4 rows
         if not chosen:
             return spark.createDataFrame([], T.StructType([]))
         frames = [read_csv(spark, r["paths"], r["delimiter"], header, infer_schema, schema, encoding, multiline,
-                           null_value, timestamp_format, sampling_ratio, clean) for r in chosen]
+                           null_value, timestamp_format, sampling_ratio, clean, _input_size=r["bytes"])
+                  for r in chosen]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
@@ -113,7 +114,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     elif infer_schema:
         ratio = sampling_ratio
         if ratio is None:
-            size = _input_bytes(spark, path)
+            size = _input_size if _input_size is not None else _input_bytes(spark, path)
             ratio = 1.0 if size <= INFER_FULL_SCAN_BYTES else max(INFER_FULL_SCAN_BYTES / size, 1e-4)
         reader = reader.option("inferSchema", True).option("samplingRatio", ratio)
     df = reader.csv(path)
@@ -122,12 +123,9 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
 
 def _input_bytes(spark: SparkSession, path) -> int:
-    paths = path if isinstance(path, (list, tuple)) else [path]
-    total = 0
-    for p in paths:
-        row = list_files(spark, p).agg(F.sum("length").alias("n")).collect()[0]
-        total += int(row["n"] or 0)
-    return total
+    """Total input size from file metadata, in one job however many paths are given."""
+    row = list_files(spark, path).agg(F.sum("length").alias("n")).collect()[0]
+    return int(row["n"] or 0)
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

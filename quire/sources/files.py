@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, length, modification_time, extension) of every file under ``path``."""
+def list_files(spark: SparkSession, path, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, length, modification_time, extension) of every file under ``path`` (a path or a
+    list of paths)."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
