@@ -278,3 +278,22 @@ def s12_xlsx_inventory(spark, sf_dir):
     inv = XL.sheet_inventory_df(spark, out)
     return inv.groupBy("sheet_name", "sheet_index", "column_count").agg(
         (F.sum("row_count") - F.count(F.lit(1))).alias("data_rows"))
+
+
+@register("s19_read_encoding", "SELECT * FROM customer")
+def s19_read_encoding(spark, sf_dir):
+    """Read options: a Latin-1 encoded CSV read back with the encoding option."""
+    cu = table(spark, sf_dir, "customer")
+    out = scratch_dir(spark, "latin1")
+    CSV.write_csv(cu, out, encoding="ISO-8859-1")
+    return CSV.conform(CSV.read_csv(spark, out, sep=",", encoding="ISO-8859-1"), cu.schema)
+
+
+@register("s19_xlsx_sheet_range", "SELECT p_name, p_brand FROM part")
+def s19_xlsx_sheet_range(spark, sf_dir):
+    """Read options: sheet chosen by 0-based index and a cell range selecting two columns."""
+    from ..sources import xlsx as XL
+    part = table(spark, sf_dir, "part")
+    out = scratch_dir(spark, "xlsxrange")
+    XL.write_xlsx(part, out, sheet_name="parts")
+    return XL.read_xlsx(spark, out, sheet_index=0, range_="B1:C1048576")

@@ -123,3 +123,17 @@ def test_xlsx_roundtrip_and_inventory(spark, tmpdir_path):
     assert (inv.sheet_name, inv.row_count, inv.column_count) == ("S", 3, 4)
     rng = XL.read_xlsx(spark, out, range_="a1:b2")  # lower-case range letters work
     assert rng.columns == ["id", "s"] and rng.count() == 1
+
+
+def test_write_modes(spark, tmpdir_path):
+    import pytest
+    from quire.plans.pipeline import output_path, write_any
+    df = spark.createDataFrame([(1,)], "a int")
+    out = os.path.join(tmpdir_path, "o")
+    write_any(df, out, "csv")
+    write_any(df, out, "csv", overwrite=True)  # K13: overwrite by default
+    with pytest.raises(Exception):
+        write_any(df, out, "csv", overwrite=False)
+    taken = {"/d/a_converted.json", "/d/a_converted_1.json"}
+    assert output_path("/d/a.csv", "json", exists=lambda p: p in taken) == "/d/a_converted_2.json"
+    assert output_path("/d/a.csv", "md", output_dir="/o", preserve_name=True) == "/o/a.md"
