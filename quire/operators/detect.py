@@ -86,9 +86,11 @@ def is_csv_text(t: Column) -> Column:
     return (F.size(lines) >= 2) & F.coalesce(F.greatest(*checks), F.lit(False))
 
 
-def content_sample(text: Column) -> Column:
-    """The trimmed first 1 KB (characters) of a text, which every content rule looks at."""
-    return _trim(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS))
+def content_sample(text: Column, sample_chars: int | None = SAMPLE_CHARS) -> Column:
+    """The trimmed text the content rules look at: the first 1 K characters, as the tool's
+    detector defines it, or the whole text with ``sample_chars=None``."""
+    t = F.coalesce(text, F.lit(""))
+    return _trim(t if sample_chars is None else F.substring(t, 1, sample_chars))
 
 
 def detect_by_content(text: Column) -> Column:
@@ -99,7 +101,8 @@ def detect_by_content(text: Column) -> Column:
     return detect_by_sample(content_sample(text))
 
 
-def with_content_format(df: DataFrame, text_col: str, name: str = "detected") -> DataFrame:
+def with_content_format(df: DataFrame, text_col: str, name: str = "detected",
+                        sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
     """T2 over a DataFrame in layered projections: the 1 KB sample once, then every rule once
     as a flag, then the format from the flags. Each layer is referenced several times by
     the next, so CollapseProject keeps them apart and no rule is evaluated twice."""
@@ -113,7 +116,7 @@ def with_content_format(df: DataFrame, text_col: str, name: str = "detected") ->
         csv_checks.append((a > 1) & (a == b))
     fmt = (F.when(F.col("_q_json"), F.lit("json")).when(F.col("_q_xml"), F.lit("xml"))
            .when(F.col("_q_md") >= 2, F.lit("md")).when(F.col("_q_csv"), F.lit("csv")))
-    return (df.withColumn("_q_sample", content_sample(F.col(text_col)))
+    return (df.withColumn("_q_sample", content_sample(F.col(text_col), sample_chars))
             .withColumns({"_q_json": is_json_text(s), "_q_xml": is_xml_text(s), "_q_md": markdown_hits(s),
                           "_q_lines": F.slice(F.filter(F.split(s, "\n"), lambda ln: F.length(_trim(ln)) > 0), 1, 2)})
             .withColumn("_q_csv", (F.size(lines) >= 2) & F.coalesce(F.greatest(*csv_checks), F.lit(False)))

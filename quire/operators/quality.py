@@ -264,14 +264,16 @@ def file_checks(files: DataFrame, fmt: str, strict_extension: bool = False,
     return files.select(F.explode(arr).alias("f")).select("f.*")
 
 
-def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col: str = "path") -> DataFrame:
+def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col: str = "path",
+                   sample_chars: int | None = None) -> DataFrame:
     """V9: JSON parses; XML starts with '<', has elements, balanced tags; CSV field counts of
     the first 10 lines; Markdown patterns. Rules look at the first 2 K characters of ``text_col``
-    (a file head or a whole text), except JSON, which is parsed whole since a cut sample is
-    nearly always invalid."""
+    (a file head or a whole text; ``sample_chars=0`` checks whole texts), except JSON, which
+    is parsed whole since a cut sample is nearly always invalid."""
     from .detect import markdown_hits
     full = F.coalesce(F.col(text_col), F.lit(""))
-    t = F.substring(full, 1, CONTENT_SAMPLE_CHARS)
+    limit = CONTENT_SAMPLE_CHARS if sample_chars is None else sample_chars
+    t = full if limit <= 0 else F.substring(full, 1, limit)
     key = F.col(key_col)
     if fmt == "json":
         t = full

@@ -154,6 +154,19 @@ class Workbook:
                     yield r, cells
                     el.clear()
 
+    def declared_extent(self, member: str) -> tuple[int, int] | None:
+        """(last row, last column) from the sheet's ``<dimension ref>``, read without parsing the rows."""
+        with self.zf.open(member) as fh:
+            for _, el in ET.iterparse(fh, events=("start",)):
+                if el.tag == f"{NS}dimension":
+                    ref = (el.get("ref") or "").split(":")[-1]
+                    if re.match(r"^[A-Za-z]+\d+$", ref):
+                        return _split_ref(ref)
+                    return None
+                if el.tag == f"{NS}sheetData":
+                    return None
+        return None
+
     def extent(self, member: str) -> tuple[int, int]:
         """(last row, last column) with any cell."""
         last_r, last_c, n = 0, 0, 0
@@ -178,7 +191,7 @@ def sheet_records(data: bytes, sheet_name=None, sheet_index=None, rng: str | Non
     if rng:
         r0, r1, c0, c1 = parse_range(rng)
     else:
-        last_r, last_c = wb.extent(member)
+        last_r, last_c = wb.declared_extent(member) or wb.extent(member)
         r0, r1, c0, c1 = 1, last_r, 1, last_c
     cols = list(range(c0, c1 + 1))
     first = {}
@@ -206,7 +219,7 @@ def sheet_inventory(path: str, data: bytes) -> list[tuple]:
     wb = Workbook(data)
     out = []
     for i, (name, member) in enumerate(wb.sheets):
-        last_r, last_c = wb.extent(member)
+        last_r, last_c = wb.declared_extent(member) or wb.extent(member)
         out.append((path, name, i, last_r, last_c))
     return out
 
