@@ -109,3 +109,25 @@ def k14_output_paths(spark, sf_dir):
         "doc_id", F.concat(F.lit("in/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
         .alias("path"), fmt.alias("target"))
     return d.select("doc_id", P.output_path_col(F.col("path"), F.col("target"), output_dir="out").alias("output_path"))
+
+
+CONVENTIONAL_STEPS = [
+    {"type": "filter", "parameters": {"columnFilters": [{"columnName": "cMktsegment", "operator": "equals",
+                                                         "value": "BUILDING"}]}},
+    {"type": "columnOperation", "parameters": {"operation": {"type": "rename", "columnName": "cAcctbal",
+                                                             "newName": "balance"}}},
+    {"type": "keyStyle", "parameters": {"style": "camelCase"}},
+]
+
+
+@register("c2_convert_data", """
+SELECT c_custkey AS "cCustkey", c_name AS "cName", c_nationkey AS "cNationkey", c_acctbal AS balance,
+       c_mktsegment AS "cMktsegment"
+FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+def c2_convert_data(spark, sf_dir):
+    """The command's fixed order (key style, column operations, filters; D20): the filter and
+    the rename refer to the restyled names although they are listed first."""
+    from .transformations import conventional_order, convert_data
+    converted = convert_data(table(spark, sf_dir, "customer"), conventional_order(CONVENTIONAL_STEPS))
+    return converted.data

@@ -297,3 +297,35 @@ def s19_xlsx_sheet_range(spark, sf_dir):
     out = scratch_dir(spark, "xlsxrange")
     XL.write_xlsx(part, out, sheet_name="parts")
     return XL.read_xlsx(spark, out, sheet_index=0, range_="B1:C1048576")
+
+
+@register("k7_xml_nested", """
+SELECT n_nationkey, n_name AS info_name, n_regionkey AS info_region, 2 AS tag_count, CAST(NULL AS VARCHAR) AS note
+FROM nation
+""")
+def k7_xml_nested(spark, sf_dir):
+    """Nested values in XML: a struct becomes child elements, an array repeated elements,
+    null an empty element (read back as null)."""
+    n = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("info"),
+        F.array("n_name", F.concat("n_name", F.lit("!"))).alias("tag"), F.lit(None).cast("string").alias("note"))
+    out = scratch_dir(spark, "xmlnested")
+    XML.write_xml(n, out, row_tag="nation")
+    back = XML.read_xml(spark, out, row_tag="nation")
+    note = F.col("note") if "note" in back.columns else F.lit(None).cast("string")
+    return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("info.name").alias("info_name"),
+                       F.col("info.region").cast("int").alias("info_region"), F.size("tag").alias("tag_count"),
+                       F.nullif(note.cast("string"), F.lit("")).alias("note"))
+
+
+@register("k10_md_ordered_list", """
+SELECT n_nationkey + 1 AS number, n_name AS text FROM nation
+""")
+def k10_md_ordered_list(spark, sf_dir):
+    """Ordered Markdown list numbered by an explicit order (with_ordinal), read back."""
+    out = scratch_dir(spark, "mdordered")
+    MD.write_markdown_list(table(spark, sf_dir, "nation").select("n_name", "n_nationkey"), out, ordered=True,
+                           order_by=["n_nationkey"])
+    lines = spark.read.text(out).where(F.col("value").rlike(r"^\d+\. "))
+    return lines.select(F.regexp_extract("value", r"^(\d+)\.", 1).cast("int").alias("number"),
+                        F.regexp_extract("value", r"\*\*n_name\*\*: ([^,]*)", 1).alias("text"))
