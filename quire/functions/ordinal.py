@@ -22,18 +22,26 @@ def sort_columns(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def with_ordinal(df: DataFrame, order_by, name: str = "ordinal", checkpoint: bool = True) -> DataFrame:
-    """Add ``name`` = 0-based position of each row under ``order_by``.
-
-    The sorted rows are checkpointed to the shared checkpoint folder so that both passes
-    (per-partition counts and numbering) see the same partitions, and so that a lost
-    executor does not force a re-sort. The offsets table has one row per partition, so it
-    is small by construction and is broadcast.
+def with_ordinal(df: DataFrame, order_by, name: str = "ordinal", checkpoint: bool = True,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 0-based position of each row under ``order_by`` (a total order).
+
+    Rows are range-partitioned and sorted within partitions; each row's in-partition index
+    comes from ``monotonically_increasing_id``. The sorted rows are checkpointed to the shared
+    checkpoint folder, so the counting pass and the numbering pass see exactly the same
+    partitions (two independent evaluations of a range shuffle are not guaranteed to split
+    rows identically; this was observed) and a lost executor never forces a re-sort. The
+    per-partition counts (one row per partition, small by construction) are summed into
+    offsets and broadcast. ``checkpoint=False`` skips the materialisation and is only safe
+    when the plan above is evaluated once, e.g. under an explicit cache.
     """
     keys = sort_columns(order_by)
-    sorted_df = df.orderBy(*keys).withColumn("_q_mid", F.monotonically_increasing_id())
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_df = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                 .withColumn("_q_mid", F.monotonically_increasing_id()))
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
+        ensure_checkpoint_dir(spark)
         sorted_df = sorted_df.checkpoint(eager=True)
     pid = F.shiftright(F.col("_q_mid"), _PART_BITS)
     counts = sorted_df.groupBy(pid.alias("_q_pid")).agg(F.count(F.lit(1)).alias("_q_n"))

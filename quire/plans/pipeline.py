@@ -108,9 +108,7 @@ def write_any(df: DataFrame, path: str, fmt: str, overwrite: bool = True, option
                                 overwrite=overwrite, extension=".md")
     elif fmt == "xlsx":
         from ..sources import xlsx as XL
-        if not overwrite and path_exists(df.sparkSession)(path):
-            raise FileExistsError(path)
-        XL.write_xlsx(df, path, sheet_name=o.get("sheet_name", "Sheet1"))
+        XL.write_xlsx(df, path, sheet_name=o.get("sheet_name", "Sheet1"), overwrite=overwrite)
     elif fmt == "parquet":
         df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     else:

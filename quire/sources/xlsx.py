@@ -490,6 +490,15 @@ def sheet_inventory_df(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_xlsx(df: DataFrame, path: str, sheet_name: str = "Sheet1", overwrite: bool = True) -> None:
-    """K8: one workbook per partition (more when a partition exceeds the sheet row limit)."""
-    register(df.sparkSession)
+    """K8: one workbook per partition (more when a partition exceeds the sheet row limit).
+    ``overwrite`` removes an existing target folder first; otherwise an existing one is an error."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        if not overwrite:
+            raise FileExistsError(path)
+        fs.delete(target, True)
+    register(spark)
     df.write.format(FORMAT_NAME).mode("overwrite" if overwrite else "append").option("sheetName", sheet_name).save(path)
