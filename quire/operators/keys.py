@@ -171,14 +171,19 @@ def validate_key_transformation(original: Sequence[str], transformed: Sequence[s
 
 
 def key_transformation_findings(keys: DataFrame, style: str, key_col: str = "key") -> DataFrame:
-    """V13 over a key corpus: one finding per empty, duplicate or style-violating result."""
+    """V13 over a key corpus: one finding per empty, duplicate or style-violating result.
+    One aggregation over the distinct keys; every check is a conditional array element, so
+    the corpus is read once."""
     k = F.col("key")
     d = keys.select(F.col(key_col).alias("key")).where(k.isNotNull()).distinct()
-    t = d.select(k, N.transform_key_col(k, style).alias("new_key"))
+    t = d.select(N.transform_key_col(k, style).alias("new_key"))
     per_new = t.groupBy("new_key").agg(F.count(F.lit(1)).alias("n"))
-    empty = per_new.where(F.regexp_replace(F.coalesce("new_key", F.lit("")), r"\s", "") == "").select(
-        F.lit("empty").alias("issue"), "new_key", "n")
-    dup = per_new.where(F.col("n") > 1).select(F.lit("duplicate").alias("issue"), "new_key", "n")
-    bad = per_new.where(~N.is_valid_for_style_col(F.col("new_key"), style)).select(
-        F.lit("invalid").alias("issue"), "new_key", "n")
-    return empty.unionByName(dup).unionByName(bad)
+    nk = F.col("new_key")
+
+    def item(issue, cond):
+        return F.when(cond, F.struct(F.lit(issue).alias("issue"), nk.alias("new_key"), F.col("n").alias("n")))
+    checks = F.array_compact(F.array(
+        item("empty", F.regexp_replace(F.coalesce(nk, F.lit("")), r"\s", "") == ""),
+        item("duplicate", F.col("n") > 1),
+        item("invalid", ~N.is_valid_for_style_col(nk, style))))
+    return per_new.select(F.explode(checks).alias("f")).select("f.*")
