@@ -206,7 +206,7 @@ def k9_md_table_lines(spark, sf_dir):
     """Row lines with escaped backslashes and pipes (D25 order: backslash first)."""
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+    j = n.join(r, n.n_regionkey == r.r_regionkey).select(
         "n_nationkey", F.concat("n_name", F.lit(" \\ |"), "r_name").alias("n_name"), "n_regionkey")
     return j.select(MD.table_line(j).alias("line"))
 
