@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jscompat import (js_compare, js_compare_columns, js_compare_py, js_date_ms_py, js_number_py,
-                                  js_string, js_string_py, ms_to_iso, TIME_TYPES)
+                                  js_string, js_string_py, ms_to_iso)
 from ..functions.ordinal import sort_columns, with_ordinal
 
 log = logging.getLogger(__name__)
