@@ -131,3 +131,17 @@ def c2_convert_data(spark, sf_dir):
     from .transformations import conventional_order, convert_data
     converted = convert_data(table(spark, sf_dir, "customer"), conventional_order(CONVENTIONAL_STEPS))
     return converted.data
+
+
+@register("c3_format_chain", "SELECT * FROM part")
+def c3_format_chain(spark, sf_dir):
+    """Round trip through every format with ``convert`` (formats detected from the files):
+    JSON -> XML -> Markdown -> XLSX -> CSV, then read back and typed like the table."""
+    part = table(spark, sf_dir, "part")
+    src = scratch_dir(spark, "chain-json")
+    JS.write_json(part, src, layout="array")
+    path = src
+    for fmt in ("xml", "md", "xlsx", "csv"):
+        out = scratch_dir(spark, f"chain-{fmt}")
+        path = P.convert(spark, path, fmt, out).output_path
+    return CSV.conform(CSV.read_csv(spark, path), part.schema)
