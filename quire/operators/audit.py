@@ -243,3 +243,21 @@ def conversion_statistics(audit: DataFrame, format_col: str = "format") -> DataF
         F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
         F.avg("duration").alias("avg_duration"))
     return per
+
+
+def append_audit_log(records: DataFrame, path: str, ts_col: str = "timestamp") -> None:
+    """L4 sink: append records to a log table partitioned by day, so time-range reads
+    (L1, L2, L5) prune whole partitions instead of scanning the log."""
+    (records.withColumn("date", F.to_date(F.col(ts_col)))
+     .write.mode("append").partitionBy("date").parquet(path))
+
+
+def read_audit_log(spark, path: str, start=None, end=None, ts_col: str = "timestamp") -> DataFrame:
+    """A log table written by ``append_audit_log``, restricted to [start, end]: the day
+    bounds prune partitions, the timestamp bounds keep the range exact."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.filter((F.col("date") >= F.to_date(F.lit(start))) & (F.col(ts_col) >= _ts_lit(start, df, ts_col)))
+    if end is not None:
+        df = df.filter((F.col("date") <= F.to_date(F.lit(end))) & (F.col(ts_col) <= _ts_lit(end, df, ts_col)))
+    return df

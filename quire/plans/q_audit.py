@@ -170,3 +170,17 @@ FROM events GROUP BY event_type
 def a11_conversion_statistics(spark, sf_dir):
     audit = A.audit_events_from(table(spark, sf_dir, "events")).withColumnRenamed("type", "format")
     return A.conversion_statistics(audit)
+
+
+@register("l4_audit_log_partitioned", """
+SELECT CAST(event_id AS VARCHAR) AS id, ts AS "timestamp", event_type AS type,
+       CASE WHEN event_type = 'error' THEN 'medium' ELSE 'low' END AS severity
+FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts <= TIMESTAMP '2024-01-12 18:00:00'
+""")
+def l4_audit_log_partitioned(spark, sf_dir):
+    """Audit records appended to a day-partitioned log, read back for a time range (pruned)."""
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "auditlog")
+    A.append_audit_log(A.audit_events_from(table(spark, sf_dir, "events")), path)
+    log = A.read_audit_log(spark, path, "2024-01-10 06:00:00", "2024-01-12 18:00:00")
+    return log.select("id", "timestamp", "type", "severity")
