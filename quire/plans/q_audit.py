@@ -32,6 +32,7 @@ SELECT event_type AS operation, date_trunc('day', ts) AS period_start, avg(value
 FROM events GROUP BY ALL
 """)
 def l2_performance_stats(spark, sf_dir):
+    """Per operation and day: mean duration, count, success rate, mean heap, mean throughput (L2)."""
     m = A.metrics_from(table(spark, sf_dir, "events"))
     return A.performance_stats(m, period="1 day")
 
@@ -65,6 +66,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, event_type AS operation, w AS warning FR
   FROM events)
 """)
 def l3_threshold_alerts(spark, sf_dir):
+    """Duration, memory and throughput alerts over the metrics derived from events (L3)."""
     return A.threshold_alerts(A.metrics_from(table(spark, sf_dir, "events")))
 
 
@@ -135,6 +137,7 @@ FROM (SELECT event_id, message, {_sql_classify('lower(message)')} AS c
       FROM (SELECT event_id, {_MSG_SQL} AS message FROM events))
 """)
 def l6_error_classify(spark, sf_dir):
+    """Ordered keyword classification of error messages."""
     ev = table(spark, sf_dir, "events").select("event_id", _messages_col().alias("message"))
     return ev.select("event_id", "message", A.error_classify(F.col("message")).alias("c")).select(
         "event_id", "message", "c.category", "c.severity", "c.strategy", "c.retryable")

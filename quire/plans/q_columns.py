@@ -71,6 +71,7 @@ SELECT c_custkey, c_name, trim(string_split(c_name, '#')[1]) AS name_prefix,
 FROM customer
 """)
 def p8_split_column(spark, sf_dir):
+    """Customer names split on '#' into three trimmed parts."""
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return C.split_column(cu, "c_name", "#", ["name_prefix", "name_number", "name_extra"])
 
@@ -105,5 +106,6 @@ FROM part""")
 
 @register("a1_column_statistics", _a1_sql())
 def a1_column_statistics(spark, sf_dir):
+    """Type, null count, distinct count and first three values per column of part (A1)."""
     stats = C.column_statistics(table(spark, sf_dir, "part"), order_by=["p_partkey"])
     return stats.withColumn("sample_values", F.to_json("sample_values"))

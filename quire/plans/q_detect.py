@@ -66,6 +66,7 @@ SELECT source, id, fmt AS format,
 FROM (SELECT source, id, {_sql_content('s')} AS fmt FROM (SELECT source, id, {_SAMPLE} AS s FROM ({_CORPUS_SQL})))
 """)
 def t2_detect_content(spark, sf_dir):
+    """Content-based format of pages, documents, JSON props, XML and CSV snippets."""
     c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d")
     return c.select("source", "id", "d.format", "d.confidence")
 

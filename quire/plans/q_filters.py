@@ -86,6 +86,7 @@ SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer
 WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'
 """)
 def f9_custom(spark, sf_dir):
+    """Custom conditions: a numeric comparison (null counts as 0) and a quoted text literal."""
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     return FL.filter_data(cu, FL.FilterCriteria(custom_conditions=("c_acctbal >= 0", "c_mktsegment == 'BUILDING'")))
 
@@ -124,11 +125,13 @@ SELECT event_id, ts, user_id, event_type, value, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1
 """)
 def f11_unique(spark, sf_dir):
+    """First event per user under event order."""
     return FL.filter_unique(table(spark, sf_dir, "events"), "user_id", order_by=["event_id"])
 
 
 @register("f12_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def f12_duplicates(spark, sf_dir):
+    """Distinct (return flag, line status) pairs of the whole lineitem table."""
     return FL.filter_duplicates(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
 
 
@@ -137,6 +140,7 @@ SELECT o_orderkey, o_totalprice FROM (
   SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 7 = 0
 """)
 def f13_every_nth(spark, sf_dir):
+    """Every 7th order by order key."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return FL.sample_every_nth(orders, 7, order_by=["o_orderkey"])
 
@@ -145,18 +149,21 @@ def f13_every_nth(spark, sf_dir):
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)) LIMIT 100
 """)
 def f14_random(spark, sf_dir):
+    """A reproducible seeded sample of 100 orders."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return FL.sample_random(orders, 100, seed=42, key_columns=["o_orderkey"])
 
 
 @register("f15_first", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 100")
 def f15_first(spark, sf_dir):
+    """First 100 events by event id."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return FL.sample_first(ev, 100, order_by=["event_id"])
 
 
 @register("f16_last", "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
 def f16_last(spark, sf_dir):
+    """Last 100 events by event id (F16)."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return FL.sample_last(ev, 100, order_by=["event_id"])
 
@@ -174,6 +181,7 @@ SELECT count(*) AS original_rows,
 FROM orders
 """)
 def a2_filter_statistics(spark, sf_dir):
+    """Kept / removed counts and removal percentage of the flagship criteria (A2)."""
     orders = table(spark, sf_dir, "orders")
     crit = FL.FilterCriteria((FL.ColumnFilter("o_totalprice", "greaterThan", 200000),),
                              FL.DateRange("o_orderdate", "1995-01-01", "1996-12-31"))

@@ -142,6 +142,7 @@ WITH k AS (SELECT DISTINCT key FROM ({_CORPUS_SQL}) WHERE key IS NOT NULL),
 
 @register("a6_key_census", _a6_sql())
 def a6_key_census(spark, sf_dir):
+    """Key-style census over the keys of three JSON corpora derived from the tables."""
     return K.key_style_census(_corpus(spark, sf_dir))
 
 

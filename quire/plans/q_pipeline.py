@@ -72,6 +72,7 @@ SELECT c_custkey, json_object('cCustkey', c_custkey, 'cName', c_name, 'cMktsegme
        AS converted FROM customer
 """)
 def c4_convert_json_text(spark, sf_dir):
+    """Customer rows as JSON payloads, keys restyled to camelCase inside the text (C4)."""
     cu = table(spark, sf_dir, "customer").select(
         "c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("payload"))
     return P.convert_text_column(cu, "payload", "json", "json", key_style="camelCase").select("c_custkey", "converted")

@@ -76,6 +76,7 @@ SELECT 'warning' AS severity, 'MISSING_FIELDS' AS code, CAST(NULL AS VARCHAR) AS
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL
 """)
 def v1_structure_checks(spark, sf_dir):
+    """Missing-field findings for documents whose JSON rows lack the label keys (V1)."""
     return Q.structure_checks(_doc_json(spark, sf_dir), "j", "doc_id",
                               headers=["doc_id", "lang", "n_chars", "quality", "toxic"])
 
@@ -131,6 +132,7 @@ def _md_sql() -> str:
 
 @register("v6_md_checks", _md_sql())
 def v6_md_checks(spark, sf_dir):
+    """Markdown suitability findings over the documents table (V6)."""
     return Q.markdown_checks(table(spark, sf_dir, "documents"))
 
 

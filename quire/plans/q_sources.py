@@ -79,6 +79,7 @@ SELECT event_id, k AS key, CAST(json_extract(props, '$."' || k || '"') AS VARCHA
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
 """)
 def s6_json_entries(spark, sf_dir):
+    """Every events.props object as (key, value, type) rows."""
     ev = table(spark, sf_dir, "events").select("event_id", "props")
     out = JS.json_entries(ev, "props", keep=["event_id"])
     return out.select("event_id", "key", F.to_json("value").alias("value"), "type")
