@@ -27,6 +27,14 @@ def table_summary(df: DataFrame, fmt: str | None = None, encoding: str = "utf-8"
         F.lit(fmt).cast("string").alias("format"), F.lit(encoding).alias("encoding"))
 
 
+def table_sample(df: DataFrame, n: int = 5, order_by=None) -> DataFrame:
+    """A4: the first ``n`` rows (under ``order_by`` when given; a top-n, bounded by n)."""
+    if order_by is None:
+        return df.limit(n)
+    from ..functions.ordinal import sort_columns as _keys
+    return df.orderBy(*_keys(order_by)).limit(n)
+
+
 def json_schema_profile(df: DataFrame, json_col: str, order_by) -> DataFrame:
     """A5: per key of a JSON-object column, the JSON type of the first value seen (under
     ``order_by``) and whether the key is present in more than 80 % of the rows."""

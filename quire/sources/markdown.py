@@ -287,12 +287,14 @@ def write_markdown_list(df: DataFrame, path: str, ordered: bool = False, order_b
 
 
 def heading_lines(df: DataFrame) -> DataFrame:
-    """``#`` x level (clamped 1-6) + text from ``text``, ``content`` or the first column."""
+    """``#`` x level (clamped 1-6) + the first non-empty of ``text``, ``content`` and the
+    first column (``level`` missing or 0 means 1)."""
     cols = df.columns
     level = F.coalesce(F.col("level").cast("int"), F.lit(1)) if "level" in cols else F.lit(1)
     level = F.when(level == 0, F.lit(1)).otherwise(level)
-    src = "text" if "text" in cols else ("content" if "content" in cols else cols[0])
-    text = F.coalesce(js_string(F.col(f"`{src}`"), df.schema[src].dataType), F.lit(""))
+    candidates = [c for c in ("text", "content") if c in cols] + [cols[0]]
+    texts = [F.nullif(js_string(F.col(f"`{c}`"), df.schema[c].dataType), F.lit("")) for c in candidates]
+    text = F.coalesce(*texts, F.lit(""))
     return df.select(F.concat(F.repeat(F.lit("#"), F.least(F.greatest(level, F.lit(1)), F.lit(6))), F.lit(" "), text,
                               F.lit("\n")).alias("value"))
 

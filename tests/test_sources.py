@@ -137,3 +137,10 @@ def test_write_modes(spark, tmpdir_path):
     taken = {"/d/a_converted.json", "/d/a_converted_1.json"}
     assert output_path("/d/a.csv", "json", exists=lambda p: p in taken) == "/d/a_converted_2.json"
     assert output_path("/d/a.csv", "md", output_dir="/o", preserve_name=True) == "/o/a.md"
+
+
+def test_heading_lines_fallbacks(spark):
+    df = spark.createDataFrame([(0, None, "from content"), (9, "T", "c"), (None, "", "x")],
+                               "level int, text string, content string")
+    got = [r.value for r in MD.heading_lines(df).collect()]
+    assert got == ["# from content\n", "###### T\n", "# x\n"]
