@@ -34,6 +34,17 @@ def _open(path: str):
     return fs.open_input_stream(inner)
 
 
+def open_random_access(path: str):
+    """A seekable handle (zip readers then fetch only the central directory and the members
+    they open, not the whole file)."""
+    import pyarrow.fs as pafs
+    if "://" in path:
+        fs, inner = pafs.FileSystem.from_uri(path)
+    else:
+        fs, inner = pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
+    return fs.open_input_file(inner)
+
+
 def read_head(path: str, nbytes: int) -> bytes:
     with _open(path) as f:
         return f.read(nbytes)

@@ -76,15 +76,15 @@ def _split_ref(ref: str) -> tuple[int, int]:
 # Workbook parsing (runs inside tasks)
 # ---------------------------------------------------------------------------------------
 
-def _open_bytes(path: str) -> bytes:
-    from .files import _open
-    with _open(path) as f:
-        return f.read()
+def _open_workbook_file(path: str):
+    from .files import open_random_access
+    return open_random_access(path)
 
 
 class Workbook:
-    def __init__(self, data: bytes):
-        self.zf = zipfile.ZipFile(io.BytesIO(data))
+    def __init__(self, data):
+        """``data``: workbook bytes or a seekable file handle."""
+        self.zf = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, (bytes, bytearray)) else data)
         self.strings = self._shared_strings()
         self.sheets = self._sheets()  # [(name, member path)]
 
@@ -182,7 +182,7 @@ def _blank(v) -> bool:
     return v is None or v == ""
 
 
-def sheet_records(data: bytes, sheet_name=None, sheet_index=None, rng: str | None = None):
+def sheet_records(data, sheet_name=None, sheet_index=None, rng: str | None = None):
     """(headers or None, iterator of {header: value}) following the tool's rules: the first
     row is a header row when any of its cells is non-blank text; blank headers become
     ``Column<n>``; rows without any value are dropped."""
@@ -215,7 +215,7 @@ def sheet_records(data: bytes, sheet_name=None, sheet_index=None, rng: str | Non
     return (headers if has_headers else None), headers, gen()
 
 
-def sheet_inventory(path: str, data: bytes) -> list[tuple]:
+def sheet_inventory(path: str, data) -> list[tuple]:
     wb = Workbook(data)
     out = []
     for i, (name, member) in enumerate(wb.sheets):
@@ -296,13 +296,14 @@ class XlsxDataSource(DataSource):
         if not files:
             raise ValueError(f"No workbooks under {self.options['path']}")
         idx = self._opt("sheetIndex")
-        _, headers, recs = sheet_records(_open_bytes(files[0]), self._opt("sheetName"),
-                                         int(idx) if idx is not None else None, self._opt("range"))
-        sample = []
-        for i, r in enumerate(recs):
-            if i >= INFER_ROWS:
-                break
-            sample.append(r)
+        with _open_workbook_file(files[0]) as fh:
+            _, headers, recs = sheet_records(fh, self._opt("sheetName"),
+                                             int(idx) if idx is not None else None, self._opt("range"))
+            sample = []
+            for i, r in enumerate(recs):
+                if i >= INFER_ROWS:
+                    break
+                sample.append(r)
         fields = [T.StructField(h, _infer_type([r.get(h) for r in sample]), True) for h in headers]
         return T.StructType(fields)
 
@@ -322,16 +323,16 @@ class _XlsxReader(DataSourceReader):
         return [_FilePartition(p) for p in _list_workbooks(self.options["path"])]
 
     def read(self, partition):
-        data = _open_bytes(partition.path)
-        if str(self.options.get("inventory", "false")).lower() == "true":
-            yield from sheet_inventory(partition.path, data)
-            return
-        idx = self.options.get("sheetIndex", self.options.get("sheetindex"))
-        _, _, recs = sheet_records(data, self.options.get("sheetName", self.options.get("sheetname")),
-                                   int(idx) if idx is not None else None, self.options.get("range"))
-        fields = self.schema.fields
-        for rec in recs:
-            yield tuple(_convert(rec.get(f.name), f.dataType) for f in fields)
+        with _open_workbook_file(partition.path) as data:
+            if str(self.options.get("inventory", "false")).lower() == "true":
+                yield from sheet_inventory(partition.path, data)
+                return
+            idx = self.options.get("sheetIndex", self.options.get("sheetindex"))
+            _, _, recs = sheet_records(data, self.options.get("sheetName", self.options.get("sheetname")),
+                                       int(idx) if idx is not None else None, self.options.get("range"))
+            fields = self.schema.fields
+            for rec in recs:
+                yield tuple(_convert(rec.get(f.name), f.dataType) for f in fields)
 
 
 # ---------------------------------------------------------------------------------------
