@@ -409,11 +409,7 @@ class _Commit(WriterCommitMessage):
 
 
 def _write_bytes(path: str, data: bytes) -> None:
-    import pyarrow.fs as pafs
-    if "://" in path:
-        fs, inner = pafs.FileSystem.from_uri(path)
-    else:
-        fs, inner = pafs.LocalFileSystem(), path[5:] if path.startswith("file:") else path
+    fs, inner = _fs_and_path(path)
     parent = inner.rsplit("/", 1)[0]
     fs.create_dir(parent, recursive=True)
     with fs.open_output_stream(inner) as f:
@@ -421,34 +417,68 @@ def _write_bytes(path: str, data: bytes) -> None:
 
 
 class _XlsxWriter(DataSourceWriter):
+    """Task attempts write into ``_temporary/<attempt>/`` under the target; the driver-side
+    ``commit`` moves only the files named by successful attempts into place and removes the
+    staging folder, so a retried or lost task never leaves a duplicate workbook behind."""
+
     def __init__(self, options, schema, overwrite):
         self.path = options["path"].rstrip("/")
         self.sheet = options.get("sheetName", options.get("sheetname", "Sheet1"))
         self.schema = schema
+        self.job = uuid.uuid4().hex[:12]
         if len(schema.fields) > MAX_COLUMNS:
             raise ValueError(f"Data has {len(schema.fields)} columns, exceeding Excel's limit of {MAX_COLUMNS}")
 
+    def _staging(self) -> str:
+        return f"{self.path}/_temporary/{self.job}"
+
     def write(self, iterator):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
+        attempt = f"{pid:05d}-{ctx.attemptNumber() if ctx else 0}-{uuid.uuid4().hex[:8]}"
         names = [f.name for f in self.schema.fields]
         files, chunk, part = [], [], 0
         limit = MAX_ROWS - 1
         for row in iterator:
             chunk.append(tuple(_plain(v) for v in row))
             if len(chunk) == limit:
-                files.append(self._flush(names, chunk, pid, part))
+                files.append(self._flush(names, chunk, pid, part, attempt))
                 chunk, part = [], part + 1
         if chunk or not files:
-            files.append(self._flush(names, chunk, pid, part))
+            files.append(self._flush(names, chunk, pid, part, attempt))
         return _Commit(files)
 
-    def _flush(self, names, rows, pid, part):
-        name = f"{self.path}/part-{pid:05d}-{part:03d}-{uuid.uuid4().hex[:8]}.xlsx"
+    def _flush(self, names, rows, pid, part, attempt):
+        name = f"{self._staging()}/{attempt}/part-{pid:05d}-{part:03d}.xlsx"
         _write_bytes(name, workbook_bytes(names, rows, self.sheet))
         return name
 
+    def commit(self, messages):
+        fs, root = _fs_and_path(self.path)
+        for m in messages:
+            for staged in (m.files if m is not None else []):
+                _, inner = _fs_and_path(staged)
+                fs.move(inner, f"{root}/{inner.rsplit('/', 1)[-1]}")
+        _remove(fs, f"{root}/_temporary")
+
+    def abort(self, messages):
+        fs, root = _fs_and_path(self.path)
+        _remove(fs, f"{root}/_temporary")
+
+
+def _fs_and_path(path: str):
+    import pyarrow.fs as pafs
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
+
+
+def _remove(fs, path: str) -> None:
+    import pyarrow.fs as pafs
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+
 
 def _plain(v):
     import datetime as dt
