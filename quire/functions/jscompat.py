@@ -149,7 +149,8 @@ def js_number(c: Column, dtype: T.DataType) -> Column:
 
 
 def double_to_js_string(d: Column) -> Column:
-    """String(x) for doubles: shortest text, no trailing ``.0``, plain notation below 1e20."""
+    """String(x) for doubles: shortest text, no trailing ``.0``, plain notation from 1e-6 up to
+    1e21 and exponent notation outside (``1e+21``, ``1.5e-7``)."""
     fixed = d.cast("string").try_cast("decimal(38,18)").cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
     return (F.when(d.isNull(), F.lit(None).cast("string"))
@@ -158,7 +159,15 @@ def double_to_js_string(d: Column) -> Column:
             .when(d == float("-inf"), F.lit("-Infinity"))
             .when(d == 0, F.lit("0"))
             .when((F.abs(d) >= 1e-6) & (F.abs(d) < 1e20), trimmed)
-            .otherwise(d.cast("string")))
+            .when((F.abs(d) >= 1e20) & (F.abs(d) < 1e21), d.cast("decimal(38,0)").cast("string"))
+            .otherwise(_exponent_form(d.cast("string"))))
+
+
+def _exponent_form(s: Column) -> Column:
+    """Spark's ``1.5E21`` / ``1.0E-7`` as the tool prints them: ``1.5e+21`` / ``1e-7``."""
+    s = F.regexp_replace(s, r"\.0E", "E")
+    s = F.regexp_replace(s, r"E(\d)", "e+$1")
+    return F.regexp_replace(s, "E-", "e-")
 
 
 def js_string(c: Column, dtype: T.DataType) -> Column:

@@ -86,9 +86,10 @@ def test_js_literals():
 
 
 def test_js_string_doubles(spark):
-    df = spark.createDataFrame([(1.0,), (12345678.5,), (0.1,), (-2.5,), (0.0,)], "x double")
+    vals = [1.0, 12345678.5, 0.1, -2.5, 0.0, 1e20, 1e21, 1.5e-7]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(J.js_string(F.col("x"), df.schema["x"].dataType)).collect()]
-    assert got == ["1", "12345678.5", "0.1", "-2.5", "0"]
+    assert got == ["1", "12345678.5", "0.1", "-2.5", "0", "100000000000000000000", "1e+21", "1.5e-7"]
 
 
 def test_null_values_both_ways(spark):
