@@ -150,12 +150,20 @@ def combine(ext: Column, content: Column) -> Column:
                     F.lit("hybrid").alias("method"), ext["error"].alias("error"))
 
 
-def detect_files(spark: SparkSession, path: str, analyze_content: bool = True) -> DataFrame:
-    """T1/T3 over every file under ``path``: (path, format, confidence, method, error)."""
+def detect_files(spark: SparkSession, path: str, analyze_content: bool = True,
+                 sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
+    """T1/T3 over every file under ``path``: (path, format, confidence, method, error).
+    Content rules read each file's first ``sample_chars`` bytes (the tool's 1 KB) or, with
+    ``None``, the whole file (one task per file)."""
     files = list_files(spark, path)
     if not analyze_content:
         return files.select("path", detect_by_extension(F.col("path")).alias("d")).select("path", "d.*")
-    heads = with_content_format(file_heads(files, SAMPLE_CHARS), "head", "_q_content")
+    if sample_chars is None:
+        from ..sources.files import whole_texts
+        texts = whole_texts(spark, path).withColumn("read_error", F.lit(None).cast("string"))
+        heads = with_content_format(texts, "text", "_q_content", sample_chars=None)
+    else:
+        heads = with_content_format(file_heads(files, sample_chars), "head", "_q_content")
     ext = detect_by_extension(F.col("path"))
     content = F.when(F.col("read_error").isNull(), F.col("_q_content"))
     return heads.select("path", combine(ext, content).alias("d")).select("path", "d.*")

@@ -56,7 +56,8 @@ def _sql_content(t: str) -> str:
             f"WHEN len({lines}) >= 2 AND ({csv}) THEN 'csv' END")
 
 
-_SAMPLE = r"regexp_replace(substring(coalesce(text, ''), 1, 1024), '^\s+|\s+$', '', 'g')"
+# the registered queries apply the content rules to whole texts (sample_chars=None)
+_SAMPLE = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 
 
 @register("t2_detect_content", f"""
@@ -67,7 +68,7 @@ FROM (SELECT source, id, {_sql_content('s')} AS fmt FROM (SELECT source, id, {_S
 """)
 def t2_detect_content(spark, sf_dir):
     """Content-based format of pages, documents, JSON props, XML and CSV snippets."""
-    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d")
+    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d", sample_chars=None)
     return c.select("source", "id", "d.format", "d.confidence")
 
 
@@ -111,7 +112,7 @@ GROUP BY ALL
 """)
 def t5_pair_warnings(spark, sf_dir):
     """Loss warnings for converting every payload (format detected from content) to each format."""
-    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d").select(
+    c = D.with_content_format(_text_corpus(spark, sf_dir), "text", "d", sample_chars=None).select(
         F.coalesce(F.col("d.format"), F.lit("unknown")).alias("source_format"),
         F.explode(F.array(*[F.lit(f) for f in D.SUPPORTED_FORMATS])).alias("target_format"))
     return c.groupBy("source_format", "target_format").agg(F.count(F.lit(1)).alias("documents")).select(
@@ -135,7 +136,7 @@ def write_format_corpus(spark, sf_dir) -> str:
 def t3_detect_files(spark, sf_dir):
     """T1 + T3 over a folder of files written from the tables: per extension, detected format."""
     base = write_format_corpus(spark, sf_dir)
-    det = D.detect_files(spark, base)
+    det = D.detect_files(spark, base, sample_chars=None)
     return det.groupBy(D.extension_of(F.col("path")).alias("extension"), "format", "confidence", "method", "error") \
         .agg(F.count(F.lit(1)).alias("files"))
 

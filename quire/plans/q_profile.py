@@ -158,13 +158,12 @@ def v8_file_checks(spark, sf_dir):
 SELECT 'warning' AS severity, 'UNBALANCED_XML_TAGS' AS code, CAST(page_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
        'XML tags may be unbalanced (this is a basic check)' AS message
 FROM pages
-WHERE len(regexp_extract_all(substring(html, 1, 2048), '<[^/][^>]*[^/]>'))
-      <> len(regexp_extract_all(substring(html, 1, 2048), '</[^>]+>'))
-      + len(regexp_extract_all(substring(html, 1, 2048), '<[^>]*/>'))
+WHERE len(regexp_extract_all(html, '<[^/][^>]*[^/]>'))
+      <> len(regexp_extract_all(html, '</[^>]+>')) + len(regexp_extract_all(html, '<[^>]*/>'))
 """)
 def v9_content_xml(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("head"))
-    return Q.content_checks(p, "xml")
+    return Q.content_checks(p, "xml", sample_chars=0)  # whole pages
 
 
 @register("v9_content_csv", r"""
@@ -172,14 +171,14 @@ SELECT 'warning' AS severity, 'INCONSISTENT_CSV_FIELDS' AS code, CAST(doc_id AS
        bad || ' lines have different field counts than the first line' AS message
 FROM (SELECT doc_id, len(list_filter(lines[2:10], lambda l: len(string_split(l, ',')) <> len(string_split(lines[1], ','))))
         AS bad
-      FROM (SELECT doc_id, list_filter(string_split(substring(text, 1, 2048), chr(10)), lambda l: length(regexp_replace(l, '^\s+|\s+$', '', 'g')) > 0) AS lines
+      FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: length(regexp_replace(l, '^\s+|\s+$', '', 'g')) > 0) AS lines
             FROM documents))
 WHERE bad > 0
 """)
 def v9_content_csv(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"),
                                                  F.col("text").alias("head"))
-    return Q.content_checks(d, "csv")
+    return Q.content_checks(d, "csv", sample_chars=0)  # whole documents
 
 
 @register("v14_findings_report", """

@@ -33,7 +33,7 @@ def s2_csv_delimiter_profile(spark, sf_dir):
     for name, sep in (("nation", ","), ("region", ";"), ("supplier", "\t"), ("customer", "|")):
         (table(spark, sf_dir, name).coalesce(1).write.option("header", True).option("sep", sep)
          .csv(f"{base}/{name}"))
-    prof = CSV.delimiter_profile(spark, base, "*.csv")
+    prof = CSV.delimiter_profile(spark, base, "*.csv", whole=True)
     return prof.select(F.regexp_extract("path", r"/([a-z]+)/[^/]+$", 1).alias("source"), "delimiter", "score",
                        "chosen")
 

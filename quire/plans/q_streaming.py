@@ -65,5 +65,5 @@ SELECT event_id, 'json' AS format FROM events
 """)
 def st_detect_content(spark, sf_dir):
     ev = S.read_table_stream(spark, sf_dir, "events.parquet")
-    det = D.with_content_format(ev, "props", "d").select("event_id", "d.format")
+    det = D.with_content_format(ev, "props", "d", sample_chars=None).select("event_id", "d.format")
     return S.run_to_table(det, spark, "detect")

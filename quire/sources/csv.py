@@ -24,21 +24,39 @@ SNIFF_LINES = 5
 INFER_FULL_SCAN_BYTES = 1 << 30
 
 
-def _field_counter(delimiter: str):
+def _line_stats(lines: Column, delimiter: str) -> Column:
+    """One pass over the lines: first field count, sum, line count, all counts equal."""
     pattern = "\\Q" + delimiter + "\\E"
-    return lambda ln: F.size(F.split(ln, pattern, -1))
-
-
-def delimiter_scores(head: Column) -> Column:
-    """Array of (delimiter, score) for one file head."""
-    lines = F.slice(F.split(F.substring(head, 1, SNIFF_BYTES), "\n", -1), 1, SNIFF_LINES)
+    init = F.struct(F.lit(-1).alias("first"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"),
+                    F.lit(True).alias("same"))
+
+    def step(acc, ln):
+        c = F.size(F.split(ln, pattern, -1))
+        first = F.when(acc["n"] == 0, c).otherwise(acc["first"])
+        return F.struct(first.alias("first"), (acc["sum"] + c).alias("sum"), (acc["n"] + 1).alias("n"),
+                        (acc["same"] & (c == first)).alias("same"))
+    return F.aggregate(lines, init, step)
+
+
+def _score(st: Column) -> Column:
+    avg = st["sum"] / st["n"]
+    return (F.when(st["n"] > 1, F.when(st["same"], avg * 2).otherwise(avg))
+            .otherwise(F.when(st["n"] == 1, st["first"].cast("double")).otherwise(F.lit(0.0))))
+
+
+def delimiter_scores(head: Column, sniff_chars: int | None = SNIFF_BYTES,
+                     sniff_lines: int | None = SNIFF_LINES) -> Column:
+    """Array of (delimiter, score) for one text: its first ``sniff_lines`` lines within the
+    first ``sniff_chars`` characters, as the tool sniffs, or every line with ``None``.
+    Score: mean field count, doubled when every line has the same count; each delimiter's
+    statistics come from one pass over the lines."""
+    text = head if sniff_chars is None else F.substring(head, 1, sniff_chars)
+    lines = F.split(text, "\n", -1)
+    if sniff_lines is not None:
+        lines = F.slice(lines, 1, sniff_lines)
     out = []
     for i, d in enumerate(DELIMITERS):
-        counts = F.transform(lines, _field_counter(d))
-        avg = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, x: acc + x) / F.size(counts)
-        consistent = F.forall(counts, lambda x: x == counts[0])
-        score = (F.when(F.size(counts) > 1, F.when(consistent, avg * 2).otherwise(avg))
-                 .otherwise(F.coalesce(counts[0].cast("double"), F.lit(0.0))))
+        score = F.transform(F.array(_line_stats(lines, d)), _score).getItem(0)  # statistics evaluated once
         out.append(F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter"), score.alias("score")))
     return F.array(*out)
 
@@ -51,10 +69,18 @@ def best_delimiter(scores: Column) -> Column:
     return best["delimiter"]
 
 
-def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per (file, delimiter) with its score, and the file's chosen delimiter."""
-    heads = file_heads(list_files(spark, path, glob), SNIFF_BYTES)
-    scored = heads.select("path", "length", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
+def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None, whole: bool = False) -> DataFrame:
+    """One row per (file, delimiter) with its score, and the file's chosen delimiter.
+
+    By default each file's first 1 K / 5 lines are scored (read in tasks, first bytes only);
+    ``whole=True`` scores every line of every file (one task per file)."""
+    if whole:
+        from .files import whole_texts
+        docs = whole_texts(spark, path, glob).select("path", F.octet_length("text").alias("length"), "text")
+        scored = docs.select("path", "length", delimiter_scores(F.col("text"), None, None).alias("scores"))
+    else:
+        heads = file_heads(list_files(spark, path, glob), SNIFF_BYTES)
+        scored = heads.select("path", "length", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
     scored = scored.withColumn("chosen", best_delimiter(F.col("scores")))
     return scored.select("path", "length", F.explode("scores").alias("s"), "chosen").select(
         "path", "length", "s.delimiter", "s.score", (F.col("s.delimiter") == F.col("chosen")).alias("chosen"))
