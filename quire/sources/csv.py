@@ -50,7 +50,8 @@ def delimiter_scores(head: Column, sniff_chars: int | None = SNIFF_BYTES,
     first ``sniff_chars`` characters, as the tool sniffs, or every line with ``None``.
     Score: mean field count, doubled when every line has the same count; each delimiter's
     statistics come from one pass over the lines."""
-    text = head if sniff_chars is None else F.substring(head, 1, sniff_chars)
+    # a whole file's final line break ends the last line; it does not start an empty one
+    text = F.regexp_replace(head, r"\r?\n$", "") if sniff_chars is None else F.substring(head, 1, sniff_chars)
     lines = F.split(text, "\n", -1)
     if sniff_lines is not None:
         lines = F.slice(lines, 1, sniff_lines)
