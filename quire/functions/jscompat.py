@@ -124,8 +124,16 @@ def ms_to_iso(ms: float) -> str:
 # Column expressions
 # ---------------------------------------------------------------------------------------
 
-def _js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+# The whitespace characters trimmed from text (space, tab, LF, CR, FF, VT).
+WHITESPACE = " \t\n\r\f\u000b"
+
+
+def js_trim(c: Column) -> Column:
+    """String.prototype.trim for the ASCII whitespace set, as a native ``btrim``."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+_js_trim = js_trim
 
 
 def js_number(c: Column, dtype: T.DataType) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import js_trim
 from ..functions.jscompat import js_string, js_typeof
 from ..functions.ordinal import sort_columns, with_ordinal
 from .filters import Report, has_column
@@ -152,7 +153,7 @@ def _takes_columns(fn) -> bool:
 
 
 def _trim_js(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return js_trim(c)
 
 
 def split_column(df: DataFrame, source: str, delimiter: str, new_names: Sequence[str]) -> DataFrame:

@@ -7,9 +7,13 @@ table column; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jscompat import js_trim
+
 from ..sources.files import file_heads, list_files
 
 # Extension -> format, in the tool's order; confidences of each method.
@@ -58,7 +62,7 @@ def detect_by_extension(path: Column) -> Column:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return js_trim(c)
 
 
 def is_json_text(t: Column) -> Column:
@@ -75,6 +79,26 @@ def markdown_hits(t: Column) -> Column:
     return sum((F.when(t.rlike(p), 1).otherwise(0) for p in MARKDOWN_PATTERNS), F.lit(0))
 
 
+def is_markdown_text(t: Column) -> Column:
+    """Two or more of the nine patterns, short-circuiting: every pattern is tried at most
+    once per row and the search stops at the second hit."""
+    def at_least_two(patterns):
+        if len(patterns) < 2:
+            return F.lit(False)
+        rest = patterns[1:]
+        any_rest = reduce(lambda a, b: a | b, [t.rlike(p) for p in rest])
+        return F.when(t.rlike(patterns[0]), any_rest).otherwise(at_least_two(rest))
+    return at_least_two(list(MARKDOWN_PATTERNS))
+
+
+def first_two_lines(t: Column) -> tuple[Column, Column]:
+    """First and second non-blank lines of an already trimmed text, by one anchored
+    regular expression (no split of the whole text into lines)."""
+    first = F.substring_index(t, "\n", 1)
+    second = F.regexp_extract(t, r"^[^\n]*\n(?:[^\S\n]*\n)*([^\n]*)", 1)
+    return first, second
+
+
 def is_csv_text(t: Column) -> Column:
     lines = F.filter(F.split(t, "\n"), lambda ln: F.length(_trim(ln)) > 0)
     first, second = F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(2))
@@ -107,23 +131,25 @@ def with_content_format(df: DataFrame, text_col: str, name: str = "detected",
     as a flag, then the format from the flags. Each layer is referenced several times by
     the next, so CollapseProject keeps them apart and no rule is evaluated twice."""
     s = F.col("_q_sample")
-    lines = F.col("_q_lines")
+    first, second = F.col("_q_first"), F.col("_q_second")
     csv_checks = []
     for d in CSV_DELIMITERS:
         pat = "\\Q" + d + "\\E"
-        a = F.size(F.split(F.try_element_at(lines, F.lit(1)), pat, -1))
-        b = F.size(F.split(F.try_element_at(lines, F.lit(2)), pat, -1))
+        a = F.size(F.split(first, pat, -1))
+        b = F.size(F.split(second, pat, -1))
         csv_checks.append((a > 1) & (a == b))
     fmt = (F.when(F.col("_q_json"), F.lit("json")).when(F.col("_q_xml"), F.lit("xml"))
-           .when(F.col("_q_md") >= 2, F.lit("md")).when(F.col("_q_csv"), F.lit("csv")))
+           .when(F.col("_q_md"), F.lit("md")).when(F.col("_q_csv"), F.lit("csv")))
+    two = first_two_lines(s)
     return (df.withColumn("_q_sample", content_sample(F.col(text_col), sample_chars))
-            .withColumns({"_q_json": is_json_text(s), "_q_xml": is_xml_text(s), "_q_md": markdown_hits(s),
-                          "_q_lines": F.slice(F.filter(F.split(s, "\n"), lambda ln: F.length(_trim(ln)) > 0), 1, 2)})
-            .withColumn("_q_csv", (F.size(lines) >= 2) & F.coalesce(F.greatest(*csv_checks), F.lit(False)))
+            .withColumns({"_q_json": is_json_text(s), "_q_xml": is_xml_text(s), "_q_md": is_markdown_text(s),
+                          "_q_first": two[0], "_q_second": two[1]})
+            .withColumn("_q_csv", (s != "") & (_trim(second) != "")
+                        & F.coalesce(F.greatest(*csv_checks), F.lit(False)))
             .withColumn("_q_fmt", fmt)
             .withColumn(name, F.struct(F.col("_q_fmt").alias("format"), _confidence(F.col("_q_fmt")).alias("confidence"),
                                        F.lit("content").alias("method")))
-            .drop("_q_sample", "_q_json", "_q_xml", "_q_md", "_q_lines", "_q_csv", "_q_fmt"))
+            .drop("_q_sample", "_q_json", "_q_xml", "_q_md", "_q_first", "_q_second", "_q_csv", "_q_fmt"))
 
 
 def _confidence(fmt: Column) -> Column:
@@ -133,7 +159,7 @@ def _confidence(fmt: Column) -> Column:
 def detect_by_sample(t: Column) -> Column:
     """T2 rules over an already trimmed 1 KB sample."""
     fmt = (F.when(is_json_text(t), F.lit("json")).when(is_xml_text(t), F.lit("xml"))
-           .when(markdown_hits(t) >= 2, F.lit("md")).when(is_csv_text(t), F.lit("csv")))
+           .when(is_markdown_text(t), F.lit("md")).when(is_csv_text(t), F.lit("csv")))
     return F.struct(fmt.alias("format"), _confidence(fmt).alias("confidence"), F.lit("content").alias("method"))
 
 

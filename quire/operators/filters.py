@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jscompat import (js_compare, js_compare_columns, js_compare_py, js_date_ms_py, js_number_py,
-                                  js_string, js_string_py, ms_to_iso)
+                                  js_string, js_string_py, js_trim, ms_to_iso)
 from ..functions.ordinal import sort_columns, with_ordinal
 
 log = logging.getLogger(__name__)
@@ -116,7 +116,7 @@ def date_range_predicate(df: DataFrame, rng: DateRange) -> Column:
     if isinstance(dt, T.DateType):
         ts = c.cast("timestamp")
     elif isinstance(dt, T.StringType):
-        ts = F.regexp_replace(c, r"^\s+|\s+$", "").try_cast("timestamp")
+        ts = js_trim(c).try_cast("timestamp")
         c = F.when(c != "", c)
     elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                          T.DecimalType)):

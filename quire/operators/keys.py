@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import js_trim
+
 from ..functions import names as N
 from .filters import Report
 
@@ -142,7 +144,7 @@ def key_suggestions(keys: DataFrame, key_col: str = "key", style: str | None = N
         F.when(k.contains(" "), F.lit("Contains spaces")),
         F.when(k.contains("-"), F.lit("Contains hyphens")),
         F.when(k.rlike(r"[^a-zA-Z0-9_\s-]"), F.lit("Contains special characters")),
-        F.when(k != F.regexp_replace(k, r"^\s+|\s+$", ""), F.lit("Has leading/trailing whitespace"))))
+        F.when(k != js_trim(k), F.lit("Has leading/trailing whitespace"))))
     sugg = F.array_compact(F.array(*[
         F.when(N.transform_key_col(k, s) != k,
                F.struct(F.lit(s).alias("style"), N.transform_key_col(k, s).alias("result"),

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import js_trim
+
 FINDING_SCHEMA = "severity string, code string, field string, row long, message string"
 
 # Thresholds and limits used by the checks.
@@ -289,7 +291,7 @@ def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col:
             F.when(opens != closes + selfc, finding("warning", "UNBALANCED_XML_TAGS",
                                                     "XML tags may be unbalanced (this is a basic check)", key)))
     elif fmt == "csv":
-        lines = F.filter(F.split(t, "\n"), lambda ln: F.length(F.regexp_replace(ln, r"^\s+|\s+$", "")) > 0)
+        lines = F.filter(F.split(t, "\n"), lambda ln: F.length(js_trim(ln)) > 0)
         first = F.size(F.split(F.try_element_at(lines, F.lit(1)), ",", -1))
         head10 = F.slice(lines, 2, 9)
         bad = F.size(F.filter(head10, lambda ln: F.size(F.split(ln, ",", -1)) != first))

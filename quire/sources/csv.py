@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import js_trim
+
 from ..functions.jscompat import js_string
 from .files import file_heads, list_files
 
@@ -101,7 +103,7 @@ def clean_csv(df: DataFrame) -> DataFrame:
             name = f"column_{i}"
         c = df[f"`{f.name}`"]
         if isinstance(f.dataType, T.StringType):
-            c = F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+            c = F.nullif(js_trim(c), F.lit(""))
         out.append(c.alias(name))
     return df.select(*out)
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import js_trim
+
 from ..functions.jscompat import js_string
 from ..functions.ordinal import with_ordinal
 from .files import rename_parts, whole_texts
@@ -32,7 +34,7 @@ def read_markdown_texts(spark: SparkSession, path: str, glob: str | None = None)
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return js_trim(c)
 
 
 def strip_marks(c: Column) -> Column:
