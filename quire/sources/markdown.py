@@ -51,6 +51,15 @@ def cell_text(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(F.nullif(strip_marks(c), F.lit("")))
 
 
+def _mask_escapes(line: Column) -> Column:
+    """Hide escaped backslashes and pipes (D25) so that only real cell separators split."""
+    return F.regexp_replace(F.regexp_replace(line, r"\\\\", "\u0001"), r"\\\|", "\u0002")
+
+
+def _unmask(cell: Column) -> Column:
+    return F.translate(cell, "\u0001\u0002", "\\|")
+
+
 def table_lines(docs: DataFrame, text_col: str = "text", key: str = "path") -> DataFrame:
     """Every line that belongs to a pipe table, with (table_index, row_index, cells).
 
@@ -65,7 +74,7 @@ def table_lines(docs: DataFrame, text_col: str = "text", key: str = "path") -> D
     nxt = F.lead("line").over(w)
     lines = lines.select(
         "doc", "pos", "line", in_run.alias("in_run"),
-        (in_run & (F.size(F.split(F.col("line"), r"\|", -1)) > 2)
+        (in_run & (F.size(F.split(_mask_escapes(F.col("line")), r"\|", -1)) > 2)
          & F.coalesce(nxt.contains("|") & nxt.contains("-"), F.lit(False))).alias("cand"),
         F.sum(F.when(in_run, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     rw = Window.partitionBy("doc", "run")
@@ -74,7 +83,7 @@ def table_lines(docs: DataFrame, text_col: str = "text", key: str = "path") -> D
         F.min(F.when(F.col("cand"), F.col("pos"))).over(rw).alias("start"))
     lines = lines.where(F.col("start").isNotNull() & (F.col("pos") >= F.col("start")))
     lines = lines.withColumn("table_index", F.dense_rank().over(Window.partitionBy("doc").orderBy("start")) - 1)
-    parts = F.transform(F.split(F.col("line"), r"\|", -1), lambda p: _trim(p))
+    parts = F.transform(F.split(_mask_escapes(F.col("line")), r"\|", -1), lambda p: _trim(_unmask(p)))
     n = F.size(parts)
     data_cells = F.filter(parts, lambda p, i: ~(((i == 0) & (p == "")) | ((i == n - 1) & (p == ""))))
     return lines.where(F.col("pos") != F.col("start") + 1).select(

@@ -144,3 +144,11 @@ def test_heading_lines_fallbacks(spark):
                                "level int, text string, content string")
     got = [r.value for r in MD.heading_lines(df).collect()]
     assert got == ["# from content\n", "###### T\n", "# x\n"]
+
+
+def test_markdown_escapes_round_trip(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, "a|b\\c"), (2, "plain"), (3, "x\\|y")], "id long, v string")
+    out = os.path.join(tmpdir_path, "md")
+    MD.write_markdown_table(df, out)
+    back = sorted(MD.read_markdown_table(spark, out).collect())
+    assert [(r.id, r.v) for r in back] == [(1, "a|b\\c"), (2, "plain"), (3, "x\\|y")]
