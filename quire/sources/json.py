@@ -115,6 +115,7 @@ def write_json(df: DataFrame, path: str, sort_keys: bool = False, overwrite: boo
     valid JSON array document (``[`` first, ``]`` last, commas between rows).
     """
     out = df.select(*sorted(df.columns)) if sort_keys else df
+    out = _json_safe_numbers(out)
     if single_file:
         out = out.coalesce(1)
     mode = "overwrite" if overwrite else "errorifexists"
@@ -130,6 +131,17 @@ def write_json(df: DataFrame, path: str, sort_keys: bool = False, overwrite: boo
     rename_parts(df.sparkSession, path, ".json")
 
 
+def _json_safe_numbers(df: DataFrame) -> DataFrame:
+    """NaN and infinities have no JSON form; they are written as null (as JSON.stringify does)."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(f.dataType)).otherwise(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def _array_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Turn a partition's JSON rows into the lines of one JSON array document."""
     pending = None
