@@ -152,3 +152,26 @@ def test_markdown_escapes_round_trip(spark, tmpdir_path):
     MD.write_markdown_table(df, out)
     back = sorted(MD.read_markdown_table(spark, out).collect())
     assert [(r.id, r.v) for r in back] == [(1, "a|b\\c"), (2, "plain"), (3, "x\\|y")]
+
+
+def test_csv_edge_files(spark, tmpdir_path):
+    hdr = os.path.join(tmpdir_path, "hdr")
+    write(hdr, "h.csv", "name,age,email\n")
+    df = CSV.read_csv(spark, hdr)
+    assert df.columns == ["name", "age", "email"] and df.count() == 0
+    mixed = os.path.join(tmpdir_path, "mixed")
+    # (the sniffer scores the first 5 lines, a trailing empty one included, as the tool does)
+    write(mixed, "m.csv", "a,b\r\n1,2\n3,4\r\n5,6\n7,8\n")
+    assert sorted(tuple(r) for r in CSV.read_csv(spark, mixed).collect()) == [(1, 2), (3, 4), (5, 6), (7, 8)]
+    big = os.path.join(tmpdir_path, "big")
+    write(big, "b.csv", "id,name,value\n" + "".join(f"{i},n{i},{i * 1.5}\n" for i in range(1000)))
+    b = CSV.read_csv(spark, big)
+    assert b.count() == 1000 and dict(b.dtypes) == {"id": "int", "name": "string", "value": "double"}
+
+
+def test_json_empty_and_bom(spark, tmpdir_path):
+    write(tmpdir_path, "e.json", "[]")
+    assert JS.read_json(spark, os.path.join(tmpdir_path, "e.json"), layout="indexed").count() == 0
+    write(tmpdir_path, "bom.json", "﻿" + '{"a": 1}')
+    ent = JS.read_json(spark, os.path.join(tmpdir_path, "bom.json"), layout="entries").collect()
+    assert [(r.key, r.type) for r in ent] == [("a", "number")]
