@@ -43,15 +43,33 @@ def _default_column(df: DataFrame, op: ColumnOperation) -> Column:
     return F.lit(d)
 
 
-def add_column(df: DataFrame, name: str, default: Any = None, expr: bool = False) -> DataFrame:
-    """A constant, a Column, a SQL expression or a function of the row's columns."""
+def add_column(df: DataFrame, name: str, default: Any = None, expr: bool = False,
+               row_function: Callable[[dict], Any] | None = None, return_type: T.DataType | str = "string") -> DataFrame:
+    """A constant, a Column, a SQL expression, a function of the row's columns (building a
+    Column), or ``row_function``: a plain Python function of the row as a dict, run as an
+    Arrow-batched pandas UDF where a raising call gives null, as the tool does."""
     if not name:
         raise ValueError("Column name is required for add operation")
     if has_column(df, name):
         raise ValueError(f"Column '{name}' already exists")
+    if row_function is not None:
+        return df.withColumn(name, _row_udf(row_function, return_type)(F.struct(*[df[f"`{c}`"] for c in df.columns])))
     return df.withColumn(name, _default_column(df, ColumnOperation("add", name, default=default, expr=expr)))
 
 
+def _row_udf(fn: Callable[[dict], Any], return_type):
+    @F.pandas_udf(return_type)
+    def apply(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for rec in rows.to_dict("records"):
+            try:
+                out.append(fn(rec))
+            except Exception:  # noqa: BLE001 - a failing default is null
+                out.append(None)
+        return pd.Series(out)
+    return apply
+
+
 def remove_column(df: DataFrame, name: str) -> DataFrame:
     """Silent when absent."""
     return df.drop(name) if has_column(df, name) else df

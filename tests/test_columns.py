@@ -86,3 +86,9 @@ def test_validate_transformations(small):
     assert any("Column 'age' does not exist" in e for e in rep.errors)  # names are upper case after step 2
     assert any("Transformation 5: Transformation parameters are required" == e for e in rep.errors)
     assert any("Unknown transformation type: sort" in w for w in rep.warnings)
+
+
+def test_add_column_row_function(small):
+    out = C.add_column(small, "greeting", row_function=lambda r: f"hi {r['name']}" if r["age"] < 35 else 1 / 0)
+    got = {r.name: r.greeting for r in out.collect()}
+    assert got == {"John": "hi John", "Jane": "hi Jane", "Bob": None}  # failure -> null
