@@ -20,32 +20,35 @@ MIN_THROUGHPUT = 100
 RETENTION_DAYS = 90
 
 # Error classification rules, first match wins. Each rule: (keywords, sub-rules,
-# default); a sub-rule is (keywords, category, severity, strategy, retryable).
+# default); a sub-rule is (keywords, category, severity, strategy, retryable, user message).
 ERROR_RULES = [
     (["enoent", "eacces", "eexist", "eisdir", "enotdir", "file not found", "directory not found",
       "permission denied", "file exists", "not a directory", "is a directory"],
-     [(["enoent", "file not found"], "file_system", "high", "user_input", False),
-      (["eacces", "permission denied"], "permission", "high", "user_input", False),
-      (["eexist", "file exists"], "file_system", "medium", "fallback", True)],
-     ("file_system", "medium", "retry", True)),
+     [(["enoent", "file not found"], "file_system", "high", "user_input", False,
+       "The specified file could not be found"),
+      (["eacces", "permission denied"], "permission", "high", "user_input", False,
+       "Permission denied accessing the file"),
+      (["eexist", "file exists"], "file_system", "medium", "fallback", True, "File already exists at the destination")],
+     ("file_system", "medium", "retry", True, "File system operation failed")),
     (["parse", "parsing", "invalid format", "malformed", "syntax error", "unexpected token", "invalid json",
       "invalid xml", "invalid csv", "corrupt"],
-     [(["json", "unexpected token"], "format", "high", "fallback", False),
-      (["xml", "malformed"], "format", "high", "fallback", False),
-      (["csv", "delimiter"], "format", "medium", "fallback", True)],
-     ("format", "high", "fallback", False)),
+     [(["json", "unexpected token"], "format", "high", "fallback", False, "Invalid JSON format detected"),
+      (["xml", "malformed"], "format", "high", "fallback", False, "Invalid XML format detected"),
+      (["csv", "delimiter"], "format", "medium", "fallback", True, "CSV format issue detected")],
+     ("format", "high", "fallback", False, "File format is invalid or corrupted")),
     (["validation", "invalid", "required", "missing", "constraint", "schema", "type mismatch"], [],
-     ("validation", "medium", "user_input", False)),
+     ("validation", "medium", "user_input", False, "Data validation failed")),
     (["permission", "access denied", "unauthorized", "forbidden", "not allowed"], [],
-     ("permission", "high", "user_input", False)),
+     ("permission", "high", "user_input", False, "Access permission denied")),
     (["memory", "disk space", "quota", "limit", "too large", "insufficient", "out of", "no space", "space left"],
-     [(["memory", "out of memory"], "resource", "critical", "fallback", True),
-      (["disk space", "no space"], "resource", "critical", "user_input", False)],
-     ("resource", "high", "fallback", True)),
+     [(["memory", "out of memory"], "resource", "critical", "fallback", True,
+       "Insufficient memory to complete operation"),
+      (["disk space", "no space"], "resource", "critical", "user_input", False, "Insufficient disk space")],
+     ("resource", "high", "fallback", True, "Resource limit exceeded")),
     (["network", "connection", "timeout", "unreachable", "dns", "socket", "http", "https"], [],
-     ("network", "medium", "retry", True)),
+     ("network", "medium", "retry", True, "Network operation failed")),
 ]
-UNKNOWN_CLASS = ("unknown", "medium", "none", False)
+UNKNOWN_CLASS = ("unknown", "medium", "none", False, "An unexpected error occurred")
 
 # Error code -> (severity, category, recoverable, user message).
 ERROR_CODES = {
@@ -198,15 +201,16 @@ def retention(audit: DataFrame, now, days: int = RETENTION_DAYS) -> tuple[DataFr
 
 
 def error_classify(message: Column) -> Column:
-    """struct(category, severity, strategy, retryable) by the ordered keyword rules."""
+    """struct(category, severity, strategy, retryable, user_message) by the ordered keyword rules."""
     t = F.lower(message)
 
     def any_of(words):
         return F.greatest(*[t.contains(w) for w in words]) if len(words) > 1 else t.contains(words[0])
 
-    def cls(cat, sev, strat, retry):
+    def cls(cat, sev, strat, retry, msg):
         return F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"),
-                        F.lit(strat).alias("strategy"), F.lit(retry).alias("retryable"))
+                        F.lit(strat).alias("strategy"), F.lit(retry).alias("retryable"),
+                        F.lit(msg).alias("user_message"))
 
     out = None
     for keywords, subs, default in ERROR_RULES:

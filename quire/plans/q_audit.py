@@ -115,8 +115,9 @@ def _sql_classify(t: str) -> str:
     def any_of(words):
         return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
-    def cls(cat, sev, strat, retry):
-        return f"{{'category': '{cat}', 'severity': '{sev}', 'strategy': '{strat}', 'retryable': {str(retry).lower()}}}"
+    def cls(cat, sev, strat, retry, msg):
+        return (f"{{'category': '{cat}', 'severity': '{sev}', 'strategy': '{strat}', "
+                f"'retryable': {str(retry).lower()}, 'user_message': '{msg}'}}")
 
     parts = []
     for keywords, subs, default in A.ERROR_RULES:
@@ -132,7 +133,7 @@ _MSG_SQL = ("event_type || ': ' || ([" + ", ".join(f"'{m}'" for m in ERROR_MESSA
 
 @register("l6_error_classify", f"""
 SELECT event_id, message, c.category AS category, c.severity AS severity, c.strategy AS strategy,
-       c.retryable AS retryable
+       c.retryable AS retryable, c.user_message AS user_message
 FROM (SELECT event_id, message, {_sql_classify('lower(message)')} AS c
       FROM (SELECT event_id, {_MSG_SQL} AS message FROM events))
 """)
@@ -140,7 +141,7 @@ def l6_error_classify(spark, sf_dir):
     """Ordered keyword classification of error messages."""
     ev = table(spark, sf_dir, "events").select("event_id", _messages_col().alias("message"))
     return ev.select("event_id", "message", A.error_classify(F.col("message")).alias("c")).select(
-        "event_id", "message", "c.category", "c.severity", "c.strategy", "c.retryable")
+        "event_id", "message", "c.category", "c.severity", "c.strategy", "c.retryable", "c.user_message")
 
 
 _CODES = list(A.ERROR_CODES)

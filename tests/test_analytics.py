@@ -67,6 +67,14 @@ def test_findings(spark):
 def test_error_classification(spark):
     msgs = ["ENOENT: no such file", "Unexpected token < in JSON", "invalid csv delimiter", "Permission denied",
             "JavaScript heap out of memory", "ECONNRESET socket hang up", "value is required", "???"]
+    cases = [("ENOENT: no such file or directory", "The specified file could not be found"),
+             ("XML parsing failed: malformed document", "Invalid XML format detected"),
+             ("CSV parsing failed: invalid delimiter", "CSV format issue detected"),
+             ("No space left on device", "Insufficient disk space"),
+             ("Some unknown error occurred", "An unexpected error occurred")]
+    um = spark.createDataFrame(cases, "m string, want string").select(
+        "want", A.error_classify(F.col("m"))["user_message"].alias("got")).collect()
+    assert all(r.got == r.want for r in um), um
     df = spark.createDataFrame([(m,) for m in msgs], "m string")
     got = [(r.c.category, r.c.severity, r.c.retryable) for r in df.select(A.error_classify(F.col("m")).alias("c")).collect()]
     assert got == [("file_system", "high", False), ("format", "high", False), ("format", "medium", True),
