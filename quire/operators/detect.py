@@ -191,8 +191,13 @@ def detect_files(spark: SparkSession, path: str, analyze_content: bool = True,
     else:
         heads = with_content_format(file_heads(files, sample_chars), "head", "_q_content")
     ext = detect_by_extension(F.col("path"))
-    content = F.when(F.col("read_error").isNull(), F.col("_q_content"))
-    return heads.select("path", combine(ext, content).alias("d")).select("path", "d.*")
+    # content that cannot be read: the extension's answer at 0.5; content that fits no
+    # pattern: counted as the extension's format at 0.5 and combined (agreement raises it)
+    unreadable = F.struct(ext["format"].alias("format"),
+                          F.when(ext["format"].isNotNull(), F.lit(FALLBACK_CONFIDENCE)).alias("confidence"),
+                          F.lit("extension").alias("method"), ext["error"].alias("error"))
+    result = F.when(F.col("read_error").isNotNull(), unreadable).otherwise(combine(ext, F.col("_q_content")))
+    return heads.select("path", result.alias("d")).select("path", "d.*")
 
 
 def format_suggestions(path: Column) -> Column:
