@@ -109,10 +109,10 @@ def key_style_census(keys: DataFrame, key_col: str = "key") -> DataFrame:
     ``key_count``, ``total_keys``, ``detected_style`` and ``confidence``.
     """
     distinct = keys.select(F.col(key_col).alias("key")).where(F.col("key").isNotNull()).distinct()
-    per_style = distinct.groupBy(N.classify_key_col(F.col("key")).alias("style")).agg(F.count(F.lit(1)).alias("n"))
     styles = list(N.STYLES) + ["mixed"]
-    wide = per_style.agg(*[F.coalesce(F.sum(F.when(F.col("style") == s, F.col("n"))), F.lit(0)).alias(s)
-                           for s in styles])
+    # one global aggregate over the distinct keys (partial counts per task, then one row)
+    wide = distinct.select(N.classify_key_col(F.col("key")).alias("style")).agg(
+        *[F.count_if(F.col("style") == s).alias(s) for s in styles])
     total = sum((F.col(s) for s in styles), F.lit(0))
     top = F.greatest(*[F.col(s) for s in styles])
     pick = F.when(total == 0, F.lit("unknown")).when(top / total < 0.5, F.lit("mixed"))
