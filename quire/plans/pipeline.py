@@ -195,8 +195,17 @@ def payload_schema(df: DataFrame, col: str, from_format: str) -> T.DataType:
         first = df.where(F.col(col).isNotNull()).select(col).limit(1).collect()
         if not first:
             return T.StructType([])
-        ddl = df.sparkSession.range(1).select(F.schema_of_xml(F.lit(first[0][0])).alias("s")).collect()[0]["s"]
-        return T._parse_datatype_string(ddl)
+        text = first[0][0]
+        ddl = df.sparkSession.range(1).select(F.schema_of_xml(F.lit(text)).alias("s")).collect()[0]["s"]
+        dt = T._parse_datatype_string(ddl)
+        # schema_of_xml sorts the children; keep their order in the document instead
+        import re
+        order = {}
+        for name in re.findall(r"<([A-Za-z_][\w.:-]*)[\s/>]", text)[1:]:
+            order.setdefault(name, len(order))
+        if isinstance(dt, T.StructType):
+            dt = T.StructType(sorted(dt.fields, key=lambda f: order.get(f.name, len(order))))
+        return dt
     raise ValueError(from_format)
 
 
@@ -244,7 +253,9 @@ def convert_text_column(df: DataFrame, col: str, from_format: str, to_format: st
         if to_format == "json":
             out = F.to_json(recs)
         elif to_format == "csv":
-            out = F.array_join(F.transform(recs, lambda m: F.array_join(F.map_values(m), ",")), "\n")
+            header = F.array_join(F.map_keys(F.try_element_at(recs, F.lit(1))), ",")
+            out = F.array_join(F.concat(F.array(header), F.transform(
+                recs, lambda m: F.array_join(F.map_values(m), ",", ""))), "\n")
         else:
             out = F.concat(F.lit("<root>"), F.array_join(F.transform(recs, lambda m: F.concat(
                 F.lit("<item>"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
@@ -257,12 +268,19 @@ def convert_text_column(df: DataFrame, col: str, from_format: str, to_format: st
     parsed = F.from_json(F.col(col), dt) if from_format == "json" else F.from_xml(F.col(col), dt)
     if key_style and key_style != "unchanged":
         parsed = parsed.cast(_restyle_type(dt, key_style))
+    row = parsed if isinstance(dt, T.StructType) else F.struct(parsed.alias("value"))
+    row_type = _restyle_type(dt, key_style) if key_style and key_style != "unchanged" else dt
+    if not isinstance(row_type, T.StructType):
+        row_type = T.StructType([T.StructField("value", row_type)])
     if to_format == "json":
         out = F.to_json(parsed)
     elif to_format == "xml":
-        out = F.to_xml(parsed if isinstance(dt, T.StructType) else F.struct(parsed.alias("value")))
+        out = F.to_xml(row, {"rowTag": "root"})
     elif to_format == "csv":
-        out = F.to_csv(parsed if isinstance(dt, T.StructType) else F.struct(parsed.alias("value")))
+        # header line, then the values; nested values as JSON text
+        flat = F.struct(*[(F.to_json(row[f.name]) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+                           else row[f.name]).alias(f.name) for f in row_type.fields])
+        out = F.concat(F.lit(",".join(f.name for f in row_type.fields) + "\n"), F.to_csv(flat))
     else:
         raise ValueError(f"Unsupported target format: {to_format}")
     return df.withColumn(out_col, out)

@@ -79,7 +79,8 @@ def c4_convert_json_text(spark, sf_dir):
 
 
 @register("c4_convert_json_to_csv", """
-SELECT c_custkey, c_custkey || ',' || c_name || ',' || c_mktsegment AS converted FROM customer
+SELECT c_custkey, 'c_custkey,c_name,c_mktsegment' || chr(10) || c_custkey || ',' || c_name || ',' || c_mktsegment
+       AS converted FROM customer
 """)
 def c4_convert_json_to_csv(spark, sf_dir):
     cu = table(spark, sf_dir, "customer").select(
