@@ -117,11 +117,13 @@ def write_any(df: DataFrame, path: str, fmt: str, overwrite: bool = True, option
 
 def detect_format(spark: SparkSession, path: str) -> str:
     """The format most files under ``path`` are detected as (at most five rows collected)."""
-    det = D.detect_files(spark, path).where(F.col("format").isNotNull())
-    top = det.groupBy("format").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "format").limit(1).collect()
-    if not top:
+    # count per detected format (at most six groups) and choose on the driver: a filter on the
+    # derived format would be pushed below the projections and inline the whole rule tree
+    counts = D.detect_files(spark, path).groupBy("format").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = sorted(((r["n"], r["format"]) for r in counts if r["format"] is not None), key=lambda x: (-x[0], x[1]))
+    if not found:
         raise ValueError(f"Failed to detect format for: {path}")
-    return top[0]["format"]
+    return found[0][1]
 
 
 @dataclass
