@@ -278,9 +278,9 @@ def filter_duplicates(df: DataFrame) -> DataFrame:
 
 
 def sample_every_nth(df: DataFrame, n: int, order_by) -> DataFrame:
-    if n <= 0:
-        raise ValueError("count must be positive")
-    return with_ordinal(df, order_by, "_q_ord").filter(F.col("_q_ord") % n == 0).drop("_q_ord")
+    if n == 0:
+        return df.limit(0)  # index % 0 is NaN: no row qualifies
+    return with_ordinal(df, order_by, "_q_ord").filter(F.col("_q_ord") % abs(n) == 0).drop("_q_ord")
 
 
 def sample_random(df: DataFrame, n: int, seed: int | None = None, key_columns: Sequence[str] | None = None) -> DataFrame:
