@@ -7,9 +7,8 @@ only, so one task never holds more than one document.
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,20 +240,20 @@ def table_line(df: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def _with_preamble(lines: DataFrame, preamble: Sequence[str], empty_marker: str):
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started = False
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            if not started:
-                started = True
-                if preamble:
-                    yield pd.DataFrame({"value": list(preamble)})
-            yield pd.DataFrame({"value": pdf["value"].tolist()})
-        if not started and empty_marker:
-            yield pd.DataFrame({"value": [empty_marker]})
-    return lines.mapInPandas(add, "value string")
+def _with_preamble(lines: DataFrame, preamble: Sequence[str], empty_marker: str) -> DataFrame:
+    """Put ``preamble`` (title, header, separator) in front of the first line of every
+    partition, so every written part file is a document of its own. The first row of a task
+    is the one whose ``monotonically_increasing_id`` has a zero in-partition index; the
+    projection runs in the writing task, so no row leaves the JVM. An empty input gives one
+    ``empty_marker`` line (a ``limit(1)`` probe)."""
+    if empty_marker and lines.isEmpty():
+        return lines.sparkSession.createDataFrame([(empty_marker,)], "value string")
+    if not preamble:
+        return lines.select("value")
+    first = F.col("_q_mid").bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.lit("\n".join(preamble) + "\n")
+    return (lines.select("value", F.monotonically_increasing_id().alias("_q_mid"))
+            .select(F.when(first, F.concat(head, F.col("value"))).otherwise(F.col("value")).alias("value")))
 
 
 def write_markdown_table(df: DataFrame, path: str, alignment: str = "left", title: str | None = None,
