@@ -20,6 +20,7 @@ WHERE user_id = '8' AND "timestamp" >= TIMESTAMP '2024-01-05 00:00:00' AND "time
 ORDER BY "timestamp" DESC, id DESC LIMIT 20
 """)
 def l1_audit_trail(spark, sf_dir):
+    """The newest 20 audit records of one user in a time range (L1)."""
     audit = A.audit_events_from(table(spark, sf_dir, "events"))
     trail = A.audit_trail(audit, user_id=8, start="2024-01-05 00:00:00", end="2024-01-25 00:00:00", limit=20)
     return trail.select("id", "timestamp", "type", "user_id", "result", "severity")
@@ -46,6 +47,7 @@ FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10 00:00:
 GROUP BY ALL
 """)
 def l2_performance_stats_filtered(spark, sf_dir):
+    """Statistics of one operation in a time range (L2)."""
     m = A.metrics_from(table(spark, sf_dir, "events"))
     return A.performance_stats(m, operation="purchase", start="2024-01-10 00:00:00", end="2024-01-20 00:00:00")
 
@@ -78,6 +80,7 @@ SELECT 'FILE_CONVERSION' AS type, 'convert_file' AS action, 'file_' || event_id
 FROM events
 """)
 def l4_audit_records(spark, sf_dir):
+    """Conversion results as audit events with their severity (L4)."""
     ev = table(spark, sf_dir, "events")
     conv = ev.select(F.concat(F.lit("file_"), F.col("event_id").cast("string"), F.lit(".csv")).alias("source_path"),
                      F.lit("json").alias("target_format"),
@@ -92,6 +95,7 @@ SELECT count(*) FILTER (WHERE "timestamp" < TIMESTAMP '2024-02-15 00:00:00' - IN
 FROM {_AUDIT_SQL}
 """)
 def l5_retention(spark, sf_dir):
+    """Records removed and kept by a 30-day retention cut."""
     audit = A.audit_events_from(table(spark, sf_dir, "events"))
     _, report = A.retention(audit, now="2024-02-15 00:00:00", days=30)
     return report.select("removed_records", "kept_records")
@@ -159,6 +163,7 @@ SELECT event_id, code, {_sql_code_attr(0, 'code')} AS severity, {_sql_code_attr(
 FROM (SELECT event_id, ([{", ".join(f"'{c}'" for c in _CODES)}])[event_id % {len(_CODES)} + 1] AS code FROM events)
 """)
 def l7_error_attributes(spark, sf_dir):
+    """Severity, category, recoverability and message of error codes."""
     codes = F.array(*[F.lit(c) for c in _CODES])
     ev = table(spark, sf_dir, "events").select(
         "event_id", F.element_at(codes, (F.col("event_id") % len(_CODES) + 1).cast("int")).alias("code"))
@@ -172,6 +177,7 @@ SELECT event_type AS format, count(*) AS total, count(*) FILTER (WHERE event_typ
 FROM events GROUP BY event_type
 """)
 def a11_conversion_statistics(spark, sf_dir):
+    """Totals, successes, failures and mean duration per format."""
     audit = A.audit_events_from(table(spark, sf_dir, "events")).withColumnRenamed("type", "format")
     return A.conversion_statistics(audit)
 

@@ -12,6 +12,7 @@ from .catalog import register, table
 SELECT n_nationkey, n_name, n_regionkey, 'EARTH' AS planet, n_nationkey * 10 AS code FROM nation
 """)
 def p1_add_column(spark, sf_dir):
+    """A constant column and a SQL-expression column."""
     n = table(spark, sf_dir, "nation")
     n = C.add_column(n, "planet", "EARTH")
     return C.add_column(n, "code", "n_nationkey * 10", expr=True)
@@ -19,12 +20,14 @@ def p1_add_column(spark, sf_dir):
 
 @register("p2_remove_column", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
 def p2_remove_column(spark, sf_dir):
+    """Removing a column, and silently an absent one."""
     cu = table(spark, sf_dir, "customer")
     return C.remove_column(C.remove_column(cu, "c_acctbal"), "no_such_column")
 
 
 @register("p3_rename_column", "SELECT c_custkey AS customer_id, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def p3_rename_column(spark, sf_dir):
+    """Renaming a column in place."""
     return C.rename_column(table(spark, sf_dir, "customer"), "c_custkey", "customer_id")
 
 
@@ -32,6 +35,7 @@ def p3_rename_column(spark, sf_dir):
 SELECT s_suppkey AS supplier_id, s_name, s_nationkey, 'active' AS state FROM supplier
 """)
 def p4_column_operations(spark, sf_dir):
+    """An ordered rename / remove / add chain."""
     ops = [C.ColumnOperation("rename", "s_suppkey", "supplier_id"),
            C.ColumnOperation("remove", "s_acctbal"),
            C.ColumnOperation("add", "state", default="active")]
@@ -40,11 +44,13 @@ def p4_column_operations(spark, sf_dir):
 
 @register("p5_reorder_columns", "SELECT c_mktsegment, c_name, c_custkey, c_nationkey, c_acctbal FROM customer")
 def p5_reorder_columns(spark, sf_dir):
+    """Listed columns first, the rest in their old order (P5)."""
     return C.reorder_columns(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"])
 
 
 @register("p6_select_columns", "SELECT p_name, p_partkey FROM part")
 def p6_select_columns(spark, sf_dir):
+    """Exactly the listed columns; the scan reads only those."""
     return C.select_columns(table(spark, sf_dir, "part"), ["p_name", "p_partkey"])
 
 
@@ -52,6 +58,7 @@ def p6_select_columns(spark, sf_dir):
 SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
 """)
 def p7_transform_column(spark, sf_dir):
+    """A SQL expression over the old value."""
     return C.transform_column(table(spark, sf_dir, "customer"), "c_name", "upper(value)")
 
 
@@ -82,6 +89,7 @@ SELECT s_suppkey, s_name, s_nationkey,
 FROM supplier
 """)
 def p9_merge_columns(spark, sf_dir):
+    """Non-empty values joined with a separator."""
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     return C.merge_columns(su, ["s_name", "s_nationkey"], "label", "-")
 

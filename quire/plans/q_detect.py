@@ -87,6 +87,7 @@ FROM (SELECT doc_id, list_filter([{", ".join(f"'{e}'" for e, _ in D.EXTENSION_FO
       FROM (SELECT doc_id, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext FROM ({_SUGGEST_PATHS})))
 """)
 def t4_format_suggestions(spark, sf_dir):
+    """Formats suggested for paths with unknown extensions (T4)."""
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit("."), F.substring("lang", 1, 1))
         .alias("path"))
@@ -143,6 +144,7 @@ def t3_detect_files(spark, sf_dir):
 
 @register("t1_detect_extension")
 def t1_detect_extension(spark, sf_dir):
+    """Extension-only detection over a folder written from the tables."""
     base = write_format_corpus(spark, sf_dir)
     det = D.detect_files(spark, base, analyze_content=False)
     return det.groupBy(D.extension_of(F.col("path")).alias("extension"), "format", "confidence", "error") \

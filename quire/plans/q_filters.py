@@ -33,6 +33,7 @@ WHERE o_totalprice > 200000
 
 def _lineitem_filter(flt):
     def q(spark, sf_dir):
+        """A typed column filter on lineitem (F2, F4-F6): a plain comparison pushed into the scan."""
         li = table(spark, sf_dir, "lineitem")
         return FL.filter_data(li, FL.FilterCriteria((flt,))).select(
             "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
@@ -50,6 +51,7 @@ register("f6_between", _LI + "l_quantity >= 10 AND l_quantity <= 20")(
 
 @register("f2_equals_text", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
 def f2_equals_text(spark, sf_dir):
+    """Text equality on the return flag (F2)."""
     li = table(spark, sf_dir, "lineitem")
     return FL.filter_data(li, FL.FilterCriteria((FL.ColumnFilter("l_returnflag", "equals", "R"),))).select(
         "l_orderkey", "l_linenumber", "l_returnflag")
@@ -57,6 +59,7 @@ def f2_equals_text(spark, sf_dir):
 
 @register("f3_contains", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
 def f3_contains(spark, sf_dir):
+    """Case-insensitive substring match on part names."""
     part = table(spark, sf_dir, "part")
     return FL.filter_data(part, FL.FilterCriteria((FL.ColumnFilter("p_name", "contains", "RING"),))).select(
         "p_partkey", "p_name")
@@ -77,6 +80,7 @@ SELECT event_id, ts, event_type FROM events
 WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-05 00:00:00'
 """)
 def f8_date_range(spark, sf_dir):
+    """Inclusive date range on event times, pushed into the scan (F8)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     return FL.filter_data(ev, FL.FilterCriteria(date_range=FL.DateRange("ts", "2024-01-02", "2024-01-05")))
 
@@ -110,6 +114,7 @@ def _doc_labels(spark, sf_dir):
 SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL
 """)
 def f10_remove(spark, sf_dir):
+    """Documents whose label is present (F10, nulls removed)."""
     return FL.filter_null_values(_doc_labels(spark, sf_dir), ["quality"], remove_nulls=True)
 
 
@@ -117,6 +122,7 @@ def f10_remove(spark, sf_dir):
 SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL
 """)
 def f10_keep(spark, sf_dir):
+    """Documents without a label (F10, only null rows kept)."""
     return FL.filter_null_values(_doc_labels(spark, sf_dir), ["quality"], remove_nulls=False)
 
 

@@ -45,6 +45,7 @@ SELECT o_orderkey AS "oOrderkey", o_custkey AS "oCustkey", o_orderstatus AS "oOr
        o_totalprice AS "oTotalprice", o_orderdate AS "oOrderdate", o_orderpriority AS "oOrderpriority" FROM orders
 """)
 def p10_camel(spark, sf_dir):
+    """All column names to camelCase (P10)."""
     return K.key_style(table(spark, sf_dir, "orders"), "camelCase")
 
 
@@ -53,6 +54,7 @@ SELECT o_orderkey AS "O_ORDERKEY", o_custkey AS "O_CUSTKEY", o_orderstatus AS "O
        o_totalprice AS "O_TOTALPRICE", o_orderdate AS "O_ORDERDATE", o_orderpriority AS "O_ORDERPRIORITY" FROM orders
 """)
 def p10_upper(spark, sf_dir):
+    """All column names to UPPERCASE (P10)."""
     return K.key_style(table(spark, sf_dir, "orders"), "uppercase")
 
 
@@ -71,6 +73,7 @@ SELECT o_orderkey AS "oOrderkey",
 FROM orders
 """)
 def p11_nested(spark, sf_dir):
+    """Keys inside a struct and an array of structs restyled."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.struct("o_orderstatus", "o_orderpriority",
@@ -81,6 +84,7 @@ def p11_nested(spark, sf_dir):
 
 @register("p13_key_mapping", "SELECT c_custkey AS id, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def p13_key_mapping(spark, sf_dir):
+    """An explicit name mapping; empty and unknown entries are ignored."""
     cu = table(spark, sf_dir, "customer")
     return K.apply_key_mapping(cu, {"c_custkey": "id", "c_name": "", "not_a_column": "x"})
 
@@ -90,6 +94,7 @@ SELECT c_custkey AS "C_CUSTKEY", c_name AS "C_NAME", c_nationkey AS "C_NATIONKEY
        c_mktsegment AS "C_MKTSEGMENT" FROM customer
 """)
 def p13_key_mapping_style(spark, sf_dir):
+    """A mapping built from a style and applied."""
     cu = table(spark, sf_dir, "customer")
     return K.apply_key_mapping(cu, K.create_key_mapping(cu.columns, "uppercase"))
 
@@ -98,6 +103,7 @@ def p13_key_mapping_style(spark, sf_dir):
 SELECT s_suppkey AS "sSuppkey", s_name AS "sName", s_nationkey AS "sNationkey", s_acctbal AS "sAcctbal" FROM supplier
 """)
 def p14_simple(spark, sf_dir):
+    """The inline converter's simpler camelCase rule."""
     return K.key_style(table(spark, sf_dir, "supplier"), "camelCase", variant="simple")
 
 
@@ -164,6 +170,7 @@ FROM (SELECT DISTINCT key FROM ({_CORPUS_SQL}) WHERE key IS NOT NULL)
 
 @register("a7_key_suggestions", _a7_sql())
 def a7_key_suggestions(spark, sf_dir):
+    """Issues and per-style suggestions for every distinct key of the corpus."""
     s = K.key_suggestions(_corpus(spark, sf_dir), style="snake_case")
     return s.select("key", F.to_json("issues").alias("issues"), F.to_json("suggestions").alias("suggestions"),
                     "transformed", "changed")

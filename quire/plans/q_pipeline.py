@@ -40,6 +40,7 @@ SELECT (SELECT count(*) FROM customer) AS original_rows,
 FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 1000
 """)
 def a3_conversion_delta(spark, sf_dir):
+    """Rows filtered out and columns removed or added by a step list (A3)."""
     cu = table(spark, sf_dir, "customer")
     out = conversion_delta(cu, apply_transformations(cu, SPEC_STEPS))
     return out.withColumn("warnings", F.to_json("warnings"))
@@ -83,6 +84,7 @@ SELECT c_custkey, 'c_custkey,c_name,c_mktsegment' || chr(10) || c_custkey || ','
        AS converted FROM customer
 """)
 def c4_convert_json_to_csv(spark, sf_dir):
+    """JSON payloads to CSV text with a header line (C4)."""
     cu = table(spark, sf_dir, "customer").select(
         "c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("payload"))
     return P.convert_text_column(cu, "payload", "json", "csv").select("c_custkey", "converted")
@@ -92,6 +94,7 @@ def c4_convert_json_to_csv(spark, sf_dir):
 SELECT s_suppkey, '[{"sName":"' || s_name || '","sNationkey":"' || s_nationkey || '"}]' AS converted FROM supplier
 """)
 def c4_convert_csv_to_json(spark, sf_dir):
+    """CSV payloads to JSON arrays with camelCase keys (C4)."""
     su = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.concat(F.lit("s_name,s_nationkey\n"), "s_name", F.lit(","),
                               F.col("s_nationkey").cast("string")).alias("payload"))

@@ -19,6 +19,7 @@ SELECT count(*) AS row_count, 11 AS column_count, '{_LI_COLS}' AS column_names,
        'parquet' AS format, 'utf-8' AS encoding FROM lineitem
 """)
 def a4_table_summary(spark, sf_dir):
+    """Row and column counts, names, format and encoding of lineitem (A4)."""
     return PR.table_summary(table(spark, sf_dir, "lineitem"), fmt="parquet")
 
 
@@ -46,6 +47,7 @@ SELECT key, CASE WHEN key = 'lang' THEN 'string' ELSE 'integer' END AS type, cou
 FROM k WHERE v IS NOT NULL GROUP BY key
 """)
 def a5_json_schema(spark, sf_dir):
+    """JSON type of the first value and the required flag per key (A5)."""
     return PR.json_schema_profile(_doc_json(spark, sf_dir), "j", order_by=["doc_id"])
 
 
@@ -88,6 +90,7 @@ FROM documents HAVING bool_or(regexp_matches(text, '[\\n\\r"]') OR regexp_matche
                               OR regexp_matches(source, '[\\n\\r"]'))
 """)
 def v3_csv_checks(spark, sf_dir):
+    """CSV suitability findings over the documents table (V3)."""
     return Q.csv_checks(table(spark, sf_dir, "documents"))
 
 
@@ -97,6 +100,7 @@ SELECT 'error' AS severity, 'INVALID_JSON' AS code, 'j' AS field, CAST(NULL AS B
 FROM (SELECT html AS j FROM pages UNION ALL SELECT props FROM events) WHERE NOT json_valid(j) HAVING count(*) > 0
 """)
 def v4_json_checks(spark, sf_dir):
+    """Invalid-JSON, depth and size findings over pages and event payloads (V4)."""
     p = table(spark, sf_dir, "pages").select(F.col("html").alias("j"))
     e = table(spark, sf_dir, "events").select(F.col("props").alias("j"))
     return Q.json_checks(p.unionByName(e), "j")
@@ -108,6 +112,7 @@ SELECT 'warning' AS severity, 'XML_CONTROL_CHARACTERS' AS code, 'rows' AS field,
 FROM documents HAVING bool_or(regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))
 """)
 def v5_xml_checks(spark, sf_dir):
+    """XML suitability findings over the documents table (V5)."""
     return Q.xml_checks(table(spark, sf_dir, "documents"))
 
 
@@ -142,6 +147,7 @@ SELECT 'error' AS severity, 'EXCEL_ROW_LIMIT_EXCEEDED' AS code, 'rows' AS field,
 FROM lineitem HAVING count(*) > 1048576
 """)
 def v7_xlsx_checks(spark, sf_dir):
+    """Sheet-limit findings for lineitem (V7)."""
     return Q.xlsx_checks(table(spark, sf_dir, "lineitem"), sheet_name="lineitem")
 
 
@@ -162,6 +168,7 @@ WHERE len(regexp_extract_all(html, '<[^/][^>]*[^/]>'))
       <> len(regexp_extract_all(html, '</[^>]+>')) + len(regexp_extract_all(html, '<[^>]*/>'))
 """)
 def v9_content_xml(spark, sf_dir):
+    """Content check of every whole page as XML (V9)."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("head"))
     return Q.content_checks(p, "xml", sample_chars=0)  # whole pages
 
@@ -176,6 +183,7 @@ FROM (SELECT doc_id, len(list_filter(lines[2:10], lambda l: len(string_split(l,
 WHERE bad > 0
 """)
 def v9_content_csv(spark, sf_dir):
+    """Content check of every whole document as CSV (V9)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"),
                                                  F.col("text").alias("head"))
     return Q.content_checks(d, "csv", sample_chars=0)  # whole documents
@@ -189,6 +197,7 @@ SELECT severity, code, count(*) AS count FROM (
 GROUP BY ALL
 """)
 def v14_findings_report(spark, sf_dir):
+    """Findings of two checks counted per severity and code."""
     v1 = Q.structure_checks(_doc_json(spark, sf_dir), "j", "doc_id",
                             headers=["doc_id", "lang", "n_chars", "quality", "toxic"])
     v4 = Q.json_checks(table(spark, sf_dir, "pages").select(F.col("html").alias("j")), "j")

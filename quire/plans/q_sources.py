@@ -49,6 +49,7 @@ def s4_json_roundtrip(spark, sf_dir):
 
 @register("s4_json_lines_roundtrip", "SELECT * FROM orders")
 def s4_json_lines_roundtrip(spark, sf_dir):
+    """JSON lines with sorted keys written and read back."""
     od = table(spark, sf_dir, "orders")
     out = scratch_dir(spark, "jsonl")
     JS.write_json(od, out, layout="lines", sort_keys=True)
@@ -66,6 +67,7 @@ FROM (SELECT event_id, '[' || event_id || ',"' || event_type || '",' || props ||
      range(5) t(i)
 """)
 def s5_json_indexed(spark, sf_dir):
+    """Mixed JSON arrays as (index, value, type) rows."""
     ev = table(spark, sf_dir, "events").select(
         "event_id", F.concat(F.lit("["), F.col("event_id"), F.lit(',"'), F.col("event_type"), F.lit('",'),
                              F.col("props"), F.lit(",null,[1,2]]")).alias("j"))
@@ -89,6 +91,7 @@ def s6_json_entries(spark, sf_dir):
 SELECT event_id, json_extract_string(props, '$.k') AS value, 'number' AS type FROM events
 """)
 def s7_json_scalar(spark, sf_dir):
+    """JSON scalars as (value, type) rows."""
     ev = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
     out = JS.json_scalar(ev, "k", keep=["event_id"])
     return out.select("event_id", F.to_json("value").alias("value"), "type")
@@ -106,6 +109,7 @@ def k3_json_object(spark, sf_dir):
 
 @register("k4_json_keyvalue", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation")
 def k4_json_keyvalue(spark, sf_dir):
+    """Key/value layout from the first two columns (K4)."""
     return JS.to_keyvalue_layout(table(spark, sf_dir, "nation"))
 
 
@@ -158,6 +162,7 @@ def s13_md_table_roundtrip(spark, sf_dir):
 
 @register("s15_md_list", "SELECT n_name AS text, 'list-item' AS type, 'list' AS content_type FROM nation")
 def s15_md_list(spark, sf_dir):
+    """A Markdown list written from nation and scanned back."""
     out = scratch_dir(spark, "mdlist")
     MD.write_markdown_list(table(spark, sf_dir, "nation").select("n_name"), out, title=None)
     docs = MD.read_markdown_texts(spark, out)
@@ -166,6 +171,7 @@ def s15_md_list(spark, sf_dir):
 
 @register("s16_md_headings", "SELECT n_regionkey + 1 AS level, n_name AS text, 'heading' AS type FROM nation")
 def s16_md_headings(spark, sf_dir):
+    """Markdown headings written with levels and scanned back."""
     out = scratch_dir(spark, "mdhead")
     n = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1).alias("level"), F.col("n_name").alias("text"))
     MD.write_markdown_headings(n, out)
@@ -191,6 +197,7 @@ SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, 'Nat
 FROM nation
 """)
 def s18_md_frontmatter(spark, sf_dir):
+    """Front matter parsed into a key/value map and a body."""
     n = table(spark, sf_dir, "nation")
     text = F.concat(F.lit('---\nname: "'), F.col("n_name"), F.lit('"\nregion: '), F.col("n_regionkey"),
                     F.lit("\n---\nNation "), F.col("n_nationkey"))

@@ -20,6 +20,7 @@ FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-03 00:00:
   AND ts <= TIMESTAMP '2024-01-20 00:00:00'
 """)
 def st_filter_keystyle(spark, sf_dir):
+    """Key style, an added column and filters on a file stream (§2.9)."""
     ev = S.read_table_stream(spark, sf_dir, "events.parquet")
     steps = [KeyStyle("camelCase"),
              ColumnOps((ColumnOperation("add", "origin", default="stream"),)),
@@ -43,6 +44,7 @@ SELECT date_trunc('day', ts) AS period_start, event_type AS operation, avg(value
 FROM events GROUP BY ALL
 """)
 def st_window_stats(spark, sf_dir):
+    """Per-day performance statistics on a stream with a watermark (§2.9)."""
     ev = S.read_table_stream(spark, sf_dir, "events.parquet")
     return S.run_to_table(S.windowed_performance_stats(ev, "1 day", "2 days"), spark, "window", output_mode="complete")
 
@@ -64,6 +66,7 @@ def st_alerts_classify(spark, sf_dir):
 SELECT event_id, 'json' AS format FROM events
 """)
 def st_detect_content(spark, sf_dir):
+    """Content-based format detection on a stream (§2.9)."""
     ev = S.read_table_stream(spark, sf_dir, "events.parquet")
     det = D.with_content_format(ev, "props", "d", sample_chars=None).select("event_id", "d.format")
     return S.run_to_table(det, spark, "detect")
