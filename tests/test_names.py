@@ -75,3 +75,26 @@ def test_census_and_suggestions(spark):
 def test_xml_name_sanitise():
     assert N.sanitize_xml_name("1 bad name") == "_1_bad_name"
     assert N.sanitize_xml_name("xmlData") == "field_xmlData"
+
+
+def test_python_and_column_styles_agree_on_random_keys(spark):
+    """Property check: the driver-side name functions and the Column expressions agree."""
+    from hypothesis import given, settings, strategies as st
+
+    alphabet = st.sampled_from(list("abcXYZ019_- .$"))
+    keys = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.text(alphabet=alphabet, min_size=1, max_size=12))
+    def collect(k):
+        keys.append(k)
+    collect()
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    exprs = [N.transform_key_col(F.col("k"), s).alias(s) for s in N.STYLES]
+    exprs += [N.classify_key_col(F.col("k")).alias("cls")]
+    exprs += [N.transform_key_simple_col(F.col("k"), s).alias("simple_" + s) for s in N.STYLES]
+    for r in df.select("k", *exprs).collect():
+        for s in N.STYLES:
+            assert r[s] == N.transform_key(r.k, s), (r.k, s, r[s])
+            assert r["simple_" + s] == N.transform_key_simple(r.k, s), (r.k, s)
+        assert r.cls == N.classify_key(r.k), r.k
