@@ -139,3 +139,17 @@ def test_pushdown_survives_renames(spark, tmpdir_path):
     from quire.plans.q_filters import flagship
     plan = flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,200000.0)" in plan
+
+
+def test_ladder_column_matches_literal_semantics(spark):
+    """Property check: the Column ladder on a text column agrees with the literal comparison."""
+    from pyspark.sql import types as T
+    values = ["10", "9", " 7 ", "", "abc", "ABD", "0x1A", "1e3", "2024-01-02", "2023-12-31T10:00:00Z", "-4.5",
+              "Infinity", "true", "z"]
+    literals = [9, 10.5, "10", "abc", "2024-01-01", -5, 0, "", "Infinity"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for lit_v in literals:
+        for op in ("==", ">", "<", ">=", "<="):
+            got = [r[0] for r in df.select(J.js_compare(F.col("v"), T.StringType(), lit_v, op)).collect()]
+            want = [J.js_compare_py(v, lit_v, op) for v in values]
+            assert got == want, (lit_v, op, list(zip(values, got, want)))
