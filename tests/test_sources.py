@@ -175,3 +175,17 @@ def test_json_empty_and_bom(spark, tmpdir_path):
     write(tmpdir_path, "bom.json", "﻿" + '{"a": 1}')
     ent = JS.read_json(spark, os.path.join(tmpdir_path, "bom.json"), layout="entries").collect()
     assert [(r.key, r.type) for r in ent] == [("a", "number")]
+
+
+def test_xlsx_commit_leaves_only_workbooks(spark, tmpdir_path):
+    import pytest
+    df = spark.range(0, 50).selectExpr("id", "cast(id as string) as s").repartition(3)
+    out = os.path.join(tmpdir_path, "wb")
+    XL.write_xlsx(df, out)
+    names = sorted(os.listdir(out))
+    assert "_temporary" not in names and all(n.endswith(".xlsx") for n in names) and len(names) == 3
+    assert XL.read_xlsx(spark, out).count() == 50
+    XL.write_xlsx(df.limit(5), out)  # overwrite replaces the folder
+    assert XL.read_xlsx(spark, out).count() == 5
+    with pytest.raises(FileExistsError):
+        XL.write_xlsx(df, out, overwrite=False)
