@@ -49,3 +49,11 @@ def test_ordinal_window_runs_over_partition_counts_only(spark):
     # the only un-partitioned window is over the per-partition counts (one row per partition)
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
     assert "RDD" in p or "Scan ExistingRDD" in p or "LogicalRDD" in p  # reads the checkpointed rows
+
+
+def test_audit_log_reads_prune_day_partitions(spark, tmpdir_path):
+    from quire.operators import audit as A
+    path = f"{tmpdir_path}/log"
+    A.append_audit_log(A.audit_events_from(spark.read.parquet(f"{SF}/events.parquet")), path)
+    p = plan(A.read_audit_log(spark, path, "2024-01-10 06:00:00", "2024-01-12 18:00:00"))
+    assert "PartitionFilters: [isnotnull(date" in p and "PartitionFilters: []" not in p
