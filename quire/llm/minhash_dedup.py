@@ -8,8 +8,8 @@ agreements is as concentrated as with T independent permutations, at O(n + T log
 
 Exact copies (equal shingle sets) are folded into one representative first. Band keys that at
 least two representatives share give stars: each member against the smallest one. Members of a
-band that are still in different components after the stars are compared in blocks by their
-sketches; what may reach the threshold is verified on full sets like everything else.
+band that are still in different components after the stars are compared in blocks, all with all,
+by the exact intersections of their full sets; a block returns a spanning forest, not its pairs.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ K = 5               # words a shingle
 T = 128             # sketch coordinates
 ROWS = 4            # coordinates a band: T / ROWS bands
 NUM, DEN = 75, 100  # similarity threshold
-BLOCK = 256         # members compared at a time within a band
-# Of T coordinates a pair at the threshold agrees in 96 on average; below 64 (six and a half
-# standard deviations) a pair that only shares a band is not verified.
-AGREE = 64
+ELEMENTS = 400_000  # shingles of a block of a band's members, about
+COLUMNS = 4096      # shingles multiplied at a time
 
 
 def shingles(text: str | None, k: int = K) -> np.ndarray:
@@ -78,28 +76,25 @@ def _band_keys(sk: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text hash, text) -> n_shingles, two hashes of the shingle set, its band keys and its sketch."""
+    """(doc_id, text) -> n_shingles, two hashes of the shingle set and its band keys."""
     for batch in batches:
         texts = batch.column("text")
-        n, s1, s2, keys, sks = [], [], [], [], []
+        n, s1, s2, keys = [], [], [], []
         for i in range(batch.num_rows):
             s = shingles(texts[i].as_py())
             n.append(len(s))
             if len(s):
                 s1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
                 s2.append(int(mix64(s ^ _MUL).sum(dtype=np.uint64).view(np.int64)))
-                sk = sketch(s)
-                keys.append(_band_keys(sk))
-                sks.append((sk & np.uint32(255)).astype(np.uint8).tobytes())
+                keys.append(_band_keys(sketch(s)))
             else:
                 s1.append(None)
                 s2.append(None)
                 keys.append(None)
-                sks.append(None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(sks, pa.binary())],
-            ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"])
+             pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,27 +119,68 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (ids, sketches, components, sizes on both sides) -> pairs that may reach the threshold."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ia, ib = np.array(row["ids_a"]), np.array(row["ids_b"])
-            ca, cb = np.array(row["comp_a"]), np.array(row["comp_b"])
-            na, nb = np.array(row["n_a"]), np.array(row["n_b"])
-            sa = np.frombuffer(b"".join(row["sk_a"]), np.uint8).reshape(len(ia), T)
-            sb = np.frombuffer(b"".join(row["sk_b"]), np.uint8).reshape(len(ib), T)
-            out_a, out_b = [], []
-            for i in range(len(ia)):
-                fit = ((ia[i] < ib) | (row["blk_a"] < row["blk_b"])) & (ca[i] != cb)
-                fit &= (DEN * np.minimum(na[i], nb) >= NUM * np.maximum(na[i], nb))
-                at = np.flatnonzero(fit)
-                if len(at):
-                    at = at[(sb[at] == sa[i]).sum(axis=1) >= AGREE]
-                    out_a.append(np.full(len(at), ia[i]))
-                    out_b.append(ib[at])
-            if out_a:
-                x, y = np.concatenate(out_a), np.concatenate(out_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+def common_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of all intersections of sorted sets (of ``sets_a`` with itself if ``sets_b`` is None), by
+    products of 0/1 matrices over the elements that occur on both sides, some columns at a time."""
+    def flat(sets):
+        rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        e = np.concatenate(sets)
+        order = np.argsort(e, kind="stable")
+        return e[order], rows[order]
+
+    ea, ra = flat(sets_a)
+    eb, rb = (ea, ra) if sets_b is None else flat(sets_b)
+    if sets_b is None:
+        values, n = np.unique(ea, return_counts=True)
+        shared = values[n > 1]
+    else:
+        shared = np.intersect1d(ea, eb)
+    out = np.zeros((len(sets_a), len(sets_a if sets_b is None else sets_b)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        part = shared[lo:lo + COLUMNS]
+
+        def dense(e, r, n):
+            i, j = np.searchsorted(e, part[0], "left"), np.searchsorted(e, part[-1], "right")
+            col = np.searchsorted(part, e[i:j])
+            hit = part[col] == e[i:j]
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[i:j][hit], col[hit]] = 1
+            return m
+
+        x = dense(ea, ra, out.shape[0])
+        out += x @ (x if sets_b is None else dense(eb, rb, out.shape[1])).T
+    return out
+
+
+def _tile(t: pa.Table) -> pa.Table:
+    """The members of two blocks of a band (or of one) -> a spanning forest of their links between
+    different components, from exact intersections."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    blk, ids, comp, n = (t.column(c).to_numpy() for c in ("blk", "rep", "comp", "n_shingles"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    left = np.flatnonzero(blk == i)
+    right = left if i == j else np.flatnonzero(blk == j)
+    out_a, out_b = [], []
+    if len(left) and len(right):
+        common = common_counts([sets[k] for k in left], None if i == j else [sets[k] for k in right])
+        # shared / united >= NUM / DEN, in whole numbers
+        x, y = np.nonzero((DEN + NUM) * common.astype(np.int64) >= NUM * (n[left][:, None] + n[right][None, :]))
+        x, y = left[x], right[y]
+        apart = comp[x] != comp[y]
+        names, label = np.unique(comp, return_inverse=True)
+        label = np.arange(len(names))[label]
+        root = np.arange(len(names))
+        for a, b in zip(x[apart], y[apart]):
+            ra, rb = label[a], label[b]
+            while root[ra] != ra:
+                ra = root[ra]
+            while root[rb] != rb:
+                rb = root[rb]
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+                out_a.append(ids[a])
+                out_b.append(ids[b])
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,13 +205,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, s1 long, s2 long, "
-                                                 "keys array<long>, sketch binary"), "minhash")
+                                                 "keys array<long>"), "minhash")
     full = prof.where("n_shingles > 0 and doc_id is not null")
     # equal sets: one representative, the smallest id (combined before the shuffle)
     classes = materialize(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-reps")
     member = full.join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct()
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(
-        ["doc_id", "s1"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sketch")
+        ["doc_id", "s1"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys")
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_top"))
     shared = materialize(shared.where("lead != _top").select("key", "lead"), "minhash-shared")
@@ -189,21 +225,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = hits.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(_verified(stars, sets), "minhash-stars")
     comp = connected_components(links)
-    # band mates in different components: compare by sketch, block by block
+    # band mates in different components: all of them against each other, block by block
     tagged = hits.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("comp"))
+    tagged = tagged.join(reps.select("rep", "n_shingles"), "rep")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
-                                      F.count(F.lit(1)).alias("_n")).where("_lo != _hi and _n > 2")
-    open_ = tagged.join(mixed.select("key", "_n"), "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / BLOCK)).cast("int"))
-    blocks = materialize(open_.groupBy("key", "blk").agg(
-        F.collect_list(F.struct("rep", "comp", "n_shingles", "sketch")).alias("m")), "minhash-blocks")
-    left = blocks.select("key", F.col("blk").alias("blk_a"), F.col("m.rep").alias("ids_a"), F.col("m.comp").alias(
-        "comp_a"), F.col("m.n_shingles").alias("n_a"), F.col("m.sketch").alias("sk_a"))
-    right = blocks.select("key", F.col("blk").alias("blk_b"), F.col("m.rep").alias("ids_b"), F.col("m.comp").alias(
-        "comp_b"), F.col("m.n_shingles").alias("n_b"), F.col("m.sketch").alias("sk_b"))
-    rest = left.join(right, "key").where("blk_a <= blk_b").mapInArrow(_block_pairs, "a long, b long").distinct()
-    more = materialize(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets), "minhash-rest")
+                                      F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_e"))
+    mixed = mixed.where("_lo != _hi and _n > 2").select("key", F.ceil(F.col("_e") / ELEMENTS).cast("int").alias("_k"))
+    members = tagged.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    members = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    tiles = members.select("key", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "rep",
+                           "comp", "n_shingles").join(sets, "rep")
+    more = materialize(tiles.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long").distinct(), "minhash-rest")
     comp = connected_components(links.union(more)) if more.limit(1).count() else comp
     final = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"), F.min("rep").alias("exact_id"))
