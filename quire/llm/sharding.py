@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, register, table
 
-ROWS_A_BUCKET = 2000
+ROWS_A_BUCKET = 400
 MAX_BITS = 20
 
 
