@@ -6,8 +6,8 @@ property. So a text is encoded left to right: take the longest vocabulary match
 from one Aho-Corasick pass), accept it if it is compatible with the piece before it, else try
 shorter matches, else step back; a bit per position remembers where no sequence can go on.
 
-Pieces never run past the end of a word (a white-space mark is only ever at a piece's start), so
-words are encoded one by one and each task keeps a bounded memo of recent words.
+Where the vocabulary has no piece that runs past the end of a word (a white-space mark is only ever
+at a piece's start), words are encoded one by one, and each task keeps a bounded memo of recent words.
 """
 
 from __future__ import annotations
@@ -27,7 +27,12 @@ from .common import prepare, register, table
 MARK = "▁"
 MEMO = 300_000       # words kept by one Python worker, twice: a full memo becomes the older one
 MEMO_LENGTH = 40     # longer words are encoded each time
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# Where a text may be cut without a piece being cut, by what the vocabulary allows: before a mark;
+# also after a Latin letter that another kind of character follows, and around line feeds and tabs.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_PART = re.compile(f"[\\n\\t]+|{MARK}*[^{MARK}\\n\\t{_LATIN}]*[{_LATIN}]*")
+_JOINED = re.compile(f"[{_LATIN}][^{MARK}{_LATIN}]|[\\n\\t].|.[\\n\\t]", re.S)
 
 
 class PieceCodec:
@@ -47,9 +52,13 @@ class PieceCodec:
         plain = [i for i in range(n) if i not in self.special and i not in self.byte_of]
         self.id_of = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
+        self.packed = {p: struct.pack("<I", i) for p, i in self.id_of.items()}
+        self.surface = {p: p.replace(MARK, " ") for p in self.id_of}
         # only pieces that merging can produce take part
         self.valid = {p for p in self.id_of if len(p) == 1 or self.merge(p) == [p]}
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.valid)
+        self.unit = None
+        if not any(MARK in p.lstrip(MARK) for p in self.valid):
+            self.unit = _WORD if any(_JOINED.search(p) for p in self.valid) else _PART
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.valid or k == 1), None)
                         for p in self.valid}
         self.automaton = ahocorasick.Automaton()
@@ -133,7 +142,8 @@ class PieceCodec:
     def decode(self, ids) -> str:
         """The text of ids: bytes joined to characters, marks to spaces, without the leading one."""
         text = self._surface(ids)
-        return text[1:] if text.startswith(" ") else text
+        first = next((i for i in ids if i not in self.special or i == self.unk), None)
+        return text[1:] if first is not None and self.pieces[first].startswith(MARK) else text
 
     def _surface(self, ids) -> str:
         out, run = [], bytearray()
@@ -155,8 +165,13 @@ class PieceCodec:
     def _word(self, word: str) -> tuple[bytes, str]:
         got = self.older.get(word)
         if got is None:
-            ids = self._ids(self.split(word))
-            got = struct.pack(f"<{len(ids)}I", *ids), self._surface(ids)
+            parts = self.split(word)
+            try:
+                packed, surface = self.packed, self.surface
+                got = b"".join([packed[p] for p in parts]), "".join([surface[p] for p in parts])
+            except KeyError:        # a character outside the vocabulary
+                ids = self._ids(parts)
+                got = struct.pack(f"<{len(ids)}I", *ids), self._surface(ids)
         if len(word) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO:
                 self.memo, self.older = {}, self.memo
@@ -166,7 +181,7 @@ class PieceCodec:
     def round_trip(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers with begin and end, decoded text)."""
         marked = MARK + text.replace(" ", MARK) if text else ""
-        units = _UNIT.findall(marked) if self.by_word else [marked]
+        units = self.unit.findall(marked) if self.unit else [marked]
         find, word = self.memo.get, self._word
         got = [find(u) or word(u) for u in units]
         ids = struct.pack("<I", self.bos) + b"".join([g[0] for g in got]) + struct.pack("<I", self.eos)
