@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, register, table
+from .common import materialize, prepare, register, table
 
 STRETCH = 1024      # lengths summed as one in the upper level of the suffix sums
 _ENCODERS: dict[str, object] = {}
@@ -114,7 +114,8 @@ def token_counts(docs: DataFrame, ranks_file: str | None = None) -> DataFrame:
     Defined cases: null and empty texts have length 0; repeated rows count each time; an empty
     table gives no rows; other columns play no part.
     """
-    return suffix_sums(length_histogram(encoded_lengths(docs, ranks_file)))
+    hist = materialize(length_histogram(encoded_lengths(docs, ranks_file)), "lengths")   # read twice, made once
+    return suffix_sums(hist)
 
 
 @register("op4_token_counts")
