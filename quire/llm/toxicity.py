@@ -57,7 +57,7 @@ def fit(rows, cols, n_docs: int, n_words: int, y: np.ndarray, extra: np.ndarray,
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))    # classes count alike
     for t in range(1, steps + 1):
-        z = np.bincount(rows, value * theta[cols], minlength=n_docs)
+        z = np.bincount(rows, value * theta[cols], minlength=n_docs).astype(float)    # whole numbers if empty
         z += extra @ theta[n_words:-1] + theta[-1]
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.concatenate((np.bincount(cols, value * err[rows], minlength=n_words), extra.T @ err, [err.sum()]))
