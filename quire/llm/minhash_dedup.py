@@ -27,7 +27,7 @@ K = 5               # words a shingle
 T = 128             # sketch coordinates
 ROWS = 4            # coordinates a band: T / ROWS bands
 NUM, DEN = 75, 100  # similarity threshold
-ELEMENTS = 400_000  # shingles of a block of a band's members, about
+ELEMENTS, MEMBERS = 400_000, 1024   # shingles and members of a block of a band, about
 COLUMNS = 4096      # shingles multiplied at a time
 
 
@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tagged = tagged.join(reps.select("rep", "n_shingles"), "rep")
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"),
                                       F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_e"))
-    mixed = mixed.where("_lo != _hi and _n > 2").select("key", F.ceil(F.col("_e") / ELEMENTS).cast("int").alias("_k"))
+    mixed = mixed.where("_lo != _hi and _n > 2").select("key", F.ceil(F.greatest(
+        F.col("_e") / ELEMENTS, F.col("_n") / MEMBERS)).cast("int").alias("_k"))
     members = tagged.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
     members = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     tiles = members.select("key", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "rep",

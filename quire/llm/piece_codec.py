@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import prepare, register, table
 
 MARK = "▁"
-MEMO = 300_000       # words kept by one Python worker, twice: a full memo becomes the older one
+MEMO = 150_000       # words kept by one Python worker, twice: a full memo becomes the older one
 MEMO_LENGTH = 40     # longer words are encoded each time
+PAIRS = 250_000      # piece pairs whose compatibility is kept
 # Where a text may be cut without a piece being cut, by what the vocabulary allows: before a mark;
 # also after a Latin letter that another kind of character follows, and around line feeds and tabs.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -87,7 +88,7 @@ class PieceCodec:
     def compatible(self, a: str, b: str) -> bool:
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return ok
