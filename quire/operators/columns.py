@@ -131,8 +131,11 @@ def transform_column(df: DataFrame, name: str, fn: Column | str | Callable, orde
         raise ValueError(f"Column '{name}' does not exist")
     cols = df.columns
     if isinstance(fn, str):
-        value_expr = F.expr(fn.replace("value", f"`{name}`")) if "value" in fn else F.expr(fn)
-        return df.select(*[value_expr.alias(c) if c == name else df[c] for c in cols])
+        # the old value is bound as a column called value; a column of that name gives way to it
+        bound = df.select(*[F.col(f"`{c}`") for c in cols if c != "value"], F.col(f"`{name}`").alias("value"),
+                          *([F.col("`value`").alias("_q_value")] if "value" in cols else []))
+        keep = {"value": "_q_value"}
+        return bound.select(*[F.expr(fn).alias(c) if c == name else F.col(f"`{keep.get(c, c)}`").alias(c) for c in cols])
     if isinstance(fn, Column):
         return df.select(*[fn.alias(c) if c == name else df[c] for c in cols])
     if getattr(fn, "_quire_column_fn", False) or _takes_columns(fn):

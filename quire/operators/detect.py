@@ -177,10 +177,10 @@ def combine(ext: Column, content: Column) -> Column:
 
 
 def detect_files(spark: SparkSession, path: str, analyze_content: bool = True,
-                 sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
+                 sample_chars: int | None = None) -> DataFrame:
     """T1/T3 over every file under ``path``: (path, format, confidence, method, error).
-    Content rules read each file's first ``sample_chars`` bytes (the tool's 1 KB) or, with
-    ``None``, the whole file (one task per file)."""
+    Content rules read the whole of each file (one task per file) or, with ``sample_chars``, its
+    first bytes only, which can cut a document in two and miss its format."""
     files = list_files(spark, path)
     if not analyze_content:
         return files.select("path", detect_by_extension(F.col("path")).alias("d")).select("path", "d.*")

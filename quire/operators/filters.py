@@ -252,27 +252,54 @@ def filter_null_values(df: DataFrame, columns: Sequence[str], remove_nulls: bool
 def filter_unique(df: DataFrame, column: str, order_by) -> DataFrame:
     """First row (under ``order_by``) per value of ``column``; nulls form one group.
 
-    A ``min`` over ``struct(order keys, row)`` per group: partial aggregation runs
-    map-side, so even a value holding a third of all rows reaches the shuffle as one
-    row per map task.
+    ``min_by`` on the order keys per group: partial aggregation runs map-side, so even a
+    value holding a third of all rows reaches the shuffle as one row per map task. Only the
+    keys are compared, so rows may hold columns without an order (maps, variants).
     """
     if not has_column(df, column):
         raise ValueError(f"Column '{column}' does not exist")
     keys = sort_columns(order_by)
     cols = df.columns
-    packed = F.struct(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*[F.col(c) for c in cols]).alias("_r"))
-    return (df.groupBy(F.col(column).alias("_q_g")).agg(F.min(packed).alias("_m"))
-            .select(*[F.col("_m._r").getField(c).alias(c) for c in cols]))
+    order = F.struct(*[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    group = F.col(f"`{column}`")
+    if _holds(df.schema[column].dataType, (T.MapType, T.VariantType)):
+        group = _comparable(group, df.schema[column].dataType)
+    return (df.groupBy(group.alias("_q_g")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in cols]), order).alias("_m"))
+            .select(*[F.col("_m").getField(c).alias(c) for c in cols]))
+
+
+def _holds(dt: T.DataType, kinds: tuple) -> bool:
+    """Whether a type is, or holds at any depth, one of ``kinds``."""
+    if isinstance(dt, kinds):
+        return True
+    if isinstance(dt, T.StructType):
+        return any(_holds(f.dataType, kinds) for f in dt.fields)
+    return isinstance(dt, T.ArrayType) and _holds(dt.elementType, kinds)
+
+
+def _comparable(c: Column, dt: T.DataType) -> Column:
+    """A value that can be grouped by: JSON text, with the entries of a map in the order of their keys."""
+    if isinstance(dt, T.MapType):
+        return F.to_json(F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+            e["key"].cast("string").alias("key"), F.to_json(F.struct(e["value"].alias("v"))).alias("value")))))
+    if isinstance(dt, T.VariantType):
+        return F.to_json(c)
+    if isinstance(dt, T.StructType) and _holds(dt, (T.MapType, T.VariantType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(*[_comparable(c.getField(f.name), f.dataType).alias(f"f{i}")
+                                                          for i, f in enumerate(dt.fields)])))
+    if isinstance(dt, T.ArrayType) and _holds(dt, (T.MapType, T.VariantType)):
+        return F.to_json(F.transform(c, lambda x: _comparable(x, dt.elementType)))
+    return c
 
 
 def filter_duplicates(df: DataFrame) -> DataFrame:
     """One row per group of fully equal rows (hash aggregate with map-side combine)."""
-    hashed = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.MapType, T.VariantType))]
+    hashed = [f.name for f in df.schema.fields if _holds(f.dataType, (T.MapType, T.VariantType))]
     if not hashed:
         return df.dropDuplicates()
     keyed = df
     for n in hashed:
-        keyed = keyed.withColumn(f"_q_h_{n}", F.to_json(F.col(n)))
+        keyed = keyed.withColumn(f"_q_h_{n}", _comparable(F.col(f"`{n}`"), df.schema[n].dataType))
     subset = [c for c in df.columns if c not in hashed] + [f"_q_h_{n}" for n in hashed]
     return keyed.dropDuplicates(subset).drop(*[f"_q_h_{n}" for n in hashed])
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.maps import map_last_wins
 from ..functions.jscompat import js_trim
 
 from ..functions import names as N
@@ -46,7 +47,10 @@ def _restyle_value(c: Column, dt: T.DataType, name_fn: Callable[[str], str],
     if isinstance(dt, T.ArrayType) and _nested(dt.elementType):
         return F.transform(c, lambda x: _restyle_value(x, dt.elementType, name_fn, col_fn))
     if isinstance(dt, T.MapType):
-        out = F.transform_keys(c, lambda k, v: col_fn(k)) if isinstance(dt.keyType, T.StringType) else c
+        out = c
+        if isinstance(dt.keyType, T.StringType):    # keys that meet after restyling: the last one wins
+            out = map_last_wins(F.transform(F.map_entries(c), lambda e: F.struct(
+                col_fn(e["key"]).alias("key"), e["value"].alias("value"))))
         if _nested(dt.valueType):
             out = F.transform_values(out, lambda k, v: _restyle_value(v, dt.valueType, name_fn, col_fn))
         return out

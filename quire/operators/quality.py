@@ -130,16 +130,19 @@ def csv_checks(df: DataFrame) -> DataFrame:
 
 def json_depth(json_text: Column) -> Column:
     """Nesting depth of a JSON document as the tool counts it (a flat object is 1)."""
-    s = F.regexp_replace(json_text, r'"(?:[^"\\]|\\.)*"', "0")
-    s = F.regexp_replace(s, r"\{\s*\}|\[\s*\]", "0")
-    s = F.regexp_replace(s, r"[\s,:]", "")
-    s = F.regexp_replace(s, r"[^\[\]{}]+", "0")
-    chars = F.split(s, "")
-    state = F.aggregate(chars, F.struct(F.lit(0).alias("cur"), F.lit(0).alias("best")),
-                        lambda acc, ch: F.when(ch.isin("[", "{"), F.struct((acc["cur"] + 1).alias("cur"),
-                                                                           acc["best"].alias("best")))
-                        .when(ch.isin("]", "}"), F.struct((acc["cur"] - 1).alias("cur"), acc["best"].alias("best")))
-                        .otherwise(F.struct(acc["cur"].alias("cur"), F.greatest(acc["best"], acc["cur"]).alias("best"))))
+    # strings go first (possessive: no recursion per character), then every scalar, so that only
+    # brackets and one mark per innermost value are left to fold over
+    s = F.regexp_replace(json_text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "0")
+    s = F.regexp_replace(s, r"\{\s*+\}|\[\s*+\]", "0")
+    s = F.regexp_replace(s, r"[^\[\]{}]++", "0")
+    s = F.regexp_replace(s, r"0(?=[^\]}])|(?<=[\]}])0", "")
+    tokens = F.regexp_extract_all(s, F.lit(r"[\[{]++|[\]}]++|0"), 0)
+    state = F.aggregate(tokens, F.struct(F.lit(0).alias("cur"), F.lit(0).alias("best")),
+                        lambda acc, t: F.when(t.startswith("[") | t.startswith("{"),
+                                              F.struct((acc["cur"] + F.length(t)).alias("cur"), acc["best"].alias("best")))
+                        .when(t == "0", F.struct(acc["cur"].alias("cur"),
+                                                 F.greatest(acc["best"], acc["cur"]).alias("best")))
+                        .otherwise(F.struct((acc["cur"] - F.length(t)).alias("cur"), acc["best"].alias("best"))))
     return state["best"]
 
 

@@ -32,10 +32,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module (they register on import)."""
-    from . import q_filters, q_columns, q_keys  # noqa: F401
-    for mod in ("q_sources", "q_profile", "q_detect", "q_quality", "q_audit", "q_pipeline", "q_streaming"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules are added as the engine grows
-            if mod not in str(e):
-                raise
+    from . import (q_audit, q_columns, q_detect, q_filters, q_keys, q_pipeline, q_profile, q_sources,  # noqa: F401
+                   q_streaming)

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
+from ..functions.maps import map_last_wins
 from ..operators import detect as D
 from ..operators import quality as Q
 from ..sources import csv as CSV
 from ..sources import json as JS
 from ..sources import markdown as MD
 from ..sources import xml as XML
+from ..session import scratch_dir
 from ..sources.files import list_files
 from .transformations import conventional_order, convert_data
 
@@ -78,7 +80,8 @@ def path_exists(spark: SparkSession) -> Callable[[str], bool]:
 def read_any(spark: SparkSession, path: str, fmt: str, options: dict | None = None) -> DataFrame:
     o = dict(options or {})
     if fmt == "csv":
-        return CSV.read_csv(spark, path, sep=o.get("sep"), encoding=o.get("encoding", "utf-8"))
+        return CSV.read_csv(spark, path, sep=o.get("sep"), encoding=o.get("encoding", "utf-8"),
+                            multiline=o.get("multiline", True))
     if fmt == "json":
         return JS.read_json(spark, path, layout=o.get("layout", "rows"), lines=o.get("lines", False))
     if fmt == "xml":
@@ -115,15 +118,49 @@ def write_any(df: DataFrame, path: str, fmt: str, overwrite: bool = True, option
         raise ValueError(f"Unsupported format: {fmt}")
 
 
-def detect_format(spark: SparkSession, path: str) -> str:
-    """The format most files under ``path`` are detected as (at most five rows collected)."""
+def detect_formats(spark: SparkSession, path: str) -> list[tuple[str, object]]:
+    """(format, what to read) of the files under ``path``, each file judged by its own whole content.
+
+    One format: the folder itself is read. Several: the files of each (only then do paths reach
+    the driver). A file without a recognisable format is an error that names it.
+    """
     # count per detected format (at most six groups) and choose on the driver: a filter on the
     # derived format would be pushed below the projections and inline the whole rule tree
-    counts = D.detect_files(spark, path).groupBy("format").agg(F.count(F.lit(1)).alias("n")).collect()
-    found = sorted(((r["n"], r["format"]) for r in counts if r["format"] is not None), key=lambda x: (-x[0], x[1]))
-    if not found:
-        raise ValueError(f"Failed to detect format for: {path}")
-    return found[0][1]
+    found = D.detect_files(spark, path)
+    counts = {r["format"]: r["example"] for r in found.groupBy("format").agg(F.min("path").alias("example")).collect()}
+    if not counts or None in counts:
+        raise ValueError(f"Failed to detect format for: {counts.get(None, path)}")
+    if len(counts) == 1:
+        return [(next(iter(counts)), path)]
+    files = found.select("path", "format").collect()
+    return [(f, sorted(r["path"] for r in files if r["format"] == f)) for f in sorted(counts)]
+
+
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+
+def read_detected(spark: SparkSession, parts: list[tuple[str, object]], options: dict | None = None) -> DataFrame:
+    """The files of every format read by their reader and put together by column name; a column that
+    the formats type differently becomes text."""
+    frames = [read_any(spark, p, f, options) for f, ps in parts
+              for p in (ps if isinstance(ps, list) and f in ("md", "xlsx") else [ps])]
+    types: dict[str, set] = {}
+    for fr in frames:
+        for fld in fr.schema.fields:
+            types.setdefault(fld.name, set()).add(fld.dataType.simpleString())
+    mixed = {n for n, t in types.items() if len(t) > 1 and not t <= _NUMBERS}     # numbers widen in the union
+    frames = [fr.select(*[_as_text(fr, f).alias(f.name) if f.name in mixed else fr[f"`{f.name}`"]
+                          for f in fr.schema.fields]) for fr in frames]
+    out = frames[0]
+    for fr in frames[1:]:
+        out = out.unionByName(fr, allowMissingColumns=True)
+    return out
+
+
+def _as_text(df: DataFrame, f: T.StructField) -> Column:
+    c = df[f"`{f.name}`"]
+    nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+    return F.to_json(c) if nested else c.cast("string")
 
 
 @dataclass
@@ -149,14 +186,15 @@ def convert(spark: SparkSession, input_path: str, output_format: str, output_pat
     filters in that order, as the command does (D20); set it False to keep the list order.
     """
     start = time.time()
-    fmt_in = input_format or detect_format(spark, input_path)
+    parts = [(input_format, input_path)] if input_format else detect_formats(spark, input_path)
+    fmt_in = "+".join(f for f, _ in parts)
     findings = []
     if validate:
-        errs = Q.file_checks(list_files(spark, input_path), fmt_in).where("severity = 'error'").limit(20).collect()
+        errs = Q.file_checks(list_files(spark, input_path), parts[0][0] if len(parts) == 1 else None).where("severity = 'error'").collect()
         findings = [r.asDict() for r in errs]
         if errs:
             raise ValueError(f"Input failed validation: {findings[0]['message']}")
-    df = read_any(spark, input_path, fmt_in, read_options)
+    df = read_any(spark, input_path, fmt_in, read_options) if len(parts) == 1 else read_detected(spark, parts, read_options)
     steps = conventional_order(transformations) if fixed_order else list(transformations)
     converted = convert_data(df, steps)
     target = output_path_ or output_path(input_path, output_format)
@@ -194,23 +232,35 @@ def payload_schema(df: DataFrame, col: str, from_format: str) -> T.DataType:
             dt = T.StructType(sorted(dt.fields, key=lambda f: rank.get(f.name, len(rank))))
         return dt
     if from_format == "xml":
-        first = df.where(F.col(col).isNotNull()).select(col).limit(1).collect()
-        if not first:
-            return T.StructType([])
-        text = first[0][0]
-        ddl = df.sparkSession.range(1).select(F.schema_of_xml(F.lit(text)).alias("s")).collect()[0]["s"]
-        dt = T._parse_datatype_string(ddl)
-        # schema_of_xml sorts the children; keep their order in the document instead
-        import re
-        order = {}
-        for name in re.findall(r"<([A-Za-z_][\w.:-]*)[\s/>]", text)[1:]:
-            order.setdefault(name, len(order))
-        if isinstance(dt, T.StructType):
-            dt = T.StructType(sorted(dt.fields, key=lambda f: order.get(f.name, len(order))))
-        return dt
+        return _xml_payload_schema(df, col)
     raise ValueError(from_format)
 
 
+def _xml_payload_schema(df: DataFrame, col: str) -> T.DataType:
+    """Merged schema of all XML payloads: they are written to the shared scratch folder and inferred by
+    the XML source, root element by root element (the distinct roots reach the driver). Children
+    come in the order of their smallest place in any payload."""
+    spark = df.sparkSession
+    bare = F.regexp_replace(F.col(col), r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*+>", "")
+    tags = F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][\w.:-]*+)"), 1)
+    texts = df.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("t"), tags.alias("tags"))
+    roots = sorted(r[0] for r in texts.select(F.try_element_at("tags", F.lit(1))).distinct().collect() if r[0])
+    if not roots:
+        return T.StructType([])
+    path = scratch_dir(spark, "payloads")
+    texts.select("t").write.text(path)
+    fields: dict[str, T.DataType] = {}
+    for root in roots:
+        found = spark.read.format("xml").option("rowTag", root).option("inferSchema", True).load(path).schema
+        for f in found.fields:
+            known = fields.setdefault(f.name, f.dataType)
+            if known != f.dataType:
+                fields[f.name] = T.StringType()
+    places = texts.select(F.posexplode("tags").alias("i", "n")).groupBy("n").agg(F.min("i").alias("i"))
+    order = {r["n"]: r["i"] for r in places.where(F.col("n").isin(list(fields))).collect()}
+    return T.StructType([T.StructField(n, fields[n]) for n in sorted(fields, key=lambda n: (order.get(n, 1 << 30), n))])
+
+
 def _variant_ddl_to_type(ddl: str) -> T.DataType:
     s = ddl.replace("OBJECT<", "STRUCT<")
     return T._parse_datatype_string(s)
@@ -227,7 +277,8 @@ def _csv_records(text: Column) -> Column:
 
 # A JSON text as tokens: object keys (a string followed by a colon), other strings, and runs
 # of everything else; joined back they give the text unchanged.
-JSON_TOKEN_RE = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+'
+# Possessive throughout: Java's matcher must not recurse once per character.
+JSON_TOKEN_RE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
 
 
 def restyle_json_text(text: Column, key_style: str | None) -> Column:

@@ -22,8 +22,6 @@ from .files import file_heads, list_files
 DELIMITERS = (",", ";", "\t", "|")
 SNIFF_BYTES = 1024
 SNIFF_LINES = 5
-# Above this many input bytes, schema inference reads a sample instead of every row.
-INFER_FULL_SCAN_BYTES = 1 << 30
 
 
 def _line_stats(lines: Column, delimiter: str) -> Column:
@@ -52,9 +50,10 @@ def delimiter_scores(head: Column, sniff_chars: int | None = SNIFF_BYTES,
     first ``sniff_chars`` characters, as the tool sniffs, or every line with ``None``.
     Score: mean field count, doubled when every line has the same count; each delimiter's
     statistics come from one pass over the lines."""
-    # a whole file's final line break ends the last line; it does not start an empty one
-    text = F.regexp_replace(head, r"\r?\n$", "") if sniff_chars is None else F.substring(head, 1, sniff_chars)
-    lines = F.split(text, "\n", -1)
+    text = head if sniff_chars is None else F.substring(head, 1, sniff_chars)
+    # line breaks inside quoted cells are part of their cell, and empty lines say nothing
+    text = F.regexp_replace(text, r'"[^"]*+"', "q")
+    lines = F.filter(F.split(text, "\r?\n", -1), lambda ln: ln != "")
     if sniff_lines is not None:
         lines = F.slice(lines, 1, sniff_lines)
     out = []
@@ -72,11 +71,11 @@ def best_delimiter(scores: Column) -> Column:
     return best["delimiter"]
 
 
-def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None, whole: bool = False) -> DataFrame:
+def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None, whole: bool = True) -> DataFrame:
     """One row per (file, delimiter) with its score, and the file's chosen delimiter.
 
-    By default each file's first 1 K / 5 lines are scored (read in tasks, first bytes only);
-    ``whole=True`` scores every line of every file (one task per file)."""
+    Every line of every file is scored (one task per file); ``whole=False`` scores only the first
+    1 K / 5 lines, which is cheaper and can be wrong."""
     if whole:
         from .files import whole_texts
         docs = whole_texts(spark, path, glob).select("path", F.octet_length("text").alias("length"), "text")
@@ -110,22 +109,26 @@ def clean_csv(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: bool = True,
              infer_schema: bool = True, schema: T.StructType | str | None = None, encoding: str = "utf-8",
-             multiline: bool = False, null_value: str | None = None, timestamp_format: str | None = None,
-             sampling_ratio: float | None = None, clean: bool = True, _input_size: int | None = None) -> DataFrame:
+             multiline: bool = True, null_value: str | None = None, timestamp_format: str | None = None,
+             sampling_ratio: float | None = None, clean: bool = True) -> DataFrame:
     """Header row, trimmed headers, empty lines skipped, typed cells, BOM, quoted fields.
 
-    ``sep=None`` sniffs the delimiter per file (S2); files that disagree are read per
-    delimiter and unioned by name. Inference reads every row up to 1 GiB of input and a
-    proportional sample beyond (pass ``schema`` to skip inference entirely).
+    ``sep=None`` scores the delimiter of every file over all its lines (S2); files that disagree are
+    read per delimiter and unioned by name (only then do their paths reach the driver). Cells may
+    hold line breaks: each file is one task. For large files known to hold none, ``multiline=False``
+    makes them splittable. Inference reads every row at any size; ``schema`` skips it, and
+    ``sampling_ratio`` trades it for a sample at the caller's risk.
     """
     if sep is None:
-        chosen = (delimiter_profile(spark, path).where("chosen").groupBy("delimiter")
-                  .agg(F.collect_list("path").alias("paths"), F.sum("length").alias("bytes")).collect())  # <= 4 rows
-        if not chosen:
+        profile = delimiter_profile(spark, path).where("chosen")
+        found = [r[0] for r in profile.select("delimiter").distinct().collect()]    # four at most
+        if not found:
             return spark.createDataFrame([], T.StructType([]))
-        frames = [read_csv(spark, r["paths"], r["delimiter"], header, infer_schema, schema, encoding, multiline,
-                           null_value, timestamp_format, sampling_ratio, clean, _input_size=r["bytes"])
-                  for r in chosen]
+        rest = (header, infer_schema, schema, encoding, multiline, null_value, timestamp_format, sampling_ratio, clean)
+        if len(found) == 1:
+            return read_csv(spark, path, found[0], *rest)
+        frames = [read_csv(spark, [r[0] for r in profile.where(F.col("delimiter") == d).select("path").collect()],
+                           d, *rest) for d in sorted(found)]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
@@ -134,6 +137,9 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
               .option("encoding", encoding).option("multiLine", multiline)
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .option("mode", "PERMISSIVE"))
+    if multiline and clean:
+        # lines may end in \n or \r\n, also in turns: a left-over \r is white space, which cleaning trims
+        reader = reader.option("lineSep", "\n").option("ignoreTrailingWhiteSpace", True)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     if timestamp_format:
@@ -141,22 +147,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     if schema is not None:
         reader = reader.schema(schema)
     elif infer_schema:
-        ratio = sampling_ratio
-        if ratio is None:
-            size = _input_size if _input_size is not None else _input_bytes(spark, path)
-            ratio = 1.0 if size <= INFER_FULL_SCAN_BYTES else max(INFER_FULL_SCAN_BYTES / size, 1e-4)
-        reader = reader.option("inferSchema", True).option("samplingRatio", ratio)
+        reader = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio or 1.0)
     df = reader.csv(path)
     renamed = df.toDF(*[c.strip() for c in df.columns])
     return clean_csv(renamed) if clean else renamed
 
 
-def _input_bytes(spark: SparkSession, path) -> int:
-    """Total input size from file metadata, in one job however many paths are given."""
-    row = list_files(spark, path).agg(F.sum("length").alias("n")).collect()[0]
-    return int(row["n"] or 0)
-
-
 def csv_ready(df: DataFrame) -> DataFrame:
     """K1 value formatting: doubles as the tool prints them, nested values as JSON text."""
     out = []

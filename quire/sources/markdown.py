@@ -17,6 +17,7 @@ from ..functions.jscompat import js_trim
 
 from ..functions.jscompat import js_string
 from ..functions.ordinal import with_ordinal
+from ..functions.maps import map_last_wins
 from .files import rename_parts, whole_texts
 
 # The patterns of the Markdown structures the tool recognises.
@@ -103,9 +104,10 @@ def markdown_table_rows(docs: DataFrame, text_col: str = "text", key: str = "pat
     body = tl.where((F.col("row_index") >= 0) & (F.size("cells") > 0))
     joined = body.join(headers, [key, "table_index"])
     cells = F.transform(F.col("headers"), lambda h, i: F.struct(
-        h.alias("k"), cell_text(F.coalesce(F.try_element_at(F.col("cells"), i + 1), F.lit(""))).alias("v")))
-    return joined.select(key, "table_index", "row_index", "headers",
-                         F.map_from_entries(cells).alias("cells"))
+        h.alias("key"), cell_text(F.coalesce(F.try_element_at(F.col("cells"), i + 1), F.lit(""))).alias("value")))
+    # a header that occurs twice keeps its last cell
+    return joined.withColumn("_q_cells", cells).select(key, "table_index", "row_index", "headers",
+                                                       map_last_wins(F.col("_q_cells")).alias("cells"))
 
 
 def read_markdown_table(spark: SparkSession, path: str, all_tables: bool = False, typed: bool = True) -> DataFrame:
@@ -193,7 +195,7 @@ def frontmatter(text: Column) -> tuple[Column, Column]:
     entries = F.transform(pairs, lambda ln: F.struct(
         _trim(F.substring_index(ln, ":", 1)).alias("key"),
         F.regexp_replace(_trim(F.substring(ln, F.instr(ln, ":") + 1, 1 << 30)), "^[\"']|[\"']$", "").alias("value")))
-    meta = F.when(has, F.map_from_entries(entries)).otherwise(F.create_map().cast("map<string,string>"))
+    meta = F.when(has, map_last_wins(entries)).otherwise(F.create_map().cast("map<string,string>"))
     return meta, body
 
 

@@ -34,7 +34,6 @@ REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 MAX_ROWS = 1_048_576
 MAX_COLUMNS = 16_384
-INFER_ROWS = 1000
 FORMAT_NAME = "quire_xlsx"
 INVENTORY_SCHEMA = "path string, sheet_name string, sheet_index int, row_count long, column_count long"
 
@@ -154,19 +153,6 @@ class Workbook:
                     yield r, cells
                     el.clear()
 
-    def declared_extent(self, member: str) -> tuple[int, int] | None:
-        """(last row, last column) from the sheet's ``<dimension ref>``, read without parsing the rows."""
-        with self.zf.open(member) as fh:
-            for _, el in ET.iterparse(fh, events=("start",)):
-                if el.tag == f"{NS}dimension":
-                    ref = (el.get("ref") or "").split(":")[-1]
-                    if re.match(r"^[A-Za-z]+\d+$", ref):
-                        return _split_ref(ref)
-                    return None
-                if el.tag == f"{NS}sheetData":
-                    return None
-        return None
-
     def extent(self, member: str) -> tuple[int, int]:
         """(last row, last column) with any cell."""
         last_r, last_c, n = 0, 0, 0
@@ -191,7 +177,8 @@ def sheet_records(data, sheet_name=None, sheet_index=None, rng: str | None = Non
     if rng:
         r0, r1, c0, c1 = parse_range(rng)
     else:
-        last_r, last_c = wb.declared_extent(member) or wb.extent(member)
+        # the declared dimension is a hint that many writers leave stale: the cells decide
+        last_r, last_c = wb.extent(member)
         r0, r1, c0, c1 = 1, last_r, 1, last_c
     cols = list(range(c0, c1 + 1))
     first = {}
@@ -219,7 +206,7 @@ def sheet_inventory(path: str, data) -> list[tuple]:
     wb = Workbook(data)
     out = []
     for i, (name, member) in enumerate(wb.sheets):
-        last_r, last_c = wb.declared_extent(member) or wb.extent(member)
+        last_r, last_c = wb.extent(member)
         out.append((path, name, i, last_r, last_c))
     return out
 
@@ -250,17 +237,58 @@ def _list_workbooks(path: str) -> list[str]:
     return sorted(prefix + p if prefix and not p.startswith(prefix) else p for p in files)
 
 
-def _infer_type(values: list) -> T.DataType:
-    vals = [v for v in values if not _blank(v)]
-    if not vals:
-        return T.StringType()
-    if all(isinstance(v, bool) for v in vals):
-        return T.BooleanType()
-    if all(isinstance(v, int) and not isinstance(v, bool) for v in vals):
-        return T.LongType()
-    if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in vals):
-        return T.DoubleType()
-    return T.StringType()
+def _kind(v) -> str:
+    return "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "double" if isinstance(v, float) else "text"
+
+
+def _column_kinds(path: str, sheet_name, sheet_index, rng) -> dict[str, set]:
+    """header -> kinds of its non-blank cells, over every row of one workbook's sheet."""
+    with _open_workbook_file(path) as fh:
+        _, headers, recs = sheet_records(fh, sheet_name, int(sheet_index) if sheet_index is not None else None, rng)
+        kinds: dict[str, set] = {h: set() for h in headers}
+        for r in recs:
+            for h, v in r.items():
+                if not _blank(v):
+                    kinds[h].add(_kind(v))
+        return kinds
+
+
+def _schema_of(kinds: dict[str, set]) -> T.StructType:
+    """Columns in order; a column of several kinds is text, of whole and broken numbers double."""
+    def of(k: set) -> T.DataType:
+        if k == {"boolean"}:
+            return T.BooleanType()
+        if k == {"long"}:
+            return T.LongType()
+        return T.DoubleType() if k and k <= {"long", "double"} else T.StringType()
+    return T.StructType([T.StructField(h, of(k), True) for h, k in kinds.items()])
+
+
+def infer_schema(spark: SparkSession, path: str, sheet_name=None, sheet_index=None, range_=None) -> T.StructType:
+    """Schema over every row of every workbook under ``path``, inferred in tasks (one row per column and
+    kind of cell reaches the driver); columns come in the order of their smallest place."""
+    import pandas as pd
+
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+             .where("lower(path) rlike '[.]xlsx?$'"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(h, i, k) for p in pdf["path"]
+                    for i, (h, ks) in enumerate(_column_kinds(p, sheet_name, sheet_index, range_).items())
+                    for k in (ks or {""})]
+            yield pd.DataFrame(rows, columns=["header", "place", "kind"])
+
+    found = files.mapInPandas(run, "header string, place int, kind string")
+    rows = found.groupBy("header", "kind").agg({"place": "min"}).collect()
+    if not rows:
+        raise ValueError(f"No workbooks under {path}")
+    place: dict[str, int] = {}
+    kinds: dict[str, set] = {}
+    for r in rows:
+        place[r[0]] = min(place.get(r[0], r[2]), r[2])
+        kinds.setdefault(r[0], set()).update({r[1]} - {""})
+    return _schema_of({h: kinds[h] for h in sorted(kinds, key=lambda h: (place[h], h))})
 
 
 def _convert(v, dt: T.DataType):
@@ -292,20 +320,16 @@ class XlsxDataSource(DataSource):
     def schema(self):
         if str(self._opt("inventory", "false")).lower() == "true":
             return INVENTORY_SCHEMA
+        # read_xlsx infers in tasks and passes the schema; this is for direct use of the format
         files = _list_workbooks(self.options["path"])
         if not files:
             raise ValueError(f"No workbooks under {self.options['path']}")
         idx = self._opt("sheetIndex")
-        with _open_workbook_file(files[0]) as fh:
-            _, headers, recs = sheet_records(fh, self._opt("sheetName"),
-                                             int(idx) if idx is not None else None, self._opt("range"))
-            sample = []
-            for i, r in enumerate(recs):
-                if i >= INFER_ROWS:
-                    break
-                sample.append(r)
-        fields = [T.StructField(h, _infer_type([r.get(h) for r in sample]), True) for h in headers]
-        return T.StructType(fields)
+        seen: dict[str, set] = {}
+        for f in files:
+            for h, kinds in _column_kinds(f, self._opt("sheetName"), idx, self._opt("range")).items():
+                seen.setdefault(h, set()).update(kinds)
+        return _schema_of(seen)
 
     def reader(self, schema):
         return _XlsxReader(self.options, schema)
@@ -503,8 +527,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet_name: str | None = None, she
     """Rows of one sheet of every workbook under ``path`` (one task per workbook)."""
     register(spark)
     r = spark.read.format(FORMAT_NAME)
-    if schema is not None:
-        r = r.schema(schema)
+    r = r.schema(schema if schema is not None else infer_schema(spark, path, sheet_name, sheet_index, range_))
     if sheet_name:
         r = r.option("sheetName", sheet_name)
     if sheet_index is not None:

@@ -1,7 +1,6 @@
 """XML scan (S8-S10) and sink (K5-K7) on Spark's native XML source.
 
-The row element is found by sniffing each file's head for the first element name that
-repeats (the tool looks for the repeated child of the document); the scan itself is
+The row element is the repeated child of each document's root; the scan itself is
 Spark's splittable ``rowTag`` reader. Attributes arrive with an ``@`` prefix and the text
 of an element with attributes as ``_VALUE``; ``normalise_xml`` renames them to the tool's
 plain keys and ``text`` (D24, S10). Writing, columns named ``@x`` become attributes.
@@ -9,34 +8,58 @@ plain keys and ``text`` (D24, S10). Writing, columns named ``@x`` become attribu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
-from .files import file_heads, list_files
 
 # Attributes use "@" (not Spark's default "_"): sanitised element names may start with "_"
 # and must stay elements, and "@" can never occur in a sanitised name.
 ATTR_PREFIX = "@"
 VALUE_TAG = "_VALUE"
-TAG_RE = r"<([A-Za-z_][A-Za-z0-9_.:-]*)[\s/>]"
 
 
-def row_tag_of(head: Column) -> Column:
-    """First element (after the root) whose name repeats in the head; else the second element."""
-    tags = F.regexp_extract_all(head, F.lit(TAG_RE), 1)
-    body = F.slice(tags, 2, 1 << 20)
-    repeated = F.filter(body, lambda t: F.size(F.filter(body, lambda u: u == t)) > 1)
-    return F.coalesce(F.try_element_at(repeated, F.lit(1)), F.try_element_at(body, F.lit(1)), F.try_element_at(tags, F.lit(1)))
+def _tags(content: bytes | None) -> tuple[str | None, str | None]:
+    """(root, row element) of one document: of the root's children the first whose name repeats,
+    else the first child, else the root. Broken documents count as far as they parse."""
+    from xml.parsers import expat
+    depth, root, children, repeated = 0, None, {}, None
 
+    def start(name, _):
+        nonlocal depth, root, repeated
+        if depth == 0:
+            root = name
+        elif depth == 1:
+            children[name] = children.get(name, 0) + 1
+            if children[name] == 2 and repeated is None:
+                repeated = name
+        depth += 1
 
-def detect_row_tags(spark: SparkSession, path: str, nbytes: int = 4096) -> DataFrame:
-    """(path, root_tag, row_tag) per file, from each file's first ``nbytes``."""
-    heads = file_heads(list_files(spark, path, "*.xml"), nbytes)
-    tags = F.regexp_extract_all(F.coalesce("head", F.lit("")), F.lit(TAG_RE), 1)
-    return heads.select("path", F.try_element_at(tags, F.lit(1)).alias("root_tag"),
-                        row_tag_of(F.coalesce("head", F.lit(""))).alias("row_tag"))
+    def end(_):
+        nonlocal depth
+        depth -= 1
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(content or b"", True)
+    except expat.ExpatError:
+        pass
+    return root, repeated or next(iter(children), root)
+
+
+def detect_row_tags(spark: SparkSession, path) -> DataFrame:
+    """(path, root_tag, row_tag) per file, by depth over the whole document (one task per file)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option(
+        "recursiveFileLookup", "true").load(path).select("path", "content")
+
+    @F.pandas_udf("struct<root_tag: string, row_tag: string>")
+    def tags(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tags(c) for c in content], columns=["root_tag", "row_tag"], dtype=object)
+
+    return files.select("path", tags("content").alias("t")).select("path", "t.*")
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, infer_schema: bool = False,
@@ -48,11 +71,14 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, infer_s
     separately and unioned by name (at most a handful of distinct tags reach the driver).
     """
     if row_tag is None:
-        found = detect_row_tags(spark, path).groupBy("row_tag").agg(F.collect_list("path").alias("paths")).collect()
-        frames = [read_xml(spark, r["paths"], r["row_tag"], infer_schema, schema, normalise, encoding)
-                  for r in found if r["row_tag"]]
-        if not frames:
+        tags = detect_row_tags(spark, path)
+        found = sorted(r[0] for r in tags.select("row_tag").distinct().collect() if r[0])
+        if not found:
             return spark.createDataFrame([], T.StructType([]))
+        if len(found) == 1:
+            return read_xml(spark, path, found[0], infer_schema, schema, normalise, encoding)
+        frames = [read_xml(spark, [r[0] for r in tags.where(F.col("row_tag") == t).select("path").collect()], t,
+                           infer_schema, schema, normalise, encoding) for t in found]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)

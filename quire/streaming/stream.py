@@ -94,7 +94,10 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, output_mode:
         def sink(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out)
         q = writer.foreachBatch(sink).start()
-    q.awaitTermination(timeout_s)
+    finished = q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise q.exception()
+    if not finished:
+        q.stop()
+        raise TimeoutError(f"stream {name} was still running after {timeout_s} s; its table is not complete")
     return spark.read.parquet(out)

@@ -30,8 +30,8 @@ def test_csv_typed_quoted_and_sniffed(spark, tmpdir_path):
 def test_csv_delimiter_scores(spark, tmpdir_path):
     write(tmpdir_path, "t.csv", "a\tb\tc\n1\t2\t3\n")
     prof = {r.delimiter: (r.score, r.chosen) for r in CSV.delimiter_profile(spark, tmpdir_path).collect()}
-    # the trailing newline gives a third, empty line (field count 1), as the tool's split does
-    assert prof["\t"] == (7 / 3, True) and prof[","] == (2.0, False)
+    # complete, non-empty lines count; all of them alike doubles the score
+    assert prof["\t"] == (6.0, True) and prof[","] == (2.0, False)
 
 
 def test_csv_sink_quotes(spark, tmpdir_path):
@@ -160,7 +160,6 @@ def test_csv_edge_files(spark, tmpdir_path):
     df = CSV.read_csv(spark, hdr)
     assert df.columns == ["name", "age", "email"] and df.count() == 0
     mixed = os.path.join(tmpdir_path, "mixed")
-    # (the sniffer scores the first 5 lines, a trailing empty one included, as the tool does)
     write(mixed, "m.csv", "a,b\r\n1,2\n3,4\r\n5,6\n7,8\n")
     assert sorted(tuple(r) for r in CSV.read_csv(spark, mixed).collect()) == [(1, 2), (3, 4), (5, 6), (7, 8)]
     big = os.path.join(tmpdir_path, "big")
