@@ -23,6 +23,7 @@ from .common import prepare, register, table
 TRAIN_DOCS = 6000       # labelled documents fitted, the bound of the sample
 TRAIN_WORDS = 3000      # distinct words a document brings to the fit; scoring uses all of a text's words
 FOLDS = 3
+STEP = 250              # texts scored at a time, which bounds a worker's memory
 MIN_DOCS = 4            # documents of the sample that a word must occur in
 # category -> condition on the label columns that makes a document an instance
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -124,9 +125,15 @@ class Chain:
 
     def score(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(probabilities, decisions) of each category for the texts."""
+        parts = [self._score(texts[lo:lo + STEP]) for lo in range(0, len(texts), STEP)]
+        k = len(self.models)
+        return ([np.concatenate([p[0][i] for p in parts] or [np.zeros(0)]) for i in range(k)],
+                [np.concatenate([p[1][i] for p in parts] or [np.zeros(0, bool)]) for i in range(k)])
+
+    def _score(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         n = len(texts)
         keys = self.vocab.keys()
-        rows, cols = self._matrix([sorted(words(t) & keys) for t in texts])
+        rows, cols = self._matrix(sorted(words(t) & keys) for t in texts)
         extra, probs, hits = np.zeros((n, 0)), [], []
         for model, cut in zip(self.models, self.cuts):
             z = np.full(n, -10.0) if model is None else model.logit(rows, cols, n, extra)
