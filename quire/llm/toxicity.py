@@ -10,7 +10,7 @@ of labelled documents; scoring runs over all texts in tasks.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import prepare, register, table
 
 TRAIN_DOCS = 6000       # labelled documents fitted, the bound of the sample
-TRAIN_WORDS = 3000      # distinct words a document brings to the fit; scoring uses all of a text's words
+TRAIN_WORDS = 3000      # distinct words a document brings to the fit, by hash; scoring uses all of a text's words
 FOLDS = 3
 STEP = 250              # texts scored at a time, which bounds a worker's memory
 MIN_DOCS = 4            # documents of the sample that a word must occur in
@@ -35,6 +35,20 @@ def words(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
+def bag(text: str | None, most: int = TRAIN_WORDS) -> list[str]:
+    """At most ``most`` distinct words of a text, those with the smallest hashes."""
+    return sorted(words(text), key=lambda w: (zlib.crc32(w.encode()), w))[:most]
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("_t")
+        bags = [bag(texts[i].as_py()) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_t"),
+                                          pa.array(bags, pa.list_(pa.string()))],
+                                         [*(c for c in batch.schema.names if c != "_t"), "_w"])
+
+
 class Linear:
     """Logistic regression on weighted word presence and a few dense features."""
 
@@ -81,15 +95,23 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 class Chain:
     """The fitted chain: a vocabulary, one linear model and one log-odds threshold a category."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, names: list[str]):
+    def __init__(self, texts: list[str] | pa.ListArray, labels: np.ndarray, names: list[str]):
+        """``texts``: the sample, as texts or as bags of distinct words."""
         self.names = names
-        bags = [sorted(words(t))[:TRAIN_WORDS] for t in texts]
-        df = Counter(w for b in bags for w in b)
-        self.vocab = {w: i for i, w in enumerate(sorted(w for w, k in df.items() if k >= MIN_DOCS))}
+        bags = texts if isinstance(texts, pa.Array) else pa.array([bag(t) for t in texts], pa.list_(pa.string()))
+        n = len(bags)
+        coded = bags.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = np.flatnonzero(np.bincount(code, minlength=len(coded.dictionary)) >= MIN_DOCS)
+        found = sorted(zip(coded.dictionary.take(pa.array(known)).to_pylist(), known.tolist()))
+        self.vocab = {w: i for i, (w, _) in enumerate(found)}
+        column = np.full(len(coded.dictionary), -1, np.int64)
+        column[[k for _, k in found]] = np.arange(len(found))
+        rows = np.repeat(np.arange(n), bags.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        cols = column[code]
+        rows, cols = rows[cols >= 0], cols[cols >= 0]
         self.models: list[Linear | None] = []
         self.cuts: list[float] = []
-        rows, cols = self._matrix(bags)
-        n = len(texts)
         extra = np.zeros((n, 0))
         fold = np.arange(n) % FOLDS
         for k in range(labels.shape[1]):
@@ -149,16 +171,20 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_docs: int = TRAIN
     Labels whose condition is null count as not an instance; a document with several label rows
     or several rows enters once. With no labelled document no category ever fires.
     """
+    prepare(docs.sparkSession)
     marks = [F.coalesce(F.expr(cond), F.lit(False)).cast("int").alias(f"_y{i}") for i, (_, cond) in enumerate(chain)]
-    lab = labels.where("doc_id is not null").select(F.col("doc_id").alias("_id"), *marks)
+    lab = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *marks)
     lab = lab.groupBy("_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(chain))])
-    lab = lab.orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(max_docs)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
+    lab = lab.withColumn("_h", F.xxhash64(F.lit(3), "_id")).orderBy("_h", "_id").limit(max_docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
     # the sample's ids are bounded by max_docs
-    got = (texts.join(F.broadcast(lab), "_id").groupBy("_id", *[f"_y{i}" for i in range(len(chain))])
-           .agg(F.min("_t").alias("_t")).orderBy(F.xxhash64(F.lit(3), "_id"), "_id").toArrow())
-    y = np.column_stack([got[f"_y{i}"].to_numpy() for i in range(len(chain))])
-    return Chain(got["_t"].to_pylist(), y, [name for name, _ in chain])
+    marks = [f"_y{i}" for i in range(len(chain))]
+    sample = texts.join(F.broadcast(lab), "_id").groupBy("_h", "_id", *marks).agg(F.min("_t").alias("_t"))
+    # words are taken in tasks: the driver gets at most max_docs bags of TRAIN_WORDS words, whatever the texts' length
+    got = sample.mapInArrow(_bags, "_h long, _id long, " + ", ".join(f"{m} int" for m in marks) + ", _w array<string>")
+    got = got.toArrow().sort_by([("_h", "ascending"), ("_id", "ascending")])
+    y = np.column_stack([got[m].to_numpy() for m in marks])
+    return Chain(got["_w"].combine_chunks(), y, [name for name, _ in chain])
 
 
 def classify(docs: DataFrame, model: Chain) -> DataFrame:
