@@ -235,18 +235,79 @@ def error_attributes(code: Column) -> Column:
                     F.coalesce(lookup(3), F.lit("An error occurred during the operation.")).alias("user_message"))
 
 
+# What a user can do about each error code, in the order shown.
+RECOVERY_SUGGESTIONS = {
+    "FILE_NOT_FOUND": ("Verify the file path is correct",
+                       "Check if the file exists in the specified location",
+                       "Ensure you have read permissions for the file"),
+    "PERMISSION_DENIED": ("Check file and directory permissions",
+                          "Run with appropriate user privileges",
+                          "Contact your system administrator"),
+    "UNSUPPORTED_FORMAT": ("Use a supported format: CSV, Excel, JSON, XML, or Markdown",
+                           "Convert your file to a supported format first",
+                           "Check the file extension matches the content"),
+    "CONVERSION_FAILED": ("Verify the input file is not corrupted",
+                          "Check if the file format is valid",
+                          "Try with a smaller file to test",
+                          "Review any transformation parameters"),
+    "VALIDATION_FAILED": ("Review the validation errors in the details",
+                          "Fix the data issues and try again",
+                          "Check the data format requirements"),
+    "NETWORK_ERROR": ("Check your internet connection",
+                      "Verify network settings and firewall rules",
+                      "Try again in a few moments"),
+    "TIMEOUT_ERROR": ("Try with a smaller file",
+                      "Increase the timeout setting if possible",
+                      "Check system resources and performance"),
+    "MEMORY_ERROR": ("Try with a smaller file",
+                     "Close other applications to free memory",
+                     "Process the file in smaller chunks"),
+    "DISK_SPACE_ERROR": ("Free up disk space",
+                         "Choose a different output location",
+                         "Clean up temporary files"),
+    "RATE_LIMIT_ERROR": ("Wait before trying again",
+                         "Reduce the frequency of requests"),
+    "CONFIGURATION_ERROR": ("Check the configuration settings",
+                            "Verify all required parameters are provided",
+                            "Contact your administrator for configuration help"),
+    "DEPENDENCY_ERROR": ("Install the required dependencies",
+                         "Check the system requirements",
+                         "Contact support for installation help"),
+}
+OTHER_SUGGESTIONS = ("Try the operation again",
+                     "Check the system logs for more details",
+                     "Contact support if the problem persists")
+
+
+def recovery_suggestions(code: Column, retry_after: Column | None = None) -> Column:
+    """Array of suggestions for an error code. ``retry_after``: seconds after which a rate limit
+    ends; null or 0 adds nothing. Unknown and null codes get the general suggestions."""
+    def texts(values):
+        return F.array(*[F.lit(v) for v in values])
+
+    pairs = [x for k, v in RECOVERY_SUGGESTIONS.items() for x in (F.lit(k), texts(v))]
+    out = F.coalesce(F.create_map(*pairs)[code], texts(OTHER_SUGGESTIONS))
+    if retry_after is None:
+        return out
+    wait = F.concat(F.lit("Retry after "), retry_after.cast("string"), F.lit(" seconds"))
+    return F.when((code == "RATE_LIMIT_ERROR") & (retry_after != 0), F.array_append(out, wait)).otherwise(out)
+
+
 def retry_delay_ms(attempt: Column, base_ms: int = 1000) -> Column:
     """Retry delay for attempt n (0-based): base * 2^n."""
     return F.lit(base_ms) * F.pow(F.lit(2), attempt).cast("long")
 
 
-def conversion_statistics(audit: DataFrame, format_col: str = "format") -> DataFrame:
-    """Totals, successes, failures and mean duration, overall and per format."""
+def conversion_statistics(audit: DataFrame, format_col: str = "format", overall: bool = False) -> DataFrame:
+    """Totals, successes, failures and mean duration per format; with ``overall``, also one row
+    over all formats (``overall`` true, null format), from the same aggregation."""
     ok = F.col("result") == "success"
-    per = audit.groupBy(F.col(format_col).alias("format")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
-        F.avg("duration").alias("avg_duration"))
-    return per
+    sums = [F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
+            F.avg("duration").alias("avg_duration")]
+    df = audit.withColumn("format", F.col(format_col))
+    if not overall:
+        return df.groupBy("format").agg(*sums)
+    return df.rollup("format").agg((F.grouping("format") == 1).alias("overall"), *sums)
 
 
 def append_audit_log(records: DataFrame, path: str, ts_col: str = "timestamp") -> None:

@@ -182,6 +182,49 @@ def a11_conversion_statistics(spark, sf_dir):
     return A.conversion_statistics(audit)
 
 
+@register("a11_conversion_totals", """
+SELECT event_type AS format, false AS overall, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS successful,
+       count(*) FILTER (WHERE event_type = 'error') AS failed, avg(value * 1000) AS avg_duration
+FROM events GROUP BY event_type
+UNION ALL
+SELECT NULL, true, count(*), count(*) FILTER (WHERE event_type <> 'error'), count(*) FILTER (WHERE event_type = 'error'),
+       avg(value * 1000) FROM events
+""")
+def a11_conversion_totals(spark, sf_dir):
+    """The same figures per format and over all formats."""
+    audit = A.audit_events_from(table(spark, sf_dir, "events")).withColumnRenamed("type", "format")
+    return A.conversion_statistics(audit, overall=True)
+
+
+# The expected texts are written out here once more, apart from the operator's own table.
+@register("l7_recovery_suggestions", """
+WITH c(i, code, advice) AS (VALUES
+  (0, 'FILE_NOT_FOUND', 'Verify the file path is correct|Check if the file exists in the specified location|Ensure you have read permissions for the file'),
+  (1, 'PERMISSION_DENIED', 'Check file and directory permissions|Run with appropriate user privileges|Contact your system administrator'),
+  (2, 'UNSUPPORTED_FORMAT', 'Use a supported format: CSV, Excel, JSON, XML, or Markdown|Convert your file to a supported format first|Check the file extension matches the content'),
+  (3, 'CONVERSION_FAILED', 'Verify the input file is not corrupted|Check if the file format is valid|Try with a smaller file to test|Review any transformation parameters'),
+  (4, 'VALIDATION_FAILED', 'Review the validation errors in the details|Fix the data issues and try again|Check the data format requirements'),
+  (5, 'NETWORK_ERROR', 'Check your internet connection|Verify network settings and firewall rules|Try again in a few moments'),
+  (6, 'TIMEOUT_ERROR', 'Try with a smaller file|Increase the timeout setting if possible|Check system resources and performance'),
+  (7, 'MEMORY_ERROR', 'Try with a smaller file|Close other applications to free memory|Process the file in smaller chunks'),
+  (8, 'DISK_SPACE_ERROR', 'Free up disk space|Choose a different output location|Clean up temporary files'),
+  (9, 'RATE_LIMIT_ERROR', 'Wait before trying again|Reduce the frequency of requests'),
+  (10, 'CONFIGURATION_ERROR', 'Check the configuration settings|Verify all required parameters are provided|Contact your administrator for configuration help'),
+  (11, 'DEPENDENCY_ERROR', 'Install the required dependencies|Check the system requirements|Contact support for installation help'),
+  (12, 'NO_SUCH_CODE', 'Try the operation again|Check the system logs for more details|Contact support if the problem persists'))
+SELECT event_id, code, advice || CASE WHEN code = 'RATE_LIMIT_ERROR' AND event_id % 5 <> 0
+                                      THEN '|Retry after ' || (event_id % 5) || ' seconds' ELSE '' END AS suggestions
+FROM events JOIN c ON event_id % 13 = i
+""")
+def l7_recovery_suggestions(spark, sf_dir):
+    """Suggestions for each event's error code, with the wait of rate limits."""
+    codes = F.array(*[F.lit(c) for c in (*A.RECOVERY_SUGGESTIONS, "NO_SUCH_CODE")])
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(codes, (F.col("event_id") % 13 + 1).cast("int")).alias("code"))
+    got = A.recovery_suggestions(F.col("code"), F.col("event_id") % 5)
+    return ev.select("event_id", "code", F.array_join(got, "|").alias("suggestions"))
+
+
 @register("l4_audit_log_partitioned", """
 SELECT CAST(event_id AS VARCHAR) AS id, ts AS "timestamp", event_type AS type,
        CASE WHEN event_type = 'error' THEN 'medium' ELSE 'low' END AS severity

@@ -61,7 +61,26 @@ def a8_json_depth(spark, sf_dir):
     return Q.json_depth_profile(o.unionByName(e), "j")
 
 
-@register("a9_xml_schema")
+@register("a8_json_depth_by_key", r"""
+SELECT doc_id, 1 + doc_id % 14 AS depth FROM documents
+""")
+def a8_json_depth_by_key(spark, sf_dir):
+    """Depth of a payload per document: 1 to 14 nested objects around the whole text, whose own
+    brackets and quotes do not count (A8)."""
+    d = (F.col("doc_id") % 14).cast("int")
+    inner = F.to_json(F.struct(F.concat(F.lit('[{"'), F.coalesce("text", F.lit(""))).alias("t")))
+    nested = F.concat(F.repeat(F.lit('{"a":'), d), inner, F.repeat(F.lit("}"), d))
+    return table(spark, sf_dir, "documents").select("doc_id", Q.json_depth(nested).cast("long").alias("depth"))
+
+
+@register("a9_xml_schema", """
+SELECT 'nation' AS element, 'element' AS type, ['key'] AS attributes, ['name', 'note', 'regions'] AS children,
+       false AS is_array, count(*) AS root_count FROM nation
+UNION ALL SELECT 'name', 'text-element', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, 0
+UNION ALL SELECT 'note', 'text-element', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, 0
+UNION ALL SELECT 'regions', 'element', CAST([] AS VARCHAR[]), ['r'], false, 0
+UNION ALL SELECT 'r', 'text-element', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), true, 0
+""")
 def a9_xml_schema(spark, sf_dir):
     """Element profile of one XML document per nation (attributes, repeated children, empty element)."""
     n = table(spark, sf_dir, "nation")
@@ -151,6 +170,41 @@ def v7_xlsx_checks(spark, sf_dir):
     return Q.xlsx_checks(table(spark, sf_dir, "lineitem"), sheet_name="lineitem")
 
 
+@register("v5_xml_checks_found", """
+SELECT 'warning' AS severity, 'INVALID_XML_FIELD_NAMES' AS code, 'headers' AS field, CAST(NULL AS BIGINT) AS "row",
+       'Field names will be sanitized for XML: 1st lang' AS message
+UNION ALL SELECT 'warning', 'RESERVED_XML_NAMES', 'headers', NULL, 'Field names starting with ''xml'' are reserved: xmlSource'
+UNION ALL SELECT 'warning', 'COMPLEX_XML_STRUCTURES', 'rows', NULL,
+       'Data contains nested objects or arrays that will be converted to XML elements'
+UNION ALL SELECT 'warning', 'XML_CONTROL_CHARACTERS', 'rows', NULL, 'Data contains control characters invalid in XML'
+FROM documents WHERE doc_id % 7 = 3 HAVING count(*) > 0
+""")
+def v5_xml_checks_found(spark, sf_dir):
+    """XML findings over documents with bad names, a nested column and control characters in some texts (V5)."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("1st lang"), F.col("source").alias("xmlSource"), F.struct("n_chars").alias("size"),
+        F.when(F.col("doc_id") % 7 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("\x01"))).otherwise(F.col("text"))
+        .alias("text"))
+    return Q.xml_checks(d)
+
+
+@register("v7_xlsx_checks_found", """
+SELECT 'warning' AS severity, 'INVALID_SHEET_NAME_CHARS' AS code, 'sheetName' AS field, CAST(NULL AS BIGINT) AS "row",
+       'Sheet name contains invalid characters' AS message
+UNION ALL SELECT 'warning', 'SHEET_NAME_TOO_LONG', 'sheetName', NULL, 'Sheet name is longer than 31 characters'
+UNION ALL SELECT 'warning', 'COMPLEX_DATA_TYPES', 'rows', NULL,
+       'Data contains complex objects that will be converted to JSON strings'
+UNION ALL SELECT 'error', 'EXCEL_ROW_LIMIT_EXCEEDED', 'rows', NULL,
+       'Data has ' || count(*) * 20 || ' rows, exceeding Excel''s limit of 1048576'
+FROM lineitem HAVING count(*) * 20 > 1048576
+""")
+def v7_xlsx_checks_found(spark, sf_dir):
+    """Sheet findings for lineitem, each row 20 times, with a nested column and a bad sheet name (V7)."""
+    rows = table(spark, sf_dir, "lineitem").select("*", F.struct("l_orderkey", "l_linenumber").alias("key"),
+                                                   F.explode(F.sequence(F.lit(1), F.lit(20))).alias("copy"))
+    return Q.xlsx_checks(rows, sheet_name="lineitem / every row of it, twenty times")
+
+
 @register("v8_file_checks")
 def v8_file_checks(spark, sf_dir):
     """File checks for 'csv' over a folder holding CSV and JSON files written from tables."""
