@@ -149,3 +149,45 @@ def t1_detect_extension(spark, sf_dir):
     det = D.detect_files(spark, base, analyze_content=False)
     return det.groupBy(D.extension_of(F.col("path")).alias("extension"), "format", "confidence", "error") \
         .agg(F.count(F.lit(1)).alias("files"))
+
+
+# Paths and their expected answers are written out apart from the operator's own tables.
+_PATHS_SQL = """
+WITH x(i, name, fmt, err) AS (VALUES
+  (0, '/in/a.csv', 'csv', NULL), (1, '/in/b.CSV', 'csv', NULL), (2, '/in/c.xls', 'xlsx', NULL), (3, '/in/d.xlsx', 'xlsx', NULL),
+  (4, '/in/e.json', 'json', NULL), (5, '/in/f.xml', 'xml', NULL), (6, '/in/g.md', 'md', NULL),
+  (7, '/in/h.markdown', 'md', NULL), (8, '/in/i.tar.gz', NULL, 'Unsupported format: .gz'),
+  (9, '/in.d/plain', NULL, 'Unsupported format: unknown'))
+"""
+_PATHS = ("/in/a.csv", "/in/b.CSV", "/in/c.xls", "/in/d.xlsx", "/in/e.json", "/in/f.xml", "/in/g.md", "/in/h.markdown",
+          "/in/i.tar.gz", "/in.d/plain")
+
+
+def _event_paths(spark, sf_dir):
+    paths = F.array(*[F.lit(p) for p in _PATHS])
+    return table(spark, sf_dir, "events").select(
+        "event_id", "props", F.element_at(paths, (F.col("event_id") % 10 + 1).cast("int")).alias("path"))
+
+
+@register("t1_extension_of_paths", _PATHS_SQL + """
+SELECT event_id, name AS path, fmt AS format, CASE WHEN fmt IS NOT NULL THEN 0.8 END::DOUBLE AS confidence,
+       'extension' AS "method", err AS error
+FROM events JOIN x ON event_id % 10 = i
+""")
+def t1_extension_of_paths(spark, sf_dir):
+    """Format by extension of one path per event."""
+    d = _event_paths(spark, sf_dir).withColumn("d", D.detect_by_extension(F.col("path")))
+    return d.select("event_id", "path", "d.*")
+
+
+@register("t3_hybrid_of_payloads", _PATHS_SQL + """
+SELECT event_id, name AS path, CASE WHEN fmt IS NOT NULL THEN 'json' END AS format,
+       CASE WHEN fmt = 'json' THEN 0.95 WHEN fmt IS NOT NULL THEN 0.9 END::DOUBLE AS confidence,
+       'hybrid' AS "method", err AS error
+FROM events JOIN x ON event_id % 10 = i
+""")
+def t3_hybrid_of_payloads(spark, sf_dir):
+    """Extension and content together: the JSON payload of each event under paths of every kind."""
+    d = D.with_content_format(_event_paths(spark, sf_dir), "props", "c", sample_chars=None)
+    d = d.withColumn("d", D.combine(D.detect_by_extension(F.col("path")), F.col("c")))
+    return d.select("event_id", "path", "d.*")

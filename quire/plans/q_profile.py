@@ -214,6 +214,25 @@ def v8_file_checks(spark, sf_dir):
     return Q.file_checks(list_files(spark, base), "csv").select("severity", "code", "message")
 
 
+@register("v8_file_checks_of_listing", """
+WITH f AS (SELECT doc_id, '/in/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.markdown' ELSE '.txt' END AS path,
+                  CASE WHEN doc_id % 11 = 0 THEN 0 ELSE strlen(text) * 20000 END AS bytes FROM documents)
+SELECT 'error' AS severity, 'FILE_TOO_LARGE' AS code, path AS field, CAST(NULL AS BIGINT) AS "row",
+       'File size (' || format('{:,.2f}', bytes / 1048576.0::DOUBLE) || 'MB) exceeds maximum allowed size (10MB)' AS message
+FROM f WHERE bytes > 10 * 1048576
+UNION ALL SELECT 'warning', 'EMPTY_FILE', path, NULL, 'File is empty' FROM f WHERE bytes = 0
+UNION ALL SELECT 'warning', 'EXTENSION_MISMATCH', path, NULL,
+       'File extension ''.txt'' does not match expected format ''md''. Expected: .md, .markdown' FROM f WHERE doc_id % 3 = 2
+""")
+def v8_file_checks_of_listing(spark, sf_dir):
+    """Size, emptiness and extension findings over a listing with one file per document (V8)."""
+    ext = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".markdown").otherwise(".txt")
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), ext).alias("path"), ext.alias("extension"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit(0)).otherwise(F.octet_length("text") * F.lit(20000).cast("long")).alias("length"))
+    return Q.file_checks(files, "md")
+
+
 @register("v9_content_xml", """
 SELECT 'warning' AS severity, 'UNBALANCED_XML_TAGS' AS code, CAST(page_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
        'XML tags may be unbalanced (this is a basic check)' AS message
