@@ -178,6 +178,12 @@ def _exponent_form(s: Column) -> Column:
     return F.regexp_replace(s, "E-", "e-")
 
 
+def iso_instant(c: Column) -> Column:
+    """ISO text of an instant: three digits of a second, or six where it has microseconds. Times
+    without a zone are UTC."""
+    return F.concat(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "000$", ""), F.lit("Z"))
+
+
 def js_string(c: Column, dtype: T.DataType) -> Column:
     """String(value) as a string column (NULL stays NULL; callers decide what null means)."""
     if isinstance(dtype, T.StringType):
@@ -187,7 +193,7 @@ def js_string(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
         return double_to_js_string(c.cast("double"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return iso_instant(c)
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd'T'00:00:00.000'Z'")
     if isinstance(dtype, T.VariantType):

@@ -190,6 +190,24 @@ def conversion_audit_records(conversions: DataFrame) -> DataFrame:
         conversion_severity(F.col("result")).alias("severity"))
 
 
+def error_audit_records(errors: DataFrame) -> DataFrame:
+    """L4: errors (code, message, user_id) -> audit events of type ERROR_OCCURRED; category, severity
+    and whether it can be mended come from the code (L7). Null and unknown codes are medium."""
+    a = error_attributes(F.col("code"))
+    e = errors.select("code", "message", "user_id", a.alias("_a"))
+    details = F.to_json(F.struct(
+        F.col("code").alias("errorCode"), F.col("message").alias("errorMessage"), F.col("_a.category").alias("errorCategory"),
+        F.col("_a.severity").alias("errorSeverity"), F.col("_a.recoverable").alias("recoverable")))
+    return e.select(F.lit("ERROR_OCCURRED").alias("type"), F.lit("error").alias("action"), F.lit("failure").alias("result"),
+                    "user_id", details.alias("details"), F.col("_a.severity").alias("severity"))
+
+
+def security_audit_records(events: DataFrame) -> DataFrame:
+    """L4: security events (action, result, user_id, ip_address, details) as audit events, always high."""
+    return events.select(F.lit("SECURITY_VIOLATION").alias("type"), "action", "result", "user_id", "ip_address", "details",
+                         F.lit("high").alias("severity"))
+
+
 def retention(audit: DataFrame, now, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """(records kept, one-row report of removed/kept counts) for a cutoff of ``days``."""
     cutoff = F.lit(now).cast(audit.schema["timestamp"].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")

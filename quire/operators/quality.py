@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jscompat import js_trim
+from ..functions.ordinal import sort_columns
 
 FINDING_SCHEMA = "severity string, code string, field string, row long, message string"
 
@@ -35,7 +36,6 @@ MD_SPECIAL_CHARS = ["|", "\\", "`", "*", "_", "{", "}", "[", "]", "(", ")", "#",
 XML_NAME_RE = r"^[a-zA-Z_][\w\-.]*$"
 XML_CONTROL_RE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 SHEET_NAME_BAD_RE = r"[\\/?*\[\]:]"
-CONTENT_SAMPLE_CHARS = 2048
 
 
 def finding(severity: str, code: str, message, field=None, row=None) -> Column:
@@ -72,6 +72,25 @@ def _header_findings(spark, names: Sequence[str], prefix: str = "") -> list:
 # V1/V2 structure checks on JSON row documents
 # ---------------------------------------------------------------------------------------
 
+def metadata_checks(rows: DataFrame, total_rows: int | None, headers: Sequence[str] | None = None,
+                    total_columns: int | None = None) -> DataFrame:
+    """V1/V2: stated row and column counts that are negative or not the real ones."""
+    items = []
+    if headers is not None and total_columns is not None and total_columns != len(headers):
+        items.append(("warning", "METADATA_MISMATCH", f"Metadata totalColumns ({total_columns}) doesn't match headers "
+                      f"length ({len(headers)})", None))
+    for name, n in (("totalRows", total_rows), ("totalColumns", total_columns)):
+        if n is not None and n < 0:
+            items.append(("error", "INVALID_COUNT", f"Metadata {name} must not be negative", None))
+    static = static_findings(rows.sparkSession, items)
+    if total_rows is None:
+        return static
+    counted = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != total_rows)
+    return static.unionByName(counted.select(finding("warning", "METADATA_MISMATCH", F.concat(
+        F.lit(f"Metadata totalRows ({total_rows}) doesn't match actual rows ("), F.col("n").cast("string"),
+        F.lit(")"))).alias("f")).select("f.*"))
+
+
 def structure_checks(rows: DataFrame, json_col: str, row_col: str, headers: Sequence[str] | None = None) -> DataFrame:
     """V1: per row EMPTY_ROW, MISSING_FIELDS, EXTRA_FIELDS against ``headers``; plus header checks."""
     spark = rows.sparkSession
@@ -128,6 +147,28 @@ def csv_checks(df: DataFrame) -> DataFrame:
     return static.unionByName(dyn)
 
 
+def csv_row_checks(rows: DataFrame, json_col: str, order_by, headers: Sequence[str] | None = None) -> DataFrame:
+    """V3 on JSON row documents: rows whose fields differ from the first row's (under ``order_by``),
+    and a first row that has not as many fields as there are headers.
+
+    With headers the numbers of fields are compared, without them their names; every row counts once
+    and a null row has no fields. Rows are counted by their fields map-side; no rows, no findings.
+    """
+    fields = F.array_sort(F.coalesce(F.json_object_keys(F.col(json_col)), F.array().cast("array<string>")))
+    order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_columns(order_by))])
+    shapes = rows.groupBy(fields.alias("fields")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
+    first = shapes.agg(F.min_by("fields", "o")).scalar()
+    other = F.size("fields") != F.size(first) if headers is not None else F.col("fields") != first
+    agg = shapes.agg(F.sum(F.when(other, F.col("n")).otherwise(0)).alias("bad"), F.size(F.min_by("fields", "o")).alias("k"))
+    items = [F.when(F.col("bad") > 0, finding("warning", "INCONSISTENT_CSV_STRUCTURE", F.concat(
+        F.col("bad").cast("string"), F.lit(" rows have inconsistent field structure")), "rows"))]
+    if headers is not None:
+        items.append(F.when(F.col("k") != len(headers), finding("warning", "HEADER_ROW_MISMATCH", F.concat(
+            F.lit(f"Header count ({len(headers)}) doesn't match row field count ("), F.col("k").cast("string"),
+            F.lit(")")), "headers")))
+    return agg.select(F.explode(F.array_compact(F.array(*items))).alias("f")).select("f.*")
+
+
 def json_depth(json_text: Column) -> Column:
     """Nesting depth of a JSON document as the tool counts it (a flat object is 1)."""
     # strings go first (possessive: no recursion per character), then every scalar, so that only
@@ -272,13 +313,12 @@ def file_checks(files: DataFrame, fmt: str, strict_extension: bool = False,
 def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col: str = "path",
                    sample_chars: int | None = None) -> DataFrame:
     """V9: JSON parses; XML starts with '<', has elements, balanced tags; CSV field counts of
-    the first 10 lines; Markdown patterns. Rules look at the first 2 K characters of ``text_col``
-    (a file head or a whole text; ``sample_chars=0`` checks whole texts), except JSON, which
-    is parsed whole since a cut sample is nearly always invalid."""
+    the first 10 lines; Markdown patterns. Rules look at the whole of ``text_col``; with
+    ``sample_chars`` (the source tool: 2,048) at that many first characters, except JSON, which is
+    parsed whole since a cut sample is nearly always invalid."""
     from .detect import markdown_hits
     full = F.coalesce(F.col(text_col), F.lit(""))
-    limit = CONTENT_SAMPLE_CHARS if sample_chars is None else sample_chars
-    t = full if limit <= 0 else F.substring(full, 1, limit)
+    t = F.substring(full, 1, sample_chars) if sample_chars else full
     key = F.col(key_col)
     if fmt == "json":
         t = full

@@ -103,7 +103,8 @@ def write_any(df: DataFrame, path: str, fmt: str, overwrite: bool = True, option
     if fmt == "csv":
         CSV.write_csv(df, path, overwrite=overwrite)
     elif fmt == "json":
-        JS.write_json(df, path, overwrite=overwrite, layout=o.get("layout", "array"), sort_keys=o.get("sort_keys", False))
+        JS.write_json(df, path, overwrite=overwrite, layout=o.get("layout", "array"), sort_keys=o.get("sort_keys", False),
+                      indent=o.get("indent", False), order_by=o.get("order_by"))
     elif fmt == "xml":
         XML.write_xml(df, path, root_tag=o.get("root_tag", "data"), row_tag=o.get("row_tag", "item"), overwrite=overwrite)
     elif fmt == "md":

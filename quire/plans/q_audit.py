@@ -89,6 +89,28 @@ def l4_audit_records(spark, sf_dir):
     return A.conversion_audit_records(conv)
 
 
+@register("l4_error_records", """
+SELECT 'ERROR_OCCURRED' AS type, 'error' AS action, 'failure' AS result, CAST(user_id AS VARCHAR) AS user_id,
+       '{"errorCode":"' || CASE WHEN event_id % 2 = 0 THEN 'NOT_A_KNOWN_CODE' ELSE 'OTHER' END || '","errorMessage":"event '
+       || event_id || '","errorCategory":"system","errorSeverity":"medium","recoverable":false}' AS details,
+       'medium' AS severity
+FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'SECURITY_VIOLATION', event_type, 'failure', CAST(user_id AS VARCHAR), props, 'high'
+FROM events WHERE event_type <> 'error'
+""")
+def l4_error_records(spark, sf_dir):
+    """Error events (unknown codes) and all others as security events, as audit records (L4)."""
+    ev = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string").alias("user_id")
+    err = A.error_audit_records(ev.where("event_type = 'error'").select(
+        F.when(F.col("event_id") % 2 == 0, "NOT_A_KNOWN_CODE").otherwise("OTHER").alias("code"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), user))
+    sec = A.security_audit_records(ev.where("event_type <> 'error'").select(
+        F.col("event_type").alias("action"), F.lit("failure").alias("result"), user,
+        F.lit(None).cast("string").alias("ip_address"), F.col("props").alias("details")))
+    return err.unionByName(sec.drop("ip_address"))
+
+
 @register("l5_retention", f"""
 SELECT count(*) FILTER (WHERE "timestamp" < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS) AS removed_records,
        count(*) FILTER (WHERE "timestamp" >= TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS) AS kept_records

@@ -113,6 +113,32 @@ def v3_csv_checks(spark, sf_dir):
     return Q.csv_checks(table(spark, sf_dir, "documents"))
 
 
+@register("v3_csv_row_checks", """
+WITH t AS (SELECT doc_id, l.doc_id IS NOT NULL AS labelled FROM documents LEFT JOIN labels l USING (doc_id)),
+     f AS (SELECT arg_min(labelled, doc_id) AS first FROM t)
+SELECT 'warning' AS severity, 'INCONSISTENT_CSV_STRUCTURE' AS code, 'rows' AS field, CAST(NULL AS BIGINT) AS "row",
+       count(*) || ' rows have inconsistent field structure' AS message
+FROM t, f WHERE labelled <> first HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'HEADER_ROW_MISMATCH', 'headers', NULL,
+       'Header count (4) doesn''t match row field count (' || CASE WHEN first THEN 5 ELSE 3 END || ')' FROM f
+""")
+def v3_csv_row_checks(spark, sf_dir):
+    """Document rows that lack the label fields, against the first row and four headers (V3)."""
+    return Q.csv_row_checks(_doc_json(spark, sf_dir), "j", ["doc_id"], headers=["doc_id", "lang", "n_chars", "quality"])
+
+
+@register("v1_metadata_checks", """
+SELECT 'warning' AS severity, 'METADATA_MISMATCH' AS code, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
+       'Metadata totalRows (1) doesn''t match actual rows (' || count(*) || ')' AS message
+FROM documents HAVING count(*) <> 1
+UNION ALL SELECT 'warning', 'METADATA_MISMATCH', NULL, NULL, 'Metadata totalColumns (4) doesn''t match headers length (5)'
+""")
+def v1_metadata_checks(spark, sf_dir):
+    """Stated row and column counts against the documents table (V1, V2)."""
+    d = table(spark, sf_dir, "documents")
+    return Q.metadata_checks(d, 1, d.columns, 4)
+
+
 @register("v4_json_checks", """
 SELECT 'error' AS severity, 'INVALID_JSON' AS code, 'j' AS field, CAST(NULL AS BIGINT) AS "row",
        count(*) || ' values are not valid JSON' AS message
@@ -243,7 +269,7 @@ WHERE len(regexp_extract_all(html, '<[^/][^>]*[^/]>'))
 def v9_content_xml(spark, sf_dir):
     """Content check of every whole page as XML (V9)."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("head"))
-    return Q.content_checks(p, "xml", sample_chars=0)  # whole pages
+    return Q.content_checks(p, "xml")
 
 
 @register("v9_content_csv", r"""
@@ -259,7 +285,7 @@ def v9_content_csv(spark, sf_dir):
     """Content check of every whole document as CSV (V9)."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"),
                                                  F.col("text").alias("head"))
-    return Q.content_checks(d, "csv", sample_chars=0)  # whole documents
+    return Q.content_checks(d, "csv")
 
 
 @register("v14_findings_report", """

@@ -247,7 +247,7 @@ def s3_csv_clean(spark, sf_dir):
     lines = cu.select(F.concat(F.col("c_custkey").cast("string"), F.lit(",  "), F.col("c_mktsegment"), F.lit(" , "),
                                F.col("c_name"), F.lit("  ")).alias("value"))
     out = scratch_dir(spark, "csvclean")
-    _with_preamble(lines, [" name_key ,, label "], "").write.text(out)
+    _with_preamble(lines, [" name_key ,, label "]).write.text(out)
     return CSV.read_csv(spark, out, sep=",")
 
 

@@ -154,12 +154,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
-    """K1 value formatting: doubles as the tool prints them, nested values as JSON text."""
+    """K1 value formatting: doubles and instants as the tool prints them, nested values as JSON text."""
     out = []
     for f in df.schema.fields:
         c = df[f"`{f.name}`"]
         if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType, T.StructType, T.ArrayType, T.MapType,
-                                   T.VariantType)):
+                                   T.VariantType, T.TimestampType, T.TimestampNTZType)):
             c = js_string(c, f.dataType)
         out.append(c.alias(f.name))
     return df.select(*out)
@@ -174,8 +174,6 @@ def write_csv(df: DataFrame, path: str, header: bool = True, overwrite: bool = T
     (out.write.mode("overwrite" if overwrite else "errorifexists")
      .option("header", header).option("quoteAll", True).option("quote", '"').option("escape", '"')
      .option("lineSep", "\n").option("encoding", encoding).option("emptyValue", "")
-     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
      .csv(path))
 
 

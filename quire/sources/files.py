@@ -103,3 +103,18 @@ def rename_parts(spark: SparkSession, path: str, extension: str) -> None:
         if name.startswith("part-") and not name.endswith(extension):
             stem = name.rsplit(".", 1)[0] if "." in name else name
             fs.rename(p, jvm.org.apache.hadoop.fs.Path(root, stem + extension))
+
+
+def write_documents(lines: DataFrame, path: str, overwrite: bool, extension: str | None, empty: str) -> None:
+    """Write text lines so that every part file is a document; ``empty`` is the whole output when
+    there are no lines. That is seen from the written bytes: a probe before the write would run
+    the plan twice and end observations on it after a few rows.
+    """
+    spark = lines.sparkSession
+    lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if empty and fs.getContentSummary(hp).getLength() == 0:
+        spark.createDataFrame([(empty,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    if extension:
+        rename_parts(spark, path, extension)

@@ -8,16 +8,22 @@ never guessed from the data (D22).
 
 from __future__ import annotations
 
+from functools import partial
 from typing import Iterator, Sequence
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jscompat import iso_instant
+from ..functions.nested import map_leaves
 from ..functions.ordinal import sort_columns
+from .files import write_documents
 
 LAYOUTS = ("rows", "indexed", "entries", "scalar")
+WRITE_LAYOUTS = ("lines", "array", "object", "keyValue")
 
 
 def variant_js_type(v: Column) -> Column:
@@ -108,42 +114,54 @@ def json_scalar(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 
 def write_json(df: DataFrame, path: str, sort_keys: bool = False, overwrite: bool = True,
-               layout: str = "lines", single_file: bool = False) -> None:
-    """K2: rows as JSON objects with nulls written explicitly.
-
-    ``layout="lines"`` writes JSON lines; ``layout="array"`` writes every part file as one
-    valid JSON array document (``[`` first, ``]`` last, commas between rows).
+               layout: str = "lines", single_file: bool = False, indent: bool = False, order_by=None) -> None:
+    """K2-K4: rows as JSON, nulls written explicitly; NaN and infinities as null.
+
+    ``lines``: one object per line. ``array``: every part file is one JSON array. ``object``: every
+    part file is one JSON object, first column to the rest, the last row of a key under ``order_by``
+    wins; a key is in one file only. ``keyValue``: arrays of {key, value} from the first two columns.
+    ``indent`` spreads each row over lines of two more spaces (not for ``lines``). A table
+    without rows gives an empty array or object (``lines``: no line).
     """
-    out = df.select(*sorted(df.columns)) if sort_keys else df
-    out = _json_safe_numbers(out)
+    if layout not in WRITE_LAYOUTS:
+        raise ValueError(f"unknown JSON layout {layout!r}; use one of {', '.join(WRITE_LAYOUTS)}")
+    if indent and layout == "lines":
+        raise ValueError("JSON lines cannot be indented")
+    out = df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)]) if sort_keys else df
+    if layout == "object":
+        out = to_object_layout(out, order_by)
+    elif layout == "keyValue":
+        out = to_keyvalue_layout(out)
+    out = json_ready(out)
     if single_file:
         out = out.coalesce(1)
-    mode = "overwrite" if overwrite else "errorifexists"
     if layout == "lines":
-        (out.write.mode(mode).option("ignoreNullFields", False)
-         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").json(path))
+        out.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
         return
-    lines_df = out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]),
-                                    {"ignoreNullFields": "false"}).alias("value"))
-    lines_df.mapInPandas(_array_document, "value string").write.mode(mode).text(path)
-    from .files import rename_parts
-    rename_parts(df.sparkSession, path, ".json")
-
-
-def _json_safe_numbers(df: DataFrame) -> DataFrame:
-    """NaN and infinities have no JSON form; they are written as null (as JSON.stringify does)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(f.dataType)).otherwise(c)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
-
-
-def _array_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Turn a partition's JSON rows into the lines of one JSON array document."""
+    options = {"ignoreNullFields": "false", "pretty": str(indent).lower()}
+    if layout == "object":
+        # {"key": value} without its braces is a member of the document
+        row = F.to_json(F.create_map(F.coalesce("key", F.lit("null")), F.col("value")), options)
+        row, ends = F.regexp_replace(row, r"^\{\s*|\s*\}$", ""), ("{", "}")
+    else:
+        row, ends = F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), options), ("[", "]")
+        row = F.replace(row, F.lit("\n"), F.lit("\n  ")) if indent else row
+    rows = out.select(row.alias("value")).mapInPandas(partial(_document, ends), "value string")
+    write_documents(rows, path, overwrite, ".json", "".join(ends))
+
+
+def json_ready(df: DataFrame) -> DataFrame:
+    """NaN and infinities, which have no JSON form, as null and instants as ISO text, at any depth."""
+    def leaf(c: Column, dt: T.DataType) -> Column:
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(dt)).otherwise(c)
+        return iso_instant(c)
+    kinds = (T.FloatType, T.DoubleType, T.TimestampType, T.TimestampNTZType)
+    return df.select(*[map_leaves(F.col(f"`{f.name}`"), f.dataType, kinds, leaf).alias(f.name) for f in df.schema.fields])
+
+
+def _document(ends: tuple[str, str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Turn a partition's JSON members into the lines of one document between ``ends``."""
     pending = None
     started = False
     for pdf in batches:
@@ -152,7 +170,7 @@ def _array_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         out = []
         if not started:
-            out.append("[")
+            out.append(ends[0])
             started = True
         if pending is not None:
             out.append("  " + pending + ",")
@@ -160,7 +178,10 @@ def _array_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending = vals[-1]
         yield pd.DataFrame({"value": out})
     if started:
-        yield pd.DataFrame({"value": ["  " + pending, "]"]})
+        yield pd.DataFrame({"value": ["  " + pending, ends[1]]})
+    elif TaskContext.get().partitionId() == 0:
+        # Spark writes a file for the first partition even if it has no rows
+        yield pd.DataFrame({"value": ["".join(ends)]})
 
 
 def to_object_layout(df: DataFrame, order_by=None) -> DataFrame:
@@ -184,17 +205,3 @@ def to_keyvalue_layout(df: DataFrame) -> DataFrame:
         raise ValueError("key/value layout needs two columns")
     a, b = df.columns[0], df.columns[1]
     return df.select(F.col(f"`{a}`").cast("string").alias("key"), F.col(f"`{b}`").alias("value"))
-
-
-OBJECT_DOCUMENT_MAX_KEYS = 1_000_000
-
-
-def object_document(df: DataFrame, order_by=None, max_keys: int = OBJECT_DOCUMENT_MAX_KEYS) -> DataFrame:
-    """K3 as one JSON object text. The whole object is one value, so this is for small
-    results (``single_file``): the key count is checked first and above ``max_keys`` the
-    distributed ``to_object_layout`` table must be used instead."""
-    kv = to_object_layout(df, order_by)
-    n = kv.count()
-    if n > max_keys:
-        raise ValueError(f"{n} keys exceed the single-document limit of {max_keys}; write the (key, value) table")
-    return kv.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("json"))

@@ -1,24 +1,21 @@
 """Markdown scans (S13-S18), the Markdown sinks (K9-K12) and the structure profile (A10).
 
 A Markdown file is a whole document: it is read as one row per file (parallel across
-files) and split into numbered lines; table detection is a window over each file's lines
-only, so one task never holds more than one document.
+files); tables are found by splitting the text inside that row, without a shuffle.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jscompat import js_trim
-
-from ..functions.jscompat import js_string
+from ..functions.jscompat import js_string, js_trim
 from ..functions.ordinal import with_ordinal
 from ..functions.maps import map_last_wins
-from .files import rename_parts, whole_texts
+from .files import whole_texts, write_documents
 
 # The patterns of the Markdown structures the tool recognises.
 LIST_UNORDERED_RE = r"(?m)^[\s]*[-*+]\s+(.+)$"
@@ -27,6 +24,8 @@ HEADING_RE = r"(?m)^(#{1,6})\s+(.+)$"
 INT_CELL_RE = r"^-?\d+$"
 DECIMAL_CELL_RE = r"^-?\d*\.\d+$"
 
+NO_PIPE_LINE_RE = r"(?md)^[^|\n]*$"   # (?d): only \n ends a line
+
 
 def read_markdown_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per Markdown document (path, text)."""
@@ -60,38 +59,40 @@ def _unmask(cell: Column) -> Column:
     return F.translate(cell, "\u0001\u0002", "\\|")
 
 
+def _row_cells(line: Column) -> Column:
+    return F.transform(F.split(_mask_escapes(line), r"\|", -1), lambda p: _trim(_unmask(p)))
+
+
+def tables_of(text: Column) -> Column:
+    """Array of the pipe tables of a document, each the array of its lines from the header on.
+
+    Lines without a pipe separate runs of lines with one. A table starts at the first line of a
+    run that has at least two pipes and is followed by a line that holds a hyphen.
+    """
+    runs = F.transform(F.split(text, NO_PIPE_LINE_RE, -1), lambda run: F.filter(
+        F.transform(F.split(run, "\n"), _trim), lambda ln: ln.contains("|")))
+    started = F.transform(runs, lambda lines: F.struct(lines.alias("lines"), F.array_position(
+        F.transform(lines, lambda ln, i: F.coalesce(F.get(lines, i + 1).contains("-"), F.lit(False))
+                    & (F.size(F.split(_mask_escapes(ln), r"\|", -1)) > 2)), True).cast("int").alias("start")))
+    return F.transform(F.filter(started, lambda t: t["start"] > 0),
+                       lambda t: F.slice(t["lines"], t["start"], F.size(t["lines"])))
+
+
 def table_lines(docs: DataFrame, text_col: str = "text", key: str = "path") -> DataFrame:
-    """Every line that belongs to a pipe table, with (table_index, row_index, cells).
+    """Every line that belongs to a pipe table, with (table_index, row_index, headers, cells).
 
-    A table starts at a line with at least two pipes followed by a line holding a pipe and
-    a hyphen; it runs until a blank or pipe-less line. ``row_index`` -1 is the header.
+    ``row_index`` -1 is the header; the separator line under it is left out. All of it is work
+    inside one row of ``docs``: nothing is shuffled.
     """
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-    w = Window.partitionBy("doc").orderBy("pos")
-    t = _trim(F.col("raw"))
-    lines = lines.select("doc", "pos", t.alias("line"))
-    in_run = (F.col("line") != "") & F.col("line").contains("|")
-    nxt = F.lead("line").over(w)
-    lines = lines.select(
-        "doc", "pos", "line", in_run.alias("in_run"),
-        (in_run & (F.size(F.split(_mask_escapes(F.col("line")), r"\|", -1)) > 2)
-         & F.coalesce(nxt.contains("|") & nxt.contains("-"), F.lit(False))).alias("cand"),
-        F.sum(F.when(in_run, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    rw = Window.partitionBy("doc", "run")
-    lines = lines.where("in_run").select(
-        "doc", "pos", "line", "run",
-        F.min(F.when(F.col("cand"), F.col("pos"))).over(rw).alias("start"))
-    lines = lines.where(F.col("start").isNotNull() & (F.col("pos") >= F.col("start")))
-    lines = lines.withColumn("table_index", F.dense_rank().over(Window.partitionBy("doc").orderBy("start")) - 1)
-    parts = F.transform(F.split(_mask_escapes(F.col("line")), r"\|", -1), lambda p: _trim(_unmask(p)))
+    tables = docs.select(F.col(key).alias(key), F.posexplode(tables_of(F.col(text_col))).alias("table_index", "lines"))
+    headed = tables.select(key, "table_index", F.filter(_row_cells(F.get("lines", F.lit(0))), lambda p: F.length(p) > 0)
+                           .alias("headers"), F.posexplode("lines").alias("i", "line"))
+    parts = _row_cells(F.col("line"))
     n = F.size(parts)
     data_cells = F.filter(parts, lambda p, i: ~(((i == 0) & (p == "")) | ((i == n - 1) & (p == ""))))
-    return lines.where(F.col("pos") != F.col("start") + 1).select(
-        F.col("doc").alias(key), "table_index",
-        F.when(F.col("pos") == F.col("start"), F.lit(-1)).otherwise(F.col("pos") - F.col("start") - 2)
-        .alias("row_index"),
-        F.when(F.col("pos") == F.col("start"), F.filter(parts, lambda p: F.length(p) > 0))
-        .otherwise(data_cells).alias("cells"))
+    return headed.where("i <> 1").select(
+        key, "table_index", F.when(F.col("i") == 0, F.lit(-1)).otherwise(F.col("i") - 2).alias("row_index"), "headers",
+        F.when(F.col("i") == 0, F.col("headers")).otherwise(data_cells).alias("cells"))
 
 
 def markdown_table_rows(docs: DataFrame, text_col: str = "text", key: str = "path",
@@ -100,14 +101,12 @@ def markdown_table_rows(docs: DataFrame, text_col: str = "text", key: str = "pat
     tl = table_lines(docs, text_col, key)
     if not all_tables:
         tl = tl.where(F.col("table_index") == 0)
-    headers = tl.where(F.col("row_index") == -1).select(key, "table_index", F.col("cells").alias("headers"))
     body = tl.where((F.col("row_index") >= 0) & (F.size("cells") > 0))
-    joined = body.join(headers, [key, "table_index"])
     cells = F.transform(F.col("headers"), lambda h, i: F.struct(
-        h.alias("key"), cell_text(F.coalesce(F.try_element_at(F.col("cells"), i + 1), F.lit(""))).alias("value")))
+        h.alias("key"), cell_text(F.coalesce(F.get(F.col("cells"), i), F.lit(""))).alias("value")))
     # a header that occurs twice keeps its last cell
-    return joined.withColumn("_q_cells", cells).select(key, "table_index", "row_index", "headers",
-                                                       map_last_wins(F.col("_q_cells")).alias("cells"))
+    return body.withColumn("_q_cells", cells).select(key, "table_index", "row_index", "headers",
+                                                     map_last_wins(F.col("_q_cells")).alias("cells"))
 
 
 def read_markdown_table(spark: SparkSession, path: str, all_tables: bool = False, typed: bool = True) -> DataFrame:
@@ -200,12 +199,11 @@ def frontmatter(text: Column) -> tuple[Column, Column]:
 
 
 def structure_profile(docs: DataFrame, text_col: str = "text", key: str = "path") -> DataFrame:
-    """A10: per document table, heading and list-item counts and the content type."""
-    tables = table_lines(docs, text_col, key).groupBy(key).agg(F.countDistinct("table_index").alias("table_count"))
+    """A10: per document table, heading and list-item counts and the content type; one projection."""
     t = F.col(text_col)
-    base = docs.select(F.col(key).alias(key), F.size(headings(t)).alias("heading_count"),
-                       F.size(list_items(t)).alias("list_item_count"))
-    out = base.join(tables, key, "left").withColumn("table_count", F.coalesce("table_count", F.lit(0)).cast("long"))
+    out = docs.select(F.col(key).alias(key), F.size(headings(t)).alias("heading_count"),
+                      F.size(list_items(t)).alias("list_item_count"),
+                      F.coalesce(F.size(tables_of(t)), F.lit(0)).cast("long").alias("table_count"))
     kind = (F.when(F.col("table_count") > 0, F.lit("table")).when(F.col("heading_count") > 0, F.lit("structured"))
             .when(F.col("list_item_count") > 0, F.lit("list")).otherwise(F.lit("text")))
     return out.select(key, (F.col("table_count") > 0).alias("has_table"), "table_count",
@@ -242,14 +240,11 @@ def table_line(df: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def _with_preamble(lines: DataFrame, preamble: Sequence[str], empty_marker: str) -> DataFrame:
+def _with_preamble(lines: DataFrame, preamble: Sequence[str]) -> DataFrame:
     """Put ``preamble`` (title, header, separator) in front of the first line of every
     partition, so every written part file is a document of its own. The first row of a task
     is the one whose ``monotonically_increasing_id`` has a zero in-partition index; the
-    projection runs in the writing task, so no row leaves the JVM. An empty input gives one
-    ``empty_marker`` line (a ``limit(1)`` probe)."""
-    if empty_marker and lines.isEmpty():
-        return lines.sparkSession.createDataFrame([(empty_marker,)], "value string")
+    projection runs in the writing task, so no row leaves the JVM."""
     if not preamble:
         return lines.select("value")
     first = F.col("_q_mid").bitwiseAND(F.lit((1 << 33) - 1)) == 0
@@ -267,10 +262,7 @@ def write_markdown_table(df: DataFrame, path: str, alignment: str = "left", titl
     lines = df.select(table_line(df).alias("value"))
     if single_file:
         lines = lines.coalesce(1)
-    _with_preamble(lines, pre, "<!-- Empty table -->").write.mode(
-        "overwrite" if overwrite else "errorifexists").text(path)
-    if extension:
-        rename_parts(df.sparkSession, path, extension)
+    write_documents(_with_preamble(lines, pre), path, overwrite, extension, "<!-- Empty table -->")
 
 
 def list_lines(df: DataFrame, ordered: bool = False, order_by=None) -> DataFrame:
@@ -293,9 +285,7 @@ def list_lines(df: DataFrame, ordered: bool = False, order_by=None) -> DataFrame
 def write_markdown_list(df: DataFrame, path: str, ordered: bool = False, order_by=None, title: str | None = None,
                         overwrite: bool = True) -> None:
     pre = [f"# {title}", ""] if title else []
-    _with_preamble(list_lines(df, ordered, order_by), pre, "<!-- Empty list -->").write.mode(
-        "overwrite" if overwrite else "errorifexists").text(path)
-    rename_parts(df.sparkSession, path, ".md")
+    write_documents(_with_preamble(list_lines(df, ordered, order_by), pre), path, overwrite, ".md", "<!-- Empty list -->")
 
 
 def heading_lines(df: DataFrame) -> DataFrame:
@@ -312,6 +302,4 @@ def heading_lines(df: DataFrame) -> DataFrame:
 
 
 def write_markdown_headings(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    _with_preamble(heading_lines(df), [], "<!-- Empty headings -->").write.mode(
-        "overwrite" if overwrite else "errorifexists").text(path)
-    rename_parts(df.sparkSession, path, ".md")
+    write_documents(heading_lines(df), path, overwrite, ".md", "<!-- Empty headings -->")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
+from ..functions.jscompat import iso_instant
+from ..functions.nested import map_leaves
 
 # Attributes use "@" (not Spark's default "_"): sanitised element names may start with "_"
 # and must stay elements, and "@" can never occur in a sanitised name.
@@ -186,6 +188,7 @@ def xml_ready(df: DataFrame) -> DataFrame:
             c = F.to_json(c)
         elif nt != f.dataType:
             c = c.cast(nt)
+        c = map_leaves(c, nt, (T.TimestampType, T.TimestampNTZType), lambda v, _: iso_instant(v))
         out.append(c.alias(xml_name(f.name)))
     return df.select(*out)
 
@@ -199,6 +202,4 @@ def write_xml(df: DataFrame, path: str, root_tag: str = "data", row_tag: str = "
     (out.write.mode("overwrite" if overwrite else "errorifexists").format("xml")
      .option("rootTag", root_tag).option("rowTag", row_tag).option("nullValue", "")
      .option("attributePrefix", ATTR_PREFIX).option("valueTag", VALUE_TAG)
-     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
      .option("declaration", 'version="1.0" encoding="UTF-8"').save(path))
