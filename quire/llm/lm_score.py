@@ -1,23 +1,24 @@
 """Scoring texts with a hierarchical Pitman-Yor language model.
 
-The context of a word is the last character of the word before it (none at a text's start). Each
-context is a restaurant whose customers are the words seen there; its tables are customers of
-one shared parent restaurant, whose base is uniform over the known words and one unknown word.
-The numbers of tables are sampled by Gibbs: all tables of one word in one restaurant are drawn
+The context of a word is the word before it (none at a text's start). Each context is a restaurant
+whose customers are the words seen there; its tables are customers of the restaurant of the previous
+word's last character, and that one's tables are customers of one shared root, whose base is uniform
+over the known words and one unknown word. The numbers of tables are sampled by Gibbs: all tables of one word in one restaurant are drawn
 from their exact conditional, given everything else, with generalised Stirling numbers (the
 customers after the 64th are seated one after another in blocks). A text's score uses predictive
 probabilities averaged over the samples after the burn-in.
 
-Plan. Texts are dealt into chunks of bounded size; a chunk sends its distinct (word, context)
+Plan. Texts are dealt into chunks of bounded size; a chunk sends its distinct (word, previous word)
 counts, packed and split by word hash, to word blocks. A block holds all contexts of its words,
-so seating in all restaurants runs without a shuffle; only totals per restaurant (bounded by the
-characters) are summed between rounds. A block's state is a function of its counts, the totals so
+so seating in all restaurants runs without moving entries; only totals per restaurant (one number a
+known word, summed in tasks) go through the driver between rounds. A block's state is a function of its counts, the totals so
 far and a seed, so each round replays the rounds before it and nothing but totals is kept: a lost
 executor costs its tasks alone. Blocks then answer each chunk's request and chunks score their texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,40 +39,41 @@ END = np.uint64(0x5BF03635DEADBEEF)     # the end token's hash
 
 # --- tokens -------------------------------------------------------------------------------------
 
-def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes and the end token, contexts): a context is the last byte of the word before,
-    or its last two bytes if that is not an ASCII character; 0 at the start."""
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes and the end token, hashes of the words before, last characters of the words before):
+    the last byte, or the last two bytes if that is not an ASCII character. 0 at the start."""
     buf = np.frombuffer(text.encode(), np.uint8)
     start, end = words_of(buf)
     h = np.append(word_hashes(buf, start, end), END)
+    prev = np.append(np.uint64(0), h[:-1])
     ctx = np.zeros(len(h), np.uint16)
     if len(start):
         last = _LOW[buf[end - 1]].astype(np.uint16)
         ctx[1:] = np.where(last < 128, last, buf[np.maximum(end - 2, 0)].astype(np.uint16) << 8 | last)
-    return h, ctx
+    return h, prev, ctx
 
 
 class Chunk:
-    """The tokens of some documents, and their distinct (word, context) entries in a fixed order."""
+    """The tokens of some documents, and their (word, previous word) entries in a fixed order."""
 
     def __init__(self, texts: list[str], held: np.ndarray, bits: int):
         parts = [tokens(t) for t in texts]
-        self.sizes = np.array([len(h) for h, _ in parts], np.int64)
-        h = np.concatenate([x for x, _ in parts])
-        c = np.concatenate([x for _, x in parts])
-        # block number on top, so that a block's entries are contiguous; below, a hash of the pair
-        top = ~np.uint64((1 << (64 - bits)) - 1)
-        key = (h & top) | (mix64(h + c.astype(np.uint64) * _MUL) >> np.uint64(bits))
+        self.sizes = np.array([len(h) for h, _, _ in parts], np.int64)
+        h, v, c = (np.concatenate(x) for x in zip(*parts))
+        # block number on top, so that a block's entries are contiguous, with the rest of the word's high
+        # half, so that a word's entries are too; below, a hash of the pair (if two pairs share it, an
+        # entry may be listed twice, which sums the same)
+        key = (h & np.uint64(0xFFFFFFFF00000000)) | (mix64(h + v * _MUL) >> np.uint64(32))
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
+        h, v = h[order], v[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]))
         first = np.flatnonzero(new)
-        self.word, self.ctx = h[order[first]], c[order[first]]
+        self.word, self.prev, self.ctx = h[first], v[first], c[order[first]]
         self.entry = np.empty(len(h), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.block = (self.word >> np.uint64(64 - bits)).astype(np.int64)
         train = np.repeat(~held, self.sizes)
-        self.count = np.bincount(self.entry[train], minlength=len(first)).astype(np.uint32)
+        self.count = np.bincount(self.entry[train], minlength=len(first)).astype(np.int64)
 
     def cuts(self) -> Iterator[tuple[int, int, int]]:
         """(block, from, to) of each block's entries."""
@@ -86,26 +88,49 @@ def _chunk(t: pa.Table, bits: int) -> Chunk | None:
     return Chunk(t.column("text").to_pylist(), t.column("held_out").to_numpy(zero_copy_only=False), bits)
 
 
+def _runs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, lengths) of the stretches of equal words."""
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    return word[first], np.diff(np.append(first, len(word)))
+
+
+_PACKED = {"word": np.uint64, "run": np.int64, "prev": np.uint64, "ctx": np.uint16, "n": np.int64}
+_SMALL = ("run", "ctx", "n")        # mostly equal small numbers: compressed
+_PACKED_DDL = ", ".join(f"{k} binary" for k in _PACKED)
+
+
+def _pack(word: np.ndarray, prev: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> dict:
+    words, run = _runs(word)
+    out = {"word": words, "run": run, "prev": prev, "ctx": ctx, "n": n}
+    return {k: zlib.compress(v.tobytes(), 1) if k in _SMALL else v.tobytes() for k, v in out.items()}
+
+
+def _unpack(row: dict) -> dict:
+    """The arrays of a packed row; ``word`` has one item an entry."""
+    out = {k: np.frombuffer(zlib.decompress(row[k]) if k in _SMALL else row[k], kind)
+           for k, kind in _PACKED.items() if k in row}
+    return out | {"word": np.repeat(out["word"], out["run"])}
+
+
 def _request(bits: int):
     def run(t: pa.Table) -> pa.Table:
         c, chunk = _chunk(t, bits), t.column("chunk")[0].as_py()
-        rows = [(b, chunk, c.word[i:j].tobytes(), c.ctx[i:j].tobytes(), c.count[i:j].tobytes()) for b, i, j in c.cuts()]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(col, k) for col, k in zip(zip(*rows), kinds)],
-                        names=["block", "chunk", "word", "ctx", "n"])
+        rows = [{"block": b, "chunk": chunk} | _pack(c.word[i:j], c.prev[i:j], c.ctx[i:j], c.count[i:j])
+                for b, i, j in c.cuts()]
+        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("chunk", pa.int32())]
+                                                    + [(k, pa.binary()) for k in _PACKED]))
     return run
 
 
 def _build(t: pa.Table) -> pa.Table:
-    """All requests of a block -> its distinct entries, by word and context, with training counts."""
-    join = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-    word, ctx, n = join("word", np.uint64), join("ctx", np.uint16), join("n", np.uint32)
-    order = np.lexsort((ctx, word))
-    word, ctx, n = word[order], ctx[order], n[order]
-    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1])))
-    blob = lambda a: pa.array([a.tobytes()], pa.binary())
-    return pa.table({"block": t.column("block").slice(0, 1), "word": blob(word[first]), "ctx": blob(ctx[first]),
-                     "n": blob(np.add.reduceat(n.astype(np.int64), first))})
+    """All requests of a block -> its distinct entries, by word and previous word, with training counts."""
+    parts = [_unpack(r) for r in t.to_pylist()]
+    word, prev, ctx, n = (np.concatenate([p[k] for p in parts]) for k in ("word", "prev", "ctx", "n"))
+    order = np.lexsort((prev, word))
+    word, prev = word[order], prev[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (prev[1:] != prev[:-1])))
+    row = _pack(word[first], prev[first], ctx[order[first]], np.add.reduceat(n[order], first))
+    return pa.table({"block": t.column("block").slice(0, 1)} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
 
 
 # --- the model ----------------------------------------------------------------------------------
@@ -154,7 +179,7 @@ def draw_tables(rng, c: np.ndarray, logp: np.ndarray, others: np.ndarray, d: flo
 
 
 class Block:
-    """The restaurants' seating of one block of words, replayed from its counts."""
+    """The seating of one block of words in the last characters' restaurants and in the root."""
 
     def __init__(self, number: int, word: np.ndarray, ctx: np.ndarray, n: np.ndarray, model: dict):
         self.number, self.ctx, self.n, self.model = number, ctx.astype(np.int64), n, model
@@ -165,7 +190,6 @@ class Block:
         self.t = np.minimum(n, 1)                           # tables per entry; at first one each
         self.c0 = self._parents()                           # customers of the parent restaurant
         self.t0 = np.minimum(self.c0, 1)
-        self.sum, self.samples = np.zeros(len(n)), 0
 
     def _parents(self) -> np.ndarray:
         return np.bincount(self.of, self.t, minlength=self.words).astype(np.int64)
@@ -178,7 +202,8 @@ class Block:
 
     def predict(self, k: dict) -> np.ndarray:
         m, p = self.model, self.parent(k)[self.of]
-        c, t = m["customers"][self.ctx], k["tables"][self.ctx]
+        customers = k["customers"] if "customers" in k else m["customers"]
+        c, t = customers[self.ctx], k["tables"][self.ctx]
         return (self.n - m["d1"] * self.t + (STRENGTH + m["d1"] * t) * p) / (c + STRENGTH)
 
     def sweep(self, number: int, k: dict) -> None:
@@ -192,95 +217,182 @@ class Block:
         base = np.full(self.words, -np.log(m["known"] + 1))
         self.t0 = draw_tables(rng, self.c0, base, np.maximum(k["t0"] - self.t0, 0), m["d0"], STRENGTH, m["s0"])
 
-    def replay(self, history: list[dict]) -> None:
+
+class Words:
+    """The seating of one block of words in all restaurants, replayed from its counts. The tables of the
+    previous words' restaurants are the customers of the block above."""
+
+    def __init__(self, number: int, word: np.ndarray, prev: np.ndarray, ctx: np.ndarray, n: np.ndarray, model: dict):
+        self.number, self.n, self.model = number, n, model
+        # the restaurants of this block, and each entry's among them
+        rest, self.rest = np.unique(prev, return_inverse=True)
+        self.at = _places(rest, model["vocab"])
+        of = np.cumsum(np.append(True, word[1:] != word[:-1])) - 1
+        self.total = np.bincount(of, n).astype(np.int64)    # training count of each word
+        pairs, self.pair = np.unique(of << 16 | ctx, return_inverse=True)
+        self.t = np.minimum(n, 1)
+        self.above = Block(number, pairs >> 16, (pairs & 0xFFFF).astype(np.uint16), self._seated(len(pairs)), model)
+        self.sum, self.samples = np.zeros(len(n)), 0
+
+    def _seated(self, pairs: int) -> np.ndarray:
+        return np.bincount(self.pair, self.t, minlength=pairs).astype(np.int64)
+
+    def predict(self, k: dict) -> np.ndarray:
+        m, p = self.model, self.above.predict(k)[self.pair]
+        c, t = m["seen"][self.at][self.rest], k["seats"][self.at][self.rest]
+        return (self.n - m["d2"] * self.t + (STRENGTH + m["d2"] * t) * p) / (c + STRENGTH)
+
+    def sweep(self, number: int, k: dict) -> None:
+        """One round of Gibbs given the totals of the state before it."""
+        m = self.model
+        rng = np.random.default_rng([SEED, self.number, number, 2])
+        logp = np.log(self.above.predict(k))[self.pair]
+        others = np.maximum(k["seats"][self.at][self.rest] - self.t, 0)
+        self.t = draw_tables(rng, self.n, logp, others, m["d2"], STRENGTH, m["s2"])
+        self.above.n = self._seated(len(self.above.n))
+        self.above.sweep(number, k)
+
+    def replay(self, history: list) -> None:
         """Run the rounds whose totals are known, adding predictions after the burn-in."""
         for r, k in enumerate(history):
             if r > BURN_IN:
-                self.sum += self.predict(k)
+                self.sum += self.predict(k.value)
                 self.samples += 1
             if r < BURN_IN + SAMPLES:
-                self.sweep(r, k)
+                self.sweep(r, k.value)
+
+    def totals(self) -> dict:
+        """What this block adds to the totals: kind -> (places, values)."""
+        a = self.above
+        return {"seats": (self.at, np.bincount(self.rest, self.t, minlength=len(self.at))),
+                "customers": _sparse(np.bincount(a.ctx, a.n)), "tables": _sparse(np.bincount(a.ctx, a.t)),
+                "c0": ([0], [a.c0.sum()]), "t0": ([0], [a.t0.sum()])}
 
 
-def _block_of(row: dict, model: dict) -> Block:
-    return Block(row["block"], np.frombuffer(row["word"], np.uint64), np.frombuffer(row["ctx"], np.uint16),
-                 np.frombuffer(row["n"], np.int64), model)
+def _places(prev: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Places of previous words among the known words; after those come unknown words, then the start."""
+    at = np.searchsorted(vocab, prev)
+    known = np.append(vocab, np.uint64(0))[at] == prev
+    return np.where(prev == 0, len(vocab) + 1, np.where(known, at, len(vocab)))
+
+
+def _words_of(row: dict, model: dict) -> tuple[Words, dict]:
+    e = _unpack(row)
+    return Words(row["block"], e["word"], e["prev"], e["ctx"], e["n"], model), e
+
+
+def _sparse(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(v)
+    return at, v[at]
 
 
 def _first_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of the counts: rows (kind, ctx, value)."""
+    """Totals of the counts: the known words with their counts, and what the discounts need."""
     for batch in batches:
         for row in batch.to_pylist():
-            ctx, n = np.frombuffer(row["ctx"], np.uint16), np.frombuffer(row["n"], np.int64)
-            word = np.frombuffer(row["word"], np.uint64)
-            of = np.cumsum(np.append(True, word[1:] != word[:-1])) - 1
-            seen = np.bincount(of, n > 0)                       # contexts of each word
-            yield _totals({"customers": np.bincount(ctx, n), "tables": np.bincount(ctx, n > 0),
-                           "known": (seen > 0).sum(), "ones": (n == 1).sum(), "twos": (n == 2).sum(),
-                           "ones0": (seen == 1).sum(), "twos0": (seen == 2).sum()})
-
-
-def _totals(values: dict) -> pa.RecordBatch:
-    kind, ctx, value = [], [], []
-    for name, v in values.items():
-        at = np.flatnonzero(v) if np.ndim(v) else [0]
-        kind += [name] * len(at)
-        ctx += [int(a) for a in at]
-        value += [int(x) for x in (v[at] if np.ndim(v) else [v])]
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(ctx, pa.int32()),
-                                       pa.array(value, pa.int64())], ["kind", "ctx", "value"])
-
-
-def _round_totals(model, history: list[dict]):
+            e = _unpack(row)
+            words, run = _runs(e["word"])
+            n = e["n"]
+            of = np.repeat(np.arange(len(words)), run)
+            total = np.bincount(of, n).astype(np.int64)
+            pairs, pair = np.unique(of << 16 | e["ctx"], return_inverse=True)
+            seen1 = np.bincount(pair, n > 0)                        # previous words of each (word, last character)
+            seen0 = np.bincount(pairs >> 16, seen1 > 0)             # last characters of each word
+            yield _totals({"vocab": (words[total > 0], total[total > 0])}, row["block"])
+            yield _totals({f"{name}{level}": ([0], [(v == times).sum()]) for level, v in enumerate((seen0, seen1, n))
+                           for name, times in (("ones", 1), ("twos", 2))})
+
+
+_TOTALS_DDL = "kind string, part int, at binary, value binary"
+
+
+def _totals(values: dict, part: int | None = None) -> pa.RecordBatch:
+    """Rows (kind, part, places, values); a part has 65,536 places unless it is given."""
+    rows = []
+    for kind, (at, v) in values.items():
+        at, v = np.asarray(at, np.uint64), np.asarray(v).astype(np.int64)
+        parts = (at >> np.uint64(16)).astype(np.int64) if part is None else np.full(len(at), part)
+        for p in np.unique(parts):
+            mine = parts == p
+            rows.append({"kind": kind, "part": int(p), "at": at[mine].tobytes(), "value": v[mine].tobytes()})
+    return pa.RecordBatch.from_pylist(rows, _TOTALS_SCHEMA)
+
+
+_TOTALS_SCHEMA = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
+
+
+def _add(t: pa.Table) -> pa.Table:
+    """The rows of a kind and part as one row of sums."""
+    at, of = np.unique(np.frombuffer(b"".join(t.column("at").to_pylist()), np.uint64), return_inverse=True)
+    value = np.zeros(len(at), np.int64)
+    np.add.at(value, of, np.frombuffer(b"".join(t.column("value").to_pylist()), np.int64))
+    return pa.Table.from_pylist([{"kind": t.column("kind")[0].as_py(), "part": t.column("part")[0].as_py(),
+                                  "at": at.tobytes(), "value": value.tobytes()}], _TOTALS_SCHEMA)
+
+
+def _round_totals(model, history: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _block_of(row, model.value)
-                b.replay(history)
-                yield _totals({"tables": np.bincount(b.ctx, b.t), "c0": b.c0.sum(), "t0": b.t0.sum()})
+                w, _ = _words_of(row, model.value)
+                w.replay(history)
+                yield _totals(w.totals())
     return run
 
 
 def _gather(rows: DataFrame) -> dict:
-    """Sums by kind and context; at most one row per context (65,536) and kind reaches the driver."""
+    """Sums by kind: (places, values) in order of the places. One number a known word at most reaches the driver."""
     out: dict = {}
-    for r in rows.groupBy("kind", "ctx").agg(F.sum("value").alias("value")).toLocalIterator():
-        if r.kind in ("customers", "tables"):
-            out.setdefault(r.kind, np.zeros(1 << 16, np.int64))[r.ctx] = r.value
-        else:
-            out[r.kind] = r.value
+    for r in rows.groupBy("kind", "part").applyInArrow(_add, _TOTALS_DDL).toLocalIterator():
+        out.setdefault(r.kind, []).append((np.frombuffer(r.at, np.uint64), np.frombuffer(r.value, np.int64)))
+    for kind, parts in out.items():
+        at, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at)
+        out[kind] = at[order], value[order]
     return out
 
 
+def _dense(found: dict, kind: str, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    if kind in found:
+        out[found[kind][0].astype(np.int64)] = found[kind][1]
+    return out
+
+
+def _state(found: dict, words: int) -> dict:
+    return {"seats": _dense(found, "seats", words + 2), "customers": _dense(found, "customers", 1 << 16),
+            "tables": _dense(found, "tables", 1 << 16), "c0": int(_dense(found, "c0", 1)[0]),
+            "t0": int(_dense(found, "t0", 1)[0])}
+
+
 def _discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
 
-def _answer(model, history: list[dict]):
-    """A block's entries and the chunks' requests -> averaged log10 probabilities and word counts,
-    in the order of each request."""
+def _answer(model, history: list):
+    """A block's entries and the chunks' requests -> averaged log10 probabilities of the entries and
+    counts of the words, in the order of each request."""
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
-        row = entries.to_pylist()[0]
-        b = _block_of(row, model.value)
+        b, e = _words_of(entries.to_pylist()[0], model.value)
         b.replay(history)
         logp = np.log10(np.maximum(b.sum / max(b.samples, 1), 1e-300)).astype(np.float32)
-        word = np.frombuffer(row["word"], np.uint64)
-        ctx = np.frombuffer(row["ctx"], np.uint16)
+        word, prev = e["word"], e["prev"]
         start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         ends = np.append(start[1:], len(word))
         width = int((ends - start).max())
+        words = word[start]
         scores, counts = [], []
-        for w, c in zip(asked.column("word").to_pylist(), asked.column("ctx").to_pylist()):
-            w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.uint16)
-            k = np.searchsorted(word[start], w)
-            # the entry of (word, context): entries of a word are sorted by context
+        for row in asked.to_pylist():
+            q = _unpack(row)
+            k = np.searchsorted(words, q["word"])
+            # the entry of (word, previous word): entries of a word are sorted by the previous one
             lo, hi = start[k], ends[k]
             for _ in range(width.bit_length()):
                 mid = (lo + hi) // 2
-                go = (lo < hi) & (ctx[np.minimum(mid, len(ctx) - 1)] < c)
+                go = (lo < hi) & (prev[np.minimum(mid, len(prev) - 1)] < q["prev"])
                 lo, hi = np.where(go, mid + 1, lo), np.where(go, hi, mid)
             scores.append(logp[lo].tobytes())
-            counts.append(b.total[k].tobytes())
+            counts.append(zlib.compress(b.total[k[np.cumsum(q["run"]) - 1]].tobytes(), 1))
         return pa.table({"chunk": asked.column("chunk"), "block": asked.column("block"),
                          "score": pa.array(scores, pa.binary()), "n": pa.array(counts, pa.binary())})
     return run
@@ -293,7 +405,8 @@ def _score(bits: int, total: int, known: int):
             return pa.table({k: pa.array([], t) for k, t in _OUT.items()})
         got = {r["block"]: r for r in answers.select(["block", "score", "n"]).to_pylist()}
         score = np.concatenate([np.frombuffer(got[b]["score"], np.float32) for b, _, _ in c.cuts()]).astype(float)
-        n = np.concatenate([np.frombuffer(got[b]["n"], np.int64) for b, _, _ in c.cuts()])
+        n = np.concatenate([np.repeat(np.frombuffer(zlib.decompress(got[b]["n"]), np.int64), _runs(c.word[i:j])[1])
+                            for b, i, j in c.cuts()])
         base = np.log10((n + 1) / (total + known + 1))
         first = np.append(0, np.cumsum(c.sizes)[:-1])
         add = lambda v: np.add.reduceat(v[c.entry], first)
@@ -328,23 +441,24 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
     bits = max(4, min(16, (size // BLOCK_BYTES).bit_length()))
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     asked = materialize(dealt.groupBy("chunk").applyInArrow(
-        _request(bits), "block int, chunk int, word binary, ctx binary, n binary"), "lm-requests")
-    blocks = materialize(asked.select("block", "word", "ctx", "n").groupBy("block").applyInArrow(
-        _build, "block int, word binary, ctx binary, n binary"), "lm-blocks")
-    first = _gather(blocks.mapInArrow(_first_totals, "kind string, ctx int, value long"))
-    zero = np.zeros(1 << 16, np.int64)
-    d1 = _discount(first.get("ones", 0), first.get("twos", 0))
-    d0 = _discount(first.get("ones0", 0), first.get("twos0", 0))
-    known, total = first.get("known", 0), int(first.get("customers", zero).sum())
-    # bounded: one number per context, and tables of 64 x 64
-    model = spark.sparkContext.broadcast({"customers": first.get("customers", zero), "known": known, "d0": d0, "d1": d1,
-                                          "s0": log_stirling(d0), "s1": log_stirling(d1)})
-    tables = first.get("tables", zero)
-    history = [{"tables": tables, "c0": int(tables.sum()), "t0": known}]
-    for _ in range(BURN_IN + SAMPLES):
-        got = _gather(blocks.mapInArrow(_round_totals(model, history), "kind string, ctx int, value long"))
-        history = [*history, {"tables": got.get("tables", zero), "c0": got.get("c0", 0), "t0": got.get("t0", 0)}]
-    answers = blocks.groupBy("block").cogroup(asked.select("block", "chunk", "word", "ctx").groupBy("block")).applyInArrow(
+        _request(bits), f"block int, chunk int, {_PACKED_DDL}"), "lm-requests")
+    blocks = materialize(asked.select("block", *_PACKED).groupBy("block").applyInArrow(
+        _build, f"block int, {_PACKED_DDL}"), "lm-blocks")
+    first = _gather(blocks.mapInArrow(_first_totals, _TOTALS_DDL))
+    d0, d1, d2 = (_discount(*(int(_dense(first, f"{name}{level}", 1)[0]) for name in ("ones", "twos"))) for level in range(3))
+    vocab, count = first.get("vocab", (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    known, total = len(vocab), int(count.sum())
+    # every training word is the context of the one after it; each training text has one end, and one start
+    starts = int(count[vocab == END].sum())
+    # a number per known word, and tables of 64 x 64
+    model = spark.sparkContext.broadcast({"vocab": vocab, "seen": np.append(count, [0, starts]), "known": known,
+                                          "d0": d0, "d1": d1, "d2": d2, "s0": log_stirling(d0),
+                                          "s1": log_stirling(d1), "s2": log_stirling(d2)})
+    history: list = []
+    for _ in range(1 + BURN_IN + SAMPLES):
+        found = _gather(blocks.mapInArrow(_round_totals(model, list(history)), _TOTALS_DDL))
+        history.append(spark.sparkContext.broadcast(_state(found, known)))
+    answers = blocks.groupBy("block").cogroup(asked.select("block", "chunk", "word", "run", "prev").groupBy("block")).applyInArrow(
         _answer(model, history), "chunk int, block int, score binary, n binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(bits, total, known), _OUT_DDL)
 

@@ -103,6 +103,47 @@ def test_predictions_sum_to_one():
         b.sweep(number, k)
 
 
+def test_the_previous_word_is_the_context(spark):
+    """Words that share a last character are different contexts: only the word before says what follows."""
+    r = random.Random(5)
+    firsts, seconds = [f"w{i}x" for i in range(40)], [f"s{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        picks = [r.randrange(40) for _ in range(30)]
+        rows.append((i, " ".join(f"{firsts[p]} {seconds[p]}" for p in picks)))
+    rows += [(1000, "w3x s3"), (1001, "w3x s4")]
+    got = {x.doc_id: x for x in lm_score.score_texts(documents(spark, rows)).collect()}
+    check_base(rows, list(got.values()))
+    assert got[1000].score > got[1001].score + 1            # ten times as likely at least
+
+
+def test_word_predictions_sum_to_one():
+    """Over all known words and the unknown one, after every word and after every round."""
+    r = np.random.default_rng(3)
+    n_words, prevs = 40, np.arange(1, 13, dtype=np.uint64)
+    word = np.repeat(np.arange(1, n_words + 1, dtype=np.uint64), len(prevs))
+    prev = np.tile(prevs, n_words)
+    ctx = (prev % 4).astype(np.uint16)
+    n = (r.pareto(0.7, len(word)) * (r.random(len(word)) < 0.4)).astype(np.int64)
+    n[::len(prevs)] += 1
+    seen = np.bincount(prev.astype(np.int64) - 1, n, minlength=n_words).astype(np.int64)
+    model = {"vocab": np.arange(1, n_words + 1, dtype=np.uint64), "seen": np.append(seen, [0, 0]), "known": n_words,
+             "d0": 0.6, "d1": 0.5, "d2": 0.7} | {f"s{i}": lm_score.log_stirling(d) for i, d in enumerate((0.6, 0.5, 0.7))}
+    b = lm_score.Words(0, word, prev, ctx, n, model)
+    for number in range(4):
+        k = lm_score._state({x: (np.asarray(at, np.uint64), np.asarray(v).astype(np.int64)) for x, (at, v)
+                             in b.totals().items()}, n_words)
+        p = b.predict(k)
+        unknown = (lm_score.STRENGTH + 0.6 * k["t0"]) / (n_words + 1) / (k["c0"] + lm_score.STRENGTH)
+        for v in prevs:
+            c = int(v % 4)
+            up = (lm_score.STRENGTH + 0.5 * k["tables"][c]) / (k["customers"][c] + lm_score.STRENGTH)
+            back = (lm_score.STRENGTH + 0.7 * k["seats"][v - 1]) / (seen[v - 1] + lm_score.STRENGTH)
+            assert p[prev == v].sum() + back * up * unknown == pytest.approx(1, abs=1e-9)
+        assert (b.above.n == np.bincount(b.pair, b.t)).all() and (b.t >= np.minimum(n, 1)).all() and (b.t <= n).all()
+        b.sweep(number, k)
+
+
 def toxic_rows(r, n, first=0):
     vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
     rows, labels = [], []
