@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, register, table
 
-MIN_CHARS = 10      # shorter lines (blank lines, brackets, bullets) are left alone
+MIN_CHARS = 1       # empty lines alone are left as they are
 WINDOW = 128
 _ID = ["h1", "h2"]
 
@@ -58,6 +58,7 @@ def _windows(lines: DataFrame, size: int) -> DataFrame:
     """A row per line, role and window: the hash of what lies outside, and the window's text."""
     n = F.char_length("line")
     w = lines.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("short", n - F.col("role"))
+    w = w.where("short > 0")        # no partner is empty
     w = w.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("short") - 1) / size).cast("int"))))
     lo, hi = F.col("j") * size, (F.col("j") + 1) * size + F.col("role")
     return w.select("at", "role",

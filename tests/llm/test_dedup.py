@@ -68,6 +68,18 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    rows = [(1, "And.\n\n前言\nx\n}"), (2, "前言\nAnd.\n\nOther"), (3, "Other\nAnt.\nxy\nfar"), (4, "é\n序言\n附录一\nAn.")]
+    exact = {x.doc_id: x.text for x in line_dedup.dedup_lines(documents(spark, rows), bound=0).collect()}
+    assert exact == {1: "And.\n\n前言\nx\n}", 2: "\nOther", 3: "Ant.\nxy\nfar", 4: "é\n序言\n附录一\nAn."}
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: "And.\n\n前言\nx", 2: "\nOther", 3: "far", 4: "附录一"}
+    r = random.Random(4)
+    rows = [(i, "\n".join("".join(r.choice("ab前") for _ in range(r.randint(0, 9))) for _ in range(8))) for i in range(30)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {k[0]: v for k, v in lines_reference(rows, 1).items()}
+
+
 def test_line_dedup_bound_zero_and_many_near_lines(spark):
     rows = [(i, f"a common line of text with number {i:04d} in it") for i in range(300)]
     exact = line_dedup.dedup_lines(documents(spark, rows + rows[:50]), bound=0).where("n_kept > 0")
