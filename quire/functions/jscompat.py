@@ -57,16 +57,23 @@ def js_number_py(v) -> float | None:
     if re.match(DECIMAL_NUMBER_RE, s):
         return float(s)
     if re.match(HEX_NUMBER_RE, s):
-        return float(int(s[2:], 16))
+        return _int_to_double(int(s[2:], 16))
     if re.match(BINARY_NUMBER_RE, s):
-        return float(int(s[2:], 2))
+        return _int_to_double(int(s[2:], 2))
     if re.match(OCTAL_NUMBER_RE, s):
-        return float(int(s[2:], 8))
+        return _int_to_double(int(s[2:], 8))
     if re.match(INFINITY_RE, s):
         return -math.inf if s.startswith("-") else math.inf
     return None
 
 
+def _int_to_double(n: int) -> float:
+    try:
+        return float(n)
+    except OverflowError:
+        return math.inf
+
+
 def js_date_ms_py(v) -> int | None:
     """new Date(v).getTime() for a literal: numbers are epoch ms, text must be ISO-8601."""
     if v is None:
@@ -136,6 +143,17 @@ def js_trim(c: Column) -> Column:
 _js_trim = js_trim
 
 
+def _digits_to_double(s: Column, bits: int) -> Column:
+    """The nearest double of a prefixed text of any length whose digits hold ``bits`` bits each. The first 60
+    bits decide it, with their last bit set if anything follows them; the rest is a power of two."""
+    digits = F.regexp_replace(s, "^0[a-zA-Z]0*", "")
+    n = 60 // bits
+    rest = F.substring(digits, n + 1, 1 << 30)
+    lead = F.coalesce(F.conv(F.substring(digits, 1, n), 1 << bits, 10).cast("long"), F.lit(0).cast("long"))
+    lead = lead.bitwiseOR(F.when(rest.rlike("[^0]"), 1).otherwise(0).cast("long"))
+    return lead.cast("double") * F.pow(F.lit(2.0), F.length(rest) * bits)
+
+
 def js_number(c: Column, dtype: T.DataType) -> Column:
     """Number(value) as a double column; NULL stands for NaN. A NULL input gives 0."""
     if isinstance(dtype, NUMERIC_TYPES):
@@ -148,9 +166,9 @@ def js_number(c: Column, dtype: T.DataType) -> Column:
         s = _js_trim(c)
         return (F.when(c.isNull() | (s == ""), F.lit(0.0))
                 .when(s.rlike(DECIMAL_NUMBER_RE), s.try_cast("double"))
-                .when(s.rlike(HEX_NUMBER_RE), F.conv(F.substring(s, 3, 64), 16, 10).try_cast("double"))
-                .when(s.rlike(BINARY_NUMBER_RE), F.conv(F.substring(s, 3, 64), 2, 10).try_cast("double"))
-                .when(s.rlike(OCTAL_NUMBER_RE), F.conv(F.substring(s, 3, 64), 8, 10).try_cast("double"))
+                .when(s.rlike(HEX_NUMBER_RE), _digits_to_double(s, 4))
+                .when(s.rlike(BINARY_NUMBER_RE), _digits_to_double(s, 1))
+                .when(s.rlike(OCTAL_NUMBER_RE), _digits_to_double(s, 3))
                 .when(s.rlike(INFINITY_RE),
                       F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
     return F.lit(None).cast("double")

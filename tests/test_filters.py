@@ -1,4 +1,6 @@
 """Filters, de-duplication and sampling (F1-F16, V10, A2) on the reference's people fixture."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,20 @@ def test_js_literals():
     assert J.js_compare_py("10", 9, ">") and not J.js_compare_py("abc", "abd", ">")
 
 
+def test_long_digit_texts_are_not_saturated(spark):
+    r = random.Random(1)
+    vals = ["0x0", "0x000", "0xffffffffffffffff", "0x10000000000000000", "0x10000000000000001", "0x00010", "0b" + "1" * 65,
+            "0x20000000000001", "0x200000000000010000000000000000000", "0x200000000000010000000000000000001",
+            "0x1fffffffffffff8", "0x" + "f" * 255, "0x" + "f" * 256, "0x" + "1" * 300, "0b1" + "0" * 1024]
+    vals += [p + "".join(r.choice(d) for _ in range(n)) for p, d in (("0x", "0123456789abcdefABCDEF"), ("0b", "01"), ("0O", "01234567"))
+             for n in (1, 12, 14, 15, 16, 17, 20, 21, 40, 53, 54, 60, 61, 64, 65, 90)]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [x[0] for x in df.select(J.js_number(F.col("v"), df.schema["v"].dataType)).collect()]
+    assert got == [J.js_number_py(v) for v in vals]
+    two = spark.createDataFrame([("a", "0x" + "a" * 40), ("b", "0x" + "b" * 40)], "name string, v string")
+    assert names(FL.filter_data(two, FL.FilterCriteria((FL.ColumnFilter("v", "equals", "0x" + "a" * 40),)))) == ["a"]
+
+
 def test_js_string_doubles(spark):
     vals = [1.0, 12345678.5, 0.1, -2.5, 0.0, 1e20, 1e21, 1.5e-7]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
