@@ -135,6 +135,28 @@ def s9_xml_entries(spark, sf_dir):
     return XML.xml_entries(x, "x", keep=["c_custkey"]).select("c_custkey", "key", "value", "type")
 
 
+@register("s9_xml_nested_entries", """
+SELECT c_custkey, key, value, type FROM (
+  SELECT c_custkey, 'c_custkey' AS key, CAST(c_custkey AS VARCHAR) AS value, 'string' AS type FROM customer
+  UNION ALL SELECT c_custkey, 'c_name', c_name || ' <b> & c', 'string' FROM customer
+  UNION ALL SELECT c_custkey, 'c_nationkey', '<c_nationkey>' || c_nationkey || '</c_nationkey>', 'object' FROM customer
+  UNION ALL SELECT c_custkey, 'c_acctbal', CAST(c_acctbal AS VARCHAR), 'text' FROM customer
+  UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, 'array' FROM customer
+  UNION ALL SELECT c_custkey, 'c_mktsegment', '<c_mktsegment/>', 'array' FROM customer)
+""")
+def s9_xml_nested_entries(spark, sf_dir):
+    """All customer columns as an element with nested, same-named and CDATA children and a comment."""
+    cu = table(spark, sf_dir, "customer")
+    x = F.concat(
+        F.lit("<customer><c_custkey>"), F.col("c_custkey").cast("string"), F.lit("</c_custkey><c_name><![CDATA["),
+        "c_name", F.lit(" <b> & c]]></c_name><!-- <c_name>none</c_name> --><c_nationkey><c_nationkey>"),
+        F.col("c_nationkey").cast("string"), F.lit('</c_nationkey></c_nationkey><c_acctbal unit="a > b">'),
+        F.col("c_acctbal").cast("string"), F.lit("</c_acctbal><c_mktsegment>"), "c_mktsegment",
+        F.lit("</c_mktsegment><c_mktsegment><c_mktsegment/></c_mktsegment></customer>"))
+    return XML.xml_entries(cu.select("c_custkey", x.alias("x")), "x", keep=["c_custkey"]).select(
+        "c_custkey", "key", "value", "type")
+
+
 @register("s10_xml_attributes", """
 SELECT n_nationkey AS id, n_name AS name_text, n_nationkey * 100 AS name_code, n_regionkey AS region FROM nation
 """)

@@ -188,3 +188,13 @@ def test_xlsx_commit_leaves_only_workbooks(spark, tmpdir_path):
     assert XL.read_xlsx(spark, out).count() == 5
     with pytest.raises(FileExistsError):
         XL.write_xlsx(df, out, overwrite=False)
+
+
+def test_xml_entries_by_depth(spark):
+    df = spark.createDataFrame([
+        (1, "<a><a>1</a></a>"), (2, "<r><a><a>1</a><a>2</a></a><b/></r>"), (3, "<r><!-- <n>1</n> --><a><![CDATA[<x>1</x>]]></a></r>"),
+        (4, '<?xml version="1.0"?><r q="/>"><a t="x > y">1 &amp; 2</a><é><!-- none --></é></r>'), (5, None), (6, "<r/>"),
+    ], "id long, x string")
+    got = [(r.id, r.key, r.value, r.type) for r in XML.xml_entries(df, "x", keep=["id"]).orderBy("id", "pos").collect()]
+    assert got == [(1, "a", "1", "string"), (2, "a", "<a>1</a><a>2</a>", "object"), (2, "b", "", "null"),
+                   (3, "a", "<x>1</x>", "string"), (4, "a", "1 & 2", "text"), (4, "é", "", "null")]
