@@ -7,18 +7,24 @@ the change warnings are collected by Observations during the write, not by extra
 
 from __future__ import annotations
 
+import csv
 import datetime as _dt
+import io
+import json
 import os
+import re
+import sys
 import time
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
-from ..functions.maps import map_last_wins
+from ..functions.jscompat import js_date_ms_py
 from ..operators import detect as D
 from ..operators import quality as Q
 from ..sources import csv as CSV
@@ -267,13 +273,80 @@ def _variant_ddl_to_type(ddl: str) -> T.DataType:
     return T._parse_datatype_string(s)
 
 
-def _csv_records(text: Column) -> Column:
-    """Header-row CSV text -> array of maps (header -> cell), naive comma split."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda ln: F.length(ln) > 0)
-    header = F.split(F.try_element_at(lines, F.lit(1)), ",")
-    body = F.slice(lines, 2, 1 << 30)
-    return F.transform(body, lambda ln: F.map_from_arrays(header, F.slice(
-        F.concat(F.split(ln, ",", -1), F.array_repeat(F.lit(None).cast("string"), F.size(header))), 1, F.size(header))))
+# What the reference's CSV parser types (papaparse: dynamicTyping), and the key of surplus cells.
+CSV_NUMBER_RE = r"\s*-?(\d+\.?|\.\d+|\d+\.\d+)([eE][-+]?\d+)?\s*"
+CSV_INSTANT_RE = r"\d{4}-[01]\d-[0-3]\dT[0-2]\d:[0-5]\d(:[0-5]\d(\.\d+)?)?([+-][0-2]\d:[0-5]\d|Z)"
+SURPLUS_KEY = "__parsed_extra"
+
+
+def _csv_cell(text: str, typed: bool):
+    """A cell as its number, boolean, null (empty) or instant (ISO text in UTC) if ``typed``, else the text."""
+    if not typed:
+        return text
+    if text == "":
+        return None
+    if text in ("true", "TRUE", "false", "FALSE"):
+        return text in ("true", "TRUE")
+    if re.fullmatch(CSV_NUMBER_RE, text, re.ASCII):
+        v = float(text)
+        if abs(v) < 1 << 53:
+            return int(v) if v.is_integer() else v
+        return text
+    if re.fullmatch(CSV_INSTANT_RE, text, re.ASCII):
+        ms = js_date_ms_py(re.sub(r"(\.\d{9})\d+", r"\1", text))
+        return text if ms is None else (_dt.datetime(1970, 1, 1) + _dt.timedelta(milliseconds=ms)).isoformat(
+            timespec="milliseconds") + "Z"
+    return text
+
+
+def _own_names(names: Sequence[str]) -> list[str]:
+    """A repeated name gets ``_1``, ``_2``... so that no cell replaces another."""
+    used, seen, out = set(names) | {SURPLUS_KEY}, set(), []
+    for name in names:
+        new, k = name, 0
+        while new in seen or (k or name == SURPLUS_KEY) and new in used:
+            k += 1
+            new = f"{name}_{k}"
+        seen.add(new)
+        out.append(new)
+    return out
+
+
+def _cell_text(v) -> str:
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v)
+
+
+def _convert_csv_text(text: str | None, to_format: str, key_style: str | None, typed: bool) -> str | None:
+    """One header-row CSV text as JSON, CSV or XML text. Records are read with their quotes; empty lines are
+    none; cells that a record lacks are left out, cells beyond the header go under ``__parsed_extra``."""
+    if text is None:
+        return None
+    csv.field_size_limit(sys.maxsize)
+    rows = [r for r in csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")) if r]
+    names = _own_names(rows[0]) if rows else []
+    if key_style and key_style != "unchanged":
+        names = _own_names([N.transform_key_simple(n, key_style) for n in names])
+    cells = [[_csv_cell(c, typed) for c in r] for r in rows[1:]]
+    if to_format == "csv":
+        out = io.StringIO()
+        write = csv.writer(out, lineterminator="\n")
+        write.writerow(names)
+        write.writerows([_cell_text(v) for v in r] + [""] * (len(names) - len(r)) for r in cells)
+        return out.getvalue().removesuffix("\n")
+    recs = []
+    for r in cells:
+        rec = dict(zip(names, r))
+        if len(r) > len(names):
+            rec[SURPLUS_KEY] = r[len(names):]
+        recs.append(rec)
+    if to_format == "json":
+        return json.dumps(recs, ensure_ascii=False, separators=(",", ":"))
+    items = []
+    for rec in recs:
+        pairs = [(k, v) for k, vs in rec.items() for v in (vs if isinstance(vs, list) else [vs])]
+        items.append("<item>" + "".join(f"<{N.sanitize_xml_name(k)}>{escape(_cell_text(v))}</{N.sanitize_xml_name(k)}>"
+                                        for k, v in pairs) + "</item>")
+    return f"<root>{''.join(items)}</root>"
 
 
 # A JSON text as tokens: object keys (a string followed by a colon), other strings, and runs
@@ -297,25 +370,15 @@ def restyle_json_text(text: Column, key_style: str | None) -> Column:
 
 
 def convert_text_column(df: DataFrame, col: str, from_format: str, to_format: str, key_style: str | None = None,
-                        out_col: str = "converted") -> DataFrame:
+                        out_col: str = "converted", typed: bool = False) -> DataFrame:
     """C4: convert every payload in ``col`` between JSON, XML and CSV text, restyling keys
-    with the inline converter's simple styles. Runs row-wise in the JVM."""
+    with the inline converter's simple styles. Runs row-wise, in the JVM or, for CSV, in Python tasks.
+    ``typed``: CSV cells become numbers, booleans, nulls and instants as in the reference."""
     if from_format == "csv":
-        recs = _csv_records(F.col(col))
-        if key_style and key_style != "unchanged":
-            recs = F.transform(recs, lambda m: F.transform_keys(m, lambda k, v: N.transform_key_simple_col(k, key_style)))
-        if to_format == "json":
-            out = F.to_json(recs)
-        elif to_format == "csv":
-            header = F.array_join(F.map_keys(F.try_element_at(recs, F.lit(1))), ",")
-            out = F.array_join(F.concat(F.array(header), F.transform(
-                recs, lambda m: F.array_join(F.map_values(m), ",", ""))), "\n")
-        else:
-            out = F.concat(F.lit("<root>"), F.array_join(F.transform(recs, lambda m: F.concat(
-                F.lit("<item>"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
-                    F.lit("<"), e["key"], F.lit(">"), F.coalesce(e["value"], F.lit("")), F.lit("</"), e["key"],
-                    F.lit(">"))), ""), F.lit("</item>"))), ""), F.lit("</root>"))
-        return df.withColumn(out_col, out)
+        if to_format not in ("json", "csv", "xml"):
+            raise ValueError(f"Unsupported target format: {to_format}")
+        convert_one = F.udf(lambda t: _convert_csv_text(t, to_format, key_style, typed), "string", useArrow=True)
+        return df.withColumn(out_col, convert_one(F.col(col).cast("string")))
     if from_format == "json" and to_format == "json":
         return df.withColumn(out_col, restyle_json_text(F.col(col), key_style))
     dt = payload_schema(df, col, from_format)

@@ -101,6 +101,21 @@ def c4_convert_csv_to_json(spark, sf_dir):
     return P.convert_text_column(su, "payload", "csv", "json", key_style="camelCase").select("s_suppkey", "converted")
 
 
+@register("c4_convert_csv_records", """
+SELECT s_suppkey, '[{"sSuppkey":' || s_suppkey || ',"sName":"' || s_name || ', \\"Ltd\\"\\nEast","sNationkey":' || s_nationkey ||
+       ',"sName_1":true},{"sSuppkey":null,"sName":null,"sNationkey":0.5,"sName_1":"x","__parsed_extra":["' || s_name ||
+       '",' || s_suppkey || ']},{"sSuppkey":"a"}]' AS converted FROM supplier
+""")
+def c4_convert_csv_records(spark, sf_dir):
+    """CSV payloads of several records to typed JSON: quoted commas, quotes and line breaks, a repeated
+    header, empty, surplus and missing cells (C4)."""
+    key, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    su = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(
+        F.lit("s_suppkey,s_name,s_nationkey,s_name\r\n"), key, F.lit(',"'), name, F.lit(', ""Ltd""\nEast",'),
+        F.col("s_nationkey").cast("string"), F.lit(",true\r\n,,0.5,x,"), name, F.lit(","), key, F.lit("\r\n\r\na\r\n")).alias("payload"))
+    return P.convert_text_column(su, "payload", "csv", "json", key_style="camelCase", typed=True).select("s_suppkey", "converted")
+
+
 @register("k14_output_paths", """
 SELECT doc_id, 'out/' || source || '_' || doc_id || '_converted.' ||
        CASE lang WHEN 'en' THEN 'json' WHEN 'de' THEN 'xml' WHEN 'fr' THEN 'md' ELSE 'csv' END AS output_path

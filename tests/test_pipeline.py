@@ -26,3 +26,20 @@ def test_convert_files_with_warnings(spark, tmpdir_path):
     assert res.input_format == "csv" and (res.rows_in, res.rows_out) == (2, 1)
     assert res.warnings == ["1 rows were filtered out during transformation",
                             "1 columns were removed during transformation"]
+
+
+def test_csv_payloads_keep_every_cell(spark):
+    rows = [(1, 'a,b\n"x,1","say ""hi""\nthere",more,7\n5'), (2, "a,a\n1,2"), (3, "a,b,c,d,e\n007,true,1.50,2024-01-02T03:04:05+01:00,\n"),
+            (4, None), (5, ""), (6, "a_b,aB\n1,9007199254740993")]
+    df = spark.createDataFrame(rows, "id int, x string")
+
+    def run(to, **kw):
+        return {r.id: r.converted for r in P.convert_text_column(df, "x", "csv", to, **kw).collect()}
+    text = run("json")
+    assert text[1] == '[{"a":"x,1","b":"say \\"hi\\"\\nthere","__parsed_extra":["more","7"]},{"a":"5"}]'
+    assert text[2] == '[{"a":"1","a_1":"2"}]' and text[4] is None and text[5] == "[]"
+    typed = run("json", typed=True, key_style="camelCase")
+    assert typed[3] == '[{"a":7,"b":true,"c":1.5,"d":"2024-01-02T02:04:05.000Z","e":null}]'
+    assert typed[6] == '[{"aB":1,"aB_1":"9007199254740993"}]'
+    assert run("csv")[1] == 'a,b\n"x,1","say ""hi""\nthere",more,7\n5,'
+    assert run("xml")[1].endswith("<__parsed_extra>more</__parsed_extra><__parsed_extra>7</__parsed_extra></item><item><a>5</a></item></root>")
