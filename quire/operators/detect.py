@@ -110,24 +110,24 @@ def is_csv_text(t: Column) -> Column:
     return (F.size(lines) >= 2) & F.coalesce(F.greatest(*checks), F.lit(False))
 
 
-def content_sample(text: Column, sample_chars: int | None = SAMPLE_CHARS) -> Column:
-    """The trimmed text the content rules look at: the first 1 K characters, as the tool's
-    detector defines it, or the whole text with ``sample_chars=None``."""
+def content_sample(text: Column, sample_chars: int | None = None) -> Column:
+    """The trimmed text the content rules look at: the whole text, or its first ``sample_chars``
+    characters (``SAMPLE_CHARS``: as the tool's detector defines it)."""
     t = F.coalesce(text, F.lit(""))
     return _trim(t if sample_chars is None else F.substring(t, 1, sample_chars))
 
 
-def detect_by_content(text: Column) -> Column:
-    """struct(format, confidence) from the first 1 KB; NULL format when no pattern fits.
+def detect_by_content(text: Column, sample_chars: int | None = None) -> Column:
+    """struct(format, confidence) from the text or its head; NULL format when no pattern fits.
 
     As a single expression the sample is re-derived inside every rule; over a DataFrame
     prefer ``with_content_format``, which projects the sample once."""
-    return detect_by_sample(content_sample(text))
+    return detect_by_sample(content_sample(text, sample_chars))
 
 
 def with_content_format(df: DataFrame, text_col: str, name: str = "detected",
-                        sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
-    """T2 over a DataFrame in layered projections: the 1 KB sample once, then every rule once
+                        sample_chars: int | None = None) -> DataFrame:
+    """T2 over a DataFrame in layered projections: the sample once, then every rule once
     as a flag, then the format from the flags. Each layer is referenced several times by
     the next, so CollapseProject keeps them apart and no rule is evaluated twice."""
     s = F.col("_q_sample")

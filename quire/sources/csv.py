@@ -89,8 +89,8 @@ def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None, w
 
 
 def detect_delimiter_text(text: Column) -> Column:
-    """S2 for a column of CSV text (e.g. payloads stored in a table)."""
-    return best_delimiter(delimiter_scores(text))
+    """S2 for a column of CSV text (e.g. payloads stored in a table); every line is scored."""
+    return best_delimiter(delimiter_scores(text, None, None))
 
 
 def clean_csv(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from quire.operators import audit as A
 from quire.operators import detect as D
 from quire.operators import profile as PR
 from quire.operators import quality as Q
+from quire.sources import csv as CSV
 
 
 def test_detect_content(spark):
@@ -107,3 +108,16 @@ def test_xml_schema_profile(spark):
     got = {r.element: r for r in PR.xml_schema_profile(df, "x").collect()}
     assert got["root"].attributes == ["a"] and got["root"].children == ["item"]
     assert got["item"].is_array and got["item"].attributes == ["id"] and got["n"].type == "text-element"
+
+
+def test_column_forms_judge_whole_texts(spark):
+    long_json = '{"a": "' + "x" * 3000 + '"}'
+    df = spark.createDataFrame([(long_json, "a;b,c\n" + "x;y\n" * 400)], "t string, c string")
+    assert df.select(D.detect_by_content(F.col("t"))["format"]).first()[0] == "json"
+    assert D.with_content_format(df, "t").first().detected.format == "json"
+    tail = ["a;b"] * 5 + ["c,d,e"] * 400
+    texts = spark.createDataFrame([("\n".join(tail),)], "c string")
+    got = texts.select(CSV.detect_delimiter_text(F.col("c")).alias("d"),
+                       CSV.best_delimiter(CSV.delimiter_scores(F.col("c"), None, None)).alias("w"),
+                       CSV.best_delimiter(CSV.delimiter_scores(F.col("c"))).alias("h")).first()
+    assert got.d == got.w == "," and got.h == ";"
