@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.jscompat import js_trim
 
+from ..sources.content_ranges import file_formats
 from ..sources.files import file_heads, list_files
+from ..sources.ranges import file_names
 
 # Extension -> format, in the tool's order; confidences of each method.
 EXTENSION_FORMATS = [(".csv", "csv"), (".xls", "xlsx"), (".xlsx", "xlsx"), (".json", "json"), (".xml", "xml"),
@@ -179,15 +181,16 @@ def combine(ext: Column, content: Column) -> Column:
 def detect_files(spark: SparkSession, path: str, analyze_content: bool = True,
                  sample_chars: int | None = None) -> DataFrame:
     """T1/T3 over every file under ``path``: (path, format, confidence, method, error).
-    Content rules read the whole of each file (one task per file) or, with ``sample_chars``, its
+    Content rules read the whole of each file, by byte ranges, or, with ``sample_chars``, its
     first bytes only, which can cut a document in two and miss its format."""
     files = list_files(spark, path)
     if not analyze_content:
         return files.select("path", detect_by_extension(F.col("path")).alias("d")).select("path", "d.*")
     if sample_chars is None:
-        from ..sources.files import whole_texts
-        texts = whole_texts(spark, path).withColumn("read_error", F.lit(None).cast("string"))
-        heads = with_content_format(texts, "text", "_q_content", sample_chars=None)
+        found = file_formats(spark, path).withColumn("_q_content", F.struct(
+            "format", _confidence(F.col("format")).alias("confidence"), F.lit("content").alias("method")))
+        heads = file_names(spark, path).join(found.select("file", "_q_content"), "file", "left").withColumn(
+            "read_error", F.lit(None).cast("string"))
     else:
         heads = with_content_format(file_heads(files, sample_chars), "head", "_q_content")
     ext = detect_by_extension(F.col("path"))

@@ -26,7 +26,53 @@ def s1_csv_roundtrip(spark, sf_dir):
     return CSV.conform(back, part.schema)
 
 
-@register("s2_csv_delimiter_profile")
+@register("s1_csv_documents", """
+SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents
+""")
+def s1_csv_documents(spark, sf_dir):
+    """All columns of documents as CSV, with quotes and line ends in cells, read back by byte ranges."""
+    docs = table(spark, sf_dir, "documents")
+    out = scratch_dir(spark, "csvdocs")
+    CSV.write_csv(docs, out)
+    return CSV.conform(CSV.read_csv(spark, out, clean=False), docs.schema)
+
+
+@register("s4_json_documents", "SELECT * FROM documents")
+def s4_json_documents(spark, sf_dir):
+    """All columns of documents as JSON arrays, with braces and quotes in texts, read back by byte ranges."""
+    docs = table(spark, sf_dir, "documents")
+    out = scratch_dir(spark, "jsondocs")
+    JS.write_json(docs, out, layout="array", indent=True)
+    return CSV.conform(JS.read_json(spark, out), docs.schema)
+
+
+def _delimiter_sql() -> str:
+    """Scores from the lines that the files of s2_csv_delimiter_profile hold, cell by cell."""
+    files = {"nation": (",", "n_nationkey, n_name, n_regionkey"), "region": (";", "r_regionkey, r_name"),
+             "supplier": ("\t", "s_suppkey, s_name, s_nationkey, s_acctbal"),
+             "customer": ("|", "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment")}
+    parts = []
+    for name, (sep, cols) in files.items():
+        names = cols.split(", ")
+        cells = ", ".join(f"CASE WHEN contains(CAST({c} AS VARCHAR), '{sep}') THEN 'q' ELSE CAST({c} AS VARCHAR) END"
+                          for c in names)
+        parts.append(f"SELECT '{name}' AS source, '{sep.join(names)}' AS line\n  UNION ALL SELECT '{name}', "
+                     f"concat_ws('{sep}', {cells}) FROM {name}")
+    lines = "\n  UNION ALL ".join(parts)
+    return f"""
+WITH lines AS (
+  {lines}
+), scored AS (
+  SELECT source, k, delimiter, avg(n) * CASE WHEN count(*) > 1 AND min(n) = max(n) THEN 2 ELSE 1 END AS score
+  FROM (SELECT source, k, delimiter, 1 + length(line) - length(replace(line, delimiter, '')) AS n
+        FROM lines, (VALUES (0, ','), (1, ';'), (2, '\t'), (3, '|')) d(k, delimiter))
+  GROUP BY source, k, delimiter
+)
+SELECT source, delimiter, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, k) = 1 AS chosen FROM scored
+"""
+
+
+@register("s2_csv_delimiter_profile", _delimiter_sql())
 def s2_csv_delimiter_profile(spark, sf_dir):
     """Sniff the delimiter of files written with ',', ';', tab and '|'."""
     base = scratch_dir(spark, "sniff")

@@ -1,14 +1,15 @@
 """CSV scan with delimiter sniffing and cleaning (S1, S2, S3) and the CSV sink (K1).
 
-The delimiter profile scores each candidate on the first 1 KB / 5 lines of every file in a
-distributed pass over file heads; only the winning delimiter per file (at most four
-distinct values) reaches the driver, to configure the typed read that follows.
+Files are read by byte ranges (``csv_ranges``): one pass scores the delimiters of every file over all
+its lines and finds how each range starts; then the ranges are cut into records, also where cells hold
+line ends, and Spark's CSV parser types and reads the records. Large files have many tasks.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +17,12 @@ from pyspark.sql import types as T
 from ..functions.jscompat import js_trim
 
 from ..functions.jscompat import js_string
+from ..session import written
+from . import csv_ranges
+from .csv_ranges import DELIMITERS
 from .files import file_heads, list_files
+from .ranges import file_names
 
-# The candidate delimiters, in the order that breaks ties.
-DELIMITERS = (",", ";", "\t", "|")
 SNIFF_BYTES = 1024
 SNIFF_LINES = 5
 
@@ -74,15 +77,19 @@ def best_delimiter(scores: Column) -> Column:
 def delimiter_profile(spark: SparkSession, path: str, glob: str | None = None, whole: bool = True) -> DataFrame:
     """One row per (file, delimiter) with its score, and the file's chosen delimiter.
 
-    Every line of every file is scored (one task per file); ``whole=False`` scores only the first
-    1 K / 5 lines, which is cheaper and can be wrong."""
+    Every line of every file is scored, range by range; ``whole=False`` scores only the first
+    1 K / 5 lines, which is cheaper and can be wrong. A file without lines scores 0 throughout."""
     if whole:
-        from .files import whole_texts
-        docs = whole_texts(spark, path, glob).select("path", F.octet_length("text").alias("length"), "text")
-        scored = docs.select("path", "length", delimiter_scores(F.col("text"), None, None).alias("scores"))
-    else:
-        heads = file_heads(list_files(spark, path, glob), SNIFF_BYTES)
-        scored = heads.select("path", "length", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
+        names = file_names(spark, path, glob)
+        found = csv_ranges.delimiter_scores(csv_ranges.range_profile(spark, path, (), True, glob))
+        empty = F.explode(F.array(*[F.struct(F.lit(d).alias("delimiter"), F.lit(d == DELIMITERS[0]).alias("first"))
+                                    for d in DELIMITERS]))
+        every = names.select("file", "path", "length", empty.alias("d")).select("file", "path", "length", "d.*")
+        return every.join(found, ["file", "delimiter"], "left").select(
+            "path", "length", "delimiter", F.coalesce("score", F.lit(0.0)).alias("score"),
+            F.coalesce("chosen", "first").alias("chosen"))
+    heads = file_heads(list_files(spark, path, glob), SNIFF_BYTES)
+    scored = heads.select("path", "length", delimiter_scores(F.coalesce("head", F.lit(""))).alias("scores"))
     scored = scored.withColumn("chosen", best_delimiter(F.col("scores")))
     return scored.select("path", "length", F.explode("scores").alias("s"), "chosen").select(
         "path", "length", "s.delimiter", "s.score", (F.col("s.delimiter") == F.col("chosen")).alias("chosen"))
@@ -114,43 +121,81 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
     """Header row, trimmed headers, empty lines skipped, typed cells, BOM, quoted fields.
 
     ``sep=None`` scores the delimiter of every file over all its lines (S2); files that disagree are
-    read per delimiter and unioned by name (only then do their paths reach the driver). Cells may
-    hold line breaks: each file is one task. For large files known to hold none, ``multiline=False``
-    makes them splittable. Inference reads every row at any size; ``schema`` skips it, and
-    ``sampling_ratio`` trades it for a sample at the caller's risk.
+    read per delimiter and unioned by name. Cells may hold line ends and files are still read by
+    many tasks; ``multiline=False`` spares the pass that finds how ranges start, for files known to hold none.
+    Only UTF-8 is split so: with another ``encoding`` each file is one task. Inference reads every row
+    at any size; ``schema`` skips it, and ``sampling_ratio`` trades it for a sample at the caller's risk.
     """
+    def reader(sep: str):
+        r = (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", bool(multiline and clean)))
+        if null_value is not None:
+            r = r.option("nullValue", null_value)
+        return r.option("timestampFormat", timestamp_format) if timestamp_format else r
+
+    def typed(r):
+        if schema is not None:
+            return r.schema(schema)
+        return r.option("inferSchema", True).option("samplingRatio", sampling_ratio or 1.0) if infer_schema else r
+
+    def finished(df: DataFrame) -> DataFrame:
+        df = df.toDF(*[c.strip() for c in df.columns])
+        return clean_csv(df) if clean else df
+
+    if encoding.lower().replace("-", "") != "utf8" or not multiline and sep is not None:
+        if sep is None:
+            raise ValueError("name the delimiter of files that are not UTF-8")
+        r = typed(reader(sep)).option("header", header).option("encoding", encoding).option("multiLine", multiline)
+        if multiline and clean:
+            # lines may end in \n or \r\n, also in turns: a left-over \r is white space, which cleaning trims
+            r = r.option("lineSep", "\n")
+        return finished(r.csv(path))
+
+    candidates = DELIMITERS if sep is None else (sep,)
+    profile = written(csv_ranges.range_profile(spark, path, candidates, sep is None), "csv-ranges")
+    files: dict[str, np.ndarray | None] = {sep: None}
     if sep is None:
-        profile = delimiter_profile(spark, path).where("chosen")
-        found = [r[0] for r in profile.select("delimiter").distinct().collect()]    # four at most
+        chosen = csv_ranges.delimiter_scores(profile).where("chosen").select("file", "delimiter")
+        found = sorted(r[0] for r in chosen.select("delimiter").distinct().collect())       # four at most
         if not found:
             return spark.createDataFrame([], T.StructType([]))
-        rest = (header, infer_schema, schema, encoding, multiline, null_value, timestamp_format, sampling_ratio, clean)
-        if len(found) == 1:
-            return read_csv(spark, path, found[0], *rest)
-        frames = [read_csv(spark, [r[0] for r in profile.where(F.col("delimiter") == d).select("path").collect()],
-                           d, *rest) for d in sorted(found)]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f, allowMissingColumns=True)
-        return out
-    reader = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("encoding", encoding).option("multiLine", multiline)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-              .option("mode", "PERMISSIVE"))
-    if multiline and clean:
-        # lines may end in \n or \r\n, also in turns: a left-over \r is white space, which cleaning trims
-        reader = reader.option("lineSep", "\n").option("ignoreTrailingWhiteSpace", True)
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    if timestamp_format:
-        reader = reader.option("timestampFormat", timestamp_format)
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif infer_schema:
-        reader = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio or 1.0)
-    df = reader.csv(path)
-    renamed = df.toDF(*[c.strip() for c in df.columns])
-    return clean_csv(renamed) if clean else renamed
+        chosen = written(chosen, "csv-delimiters") if len(found) > 1 else chosen
+        # eight bytes a file, and only where files disagree
+        files = {d: None if len(found) == 1 else
+                 np.array(chosen.where(F.col("delimiter") == d).select("file").toPandas()["file"], np.int64) for d in found}
+    frames = []
+    for d, of in files.items():
+        k = candidates.index(d)
+        rows = csv_ranges.records(spark, path, d, header, profile, k, of)
+        fields = schema
+        if fields is None:
+            titles = _first_header(spark, path, profile, k, of) if header else None
+            if header and titles is None:
+                continue                # files without a line that is not blank have no columns
+            r = typed(reader(d)).option("header", header)
+            fields = _csv_of(r, titles.union(rows) if header and infer_schema else titles if header else rows).schema
+        frames.append(finished(_csv_of(reader(d).schema(fields).option("header", False), rows)))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([]))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def _first_header(spark: SparkSession, path, profile: DataFrame, k: int, files: np.ndarray | None) -> DataFrame | None:
+    """value: the header of the first file, by path, that has one."""
+    rows = profile.where("block = 0").select("file", F.col("header")[k].alias("value")).where("value is not null")
+    if files is not None:
+        rows = rows.join(spark.createDataFrame([(int(f),) for f in files], "file long"), "file", "left_semi")
+    first = rows.join(file_names(spark, path), "file").orderBy("path").select("value").limit(1).collect()
+    return spark.createDataFrame([(first[0].value,)], "value string").coalesce(1) if first else None
+
+
+def _csv_of(reader, records: DataFrame) -> DataFrame:
+    """Spark's CSV parser over a column of records: its reader takes a dataset of strings on the JVM side."""
+    strings = records.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING()
+    return reader._df(reader._jreader.csv(getattr(records._jdf, "as")(strings)))
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

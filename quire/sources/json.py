@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from ..functions.jscompat import iso_instant
 from ..functions.nested import map_leaves
 from ..functions.ordinal import sort_columns
+from ..session import written
+from . import json_ranges
 from .files import write_documents
 
 LAYOUTS = ("rows", "indexed", "entries", "scalar")
@@ -57,8 +59,9 @@ def read_json(spark: SparkSession, path: str, layout: str = "rows", lines: bool
     """S4 (rows), S5 (indexed), S6 (entries), S7 (scalar).
 
     ``rows``: array-of-objects files (``lines=False``) or JSON lines; columns are the
-    sorted union of keys, missing keys are null. Other layouts read each file as one
-    VARIANT and explode it, one task per file.
+    sorted union of keys, missing keys are null. Arrays are read by byte ranges (``json_ranges``), so a
+    large file has many tasks; only UTF-8 is: with another ``encoding`` each file is one task. Files without an
+    array give a row per value. Other layouts read each file as one VARIANT and explode it, one task per file.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
@@ -68,7 +71,14 @@ def read_json(spark: SparkSession, path: str, layout: str = "rows", lines: bool
     if layout == "rows":
         if schema is not None:
             reader = reader.schema(schema)
-        return reader.json(path)
+        if lines or encoding and encoding.lower().replace("-", "") != "utf8":
+            return reader.json(path)
+        profile = written(json_ranges.range_profile(spark, path), "json-ranges")
+        found = json_ranges.elements(spark, path, profile)
+        # Spark's JSON parser over a column of values: its reader takes a dataset of strings on the JVM side
+        strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+        reader = reader.option("multiLine", False)
+        return reader._df(reader._jreader.json(getattr(found._jdf, "as")(strings)))
     from .files import whole_texts
     doc = whole_texts(spark, path).withColumnRenamed("text", "doc")  # one row per file, key order kept
     if layout == "scalar":
