@@ -16,7 +16,6 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -24,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,21 +33,23 @@ from .common import prepare, register, table
 
 LENGTH = 1024        # ids a sequence
 ROWS = 256           # sequences a batch
-MEMO = 200_000       # words kept by one Python worker, twice: a full memo becomes the older one
-MEMO_LENGTH = 40     # longer words are encoded each time
+MEMO = 500_000       # words kept by one Python worker, twice: a full memo becomes the older one
+CHUNK = 4 << 20      # bytes of text encoded at once, one text at least
 MANIFEST = "part int, file string, docs string, n_docs long, n_tokens long"
 
-# The steps of a tokenizer that never joins what a blank parts.
+# The steps of a tokenizer that never joins what white space parts.
 BLANK_SAFE_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 BLANK_SAFE_NORMAL = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
                      {"type": "Lowercase"})
-_BLANKS = re.compile("[ \\t\\n\\r]+")
+# Marks that such a tokenizer parts from a letter or digit beside them (not the apostrophe: it may begin a token).
+EDGE_MARKS = b'.,!?#;:")(*-_/\\|[]{}<>=+&%$@~^`'
 
 
 class Encoder:
     """Packed ids of whole texts by a tokenizers file, without special tokens added.
 
-    Where the file's steps cannot see past a blank, words are encoded once and kept; else whole texts are.
+    Where the file's steps cannot see past a blank, and lower-case everything, each lower-cased word is encoded
+    once and kept; else whole texts are.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,51 +62,105 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         with open(path, encoding="utf-8") as f:
-            self.by_word = _blank_safe(json.load(f))
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+            spec = json.load(f)
+        self.by_word = _blank_safe(spec)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.plain, suffix = None, spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(top + 1, bool)                 # does an id end a run of letters?
+        if self.by_word and suffix:
+            for token, i in spec["model"]["vocab"].items():
+                self.last[i] = token.endswith(suffix)
+            # lower-case ASCII letters pass all steps before the model unchanged: the same model without them
+            self.plain = Tokenizer.from_str(json.dumps(
+                spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of the words: kept ones, and the others by one call."""
-        memo, older = self.memo, self.older
-        got = {w: b for w in words if (b := memo.get(w)) is not None or (b := older.get(w)) is not None}
-        fresh = [w for w in words if w not in got]
-        got.update(zip(fresh, self._library(fresh)))
-        for w, b in got.items():
-            if len(w) <= MEMO_LENGTH:
-                memo[w] = b
-        if len(memo) >= MEMO:
-            self.memo, self.older = {}, memo
-        return got
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words into the memo: those of which it is clear how many runs they are, letters or the marks beside
+        them, many at a time, told apart by the ends of the runs."""
+        odd: list[bytes] = []
+        clear: dict[tuple[bool, int], list[bytes]] = {(True, 1): [], (False, 1): [], (False, 2): [], (False, 3): []}
+        for w in words:
+            if w.isalpha():
+                clear[True, 1].append(w)
+            elif not w.isascii():
+                (clear[False, 1] if w.decode().isalpha() else odd).append(w)
+            elif w.strip(EDGE_MARKS).isalpha():
+                clear[False, 3 - w[:1].isalpha() - w[-1:].isalpha()].append(w)
+            else:
+                odd.append(w)
+        width = self.dtype.itemsize
+        for (bare, n), known in clear.items():
+            if self.plain is None:
+                odd += known
+                continue
+            some = [known[at:at + 200] for at in range(0, len(known), 200)]
+            tool = self.plain if bare else self.library
+            for run, got in zip(some, tool.encode_batch_fast([b" ".join(r).decode() for r in some], add_special_tokens=False)):
+                ids = np.array(got.ids)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != n * len(run):
+                    odd += run
+                    continue
+                packed, a = ids.astype(self.dtype).tobytes(), 0
+                for w, e in zip(run, (ends[n - 1::n] * width).tolist()):
+                    self.memo[w], a = packed[a:e], e
+        self.memo.update(zip(odd, self._library([w.decode() for w in odd])))
+
+    def _know(self, words: list[bytes]) -> None:
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {b"": b""}, self.memo
+        fresh = set(words).difference(self.memo)
+        for w in fresh & self.older.keys():
+            self.memo[w] = self.older[w]
+        self._learn(list(fresh.difference(self.memo)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts laid end to end, each ended by the end id; how many of them are each text's)."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self._library(list(texts))
-        out, at = [], 0
-        while at < len(texts):              # some texts at a time: their words are in memory at once
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 20):
-                size += len(texts[upto])
-                upto += 1
-            parts = [_BLANKS.split(t) for t in texts[at:upto]]
-            got = self._words(set().union(*parts))
-            out += [b"".join(map(got.__getitem__, p)) for p in parts]
-            at = upto
-        return out
+            runs = [b + self.end for b in self._library(texts.to_pylist())]
+            return np.frombuffer(b"".join(runs), self.dtype), np.array([len(b) for b in runs]) // self.dtype.itemsize
+        lower = pc.ascii_lower(texts)
+        whole = np.zeros(len(texts), bool)
+        for t in self.added:                                # these are looked for before any other step
+            whole |= pc.match_substring(lower, t).to_numpy(zero_copy_only=False)
+        if whole.any():
+            lower = pc.if_else(pa.array(whole), "", lower)
+        parts = pc.ascii_split_whitespace(lower)
+        words = parts.flatten().dictionary_encode()
+        known = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self._know(known)
+        runs = [self.memo[w] for w in known]
+        # a text is its words, or itself, and then the end
+        place = words.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        at = np.flatnonzero(whole)
+        place = np.insert(place, np.concatenate((ends[at], ends)),
+                          np.concatenate((len(runs) + 1 + np.arange(len(at)), np.full(len(ends), len(runs)))))
+        runs += [self.end, *self._library([texts[i].as_py() for i in at.tolist()])]
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // self.dtype.itemsize
+        first, n = np.cumsum(size) - size, size[place]
+        total = np.cumsum(n)
+        ids = np.frombuffer(b"".join(runs), self.dtype)[np.repeat(first[place] - (total - n), n) + np.arange(total[-1])]
+        upto = total[np.cumsum(np.diff(ends, prepend=0) + 1 + whole) - 1]
+        return ids, np.diff(upto, prepend=0)
 
 
 def _blank_safe(spec: dict) -> bool:
     normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = normal.get("normalizers", [normal] if normal else [])
     first = split.get("pretokenizers", [split])[0]
-    return (all(s in BLANK_SAFE_NORMAL for s in steps) and first.get("type") == "Split"
+    return (steps == list(BLANK_SAFE_NORMAL) and first.get("type") == "Split"
             and first.get("pattern") == {"Regex": BLANK_SAFE_SPLIT} and first.get("behavior") == "Removed"
             and first.get("invert") is True and spec.get("post_processor") is None
-            and not any(_BLANKS.search(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
+            and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+            and not any(t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["single_word"]
                         for t in spec.get("added_tokens", [])))
 
 
@@ -203,16 +259,16 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_file: str | None = N
                 seqs = _SequenceFile(sink, enc.dtype, length, rows)
                 table_of = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 entries = pa.ipc.new_file(index, table_of)
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 512):
-                ids = enc.encode([t or "" for t in texts.slice(at, 512).to_pylist()])
-                n = np.array([len(b) // enc.dtype.itemsize + 1 for b in ids], np.int64)
-                for b in ids:
-                    seqs.add(b + enc.end)
-                entries.write_batch(pa.record_batch([batch.column(0).slice(at, 512), pa.array(start + np.cumsum(n) - n),
-                                                     pa.array(n)], schema=table_of))
-                start += int(n.sum())
-                n_docs += len(ids)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            cut = np.flatnonzero(np.diff(size // CHUNK, prepend=0)).tolist()        # some texts at a time
+            for at, to in zip([0, *cut], [*cut, batch.num_rows]):
+                if to > at:
+                    ids, n = enc.encode(batch.column(1).slice(at, to - at))
+                    seqs.add(ids.tobytes())
+                    entries.write_batch(pa.record_batch([batch.column(0).slice(at, to - at),
+                                                         pa.array(start + np.cumsum(n) - n), pa.array(n)], schema=table_of))
+                    start += len(ids)
+                    n_docs += len(n)
         if enc is None:
             return
         seqs.close()

@@ -1,9 +1,11 @@
 """Sequences of token ids in Arrow files: against the library, document by document and sequence by sequence."""
 import os
+import random
 import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,16 +32,34 @@ ODD = ["<|endoftext|> a<|startoftext|>b", "é Å ²½ ﬁ x y\u0085z\x1cq",
        " ́x", "x ́", "'s it's 12'LL  'll", "日本語 テキスト のテスト。", "\x00\x01 ퟿", "👩‍👩‍👧 a‍b"]
 
 
+def encoded(enc, texts):
+    """Ids of each text, end id included."""
+    ids, n = enc.encode(pa.array(texts, pa.string()))
+    assert n.sum() == len(ids) and len(n) == len(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def test_words_encoded_alone_equal_whole_texts(library):
     enc = token_files.Encoder(token_files.default_tokenizer(), 2)
     assert enc.by_word and enc.code == "H"
-    texts = ODD + [r[1] or "" for r in awkward()]
+    texts = ODD + [r[1] for r in awkward()]
+    want = [ids_of(library, t) for t in texts]
     for _ in range(2):      # the second time from the memo
-        got = enc.encode(texts)
-        assert [np.frombuffer(b, "<u2").tolist() + [2] for b in got] == [ids_of(library, t) for t in texts]
-    enc.memo.clear()
+        assert encoded(enc, texts) == want
+    enc.older, enc.memo = enc.memo, {b"": b""}
+    assert encoded(enc, texts) == want
+    assert encoded(enc, [None]) == [[2]] and encoded(enc, ["<|endoftext|>"]) == [ids_of(library, "<|endoftext|>")]
     enc.by_word = False
-    assert enc.encode(texts) == got
+    assert encoded(enc, texts) == want
+
+
+def test_random_texts(library):
+    r = random.Random(4)
+    marks = list(" \t\n.,;:!?'\"()#<|>-_~^`\\/²½ªº́̈ßİıſΣςŉǅ日ア①ⅷ٣\u00a0\u2028\x1f\x85")
+    words = ["word", "Word", "O'Neil", "it's", "IT'S", "'re", "x1y22", "é", "É", "Straße", "<|endoftext|>", "<|EndOfText|>", "ﬁn"]
+    texts = ["".join(r.choice(words) if r.random() < 0.4 else r.choice(marks) for _ in range(60)) for _ in range(400)]
+    enc = token_files.Encoder(token_files.default_tokenizer(), 2)
+    assert encoded(enc, texts) == [ids_of(library, t) for t in texts]
 
 
 def test_other_tokenizers_are_given_whole_texts():
@@ -47,7 +67,7 @@ def test_other_tokenizers_are_given_whole_texts():
     enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 50256)
     assert not enc.by_word
     want = enc.library.encode("two  words here", add_special_tokens=False).ids
-    assert np.frombuffer(enc.encode(["two  words here"])[0], "<u2").tolist() == want
+    assert encoded(enc, ["two  words here"]) == [want + [50256]]
 
 
 @pytest.mark.parametrize("length,rows", [(1024, 256), (7, 3), (1, 1)])
