@@ -7,6 +7,7 @@ read it back with the engine's reader and conform the types; the oracle is the t
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_dir
 from ..sources import csv as CSV
@@ -342,6 +343,20 @@ def s11_xlsx_roundtrip(spark, sf_dir):
     return CSV.conform(XL.read_xlsx(spark, out, sheet_name="part"), part.schema)
 
 
+@register("k8_xlsx_overwrite", """
+SELECT *, event_type || chr(1) || chr(9) || '_x0041_' AS note, event_id + 1 AS after FROM events
+""")
+def k8_xlsx_overwrite(spark, sf_dir):
+    """Events with instants and control characters as workbooks (K8, S11), read and written over themselves."""
+    from ..sources import xlsx as XL
+    ev = table(spark, sf_dir, "events")
+    out = scratch_dir(spark, "xlsxover")
+    XL.write_xlsx(ev.withColumn("note", F.concat("event_type", F.lit("\x01\t_x0041_"))), out, sheet_name="events")
+    XL.write_xlsx(XL.read_xlsx(spark, out).withColumn("after", F.col("event_id") + 1), out, sheet_name="events")
+    schema = T.StructType([*ev.schema.fields, T.StructField("note", T.StringType()), T.StructField("after", T.LongType())])
+    return CSV.conform(XL.read_xlsx(spark, out, sheet_name="events"), schema)
+
+
 @register("s12_xlsx_inventory", """
 SELECT 'part' AS sheet_name, 0 AS sheet_index, CAST(6 AS BIGINT) AS column_count, count(*) AS data_rows FROM part
 """)

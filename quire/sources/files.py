@@ -7,6 +7,8 @@ file metadata is read. ``file_heads`` reads the first bytes of every file inside
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from typing import Iterator
 
 import pandas as pd
@@ -34,17 +36,6 @@ def _open(path: str):
     return fs.open_input_stream(inner)
 
 
-def open_random_access(path: str):
-    """A seekable handle (zip readers then fetch only the central directory and the members
-    they open, not the whole file)."""
-    import pyarrow.fs as pafs
-    if "://" in path:
-        fs, inner = pafs.FileSystem.from_uri(path)
-    else:
-        fs, inner = pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
-    return fs.open_input_file(inner)
-
-
 def read_head(path: str, nbytes: int) -> bytes:
     with _open(path) as f:
         return f.read(nbytes)
@@ -88,6 +79,33 @@ def whole_texts(spark: SparkSession, path: str, glob: str | None = None) -> Data
                      F.regexp_replace("value", "^\\uFEFF", "").alias("text"))
 
 
+@contextmanager
+def swap_in(spark: SparkSession, path: str, overwrite: bool) -> Iterator[str]:
+    """A folder beside ``path`` to write to; it takes the place of ``path`` when all is written. What stood there is kept
+    until then, so a plan may still read it, and a failed write leaves it as it was."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = fs.makeQualified(target)
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    tag = uuid.uuid4().hex[:12]
+    aside, old = (jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{k}-{tag}") for k in ("new", "old"))
+    try:
+        yield aside.toString()
+        had = fs.exists(target)
+        if had and not fs.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
+        if not fs.rename(aside, target):
+            if had:
+                fs.rename(old, target)
+            raise OSError(f"cannot move the new files to {path}")
+        if had:
+            fs.delete(old, True)
+    finally:
+        fs.delete(aside, True)
+
+
 def rename_parts(spark: SparkSession, path: str, extension: str) -> None:
     """Give the part files of a written folder a new extension (``.md`` for Markdown text).
 
@@ -105,6 +123,17 @@ def rename_parts(spark: SparkSession, path: str, extension: str) -> None:
             fs.rename(p, jvm.org.apache.hadoop.fs.Path(root, stem + extension))
 
 
+def keep_only(spark: SparkSession, path: str, extension: str) -> None:
+    """Delete what lies beside the files of one kind in a written folder: the success mark, and the checksums that the
+    local file system adds."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = fs.getRaw() if fs.getScheme() == "file" else fs
+    for status in fs.listStatus(root):
+        if not status.getPath().getName().endswith(extension):
+            fs.delete(status.getPath(), True)
+
+
 def write_documents(lines: DataFrame, path: str, overwrite: bool, extension: str | None, empty: str) -> None:
     """Write text lines so that every part file is a document; ``empty`` is the whole output when
     there are no lines. That is seen from the written bytes: a probe before the write would run

@@ -1,41 +1,58 @@
-"""XLSX workbooks as a Spark Python data source.
+"""XLSX workbooks (S11, S12, K8) through Spark's own readers and writers.
 
-Reading: one input partition per workbook file, parsed inside the task with the standard
-library (``zipfile`` + streaming ``xml.etree.ElementTree.iterparse``); the driver only lists
-files and, unless a schema is given, reads the header row and a few rows of the first
-workbook to type the columns. Writing: every task writes its rows as its own valid workbook
-(header row, frozen first row), rolling over to a new file at the sheet row limit.
+Reading: Spark's ``binaryFile`` source hands workbooks to tasks, which run through each sheet once, by
+parser events, and give its cells with their kinds (text, whole number, number, truth value, instant) to a
+scratch table. Columns are typed from that table over all workbooks, and the typed rows are a projection
+of it. Instants are told by the number format of a cell's style.
 
-Usage::
-
-    register(spark)
-    df = spark.read.format("quire_xlsx").option("sheetName", "People").load("/data/books")
-    inv = spark.read.format("quire_xlsx").option("inventory", "true").load("/data/books")
-    df.write.format("quire_xlsx").mode("overwrite").save("/out/books")
+Writing: a task streams its rows into a zip member as they come. The bytes of the workbook leave the task
+cut at line feeds, as rows of text: Spark's text sink puts the line feeds back, so its commit protocol and its
+file systems serve here too; the last one is the comment that the zip format allows at its end. Folders
+are written aside and then swapped in.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 import zipfile
-import xml.etree.ElementTree as ET
-from typing import Iterator
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
+from functools import partial
+from xml.etree import ElementTree as ET
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
-                                    WriterCommitMessage)
 
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+from ..functions.jscompat import js_string
+from ..session import ship_package, written
+from .files import keep_only, rename_parts, swap_in
+
+# Names of the format's parts, and its limits.
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 MAX_ROWS = 1_048_576
 MAX_COLUMNS = 16_384
-FORMAT_NAME = "quire_xlsx"
+# Numbers of the built-in number formats that show a date or a time.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+DAY_MICROS = 86_400_000_000
+EPOCH_DAY, EPOCH_1904 = 25_569, 1_462     # 1970-01-01 as a day number, and how far the 1904 numbers are behind
+LAST_DAY = 2_958_466                        # the day after 9999-12-31
+
+TEXT, LONG, DOUBLE, BOOLEAN, INSTANT = 0, 1, 2, 3, 4
 INVENTORY_SCHEMA = "path string, sheet_name string, sheet_index int, row_count long, column_count long"
+_CELLS_DDL = "layout long, titles string, cells array<struct<kind:tinyint,value:string>>"
+_CELL = pa.struct([("kind", pa.int8()), ("value", pa.string())])
+_CELLS = pa.schema([("layout", pa.int64()), ("titles", pa.string()), ("cells", pa.list_(_CELL))])
 
 
 # ---------------------------------------------------------------------------------------
@@ -66,493 +83,507 @@ def parse_range(rng: str) -> tuple[int, int, int, int]:
     return int(m.group(2)), int(m.group(4)), column_number(m.group(1)), column_number(m.group(3))
 
 
-def _split_ref(ref: str) -> tuple[int, int]:
-    m = re.match(r"^([A-Za-z]+)(\d+)$", ref)
-    return int(m.group(2)), column_number(m.group(1))
+_ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
+_UNWRITABLE = re.compile("[\x00-\x08\x0b-\x1f\ud800-\udfff\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 
 
-# ---------------------------------------------------------------------------------------
-# Workbook parsing (runs inside tasks)
-# ---------------------------------------------------------------------------------------
+def unescape(text: str) -> str:
+    """Characters that XML cannot hold stand as ``_x001F_`` in a workbook."""
+    return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text) if "_x" in text else text
+
 
-def _open_workbook_file(path: str):
-    from .files import open_random_access
-    return open_random_access(path)
+def cell_text(text: str) -> str:
+    return escape(_UNWRITABLE.sub(lambda m: f"_x{ord(m.group()):04X}_", text))
 
 
+# ---------------------------------------------------------------------------------------
+# Reading, in tasks
+# ---------------------------------------------------------------------------------------
+
 class Workbook:
-    def __init__(self, data):
-        """``data``: workbook bytes or a seekable file handle."""
-        self.zf = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, (bytes, bytearray)) else data)
-        self.strings = self._shared_strings()
-        self.sheets = self._sheets()  # [(name, member path)]
-
-    def _shared_strings(self) -> list[str]:
-        try:
-            raw = self.zf.read("xl/sharedStrings.xml")
-        except KeyError:
-            return []
-        out = []
-        for si in ET.fromstring(raw).iter(f"{NS}si"):
-            out.append("".join(t.text or "" for t in si.iter(f"{NS}t")))  # plain and rich text runs
-        return out
+    """Parts of a workbook that all its sheets share."""
 
-    def _sheets(self) -> list[tuple[str, str]]:
-        wb = ET.fromstring(self.zf.read("xl/workbook.xml"))
+    def __init__(self, data: bytes):
+        self.zf = zipfile.ZipFile(io.BytesIO(data))
+        root = ET.fromstring(self.zf.read("xl/workbook.xml"))
         rels = ET.fromstring(self.zf.read("xl/_rels/workbook.xml.rels"))
-        target = {r.get("Id"): r.get("Target") for r in rels.iter(f"{PKG_REL_NS}Relationship")}
-        out = []
-        for s in wb.iter(f"{NS}sheet"):
-            t = target.get(s.get(f"{REL_NS}id"), "")
-            t = t.lstrip("/")
-            out.append((s.get("name"), t if t.startswith("xl/") else "xl/" + t))
-        return out
-
-    def pick(self, sheet_name: str | None, sheet_index: int | None) -> tuple[str, str]:
+        target = {r.get("Id"): r.get("Target", "").lstrip("/") for r in rels.iter(f"{{{PACKAGE}}}Relationship")}
+        places = [(s.get("name"), target.get(s.get(f"{{{RELATIONS}}}id"), "")) for s in root.iter(f"{{{MAIN}}}sheet")]
+        self.sheets = [(n, t if t.startswith("xl/") else "xl/" + t) for n, t in places]
+        about = root.find(f"{{{MAIN}}}workbookPr")
+        self.late = about is not None and about.get("date1904") in ("1", "true")
+
+    def _part(self, name: str) -> ET.Element | None:
+        return ET.fromstring(self.zf.read(name)) if name in self.zf.namelist() else None
+
+    def strings(self) -> list[str]:
+        """Shared texts; of rich text the runs are joined, and readings above the characters left out."""
+        root = self._part("xl/sharedStrings.xml")
+        if root is None:
+            return []
+        return [unescape("".join(t.text or "" for t in (*si.findall(f"{{{MAIN}}}t"), *si.findall(f"{{{MAIN}}}r/{{{MAIN}}}t"))))
+                for si in root.iter(f"{{{MAIN}}}si")]
+
+    def date_styles(self) -> set[str]:
+        """Numbers of the cell styles whose number format shows a date or a time."""
+        root = self._part("xl/styles.xml")
+        if root is None:
+            return set()
+        dated = set(DATE_FORMATS)
+        for f in root.iter(f"{{{MAIN}}}numFmt"):
+            code = re.sub(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]', "", f.get("formatCode", ""))
+            if re.search("[ymdhs]", code, re.I) and "general" not in code.lower():
+                dated.add(int(f.get("numFmtId")))
+        xfs = root.find(f"{{{MAIN}}}cellXfs")
+        return {str(i) for i, xf in enumerate(xfs if xfs is not None else ()) if int(xf.get("numFmtId", 0)) in dated}
+
+    def pick(self, sheet_name: str | None, sheet_index: int | None) -> list[str]:
+        """The member of a sheet, and those that go on with it (see the writer)."""
         if sheet_name:
-            for s in self.sheets:
-                if s[0] == sheet_name:
-                    return s
-            raise ValueError(f"Sheet '{sheet_name}' not found. Available sheets: "
-                             f"{', '.join(n for n, _ in self.sheets)}")
-        if sheet_index is not None:
-            if 0 <= sheet_index < len(self.sheets):
-                return self.sheets[sheet_index]
-            raise ValueError(f"Sheet at index {sheet_index} not found. Total sheets: {len(self.sheets)}")
-        if not self.sheets:
+            found = [s for s in self.sheets if s[0] == sheet_name]
+            if not found:
+                raise ValueError(f"Sheet '{sheet_name}' not found. Available sheets: {', '.join(n for n, _ in self.sheets)}")
+        elif sheet_index is not None:
+            if not 0 <= sheet_index < len(self.sheets):
+                raise ValueError(f"Sheet at index {sheet_index} not found. Total sheets: {len(self.sheets)}")
+            found = [self.sheets[sheet_index]]
+        elif not self.sheets:
             raise ValueError("No worksheets found in Excel file")
-        return self.sheets[0]
-
-    def _value(self, c) -> object:
-        t = c.get("t")
-        if t == "inlineStr":
-            return "".join(x.text or "" for x in c.iter(f"{NS}t"))
-        v = c.find(f"{NS}v")
-        if v is None or v.text is None:
+        else:
+            found = self.sheets[:1]
+        further = re.compile(re.escape(found[0][0]) + r"~\d+")
+        return [found[0][1], *[m for n, m in self.sheets if further.fullmatch(n)]]
+
+
+class _Sheet:
+    """Parser events of one sheet as rows (number, {column: (kind, value)}); cells without a value are None."""
+
+    def __init__(self, book: Workbook, strings: list[str], dated: set[str]):
+        self.strings, self.dated = strings, dated
+        self.shift = EPOCH_DAY - (EPOCH_1904 if book.late else 0)
+        self.done: list[tuple[int, dict]] = []
+        self.row, self.column, self.cells, self.kind, self.style = 0, 0, {}, None, None
+        self.text: list[str] | None = None
+        self.said: str | None = None
+        self.hidden = 0
+        self.parser = expat.ParserCreate(namespace_separator=" ")
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
+        self.parser.CharacterDataHandler = self._chars
+
+    def _start(self, name: str, a: dict) -> None:
+        name = name.rpartition(" ")[2]
+        if name == "c":
+            ref = a.get("r")
+            self.column = column_number(ref.rstrip("0123456789")) if ref else self.column + 1
+            self.kind, self.style, self.said = a.get("t"), a.get("s"), None
+        elif name in ("v", "t") and not self.hidden:
+            self.text = []
+        elif name == "row":
+            self.row = int(a["r"]) if "r" in a else self.row + 1
+            self.cells, self.column = {}, 0
+        elif name == "rPh":
+            self.hidden += 1
+
+    def _chars(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def _end(self, name: str) -> None:
+        name = name.rpartition(" ")[2]
+        if name in ("v", "t") and self.text is not None:
+            self.said, self.text = (self.said or "") + "".join(self.text), None
+        elif name == "c":
+            self.cells[self.column] = self._value()
+        elif name == "row":
+            self.done.append((self.row, self.cells))
+        elif name == "rPh":
+            self.hidden -= 1
+
+    def _value(self) -> tuple[int, str] | None:
+        said, kind = self.said, self.kind
+        if said is None:
             return None
-        if t == "s":
-            return self.strings[int(v.text)]
-        if t in ("str", "e"):
-            return v.text  # formula result text / error text
-        if t == "b":
-            return v.text == "1"
-        f = float(v.text)
-        return int(f) if f.is_integer() and "." not in v.text and "E" not in v.text.upper() else f
-
-    def rows(self, member: str) -> Iterator[tuple[int, dict[int, object]]]:
-        """(row number, {column number: value}) for every row element, streamed."""
-        with self.zf.open(member) as fh:
-            for _, el in ET.iterparse(fh, events=("end",)):
-                if el.tag == f"{NS}row":
-                    r = int(el.get("r")) if el.get("r") else None
-                    cells = {}
-                    for i, c in enumerate(el.iter(f"{NS}c"), 1):
-                        ref = c.get("r")
-                        col = _split_ref(ref)[1] if ref else i
-                        cells[col] = self._value(c)
-                    yield r, cells
-                    el.clear()
-
-    def extent(self, member: str) -> tuple[int, int]:
-        """(last row, last column) with any cell."""
-        last_r, last_c, n = 0, 0, 0
-        for r, cells in self.rows(member):
-            n += 1
-            last_r = max(last_r, r or n)
-            if cells:
-                last_c = max(last_c, max(cells))
-        return last_r, last_c
-
-
-def _blank(v) -> bool:
-    return v is None or v == ""
-
-
-def sheet_records(data, sheet_name=None, sheet_index=None, rng: str | None = None):
-    """(headers or None, iterator of {header: value}) following the tool's rules: the first
-    row is a header row when any of its cells is non-blank text; blank headers become
-    ``Column<n>``; rows without any value are dropped."""
-    wb = Workbook(data)
-    _, member = wb.pick(sheet_name, sheet_index)
-    if rng:
-        r0, r1, c0, c1 = parse_range(rng)
-    else:
-        # the declared dimension is a hint that many writers leave stale: the cells decide
-        last_r, last_c = wb.extent(member)
-        r0, r1, c0, c1 = 1, last_r, 1, last_c
-    cols = list(range(c0, c1 + 1))
-    first = {}
-    for r, cells in wb.rows(member):
-        if r == r0:
-            first = cells
-            break
-    has_headers = any(isinstance(first.get(c), str) and first.get(c).strip() for c in cols)
-    headers = [(first.get(c).strip() if isinstance(first.get(c), str) and first.get(c).strip() else f"Column{c}")
-               for c in cols]
-    start = r0 + 1 if has_headers else r0
-
-    def gen():
-        for n, (r, cells) in enumerate(wb.rows(member), 1):
-            r = r or n
-            if r < start or r > r1:
-                continue
-            rec = {h: cells.get(c) for h, c in zip(headers, cols)}
-            if any(not _blank(v) for v in rec.values()):
-                yield rec
-    return (headers if has_headers else None), headers, gen()
-
-
-def sheet_inventory(path: str, data) -> list[tuple]:
-    wb = Workbook(data)
-    out = []
-    for i, (name, member) in enumerate(wb.sheets):
-        last_r, last_c = wb.extent(member)
-        out.append((path, name, i, last_r, last_c))
-    return out
+        if kind == "s":
+            said = self.strings[int(said)]
+        elif kind in ("str", "inlineStr"):
+            said = unescape(said)
+        elif kind == "b":
+            return BOOLEAN, said
+        elif kind == "d":
+            micros = np.datetime64(said.rstrip("Z"), "us").astype(int)
+            return INSTANT, str(int(micros))
+        elif kind != "e":
+            if self.style in self.dated:
+                return INSTANT, str(round((Decimal(said) - self.shift) * DAY_MICROS))
+            whole = said.removeprefix("-").isdigit() and -1 << 63 <= int(said) < 1 << 63
+            return (LONG if whole else DOUBLE), said
+        return (TEXT, said) if said else None
+
+    def rows(self, member) -> Iterator[tuple[int, dict]]:
+        while block := member.read(1 << 16):
+            self.parser.Parse(block)
+            yield from self.done
+            self.done = []
+        self.parser.Parse(b"", True)
+        yield from self.done
+
+
+def _titles(cells: dict, first: int) -> list[str] | None:
+    """Names by column of a first row that holds any text that is not blank; blank cells have none."""
+    texts = {c: v[1].strip() for c, v in cells.items() if v is not None and v[0] == TEXT}
+    if not any(texts.values()):
+        return None
+    return [texts.get(c, "") for c in range(first, max(cells) + 1)]
+
+
+def _cell_rows(sheet_name, sheet_index, rng, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of a sheet of every workbook, from its first column; ``layout`` numbers the titles, which stand in the
+    first row of each sheet (that row has no cells)."""
+    r0, r1, c0, c1 = parse_range(rng) if rng else (1, None, 1, None)
+    for data in (b.column(0)[i].as_py() for b in batches for i in range(b.num_rows)):
+        book = Workbook(data)
+        strings, dated = book.strings(), book.date_styles()
+        for place, member in enumerate(book.pick(sheet_name, sheet_index)):
+            titles, layout, rows, size = None, None, [], 0
+            with book.zf.open(member) as stream:
+                for n, cells in _Sheet(book, strings, dated).rows(stream):
+                    if n < r0 or r1 is not None and n > r1:
+                        continue
+                    if c0 > 1 or c1 is not None:
+                        cells = {c: v for c, v in cells.items() if c >= c0 and (c1 is None or c <= c1)}
+                    if layout is None:
+                        titles = _titles(cells, c0) if n == r0 else None
+                        said = json.dumps([c0, (c1 or 0) - c0 + 1 if c1 else 0, titles])
+                        layout = int.from_bytes(uuid.uuid5(uuid.NAMESPACE_OID, said).bytes[:8], "little", signed=True)
+                        yield pa.RecordBatch.from_pylist([{"layout": layout, "titles": said, "cells": None}], _CELLS)
+                        if titles is not None:
+                            continue
+                    # a row is as wide as its last cell, valued or not; rows without a value are left out
+                    if any(v is not None for v in cells.values()):
+                        rows.append([_pair(cells.get(c)) for c in range(c0, max(cells) + 1)])
+                        size += len(rows[-1])
+                        if size > 50_000:
+                            yield _packed(layout, rows)
+                            rows, size = [], 0
+            if rows:
+                yield _packed(layout, rows)
+
+
+def _pair(v):
+    return None if v is None else {"kind": v[0], "value": v[1]}
+
+
+def _packed(layout: int, rows: list) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([layout] * n, pa.int64()), pa.nulls(n, pa.string()),
+                                       pa.array(rows, pa.list_(_CELL))], schema=_CELLS)
+
+
+def _workbooks(spark: SparkSession, path) -> DataFrame:
+    ship_package(spark)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            .where(r"lower(path) rlike '[.]xlsx?$' and not path rlike '/[~._][^/]*$'"))
 
 
 # ---------------------------------------------------------------------------------------
-# Data source
+# Reading, typed
 # ---------------------------------------------------------------------------------------
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-def _list_workbooks(path: str) -> list[str]:
-    import pyarrow.fs as pafs
-    if "://" in path:
-        fs, inner = pafs.FileSystem.from_uri(path)
-        prefix = path[: path.index("://") + 3]
-    else:
-        fs, inner, prefix = pafs.LocalFileSystem(), path[5:] if path.startswith("file:") else path, ""
-    info = fs.get_file_info(inner)
-    if info.type == pafs.FileType.File:
-        return [path]
-    sel = pafs.FileSelector(inner, recursive=True)
-    files = [f.path for f in fs.get_file_info(sel) if f.type == pafs.FileType.File
-             and f.path.lower().endswith((".xlsx", ".xls")) and not f.base_name.startswith(("_", "."))]
-    return sorted(prefix + p if prefix and not p.startswith(prefix) else p for p in files)
-
-
-def _kind(v) -> str:
-    return "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "double" if isinstance(v, float) else "text"
-
-
-def _column_kinds(path: str, sheet_name, sheet_index, rng) -> dict[str, set]:
-    """header -> kinds of its non-blank cells, over every row of one workbook's sheet."""
-    with _open_workbook_file(path) as fh:
-        _, headers, recs = sheet_records(fh, sheet_name, int(sheet_index) if sheet_index is not None else None, rng)
-        kinds: dict[str, set] = {h: set() for h in headers}
-        for r in recs:
-            for h, v in r.items():
-                if not _blank(v):
-                    kinds[h].add(_kind(v))
-        return kinds
-
-
-def _schema_of(kinds: dict[str, set]) -> T.StructType:
-    """Columns in order; a column of several kinds is text, of whole and broken numbers double."""
-    def of(k: set) -> T.DataType:
-        if k == {"boolean"}:
-            return T.BooleanType()
-        if k == {"long"}:
-            return T.LongType()
-        return T.DoubleType() if k and k <= {"long", "double"} else T.StringType()
-    return T.StructType([T.StructField(h, of(k), True) for h, k in kinds.items()])
-
-
-def infer_schema(spark: SparkSession, path: str, sheet_name=None, sheet_index=None, range_=None) -> T.StructType:
-    """Schema over every row of every workbook under ``path``, inferred in tasks (one row per column and
-    kind of cell reaches the driver); columns come in the order of their smallest place."""
-    import pandas as pd
-
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-             .where("lower(path) rlike '[.]xlsx?$'"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(h, i, k) for p in pdf["path"]
-                    for i, (h, ks) in enumerate(_column_kinds(p, sheet_name, sheet_index, range_).items())
-                    for k in (ks or {""})]
-            yield pd.DataFrame(rows, columns=["header", "place", "kind"])
-
-    found = files.mapInPandas(run, "header string, place int, kind string")
-    rows = found.groupBy("header", "kind").agg({"place": "min"}).collect()
-    if not rows:
-        raise ValueError(f"No workbooks under {path}")
-    place: dict[str, int] = {}
-    kinds: dict[str, set] = {}
-    for r in rows:
-        place[r[0]] = min(place.get(r[0], r[2]), r[2])
-        kinds.setdefault(r[0], set()).update({r[1]} - {""})
-    return _schema_of({h: kinds[h] for h in sorted(kinds, key=lambda h: (place[h], h))})
-
-
-def _convert(v, dt: T.DataType):
-    if _blank(v):
-        return None
+def _kind_type(kinds: int) -> T.DataType:
+    """The type of a column from its cells' kinds, a bit each; several kinds make text, but numbers stay numbers."""
+    if kinds == 1 << BOOLEAN:
+        return T.BooleanType()
+    if kinds == 1 << INSTANT:
+        return T.TimestampType()
+    if kinds == 1 << LONG:
+        return T.LongType()
+    return T.DoubleType() if kinds and not kinds & ~(1 << LONG | 1 << DOUBLE) else T.StringType()
+
+
+def _as(cell: Column, dt: T.DataType) -> Column:
+    """A cell as a value of a type, null where it is of another kind."""
+    kind, value = cell["kind"], cell["value"]
+    number = kind.isin(LONG, DOUBLE)
+    instant = F.when(kind == INSTANT, F.timestamp_micros(value.try_cast("long")))
     if isinstance(dt, T.StringType):
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        if isinstance(v, float) and v.is_integer():
-            return str(int(v))
-        return str(v)
-    if isinstance(dt, T.LongType):
-        return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-    if isinstance(dt, T.DoubleType):
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+        return (F.when(kind == TEXT, value).when(kind == LONG, value).when(kind == BOOLEAN, (value == "1").cast("string"))
+                .when(kind == DOUBLE, js_string(value.try_cast("double"), T.DoubleType()))
+                .otherwise(js_string(instant, T.TimestampType())))
     if isinstance(dt, T.BooleanType):
-        return v if isinstance(v, bool) else None
-    return v
-
-
-class XlsxDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return FORMAT_NAME
-
-    def _opt(self, key, default=None):
-        return self.options.get(key, self.options.get(key.lower(), default))
-
-    def schema(self):
-        if str(self._opt("inventory", "false")).lower() == "true":
-            return INVENTORY_SCHEMA
-        # read_xlsx infers in tasks and passes the schema; this is for direct use of the format
-        files = _list_workbooks(self.options["path"])
-        if not files:
-            raise ValueError(f"No workbooks under {self.options['path']}")
-        idx = self._opt("sheetIndex")
-        seen: dict[str, set] = {}
-        for f in files:
-            for h, kinds in _column_kinds(f, self._opt("sheetName"), idx, self._opt("range")).items():
-                seen.setdefault(h, set()).update(kinds)
-        return _schema_of(seen)
-
-    def reader(self, schema):
-        return _XlsxReader(self.options, schema)
-
-    def writer(self, schema, overwrite):
-        return _XlsxWriter(self.options, schema, overwrite)
-
-
-class _XlsxReader(DataSourceReader):
-    def __init__(self, options, schema):
-        self.options = dict(options)
-        self.schema = schema
-
-    def partitions(self):
-        return [_FilePartition(p) for p in _list_workbooks(self.options["path"])]
-
-    def read(self, partition):
-        with _open_workbook_file(partition.path) as data:
-            if str(self.options.get("inventory", "false")).lower() == "true":
-                yield from sheet_inventory(partition.path, data)
-                return
-            idx = self.options.get("sheetIndex", self.options.get("sheetindex"))
-            _, _, recs = sheet_records(data, self.options.get("sheetName", self.options.get("sheetname")),
-                                       int(idx) if idx is not None else None, self.options.get("range"))
-            fields = self.schema.fields
-            for rec in recs:
-                yield tuple(_convert(rec.get(f.name), f.dataType) for f in fields)
-
+        return F.when(kind == BOOLEAN, value == "1")
+    if isinstance(dt, (T.TimestampType, T.DateType, T.TimestampNTZType)):
+        return instant.try_cast(dt)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.when(kind == LONG, value.try_cast(dt)).when(number, value.try_cast("double").try_cast(dt))
+    if isinstance(dt, T.NumericType):
+        return F.when(number, value.try_cast(dt))
+    return F.when(kind == TEXT, value).try_cast(dt)
 
-# ---------------------------------------------------------------------------------------
-# Writer
-# ---------------------------------------------------------------------------------------
 
-def _cell(ref: str, v, style: int = 0) -> str:
-    s = f' s="{style}"' if style else ""
-    if v is None:
-        return ""
-    if isinstance(v, bool):
-        return f'<c r="{ref}" t="b"{s}><v>{int(v)}</v></c>'
-    if isinstance(v, (int, float)):
-        return f'<c r="{ref}"{s}><v>{v!r}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"{s}><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-
-def _col_widths(names) -> str:
-    return "<cols>" + "".join(
-        f'<col min="{i}" max="{i}" width="{min(50, max(10, len(n) + 2))}" customWidth="1"/>'
-        for i, n in enumerate(names, 1)) + "</cols>"
-
-
-def workbook_bytes(names: list[str], rows: list[tuple], sheet_name: str = "Sheet1") -> bytes:
-    letters = [column_letters(i) for i in range(1, len(names) + 1)]
-    body = ['<row r="1">' + "".join(_cell(f"{c}1", n, 1) for c, n in zip(letters, names)) + "</row>"]
-    for i, r in enumerate(rows, 2):
-        body.append(f'<row r="{i}">' + "".join(_cell(f"{c}{i}", v) for c, v in zip(letters, r)) + "</row>")
-    last = f"{letters[-1]}{len(rows) + 1}" if letters else "A1"
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-             f'<dimension ref="A1:{last}"/>'
-             '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" '
-             'state="frozen"/></sheetView></sheetViews>' + _col_widths(names) +
-             "<sheetData>" + "".join(body) + "</sheetData>"
-             f'<autoFilter ref="A1:{last}"/></worksheet>')
-    files = {
-        "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.'
-        'openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.'
-        'openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
-        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.'
-        'spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/'
-        'vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" '
-        'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
-        "_rels/.rels": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.'
-        'openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.'
-        'org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><workbook xmlns="http://schemas.'
-        'openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/'
-        f'relationships"><sheets><sheet name="{escape(sheet_name)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns='
-        '"http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.'
-        'openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
-        '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" '
-        'Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><styleSheet xmlns="http://schemas.'
-        'openxmlformats.org/spreadsheetml/2006/main"><fonts count="2"><font/><font><b/></font></fonts><fills '
-        'count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
-        '<fill><patternFill patternType="solid"><fgColor rgb="FFE0E0E0"/></patternFill></fill></fills><borders '
-        'count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf '
-        'fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": sheet,
-    }
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-        for name, text in files.items():
-            zf.writestr(name, text)
-    return buf.getvalue()
-
-
-class _Commit(WriterCommitMessage):
-    def __init__(self, files):
-        self.files = files
-
-
-def _write_bytes(path: str, data: bytes) -> None:
-    fs, inner = _fs_and_path(path)
-    parent = inner.rsplit("/", 1)[0]
-    fs.create_dir(parent, recursive=True)
-    with fs.open_output_stream(inner) as f:
-        f.write(data)
-
-
-class _XlsxWriter(DataSourceWriter):
-    """Task attempts write into ``_temporary/<attempt>/`` under the target; the driver-side
-    ``commit`` moves only the files named by successful attempts into place and removes the
-    staging folder, so a retried or lost task never leaves a duplicate workbook behind."""
-
-    def __init__(self, options, schema, overwrite):
-        self.path = options["path"].rstrip("/")
-        self.sheet = options.get("sheetName", options.get("sheetname", "Sheet1"))
-        self.schema = schema
-        self.job = uuid.uuid4().hex[:12]
-        if len(schema.fields) > MAX_COLUMNS:
-            raise ValueError(f"Data has {len(schema.fields)} columns, exceeding Excel's limit of {MAX_COLUMNS}")
-
-    def _staging(self) -> str:
-        return f"{self.path}/_temporary/{self.job}"
-
-    def write(self, iterator):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        attempt = f"{pid:05d}-{ctx.attemptNumber() if ctx else 0}-{uuid.uuid4().hex[:8]}"
-        names = [f.name for f in self.schema.fields]
-        files, chunk, part = [], [], 0
-        limit = MAX_ROWS - 1
-        for row in iterator:
-            chunk.append(tuple(_plain(v) for v in row))
-            if len(chunk) == limit:
-                files.append(self._flush(names, chunk, pid, part, attempt))
-                chunk, part = [], part + 1
-        if chunk or not files:
-            files.append(self._flush(names, chunk, pid, part, attempt))
-        return _Commit(files)
-
-    def _flush(self, names, rows, pid, part, attempt):
-        name = f"{self._staging()}/{attempt}/part-{pid:05d}-{part:03d}.xlsx"
-        _write_bytes(name, workbook_bytes(names, rows, self.sheet))
-        return name
-
-    def commit(self, messages):
-        fs, root = _fs_and_path(self.path)
-        for m in messages:
-            for staged in (m.files if m is not None else []):
-                _, inner = _fs_and_path(staged)
-                fs.move(inner, f"{root}/{inner.rsplit('/', 1)[-1]}")
-        _remove(fs, f"{root}/_temporary")
-
-    def abort(self, messages):
-        fs, root = _fs_and_path(self.path)
-        _remove(fs, f"{root}/_temporary")
-
-
-def _fs_and_path(path: str):
-    import pyarrow.fs as pafs
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path[len("file:"):] if path.startswith("file:") else path
-
-
-def _remove(fs, path: str) -> None:
-    import pyarrow.fs as pafs
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
-
-
-def _plain(v):
-    import datetime as dt
-    import json
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    if isinstance(v, (list, dict)):
-        return json.dumps(v, default=str)
-    if hasattr(v, "asDict"):
-        return json.dumps(v.asDict(recursive=True), default=str)
-    if v is not None and not isinstance(v, (str, int, float, bool)):
-        return str(v)
-    return v
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxDataSource)
+def _names(said: str, width: int) -> list[str]:
+    """Column names of a layout: titles, and ``Column<n>`` where there is none."""
+    first, asked, titles = json.loads(said)
+    titles = titles or []
+    return [(titles[i] if i < len(titles) else "") or f"Column{first + i}" for i in range(max(width, asked, len(titles)))]
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet_name: str | None = None, sheet_index: int | None = None,
-              range_: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of one sheet of every workbook under ``path`` (one task per workbook)."""
-    register(spark)
-    r = spark.read.format(FORMAT_NAME)
-    r = r.schema(schema if schema is not None else infer_schema(spark, path, sheet_name, sheet_index, range_))
-    if sheet_name:
-        r = r.option("sheetName", sheet_name)
-    if sheet_index is not None:
-        r = r.option("sheetIndex", str(sheet_index))
+              range_: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of one sheet of every workbook under ``path``; each workbook is parsed once, by one task.
+
+    The first row (of the range) is titles if it holds any text that is not blank. Columns are typed over every row of
+    every workbook and put together by title, in the order of their smallest place; of titles that repeat in a sheet
+    the last counts. Rows without a value are left out. Cells with a date format are instants (UTC).
+    """
     if range_:
-        r = r.option("range", range_)
-    return r.load(path)
+        parse_range(range_)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    cells = written(_workbooks(spark, path).select("content").mapInArrow(
+        partial(_cell_rows, sheet_name, sheet_index, range_), _CELLS_DDL), "xlsx-cells")
+    layouts = [(r.layout, r.titles) for r in cells.where("titles is not null").select("layout", "titles").distinct().collect()]
+    # a row a column and layout: which kinds of cells it has, and how wide the sheets are
+    found: dict[int, dict[int, int]] = {}
+    for r in cells.where("cells is not null").select("layout", F.posexplode("cells").alias("pos", "cell")).groupBy(
+            "layout", "pos").agg(F.bit_or(F.when(F.col("cell").isNotNull(), F.expr("1 << cell.kind")).otherwise(0)
+                                          ).alias("kinds")).collect():
+        found.setdefault(r.layout, {})[r.pos] = r.kinds
+    places: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    named = {}
+    for layout, said in layouts:
+        mine = found.get(layout, {})
+        names = _names(said, max(mine, default=-1) + 1)
+        named[layout] = {n: i for i, n in enumerate(names)}
+        for n, i in named[layout].items():
+            places[n] = min(places.get(n, i), i)
+            kinds[n] = kinds.get(n, 0) | mine.get(i, 0)
+    if schema is None:
+        if not places and not _workbooks(spark, path).select("path").limit(1).count():
+            raise ValueError(f"No workbooks under {path}")
+        schema = T.StructType([T.StructField(n, _kind_type(kinds[n])) for n in sorted(places, key=lambda n: (places[n], n))])
+    out = None
+    for layout, at in named.items():
+        rows = cells.where((F.col("layout") == layout) & F.col("cells").isNotNull())
+        some = rows.select(*[(_as(F.get("cells", F.lit(at[f.name])), f.dataType) if f.name in at else F.lit(None).cast(f.dataType)
+                              ).alias(f.name) for f in schema.fields])
+        out = some if out is None else out.union(some)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _inventory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            book, rows = Workbook(b.column(1)[i].as_py()), []
+            for k, (name, member) in enumerate(book.sheets):
+                last = width = 0
+                with book.zf.open(member) as stream:
+                    for n, cells in _Sheet(book, _Any(), set()).rows(stream):
+                        last, width = max(last, n), max(width, max(cells, default=0))
+                rows.append((b.column(0)[i].as_py(), name, k, last, width))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))],
+                ["path", "sheet_name", "sheet_index", "row_count", "column_count"])
+
+
+class _Any:
+    """Stands for the shared texts where only places of cells are wanted."""
+
+    def __getitem__(self, i: int) -> str:
+        return "x"
 
 
 def sheet_inventory_df(spark: SparkSession, path: str) -> DataFrame:
-    """Name, index, row and column count of every sheet of every workbook."""
-    register(spark)
-    return spark.read.format(FORMAT_NAME).option("inventory", "true").load(path)
+    """Name, index, last row and last column of every sheet of every workbook; the cells decide, since the
+    extent that a sheet declares is often out of date."""
+    return _workbooks(spark, path).select("path", "content").mapInArrow(_inventory, INVENTORY_SCHEMA)
+
 
+# ---------------------------------------------------------------------------------------
+# Writing
+# ---------------------------------------------------------------------------------------
 
-def write_xlsx(df: DataFrame, path: str, sheet_name: str = "Sheet1", overwrite: bool = True) -> None:
-    """K8: one workbook per partition (more when a partition exceeds the sheet row limit).
-    ``overwrite`` removes an existing target folder first; otherwise an existing one is an error."""
+# The parts of a workbook beside its sheets; styles 1 to 3 are header, date, and date with time.
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+_STYLES = (f'{_HEAD}<styleSheet xmlns="{MAIN}"><numFmts count="1"><numFmt numFmtId="164" '
+           'formatCode="yyyy\\-mm\\-dd\\ hh:mm:ss.000"/></numFmts><fonts count="2"><font/><font><b/></font></fonts>'
+           '<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
+           '<fill><patternFill patternType="solid"><fgColor rgb="FFE0E0E0"/></patternFill></fill></fills>'
+           '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/>'
+           '<xf fontId="1" fillId="2" applyFont="1" applyFill="1"/><xf numFmtId="14" applyNumberFormat="1"/>'
+           '<xf numFmtId="164" applyNumberFormat="1"/></cellXfs></styleSheet>')
+_ROOT_RELS = (f'{_HEAD}<Relationships xmlns="{PACKAGE}"><Relationship Id="rId1" Type="{RELATIONS}/officeDocument" '
+              'Target="xl/workbook.xml"/></Relationships>')
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+class _Lines:
+    """A write-only stream whose bytes are taken away again, cut at line feeds."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def write(self, data) -> int:
+        self.parts.append(bytes(data))
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+    def take(self) -> list[bytes]:
+        whole = b"".join(self.parts)
+        *lines, rest = whole.split(b"\n")
+        self.parts = [rest]
+        return lines
+
+
+class _Writer:
+    """One workbook, written from front to back. A sheet that is full goes on in another, ``<name>~2``, and so on."""
+
+    def __init__(self, names: Sequence[str], sheet_name: str, limit: int = MAX_ROWS):
+        self.names, self.sheet_name, self.limit = names, sheet_name, limit
+        self.letters = [column_letters(i) for i in range(1, len(names) + 1)]
+        self.sink = _Lines()
+        self.zf = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_DEFLATED)
+        self.sheets, self.member = 0, None
+
+    def _open(self) -> None:
+        self.sheets += 1
+        self.member, self.row = self.zf.open(f"xl/worksheets/sheet{self.sheets}.xml", "w", force_zip64=True), 1
+        widths = "".join(f'<col min="{i}" max="{i}" width="{min(50, max(10, len(n) + 2))}" customWidth="1"/>'
+                         for i, n in enumerate(self.names, 1))
+        titles = "".join(f'<c r="{c}1" t="inlineStr" s="1"><is><t xml:space="preserve">{cell_text(n)}</t></is></c>'
+                         for c, n in zip(self.letters, self.names))
+        self._write(f'{_HEAD}<worksheet xmlns="{MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" '
+                    'topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+                    f'{f"<cols>{widths}</cols>" if widths else ""}<sheetData><row r="1">{titles}</row>')
+
+    def _write(self, text: str) -> None:
+        self.member.write(text.encode())
+
+    def _shut(self) -> None:
+        last = f"{self.letters[-1]}{self.row}" if self.letters else "A1"
+        self._write(f'</sheetData><autoFilter ref="A1:{last}"/></worksheet>')
+        self.member.close()
+        self.member = None
+
+    def add(self, columns: Sequence[Sequence]) -> None:
+        """Rows, as columns of (attributes and body of a cell) or None."""
+        out = []
+        for cells in zip(*columns):
+            if self.member is None or self.row == self.limit:
+                if self.member is not None:
+                    self._write("".join(out))
+                    self._shut()
+                    out = []
+                self._open()
+            self.row += 1
+            out.append(f'<row r="{self.row}">' + "".join(
+                [f'<c r="{c}{self.row}"{v}</c>' for c, v in zip(self.letters, cells) if v is not None]) + "</row>")
+        if out:
+            self._write("".join(out))
+
+    def close(self) -> None:
+        if self.member is None:
+            self._open()
+        self._shut()
+        places = range(1, self.sheets + 1)
+        overrides = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_TYPE}.worksheet+xml"/>' for i in places)
+        name = [self.sheet_name if i == 1 else f"{self.sheet_name}~{i}" for i in places]
+        attribute = {'"': "&quot;"}
+        parts = {
+            "[Content_Types].xml": f'{_HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Default Extension="xml" ContentType="application/xml"/>'
+            f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/>'
+            f'<Override PartName="/xl/styles.xml" ContentType="{_TYPE}.styles+xml"/>{overrides}</Types>',
+            "_rels/.rels": _ROOT_RELS,
+            "xl/workbook.xml": f'{_HEAD}<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>' + "".join(
+                f'<sheet name="{escape(n, attribute)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in zip(places, name))
+            + "</sheets></workbook>",
+            "xl/_rels/workbook.xml.rels": f'{_HEAD}<Relationships xmlns="{PACKAGE}">' + "".join(
+                f'<Relationship Id="rId{i}" Type="{RELATIONS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in places)
+            + f'<Relationship Id="rId0" Type="{RELATIONS}/styles" Target="styles.xml"/></Relationships>',
+            "xl/styles.xml": _STYLES,
+        }
+        for part, text in parts.items():
+            self.zf.writestr(part, text)
+        self.zf.comment = b"\n"         # the text sink ends the last line with it
+        self.zf.close()
+
+
+def _days(micros: int) -> str | None:
+    """An instant as the day number of a cell, with digits enough for each microsecond; what comes before 1900 or after
+    9999 has none."""
+    day, rest = divmod(micros, DAY_MICROS)
+    day += EPOCH_DAY
+    return f"{day}.{(rest * 10 ** 13 // DAY_MICROS + 5) // 10:012d}" if 1 <= day < LAST_DAY else None
+
+
+def _cells(column: pa.Array) -> list[str | None]:
+    """Cells of a column: what stands between a cell's place and its end."""
+    kind = column.type
+    if pa.types.is_boolean(kind):
+        return [None if v is None else f' t="b"><v>{int(v)}</v>' for v in column.to_pylist()]
+    if pa.types.is_date(kind) or pa.types.is_timestamp(kind):
+        style = 2 if pa.types.is_date(kind) else 3
+        micros = column.cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
+        days = [None if v is None else _days(v) for v in micros]
+        return [None if v is None else f' s="{style}"><v>{d}</v>' if d else _inline(np.datetime_as_string(
+            np.datetime64(v, "us"), "D" if style == 2 else "us")) for v, d in zip(micros, days)]
+    if pa.types.is_floating(kind):
+        # not a number and infinities have no cell
+        return [None if v is None or v - v != 0 else f"><v>{v!r}</v>" for v in column.to_pylist()]
+    if pa.types.is_integer(kind) or pa.types.is_decimal(kind):
+        return [None if v is None else f"><v>{v}</v>" for v in column.to_pylist()]
+    return [None if v is None else _inline(v) for v in column.to_pylist()]
+
+
+def _inline(text: str) -> str:
+    return f' t="inlineStr"><is><t xml:space="preserve">{cell_text(text)}</t></is>'
+
+
+def _workbook(names: Sequence[str], sheet_name: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    book = None
+    for b in batches:
+        if b.num_rows:
+            book = book or _Writer(names, sheet_name, limit)
+            for at in range(0, b.num_rows, 2000):
+                book.add([_cells(c) for c in b.slice(at, 2000).columns])
+            yield from _bytes(book.sink.take())
+    if book is None and TaskContext.get().partitionId() == 0:
+        book = _Writer(names, sheet_name, limit)        # Spark writes a file for the first partition even if it is empty
+    if book is not None:
+        book.close()
+        yield from _bytes(book.sink.take())
+
+
+def _bytes(lines: list[bytes]) -> Iterator[pa.RecordBatch]:
+    if lines:
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
+
+
+def write_xlsx(df: DataFrame, path: str, sheet_name: str = "Sheet1", overwrite: bool = True, limit: int = MAX_ROWS) -> None:
+    """K8: one workbook per partition, its rows streamed. Header bold on grey and frozen; numbers, truth values, dates
+    and instants as such, nested values as JSON text; not a number and infinities are empty cells, characters that XML
+    cannot hold are escaped as the format does. A sheet of ``limit`` rows goes on in sheets ``<name>~2``, ``~3``.
+
+    The folder is written aside and swapped in when complete, so that ``df`` may come from the folder it replaces;
+    without ``overwrite`` an existing one is an error.
+    """
+    if len(df.columns) > MAX_COLUMNS:
+        raise ValueError(f"Data has {len(df.columns)} columns, exceeding Excel's limit of {MAX_COLUMNS}")
+    if limit < 2:
+        raise ValueError("a sheet needs room for its header and a row")
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        if not overwrite:
-            raise FileExistsError(path)
-        fs.delete(target, True)
-    register(spark)
-    df.write.format(FORMAT_NAME).mode("overwrite" if overwrite else "append").option("sheetName", sheet_name).save(path)
+    ship_package(spark)
+    plain = (T.StringType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    flat = df.select(*[(F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else js_string(F.col(f"`{f.name}`"), f.dataType)
+                        ).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
+    book = flat.mapInArrow(partial(_workbook, df.columns, sheet_name, limit), "value binary")
+    with swap_in(spark, path, overwrite) as aside:
+        book.select(F.col("value").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(aside)
+        rename_parts(spark, aside, ".xlsx")
+        keep_only(spark, aside, ".xlsx")
