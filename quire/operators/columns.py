@@ -6,11 +6,15 @@ Catalyst's CollapseProject, so a long chain costs one pass.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from functools import reduce
-from typing import Any, Callable, Sequence
+from functools import partial, reduce
+from typing import Any, Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.jscompat import js_trim
 from ..functions.jscompat import js_string, js_typeof
 from ..functions.ordinal import sort_columns, with_ordinal
+from ..session import ship_package
 from .filters import Report, has_column
 
 OPERATION_TYPES = ("add", "remove", "rename")
@@ -244,43 +249,108 @@ def validate_operations(df: DataFrame, ops: Sequence[ColumnOperation]) -> Report
 # A1 column statistics
 # ---------------------------------------------------------------------------------------
 
-def _comparable(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, (T.MapType, T.VariantType)):
-        return F.to_json(c)
-    return c
+LONG_KEY = 64       # bytes; longer values are told apart by their SHA-256
+
+
+def _identity(c: Column, dt: T.DataType) -> Column | None:
+    """Text that tells values of a type apart, where ``js_string`` may not; None where it does."""
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0)).cast("string")          # one zero
+    if isinstance(dt, (T.DecimalType, T.TimestampType, T.TimestampNTZType)):
+        return c.cast("string")
+    if isinstance(dt, T.BinaryType):
+        return F.base64(c)
+    if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(c, {"ignoreNullFields": "false"})
+    return None
+
+
+def _first_rows(table: pa.Table, order: list[str], texts: list[str], k: int) -> pa.Table:
+    """The rows that hold one of the first ``k`` values of any column, nulls apart."""
+    by = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order]).to_numpy()
+    wanted = [by[np.flatnonzero(table[c].is_valid().to_numpy()[by])[:k]] for c in texts]
+    return table.take(pa.array(np.unique(np.concatenate(wanted))) if wanted else pa.array([], pa.int64()))
+
+
+def _column_state(places: list[str], order: list[str], texts: list[str], keys: list[str], k: int, distinct: bool,
+                  batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mergeable states of all columns, in one run over a partition: each batch's values, once each; then, for the
+    whole partition, the number of nulls and the first ``k`` values with their places."""
+    best, nulls, place_type = None, [0] * len(texts), None
+
+    def packed(pos, key, count, place, text):
+        n = len(pos)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pos, pa.int32()), key if key is not None else pa.nulls(n, pa.binary()),
+             count if count is not None else pa.nulls(n, pa.int64()), place if place is not None else pa.nulls(n, place_type),
+             text if text is not None else pa.nulls(n, pa.string())], ["pos", "key", "nulls", "place", "text"])
+
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        place_type = pa.struct([b.schema.field(p) for p in places])
+        for i, c in enumerate(keys):
+            column = table[c].combine_chunks()
+            nulls[i] += column.null_count
+            if distinct:
+                values = pc.unique(column.drop_null()).cast(pa.binary())
+                long = pc.greater(pc.binary_length(values), LONG_KEY)
+                if pc.any(long).as_py():
+                    values = pa.array([b"#" + hashlib.sha256(v).digest() if len(v) > LONG_KEY else v
+                                       for v in values.to_pylist()], pa.binary())
+                yield packed(np.full(len(values), i), values, None, None, None)
+        rows = table.select([*dict.fromkeys([*places, *order, *texts])])
+        best = _first_rows(rows if best is None else pa.concat_tables([best, rows]), order, texts, k)
+    if best is None:
+        return
+    yield packed(np.arange(len(texts)), None, pa.array(nulls, pa.int64()), None, None)
+    place = pa.StructArray.from_arrays([best[p].combine_chunks() for p in places], fields=list(place_type))
+    for i, c in enumerate(texts):
+        at = np.flatnonzero(best[c].is_valid().to_numpy())
+        if len(at):
+            yield packed(np.full(len(at), i), None, None, place.take(pa.array(at)), best[c].combine_chunks().take(pa.array(at)))
 
 
 def column_statistics(df: DataFrame, order_by=None, samples: int = 3, approx: bool = False) -> DataFrame:
     """One row per column: name, type, null_count, unique_count, sample_values.
 
-    Counts come from one aggregation (exact distinct counts, or HyperLogLog++ with
-    ``approx=True``). Samples are the first ``samples`` non-null values under
-    ``order_by``: one bounded top-n per column, never a collect of a whole column.
+    One scan, whatever the number of columns: tasks make mergeable states (each column's values once
+    a batch, nulls, and the first ``samples`` values under ``order_by``, which are not null, with their places),
+    equal values are combined before the shuffle, and a row a column is left. Exact distinct counts, or
+    HyperLogLog++ over the same states with ``approx=True``. Values of more than 64 bytes are told apart by
+    SHA-256. Without ``order_by`` the samples are the first rows of the table as it is read.
     """
+    ship_package(df.sparkSession)
     fields = df.schema.fields
-    aggs = []
+    row = F.monotonically_increasing_id().alias("row")
+    sort = sort_columns(order_by) if order_by is not None else []
+    cols = [c.alias(f"o{i}") for i, c in enumerate(sort)] + [c.isNotNull().alias(f"f{i}") for i, c in enumerate(sort)]
+    texts, keys = [], []
     for i, f in enumerate(fields):
-        c = _comparable(df[f.name], f.dataType)
-        aggs.append(F.count_if(df[f.name].isNull()).alias(f"n{i}"))
-        aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"u{i}"))
-    counts = df.agg(*aggs)
-    rows = counts.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("name"), F.lit(js_typeof(f.dataType)).alias("t"),
-                 F.col(f"n{i}").alias("null_count"), F.col(f"u{i}").alias("unique_count"))
-        for i, f in enumerate(fields)])).alias("s")).select("s.*")
-
-    keys = sort_columns(order_by) if order_by is not None else []
-    picks = []
-    for i, f in enumerate(fields):
-        part = df.filter(df[f.name].isNotNull()).select(
-            F.lit(i).alias("pos"), F.struct(*keys).alias("k") if keys else F.lit(0).alias("k"),
-            js_string(df[f.name], f.dataType).alias("v"))
-        picks.append(part.orderBy("k").limit(samples) if keys else part.limit(samples))
-    sample_df = reduce(DataFrame.unionByName, picks).groupBy("pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("sample_values"))
-    samples_col = F.coalesce("sample_values", F.array().cast("array<string>"))
+        c = F.col(f"`{f.name}`")
+        cols.append(js_string(c, f.dataType).alias(f"t{i}"))
+        texts.append(f"t{i}")
+        own = _identity(c, f.dataType)
+        keys.append(f"t{i}" if own is None else f"d{i}")
+        cols += [] if own is None else [own.alias(f"d{i}")]
+    given = df.select(row, *cols)
+    places = [*(f"o{i}" for i in range(len(sort))), "row"]
+    order = [*(f"{k}{i}" for i in range(len(sort)) for k in "fo"), "row"]        # nulls first, as Spark sorts
+    place = T.StructType([given.schema[p] for p in places]).simpleString()
+    state = given.mapInArrow(partial(_column_state, places, order, texts, keys, samples, True),
+                             f"pos int, key binary, nulls long, place {place}, text string")
+    if not approx:
+        state = state.groupBy("pos", "key", "place", "text").agg(F.sum("nulls").alias("nulls"))
+    first = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "text"))))
+    found = state.groupBy("pos").agg(F.sum("nulls").alias("nulls"),
+                                     (F.approx_count_distinct("key") if approx else F.count("key")).alias("n"),
+                                     F.transform(F.slice(first, 1, samples), lambda s: s["text"]).alias("sample_values"))
+    named = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("name"), F.lit(js_typeof(f.dataType)).alias("t"))
+                      for i, f in enumerate(fields)])
+    rows = df.sparkSession.range(1, numPartitions=1).select(F.explode(named).alias("s")).select("s.*")
     # typeof of the values seen; "mixed" when none was seen
-    return (rows.join(sample_df, "pos", "left")
-            .select("pos", "name", F.when(F.size(samples_col) > 0, F.col("t")).otherwise(F.lit("mixed")).alias("type"),
-                    "null_count", "unique_count", samples_col.alias("sample_values"))
+    seen = F.coalesce("sample_values", F.array().cast("array<string>"))
+    return (rows.join(found, "pos", "left")
+            .select("pos", "name", F.when(F.size(seen) > 0, F.col("t")).otherwise(F.lit("mixed")).alias("type"),
+                    F.coalesce("nulls", F.lit(0)).alias("null_count"), F.coalesce("n", F.lit(0)).alias("unique_count"),
+                    seen.alias("sample_values"))
             .orderBy("pos"))
