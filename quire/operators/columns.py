@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.jscompat import js_trim
 from ..functions.jscompat import js_string, js_typeof
@@ -128,9 +129,10 @@ def transform_column(df: DataFrame, name: str, fn: Column | str | Callable, orde
     """New value from the old one.
 
     ``fn`` is best a function ``(value, row, index) -> Column`` or a SQL expression over
-    ``value``; both stay in the JVM. A plain Python function ``value -> value`` runs as an
-    Arrow-batched pandas UDF that keeps the old value where the function raises. ``index``
-    needs ``order_by``.
+    ``value``; both stay in the JVM. A plain Python function ``value -> value``, or one of
+    ``(value, row, index)`` marked by ``row_fn``, runs on Arrow batches and keeps the old value where
+    it raises or gives what the column's type (``return_type``, by default the old one) cannot hold; ``row``
+    is a dict of the row's values. ``index`` is the position under ``order_by``, and None without.
     """
     if not has_column(df, name):
         raise ValueError(f"Column '{name}' does not exist")
@@ -143,25 +145,52 @@ def transform_column(df: DataFrame, name: str, fn: Column | str | Callable, orde
         return bound.select(*[F.expr(fn).alias(c) if c == name else F.col(f"`{keep.get(c, c)}`").alias(c) for c in cols])
     if isinstance(fn, Column):
         return df.select(*[fn.alias(c) if c == name else df[c] for c in cols])
-    if getattr(fn, "_quire_column_fn", False) or _takes_columns(fn):
+    if getattr(fn, "_quire_column_fn", False) or _takes_columns(fn) and not getattr(fn, "_quire_row_fn", False):
         base = with_ordinal(df, order_by, "_q_idx") if order_by is not None else df
         row = {c: base[c] for c in cols}
         idx = base["_q_idx"] if order_by is not None else None
         new = fn(base[name], row, idx)
         return base.select(*[new.alias(c) if c == name else base[c] for c in cols])
-    rtype = return_type or df.schema[name].dataType
+    wide = getattr(fn, "_quire_row_fn", False)
+    base = with_ordinal(df, order_by, "_q_idx") if wide and order_by is not None else df
+    fields = [T.StructField(f.name, return_type or f.dataType) if f.name == name else f for f in df.schema.fields]
+    ship_package(df.sparkSession)
+    return base.mapInArrow(partial(_transformed, fn, wide, name, to_arrow_type(return_type or df.schema[name].dataType)),
+                           T.StructType(fields))
 
-    @F.pandas_udf(rtype)
-    def _apply(s: pd.Series) -> pd.Series:
-        out = []
-        for v in s:
+
+def _transformed(fn: Callable, wide: bool, name: str, kind: pa.DataType, batches: Iterator[pa.RecordBatch]
+                 ) -> Iterator[pa.RecordBatch]:
+    """Batches with a column passed through a Python function, row by row."""
+    for b in batches:
+        names = [n for n in b.schema.names if n != "_q_idx"]
+        index = b.column(b.schema.names.index("_q_idx")).to_pylist() if "_q_idx" in b.schema.names else [None] * b.num_rows
+        rows = b.select(names).to_pylist() if wide else [None] * b.num_rows
+        old, new = b.column(names.index(name)).to_pylist(), []
+        for value, row, i in zip(old, rows, index):
             try:
-                out.append(fn(v))
+                got = fn(value, row, i) if wide else fn(value)
+                pa.scalar(got, kind)
             except Exception:  # noqa: BLE001 - the old value is kept, as the tool does
-                out.append(v)
-        return pd.Series(out)
+                got = _held(value, kind)
+            new.append(got)
+        yield pa.RecordBatch.from_arrays([pa.array(new, kind) if n == name else b.column(b.schema.names.index(n)) for n in names],
+                                         names)
 
-    return df.select(*[_apply(df[c]).alias(c) if c == name else df[c] for c in cols])
+
+def _held(value: Any, kind: pa.DataType) -> Any:
+    """A value if a type can hold it, as it is or as text."""
+    try:
+        pa.scalar(value, kind)
+        return value
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+        return str(value) if pa.types.is_string(kind) else None
+
+
+def row_fn(fn: Callable) -> Callable:
+    """Mark a Python function of (value, row, index)."""
+    fn._quire_row_fn = True
+    return fn
 
 
 def column_fn(fn: Callable) -> Callable:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.jscompat import (js_compare, js_compare_columns, js_compare_py, js_date_ms_py, js_number_py,
                                   js_string, js_string_py, js_trim, ms_to_iso)
-from ..functions.ordinal import sort_columns, with_ordinal
+from ..functions.ordinal import key_ordinals, rows_at, sort_columns
 
 log = logging.getLogger(__name__)
 
@@ -307,7 +307,7 @@ def filter_duplicates(df: DataFrame) -> DataFrame:
 def sample_every_nth(df: DataFrame, n: int, order_by) -> DataFrame:
     if n == 0:
         return df.limit(0)  # index % 0 is NaN: no row qualifies
-    return with_ordinal(df, order_by, "_q_ord").filter(F.col("_q_ord") % abs(n) == 0).drop("_q_ord")
+    return rows_at(df, order_by, key_ordinals(df, order_by), F.col("ordinal") % abs(n) == 0)
 
 
 def sample_random(df: DataFrame, n: int, seed: int | None = None, key_columns: Sequence[str] | None = None) -> DataFrame:

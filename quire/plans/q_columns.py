@@ -72,6 +72,23 @@ def p7_transform_indexed(spark, sf_dir):
                               order_by=["o_orderkey"])
 
 
+def _labelled(value, row, index):
+    if index % 10 == 3:
+        raise ValueError("the old value is kept")
+    return f"{value}-{row['c_mktsegment']}-{index}"
+
+
+@register("p7_transform_rows", """
+SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, CASE WHEN i % 10 = 3 THEN c_name ELSE
+       c_name || '-' || c_mktsegment || '-' || i END AS c_name
+FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS i FROM customer)
+""")
+def p7_transform_rows(spark, sf_dir):
+    """A Python function of the value, its row and its position, which fails on some rows."""
+    return C.transform_column(table(spark, sf_dir, "customer"), "c_name", C.row_fn(_labelled),
+                              order_by=[F.col("c_acctbal").desc(), "c_custkey"])
+
+
 @register("p8_split_column", """
 SELECT c_custkey, c_name, trim(string_split(c_name, '#')[1]) AS name_prefix,
        trim(string_split(c_name, '#')[2]) AS name_number, trim(string_split(c_name, '#')[3]) AS name_extra

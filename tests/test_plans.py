@@ -42,13 +42,15 @@ def test_no_cross_joins(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_ordinal_window_runs_over_partition_counts_only(spark):
+def test_ordinals_store_keys_and_join_rows_once(spark):
     from quire.functions.ordinal import with_ordinal
     df = spark.read.parquet(f"{SF}/orders.parquet")
     p = plan(with_ordinal(df, ["o_orderkey"]))
-    # the only un-partitioned window is over the per-partition counts (one row per partition)
+    # the only un-partitioned window is over the counts by range (one row a range)
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
-    assert "RDD" in p or "Scan ExistingRDD" in p or "LogicalRDD" in p  # reads the checkpointed rows
+    assert "RDD" not in p                                   # no row is checkpointed
+    assert "ReadSchema: struct<_q_k0:bigint,_q_part:int,_q_row:bigint" in p     # but keys are stored, with their places
+    assert p.count("o_totalprice:double") == 1              # and the rows read once
 
 
 def test_audit_log_reads_prune_day_partitions(spark, tmpdir_path):
