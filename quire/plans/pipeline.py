@@ -17,8 +17,10 @@ import sys
 import time
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
+from xml.parsers.expat import ExpatError
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,8 @@ from ..sources import csv as CSV
 from ..sources import json as JS
 from ..sources import markdown as MD
 from ..sources import xml as XML
-from ..session import scratch_dir
+from ..sources import xml_text as XT
+from ..session import scratch_dir, ship_package
 from ..sources.files import list_files
 from .transformations import conventional_order, convert_data
 
@@ -369,35 +372,94 @@ def restyle_json_text(text: Column, key_style: str | None) -> Column:
     return F.when(text.isNull(), text).otherwise(F.array_join(F.transform(tokens, fix), ""))
 
 
+def _restyled(value, key_style: str | None):
+    """A JSON value with the keys of all its objects restyled; of keys that meet the last stays."""
+    if not key_style or key_style == "unchanged":
+        return value
+    if isinstance(value, list):
+        return [_restyled(v, key_style) for v in value]
+    if isinstance(value, dict):
+        return {k if k in ("$", "_") else N.transform_key_simple(k, key_style): _restyled(v, key_style) for k, v in value.items()}
+    return value
+
+
+def _records(value) -> tuple[list[str], list[list]]:
+    """(names, rows) of a JSON value as a table: objects of an array are records, under all their keys in the order in
+    which they come; arrays of an array are rows; an object is one record, anything else a cell named ``value``."""
+    rows = value if isinstance(value, list) else [value]
+    if rows and all(isinstance(r, list) for r in rows):
+        return [], rows
+    rows = [r if isinstance(r, dict) else {"value": r} for r in rows]
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    return names, [[r.get(n) for n in names] for r in rows]
+
+
+def _table_text(value) -> str:
+    names, rows = _records(value)
+    out = io.StringIO()
+    write = csv.writer(out, lineterminator="\n")
+    write.writerows([*([names] if names else []), *([XT.written(v) for v in r] for r in rows)])
+    return out.getvalue().removesuffix("\n")
+
+
+def _convert_tree_text(text: str | None, from_format: str, to_format: str, key_style: str | None) -> str | None:
+    """One JSON or XML text as CSV, XML or, document by document, JSON; null where it cannot be parsed."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text.removeprefix("\ufeff"), parse_constant=_no_constant) if from_format == "json" else XT.tree(text)
+        value = _restyled(value, key_style)
+        if to_format == "json":
+            return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        if to_format == "csv":
+            if from_format == "json":
+                return _table_text(value)
+            # the repeated children of the outer element are the records, else it is one itself
+            (root,) = value.values()
+            kinds = {k: v for k, v in root.items() if k not in ("$", "_")} if isinstance(root, dict) else {}
+            many = [v for v in kinds.values() if len(v) > 1]
+            return _table_text([XT.plain(v) for v in many[0]] if len(kinds) == 1 and many else XT.plain(root))
+        if isinstance(value, dict) and len(value) == 1 and not isinstance(next(iter(value.values())), list):
+            ((name, inner),) = value.items()
+        else:
+            name, inner = "root", {"item": value} if isinstance(value, list) else value if isinstance(value, dict) else {"_": value}
+        return XT.element(name, inner, N.sanitize_xml_name)
+    except (ValueError, RecursionError, ExpatError):
+        return None
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def convert_text_column(df: DataFrame, col: str, from_format: str, to_format: str, key_style: str | None = None,
-                        out_col: str = "converted", typed: bool = False) -> DataFrame:
+                        out_col: str = "converted", typed: bool = False, document: bool = False) -> DataFrame:
     """C4: convert every payload in ``col`` between JSON, XML and CSV text, restyling keys
-    with the inline converter's simple styles. Runs row-wise, in the JVM or, for CSV, in Python tasks.
-    ``typed``: CSV cells become numbers, booleans, nulls and instants as in the reference."""
-    if from_format == "csv":
-        if to_format not in ("json", "csv", "xml"):
-            raise ValueError(f"Unsupported target format: {to_format}")
-        convert_one = F.udf(lambda t: _convert_csv_text(t, to_format, key_style, typed), "string", useArrow=True)
-        return df.withColumn(out_col, convert_one(F.col(col).cast("string")))
-    if from_format == "json" and to_format == "json":
+    with the inline converter's simple styles; a payload that cannot be parsed gives null.
+
+    JSON to JSON, and XML to JSON as records (root left out, values typed over all payloads), stay in the
+    JVM; the rest is one function over Arrow batches, payload by payload, so names may differ in case alone and from
+    payload to payload. ``document``: XML becomes JSON with its root, children as lists, attributes under
+    ``$`` and text beside them under ``_``, as the tool's parser gives it. JSON arrays become CSV records; the one key of
+    an object becomes the root of XML. ``typed``: CSV cells become numbers, booleans, nulls and instants.
+    """
+    if (from_format, to_format) not in [(a, b) for a in ("csv", "json", "xml") for b in ("csv", "json", "xml")]:
+        raise ValueError(f"Unsupported target format: {to_format}" if from_format in ("csv", "json", "xml")
+                         else f"Unsupported source format: {from_format}")
+    if (from_format, to_format) == ("json", "json"):
         return df.withColumn(out_col, restyle_json_text(F.col(col), key_style))
-    dt = payload_schema(df, col, from_format)
-    parsed = F.from_json(F.col(col), dt) if from_format == "json" else F.from_xml(F.col(col), dt)
-    if key_style and key_style != "unchanged":
-        parsed = parsed.cast(_restyle_type(dt, key_style))
-    row = parsed if isinstance(dt, T.StructType) else F.struct(parsed.alias("value"))
-    row_type = _restyle_type(dt, key_style) if key_style and key_style != "unchanged" else dt
-    if not isinstance(row_type, T.StructType):
-        row_type = T.StructType([T.StructField("value", row_type)])
-    if to_format == "json":
-        out = F.to_json(parsed)
-    elif to_format == "xml":
-        out = F.to_xml(row, {"rowTag": "root"})
-    elif to_format == "csv":
-        # header line, then the values; nested values as JSON text
-        flat = F.struct(*[(F.to_json(row[f.name]) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-                           else row[f.name]).alias(f.name) for f in row_type.fields])
-        out = F.concat(F.lit(",".join(f.name for f in row_type.fields) + "\n"), F.to_csv(flat))
-    else:
-        raise ValueError(f"Unsupported target format: {to_format}")
-    return df.withColumn(out_col, out)
+    if (from_format, to_format, document) == ("xml", "json", False):
+        dt = payload_schema(df, col, from_format)
+        parsed = F.from_xml(F.col(col), dt)
+        if key_style and key_style != "unchanged":
+            parsed = parsed.cast(_restyle_type(dt, key_style))
+        return df.withColumn(out_col, F.to_json(parsed))
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("string")
+    def converted(texts: pa.Array) -> pa.Array:
+        if from_format == "csv":
+            return pa.array([_convert_csv_text(t, to_format, key_style, typed) for t in texts.to_pylist()], pa.string())
+        return pa.array([_convert_tree_text(t, from_format, to_format, key_style) for t in texts.to_pylist()], pa.string())
+
+    return df.withColumn(out_col, converted(F.col(col).cast("string")))

@@ -116,6 +116,73 @@ def c4_convert_csv_records(spark, sf_dir):
     return P.convert_text_column(su, "payload", "csv", "json", key_style="camelCase", typed=True).select("s_suppkey", "converted")
 
 
+@register("c4_json_array_to_csv", """
+SELECT c_custkey, 'cName,cname,cAcctbal,note,cNationkey' || chr(10) || '"' || c_name || ', ""x' || chr(34) || chr(34) || chr(34)
+       || ',' || c_mktsegment || ',' || c_nationkey || ',,' || chr(10) || ',,,"{""k"":[1,null]}",' || c_custkey || chr(10)
+       || 'true,,,"a' || chr(10) || 'b",' AS converted
+FROM customer
+""")
+def c4_json_array_to_csv(spark, sf_dir):
+    """JSON arrays of objects to CSV records: keys that differ in case or come late, nested values, quotes (C4)."""
+    key = F.col("c_custkey").cast("string")
+    p = F.concat(F.lit('[{"c_name":"'), "c_name", F.lit(', \\"x\\"","cname":"'), "c_mktsegment", F.lit('","c_acctbal":'),
+                 F.col("c_nationkey").cast("string"), F.lit('},{"note":{"k":[1,null]},"c_nationkey":'), key,
+                 F.lit('},{"c_name":true,"note":"a\\nb"}]'))
+    cu = table(spark, sf_dir, "customer").select("c_custkey", p.alias("payload"))
+    return P.convert_text_column(cu, "payload", "json", "csv", key_style="camelCase").select("c_custkey", "converted")
+
+
+def _order_xml(df):
+    """Customers as XML with an attribute, a repeated child, an empty one, CDATA and entities."""
+    key = F.col("c_custkey").cast("string")
+    p = F.concat(F.lit('<?xml version="1.0"?><!-- c --><order_row order_id="'), key, F.lit('"><c_name>'), "c_name",
+                 F.lit(" &amp; co</c_name><tag>"), "c_mktsegment", F.lit('</tag><tag unit="&lt;">'), F.col("c_nationkey").cast("string"),
+                 F.lit("</tag><empty/><raw><![CDATA[<i>]]></raw></order_row>"))
+    return df.select("c_custkey", p.alias("payload"))
+
+
+@register("c4_xml_to_json_document", """
+SELECT c_custkey, '{"orderRow":{"$":{"orderId":"' || c_custkey || '"},"cName":["' || c_name || ' & co"],"tag":["' || c_mktsegment
+       || '",{"$":{"unit":"<"},"_":"' || c_nationkey || '"}],"empty":[""],"raw":["<i>"]}}' AS converted FROM customer
+""")
+def c4_xml_to_json_document(spark, sf_dir):
+    """XML documents to JSON with root, lists, attributes and text, keys restyled (C4)."""
+    return P.convert_text_column(_order_xml(table(spark, sf_dir, "customer")), "payload", "xml", "json", key_style="camelCase",
+                                 document=True).select("c_custkey", "converted")
+
+
+@register("c4_xml_to_csv", """
+SELECT c_custkey, 'order_id,c_name,tag,empty,raw' || chr(10) || c_custkey || ',' || c_name || ' & co,"[""' || c_mktsegment
+       || '"",{""unit"":""<"",""text"":""' || c_nationkey || '""}]",,<i>' AS converted FROM customer
+""")
+def c4_xml_to_csv(spark, sf_dir):
+    """XML documents to CSV: the outer element is a record (C4)."""
+    return P.convert_text_column(_order_xml(table(spark, sf_dir, "customer")), "payload", "xml", "csv").select(
+        "c_custkey", "converted")
+
+
+@register("c4_xml_to_xml", """
+SELECT c_custkey, '<ORDER_ROW ORDER_ID="' || c_custkey || '"><C_NAME>' || c_name || ' &amp; co</C_NAME><TAG>' || c_mktsegment
+       || '</TAG><TAG UNIT="&lt;">' || c_nationkey || '</TAG><EMPTY/><RAW>&lt;i&gt;</RAW></ORDER_ROW>' AS converted FROM customer
+""")
+def c4_xml_to_xml(spark, sf_dir):
+    """XML documents to XML with names in capitals (C4)."""
+    return P.convert_text_column(_order_xml(table(spark, sf_dir, "customer")), "payload", "xml", "xml",
+                                 key_style="uppercase").select("c_custkey", "converted")
+
+
+@register("c4_json_to_xml", """
+SELECT c_custkey, '<root><c_custkey>' || c_custkey || '</c_custkey><c_name>' || c_name || ' &lt;</c_name><tags>' || c_mktsegment
+       || '</tags><tags><_1id>true</_1id></tags><none/></root>' AS converted FROM customer
+""")
+def c4_json_to_xml(spark, sf_dir):
+    """JSON objects to XML: lists repeat their element, names are made valid, null is empty (C4)."""
+    p = F.concat(F.lit('{"c_custkey":'), F.col("c_custkey").cast("string"), F.lit(',"c_name":"'), "c_name",
+                 F.lit(' <","tags":["'), "c_mktsegment", F.lit('",{"1id":true}],"none":null}'))
+    cu = table(spark, sf_dir, "customer").select("c_custkey", p.alias("payload"))
+    return P.convert_text_column(cu, "payload", "json", "xml").select("c_custkey", "converted")
+
+
 @register("k14_output_paths", """
 SELECT doc_id, 'out/' || source || '_' || doc_id || '_converted.' ||
        CASE lang WHEN 'en' THEN 'json' WHEN 'de' THEN 'xml' WHEN 'fr' THEN 'md' ELSE 'csv' END AS output_path

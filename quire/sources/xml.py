@@ -8,10 +8,8 @@ plain keys and ``text`` (D24, S10). Writing, columns named ``@x`` become attribu
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions import names as N
 from ..functions.jscompat import iso_instant
 from ..functions.nested import map_leaves
+from ..session import ship_package
+from .xml_text import entries
 
 # Attributes use "@" (not Spark's default "_"): sanitised element names may start with "_"
 # and must stay elements, and "@" can never occur in a sanitised name.
@@ -132,74 +132,21 @@ def normalise_xml(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-# Comments, CDATA, instructions, a document type, and tags (quoted attribute values may hold ">").
-_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE(?:[^\[>]|\[.*?\])*>|"
-                     r"<(?P<end>/?)(?P<name>[^\W\d][\w.:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
-
-
-_ENTITY = re.compile(r"&(?:#x([0-9a-fA-F]{1,6})|#([0-9]{1,7})|(lt|gt|amp|quot|apos));")
-_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
-
-
-def _decoded(text: str) -> str:
-    def one(m):
-        code = int(m[1], 16) if m[1] else int(m[2] or 0)
-        return _NAMED[m[3]] if m[3] else chr(code) if 0 < code < 0xD800 or 0xDFFF < code < 0x110000 else m[0]
-    return _ENTITY.sub(one, text)
-
-
-def _leaf_text(inner: str) -> str:
-    """The text of an element without children: CDATA as it stands, entities decoded, comments left out."""
-    out, at = [], 0
-    for m in _MARKUP.finditer(inner):
-        out.append(_decoded(inner[at:m.start()]))
-        if m.group().startswith("<![CDATA["):
-            out.append(m.group()[9:-3])
-        at = m.end()
-    return "".join(out) + _decoded(inner[at:])
-
-
-def _children(x: str | None) -> list[tuple[str, str, str]]:
-    """(key, value, type) of the children of an element, by depth of tags."""
-    found, depth, inside = [], 0, False
-    for m in _MARKUP.finditer(x or ""):
-        if m["name"] is None:
-            continue
-        if m["end"]:
-            depth -= 1
-            if depth == 1:
-                found.append((name, attrs, x[start:m.start()], inside))
-            if depth <= 0:
-                break
-            continue
-        if depth == 1:
-            name, attrs, start, inside = m["name"], m["attrs"].strip(), m.end(), False
-            if m["empty"]:
-                found.append((name, attrs, "", False))
-        elif depth > 1:
-            inside = True
-        if not m["empty"]:
-            depth += 1
-        elif depth == 0:
-            break
-    times = Counter(f[0] for f in found)
-    out = []
-    for name, attrs, inner, nested in found:
-        value = (inner if nested else _leaf_text(inner)).strip(" ")
-        kind = ("array" if times[name] > 1 else "object" if nested else "null" if not value and not attrs
-                else "text" if attrs else "string")
-        out.append((name, value, kind))
-    return out
-
-
 def xml_entries(df: DataFrame, xml_col: str, keep=()) -> DataFrame:
     """The children of one XML element (a text column) -> (key, value, type) rows.
 
     Types follow the tool: null, array (repeated child), text (text with attributes),
     object (element with children) and string. The value of an element with children is its
-    inner XML, else its text. Elements are read by depth in Python tasks.
+    inner XML, else its text. Texts are read by parser events, batch by batch, in time that is
+    linear in their length; one that breaks off has the children that end before.
     """
-    children = F.udf(_children, "array<struct<key:string,value:string,type:string>>", useArrow=True)
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string()), ("type", pa.string())]))
+
+    @F.arrow_udf("array<struct<key:string,value:string,type:string>>")
+    def children(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("key", "value", "type"), e)) for e in entries(t)] for t in texts.to_pylist()], kind)
+
+    ship_package(df.sparkSession)
     ex = df.select(*keep, F.posexplode(children(F.col(xml_col).cast("string"))).alias("pos", "c"))
     return ex.select(*keep, "pos", "c.key", "c.value", "c.type")
 
