@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jscompat import js_string
+from ..sources.files import every_file
 
 # Performance alert thresholds.
 MAX_DURATION_MS = 30000
@@ -328,6 +329,28 @@ def conversion_statistics(audit: DataFrame, format_col: str = "format", overall:
     return df.rollup("format").agg((F.grouping("format") == 1).alias("overall"), *sums)
 
 
+def drop_expired(spark, path: str, now, days: int = RETENTION_DAYS) -> DataFrame:
+    """L5 on a log table that ``append_audit_log`` wrote: delete its days that ended before ``now`` less ``days``, whole
+    partitions, and report them: one row of removed_days, removed_files, removed_records, freed_bytes.
+
+    Sizes come from the listing, records from the footers of the files that go; those that stay are not
+    read. The day in which the cutoff lies stays whole.
+    """
+    folder = F.to_date(F.regexp_extract("path", r"/date=([^/]+)/[^/]+$", 1))
+    cutoff = F.to_date(F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+    files = every_file(spark, path).select("length", folder.alias("date")).where(F.col("date") < cutoff)
+    by_day = files.groupBy("date").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).collect()    # a row a day
+    gone = sorted(r["date"] for r in by_day)
+    records = spark.read.parquet(path).where(F.col("date").isin(gone)).count() if gone else 0
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in gone:
+        fs.delete(hadoop.Path(root, f"date={day}"), True)
+    return spark.createDataFrame([(len(gone), sum(r["files"] for r in by_day), records, sum(r["bytes"] for r in by_day))],
+                                 "removed_days int, removed_files long, removed_records long, freed_bytes long")
+
+
 def append_audit_log(records: DataFrame, path: str, ts_col: str = "timestamp") -> None:
     """L4 sink: append records to a log table partitioned by day, so time-range reads
     (L1, L2, L5) prune whole partitions instead of scanning the log."""

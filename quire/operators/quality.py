@@ -12,12 +12,16 @@ from collections import Counter
 from functools import reduce
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jscompat import js_trim
 from ..functions.ordinal import sort_columns
+from ..session import ship_package
+from ..sources.files import every_file
+from ..sources.xml_text import broken_place
 
 FINDING_SCHEMA = "severity string, code string, field string, row long, message string"
 
@@ -236,6 +240,24 @@ def xml_checks(df: DataFrame) -> DataFrame:
     return static_findings(spark, items).unionByName(dyn)
 
 
+def xml_text_checks(texts: DataFrame, text_col: str, key_col: str) -> DataFrame:
+    """V5 for a column of XML texts: the first place where each stops being well-formed, as a finding whose ``row`` is
+    the line; null texts have none. One run of parser events a text, in tasks."""
+    place = pa.struct([("wrong", pa.string()), ("line", pa.int64()), ("place", pa.int64())])
+
+    @F.arrow_udf("struct<wrong:string,line:bigint,place:bigint>")
+    def broken(column: pa.Array) -> pa.Array:
+        found = (broken_place(t) for t in column.to_pylist())
+        return pa.array([None if b is None else dict(zip(("wrong", "line", "place"), b)) for b in found], place)
+
+    ship_package(texts.sparkSession)
+    b = texts.select(F.col(key_col).cast("string").alias("key"), broken(F.col(text_col).cast("string")).alias("b")).where(
+        "b is not null")
+    return b.select(finding("error", "INVALID_XML", F.concat(
+        F.lit("XML is not well-formed: "), "b.wrong", F.lit(" at line "), F.col("b.line").cast("string"), F.lit(", column "),
+        F.col("b.place").cast("string")), F.col("key"), F.col("b.line")).alias("f")).select("f.*")
+
+
 def markdown_checks(df: DataFrame) -> DataFrame:
     """V6: one aggregate of flags (empty, complex, long text, newlines, special characters, wide)."""
     spark = df.sparkSession
@@ -310,6 +332,31 @@ def file_checks(files: DataFrame, fmt: str, strict_extension: bool = False,
     return files.select(F.explode(arr).alias("f")).select("f.*")
 
 
+def path_checks(spark: SparkSession, asked: DataFrame, root: str, fmt: str, strict_extension: bool = False,
+                max_mb: float | None = None) -> DataFrame:
+    """V8 for paths that are asked for (column ``path``, without scheme or as Spark names them) below ``root``: missing
+    ones, folders, and what ``file_checks`` finds about the files.
+
+    One listing of ``root``, which Spark makes, meets the table of paths; a path that is no file but lies above one is
+    a folder. A missing ``root`` makes every path missing.
+    """
+    plain = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), "/+$", "")
+    paths = asked.select(F.col("path").alias("asked"), plain.alias("_p")).distinct()
+    files = every_file(spark, root).select("path", "length", "extension", plain.alias("_p"))
+    # every folder that a file lies in, at any depth
+    parts = F.split("_p", "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))),
+                        lambda n: F.array_join(F.slice(F.split(F.col("_p"), "/"), 1, n), "/"))
+    folders = files.select(F.explode(above).alias("_p")).distinct().withColumn("_d", F.lit(True))
+    met = paths.join(files, "_p", "left").join(folders, "_p", "left")
+    missing = F.when(F.col("length").isNotNull(), F.lit(None)).when(F.col("_d"), finding(
+        "error", "NOT_A_FILE", F.concat(F.lit("Path is not a file: "), "asked"), F.col("asked"))).otherwise(finding(
+            "error", "FILE_NOT_FOUND", F.concat(F.lit("File does not exist: "), "asked"), F.col("asked")))
+    found = met.select(F.col("asked").alias("path"), "length", "extension", missing.alias("f"))
+    return found.where("f is not null").select("f.*").unionByName(
+        file_checks(found.where("length is not null"), fmt, strict_extension, max_mb))
+
+
 def content_checks(heads: DataFrame, fmt: str, text_col: str = "head", key_col: str = "path",
                    sample_chars: int | None = None) -> DataFrame:
     """V9: JSON parses; XML starts with '<', has elements, balanced tags; CSV field counts of

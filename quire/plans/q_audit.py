@@ -123,6 +123,31 @@ def l5_retention(spark, sf_dir):
     return report.select("removed_records", "kept_records")
 
 
+@register("l5_retention_log", """
+WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)
+SELECT CAST(count(*) FILTER (WHERE day < DATE '2024-01-16') AS INTEGER) AS removed_days,
+       CAST(coalesce(sum(n) FILTER (WHERE day < DATE '2024-01-16'), 0) AS BIGINT) AS removed_records,
+       CAST(coalesce(sum(n) FILTER (WHERE day >= DATE '2024-01-16'), 0) AS BIGINT) AS kept_records,
+       CAST(0 AS BIGINT) AS bytes_unaccounted
+FROM d
+""")
+def l5_retention_log(spark, sf_dir):
+    """A log by days, cut at 30 days: days and records dropped, records kept, and whether freed bytes equal the files' (L5)."""
+    from ..session import scratch_dir
+    from ..sources.files import every_file
+    log = scratch_dir(spark, "auditlog")
+    A.append_audit_log(A.audit_events_from(table(spark, sf_dir, "events")), log)
+
+    def size():
+        return every_file(spark, log).agg(F.sum("length")).first()[0] or 0
+    before = size()
+    report = A.drop_expired(spark, log, now="2024-02-15 09:30:00", days=30)
+    kept = A.read_audit_log(spark, log).agg(F.count(F.lit(1)).alias("kept_records")) if size() else report.select(
+        F.lit(0).cast("long").alias("kept_records"))
+    left = F.lit(before - size()).cast("long") - F.col("freed_bytes")
+    return report.join(kept).select("removed_days", "removed_records", "kept_records", left.alias("bytes_unaccounted"))
+
+
 # One message per classification rule (and one matching none), used to
 # label events in the error-classification query.
 ERROR_MESSAGES = ["ENOENT: no such file", "EACCES: permission denied", "file exists already", "is a directory",

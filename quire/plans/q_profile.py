@@ -259,6 +259,78 @@ def v8_file_checks_of_listing(spark, sf_dir):
     return Q.file_checks(files, "md")
 
 
+@register("v5_xml_texts", """
+SELECT 'error' AS severity, 'INVALID_XML' AS code, CAST(c_custkey AS VARCHAR) AS field, CAST(line AS BIGINT) AS "row",
+       'XML is not well-formed: ' || wrong || ' at line ' || line || ', column ' || (place + CASE WHEN named THEN strlen(c_name) ELSE 0 END)
+         AS message
+FROM customer JOIN (VALUES (1, 'mismatched tag', 2, 3, true), (2, 'no element found', 1, 7, true),
+                           (3, 'junk after document element', 1, 8, true), (4, 'undefined entity', 1, 4, true),
+                           (5, 'not well-formed (invalid token)', 1, 5, false)) w(kind, wrong, line, place, named)
+  ON c_custkey % 7 = kind
+""")
+def v5_xml_texts(spark, sf_dir):
+    """The first broken place of XML texts: tags that cross, an open end, a second root, an entity, a bad name (V5)."""
+    n = F.col("c_name")
+    broken = (F.when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("<a><b>\n"), n, F.lit("</a></b>")))
+              .when(F.col("c_custkey") % 7 == 2, F.concat(F.lit("<a><b>"), n))
+              .when(F.col("c_custkey") % 7 == 3, F.concat(F.lit("<a>"), n, F.lit("</a><a/>")))
+              .when(F.col("c_custkey") % 7 == 4, F.concat(F.lit("<a>"), n, F.lit("&none;</a>")))
+              .when(F.col("c_custkey") % 7 == 5, F.concat(F.lit("<a><1>"), n, F.lit("</1></a>")))
+              .otherwise(F.concat(F.lit("<a><![CDATA["), n, F.lit("]]></a>"))))
+    return Q.xml_text_checks(table(spark, sf_dir, "customer").select("c_custkey", broken.alias("x")), "x", "c_custkey")
+
+
+@register("v5_xml_pages")
+def v5_xml_pages(spark, sf_dir):
+    """The first place where each page is not well-formed XML (V5)."""
+    return Q.xml_text_checks(table(spark, sf_dir, "pages"), "html", "page_id")
+
+
+@register("v8_path_checks", """
+SELECT CASE k % 3 WHEN 2 THEN 'warning' ELSE 'error' END AS severity,
+       CASE k % 3 WHEN 0 THEN 'FILE_NOT_FOUND' WHEN 1 THEN 'NOT_A_FILE' ELSE 'EXTENSION_MISMATCH' END AS code, k,
+       CASE k % 3 WHEN 0 THEN 'File does not exist' WHEN 1 THEN 'Path is not a file' ELSE 'File extension ' END AS message
+FROM (SELECT n_nationkey AS k FROM nation)
+""")
+def v8_path_checks(spark, sf_dir):
+    """Paths asked for below a folder: missing ones, folders, and files of another format (V8)."""
+    base = scratch_dir(spark, "paths")
+    table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k")).repartition(1).write.partitionBy(
+        "k").option("header", True).csv(base)
+    files = list_files(spark, base).select("path", F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("k"))
+    asked = files.select(F.when(F.col("k") % 3 == 0, F.regexp_replace("path", "[^/]+$", "none.csv"))
+                         .when(F.col("k") % 3 == 1, F.regexp_replace("path", "/[^/]+$", "")).otherwise(F.col("path")).alias("path"))
+    found = Q.path_checks(spark, asked, base, "json")
+    return found.select("severity", "code", F.regexp_extract("field", "k=([0-9]+)", 1).cast("int").alias("k"),
+                        F.regexp_extract("message", "^[^:']+", 0).alias("message"))
+
+
+@register("v9_content_json", """
+SELECT 'error' AS severity, 'INVALID_JSON' AS code, CAST(event_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
+       'Invalid JSON content' AS message
+FROM events WHERE event_type = 'error'
+""")
+def v9_content_json(spark, sf_dir):
+    """Content check of event payloads as JSON; those of errors lack their end (V9)."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.when(
+        F.col("event_type") == "error", F.regexp_replace("props", "}$", "")).otherwise(F.col("props")).alias("head"))
+    return Q.content_checks(ev, "json")
+
+
+@register("v9_content_md", """
+SELECT 'warning' AS severity, CASE k WHEN 0 THEN 'EMPTY_MARKDOWN' ELSE 'NO_MARKDOWN_PATTERNS' END AS code,
+       CAST(p_partkey AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
+       CASE k WHEN 0 THEN 'Markdown file appears to be empty' ELSE 'No Markdown patterns found in content' END AS message
+FROM (SELECT p_partkey, p_partkey % 3 AS k FROM part) WHERE k < 2
+""")
+def v9_content_md(spark, sf_dir):
+    """Content check of part names as Markdown: blank texts, plain ones, and headings (V9)."""
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.lit("  ")).when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("# "), "p_name", F.lit("\n\ntext")))
+    return Q.content_checks(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"),
+                                                                text.alias("head")), "md")
+
+
 @register("v9_content_xml", """
 SELECT 'warning' AS severity, 'UNBALANCED_XML_TAGS' AS code, CAST(page_id AS VARCHAR) AS field, CAST(NULL AS BIGINT) AS "row",
        'XML tags may be unbalanced (this is a basic check)' AS message

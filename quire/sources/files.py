@@ -28,6 +28,25 @@ def list_files(spark: SparkSession, path, glob: str | None = None, recursive: bo
     return df.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
 
+def every_file(spark: SparkSession, root: str) -> DataFrame:
+    """``list_files``, with the empty files that Spark's readers leave out; nothing where ``root`` does not exist."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    schema = "path string, length long, modification_time timestamp, extension string"
+    if not hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
+        return spark.createDataFrame([], schema)
+    files = list_files(spark, root)
+    # the reader's plan knows all files; names are fetched only if some are missing from the rows
+    known = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if known._jdf.inputFiles().__len__() == files.count():
+        return files
+    names = spark.createDataFrame([(f,) for f in known.inputFiles()], "name string")
+    path = F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, "^file:/{3}", "file:/")
+    empty = names.select(path.alias("path")).join(files, "path", "left_anti")
+    return files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias(
+        "modification_time"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension")))
+
+
 def _open(path: str):
     import pyarrow.fs as pafs
     fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
