@@ -5,7 +5,7 @@ A query opens a window around its own projection in every sorted array; a vector
 for each window that holds it. Windows widen step by step (virtual rehashing: no bucket is built
 twice, only the new ends of each window are counted), and a vector whose collisions reach the
 threshold is verified by its exact cosine. A query stops when its k-th best verified neighbour
-is closer than the radius that the windows stand for, or when enough vectors were verified.
+is closer than the radius that the windows stand for, and not before; the widest windows hold everything.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, register, table
-from .vectors import matrix, unit, usable
+from .vectors import cosines, matrix, unit, usable
 
 K = 5
 DIRECTIONS = 64     # M
 COLLIDE = 0.62      # share of the directions in which a vector must collide to be verified
-VERIFY = 0.12        # share of a block's vectors that a query verifies at most before it stops
 START, STEP = 0.6, 1.08     # first radius (distance of unit vectors) and its growth
 BLOCK = 8192
 QUERIES = 512
@@ -44,9 +43,13 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(q: np.ndarray, x: np.ndarray, proj: np.ndarray, order: np.ndarray,
-           k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each unit query: (its number, rows of x that were verified, their cosines)."""
+           k: int, exact: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each unit query: (its number, rows of x that were verified, their cosines up to rounding)."""
     m, n = proj.shape
+    if exact:
+        for t in range(len(q)):
+            yield t, np.arange(n), x @ q[t]
+        return
     scale = np.sqrt(q.shape[1])
     radii = START * STEP ** np.arange(int(np.ceil(np.log(4 * scale / START) / np.log(STEP))) + 1)
     need = int(np.ceil(COLLIDE * m))
@@ -77,8 +80,6 @@ def search(q: np.ndarray, x: np.ndarray, proj: np.ndarray, order: np.ndarray,
                 done[fresh] = True
                 rows = np.concatenate((rows, fresh))
                 cos = np.concatenate((cos, x[fresh] @ q[t]))
-            if len(rows) >= VERIFY * n + k + 1:
-                break
             if len(rows) > k and np.partition(cos, len(cos) - k - 1)[len(cos) - k - 1] >= 1 - radius * radius / 2:
                 break
         yield t, rows, cos
@@ -102,21 +103,25 @@ def _queries(t: pa.Table) -> pa.Table:
                      "qids": _blob(t.column("vec_id").to_numpy()), "qraw": _blob(x)})
 
 
-def _search_tiles(k: int):
+def _search_tiles(k: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: v[0] for c, v in batch.slice(r, 1).to_pydict().items()}
                 d = row["dim"]
                 ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                x = unit(np.frombuffer(row["raw"], float).reshape(-1, d))
-                q = unit(np.frombuffer(row["qraw"], float).reshape(-1, d))
+                raw, qraw = (np.frombuffer(row[c], float).reshape(-1, d) for c in ("raw", "qraw"))
+                x, q = unit(raw), unit(qraw)
                 proj = np.frombuffer(row["proj"], float).reshape(-1, len(ids))
                 order = np.frombuffer(row["ord"], np.int32).reshape(-1, len(ids))
                 out_q, out_v, out_s = [], [], []
-                for t, rows, cos in search(q, x, proj, order, k):
+                for t, rows, cos in search(q, x, proj, order, k, exact):
                     other = ids[rows] != qids[t]
                     rows, cos = rows[other], cos[other]
+                    if len(rows) > k:       # what may be among the first k, whatever the products were rounded to
+                        rows = rows[cos >= np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-9]
+                    # the score is a row's own, wherever it stands: equal vectors have equal scores
+                    cos = cosines(raw[rows], np.broadcast_to(qraw[t], (len(rows), d)))
                     best = np.lexsort((ids[rows], -cos))[:k]
                     out_q.append(np.full(len(best), qids[t]))
                     out_v.append(ids[rows[best]])
@@ -127,14 +132,15 @@ def _search_tiles(k: int):
     return run
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its ``k`` nearest vectors of ``df``
     that were found, by largest cosine in double precision, ties to the smaller vec_id; itself excluded.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
     with a null vec_id, take no part on either side; only vectors of a query's length are its
     candidates; with fewer than ``k`` candidates all are returned; a vec_id that repeats counts
-    once (its nearest vector); empty tables give no rows; other columns play no part.
+    once (its nearest vector); empty tables give no rows; other columns play no part. ``exact`` verifies every
+    vector instead of those that collide.
     """
     prepare(df.sparkSession)
     good = usable(df).withColumn("dim", F.size("embedding"))
@@ -150,7 +156,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -
     left = index.withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
     right = qs.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     tiles = left.join(right.hint("shuffle_hash"), ["dim", "blk", "qblk"]).repartition(min(2000, nb * nqb), "blk", "qblk")
-    found = tiles.mapInArrow(_search_tiles(k), "query_id long, vec_id long, near double")
+    found = tiles.mapInArrow(_search_tiles(k, exact), "query_id long, vec_id long, near double")
     best = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

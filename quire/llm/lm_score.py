@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOW, _MUL, materialize, mix64, prepare, register, table, word_hashes, words_of
+from ..session import scratch_dir
+from .common import _LOW, _MUL, discard, mix64, prepare, register, table, word_hashes, words_of
 
 CHUNK_BYTES = 16 << 20      # text of a chunk, about
 BLOCK_BYTES = 8 << 20       # input text per word block, about
@@ -423,6 +424,22 @@ _OUT_DDL = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_t
             "score double")
 
 
+# Spark's setting for shuffle files of a finished query: here they are as large as the input, and not needed again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written and read back, and where; what was shuffled for it goes when it is complete."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
@@ -440,9 +457,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
     chunks = max(1, -(-size // CHUNK_BYTES), min(24, size >> 16))
     bits = max(4, min(16, (size // BLOCK_BYTES).bit_length()))
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    asked = materialize(dealt.groupBy("chunk").applyInArrow(
+    asked, asked_at = _settled(dealt.groupBy("chunk").applyInArrow(
         _request(bits), f"block int, chunk int, {_PACKED_DDL}"), "lm-requests")
-    blocks = materialize(asked.select("block", *_PACKED).groupBy("block").applyInArrow(
+    blocks, blocks_at = _settled(asked.select("block", *_PACKED).groupBy("block").applyInArrow(
         _build, f"block int, {_PACKED_DDL}"), "lm-blocks")
     first = _gather(blocks.mapInArrow(_first_totals, _TOTALS_DDL))
     d0, d1, d2 = (_discount(*(int(_dense(first, f"{name}{level}", 1)[0]) for name in ("ones", "twos"))) for level in range(3))
@@ -458,8 +475,11 @@ def score_texts(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFram
     for _ in range(1 + BURN_IN + SAMPLES):
         found = _gather(blocks.mapInArrow(_round_totals(model, list(history)), _TOTALS_DDL))
         history.append(spark.sparkContext.broadcast(_state(found, known)))
-    answers = blocks.groupBy("block").cogroup(asked.select("block", "chunk", "word", "run", "prev").groupBy("block")).applyInArrow(
-        _answer(model, history), "chunk int, block int, score binary, n binary")
+    answers, _ = _settled(blocks.groupBy("block").cogroup(
+        asked.select("block", "chunk", "word", "run", "prev").groupBy("block")).applyInArrow(
+            _answer(model, history), "chunk int, block int, score binary, n binary"), "lm-answers")
+    discard(spark, asked_at)
+    discard(spark, blocks_at)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(bits, total, known), _OUT_DDL)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from .common import materialize, prepare, register, table
+from .common import discard, materialize, prepare, register, table
 
 GROUPS = 8          # groups of entries with a bound of their own, a part
 SALT = 16           # pieces that the rows of one label are dealt to
@@ -197,13 +197,6 @@ def _moved(state: DataFrame, books: Codebooks) -> np.ndarray:
     return new
 
 
-def _discard(spark: SparkSession, path: str | None) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024,
              label: str = "label") -> tuple[DataFrame, Codebooks | None]:
     """Fit the codebooks on all finite vectors and encode them: (rows of vec_id, label, code, error and distances,
@@ -246,7 +239,7 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
         step.write.parquet(path)
         state = spark.read.schema(step.schema).parquet(path)
         books.history.append(_moved(state, books))
-        _discard(spark, before)
+        discard(spark, before)
         before = path
     last = _assigned(state, books, label_type).select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error",
                                                       "distances")

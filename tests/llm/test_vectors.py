@@ -114,6 +114,30 @@ def test_neighbours_few_candidates_and_ties(spark):
         (1, 0), (2, 1), (3, 2)]
 
 
+def test_equal_and_scaled_vectors_tie_by_id(spark):
+    r = np.random.default_rng(9)
+    base = r.standard_normal(64)
+    x = np.vstack([base * s for s in [1.0, 2.0, 0.5] * 150] + [base + 0.4 * r.standard_normal(64) for _ in range(250)])
+    x = x[r.permutation(len(x))]
+    x[r.permutation(len(x))[:100]] = x[0]           # copies of one vector, in all blocks
+    df = frame(spark, x.astype(np.float32), bad=False)
+    y = x.astype(np.float32).astype(float)
+    norm = np.sqrt((y * y).sum(axis=1))
+    for exact in (False, True):
+        got = {}
+        for g in ann.nearest(df, df.where("vec_id % 50 = 0"), block=128, exact=exact).collect():
+            got.setdefault(g.query_id, {})[g.rank] = (g.vec_id, g.score)
+        assert set(got) == set(range(0, len(x), 50))
+        for q, rows in got.items():
+            found = [rows[i] for i in range(1, 6)]
+            assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+            score = (y * y[q]).sum(axis=1) / (norm * norm[q])
+            assert all(abs(score[v] - s) < 1e-15 for v, s in found)
+            same = [v for v in range(len(x)) if v != q and (y[v] == y[found[0][0]]).all()]
+            if len(same) >= 5 and all((y[v] == y[same[0]]).all() for v, _ in found):
+                assert [v for v, _ in found] == same[:5]
+
+
 def test_registered_query_recall(spark):
     import __spark_entry__ as E
     sf = "/root/testdata/sf0.01"
