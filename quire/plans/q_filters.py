@@ -135,6 +135,13 @@ def f11_unique(spark, sf_dir):
     return FL.filter_unique(table(spark, sf_dir, "events"), "user_id", order_by=["event_id"])
 
 
+@register("f12_duplicate_rows", "SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)")
+def f12_duplicate_rows(spark, sf_dir):
+    """All columns of lineitem, every row twice: each once again."""
+    li = table(spark, sf_dir, "lineitem")
+    return FL.filter_duplicates(li.union(li))
+
+
 @register("f12_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def f12_duplicates(spark, sf_dir):
     """Distinct (return flag, line status) pairs of the whole lineitem table."""

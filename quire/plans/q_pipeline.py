@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..session import scratch_dir
 from ..sources import csv as CSV
 from ..sources import json as JS
@@ -68,6 +69,44 @@ def c3_convert(spark, sf_dir):
         ("oTotalprice", "o_totalprice"), ("oOrderpriority", "o_orderpriority"))])
 
 
+@register("c3_convert_all_columns", """
+SELECT o_orderkey AS "oOrderkey", o_custkey AS "oCustkey", o_orderstatus AS "oOrderstatus", o_totalprice AS "oTotalprice",
+       o_orderdate AS "oOrderdate", o_orderpriority AS "oOrderpriority" FROM orders
+""")
+def c3_convert_all_columns(spark, sf_dir):
+    """All columns of orders, instants too, from CSV files to JSON files with camelCase keys."""
+    src, out = scratch_dir(spark, "convert-all"), scratch_dir(spark, "convert-all-out")
+    orders = table(spark, sf_dir, "orders")
+    CSV.write_csv(orders, src)
+    res = P.convert(spark, src, "json", out, transformations=[{"type": "keyStyle", "parameters": {"style": "camelCase"}}])
+    back = JS.read_json(spark, res.output_path, layout="rows")
+    names = {N.transform_key(f.name, "camelCase"): f.dataType for f in orders.schema.fields}
+    return back.select(*[(F.col(n).cast("timestamp").cast(t) if "timestamp" in t.simpleString() else F.col(n).cast(t)).alias(n)
+                         for n, t in names.items()])
+
+
+@register("c4_convert_json_text_all", """
+SELECT c_custkey, '{"cCustkey":' || c_custkey || ',"cName":"' || c_name || '","cNationkey":' || c_nationkey || ',"cAcctbal":'
+       || c_acctbal || ',"cMktsegment":"' || c_mktsegment || '"}' AS converted FROM customer
+""")
+def c4_convert_json_text_all(spark, sf_dir):
+    """All customer columns as JSON payloads, keys restyled inside the text (C4)."""
+    cu = table(spark, sf_dir, "customer")
+    cu = cu.select("c_custkey", F.to_json(F.struct(*cu.columns)).alias("payload"))
+    return P.convert_text_column(cu, "payload", "json", "json", key_style="camelCase").select("c_custkey", "converted")
+
+
+@register("c4_convert_json_to_csv_all", r"""
+SELECT c_custkey, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' || chr(10) || c_custkey || ',' || c_name || ',' || c_nationkey
+       || ',' || regexp_replace(CAST(c_acctbal AS VARCHAR), '\.0$', '') || ',' || c_mktsegment AS converted FROM customer
+""")
+def c4_convert_json_to_csv_all(spark, sf_dir):
+    """All customer columns from JSON payloads to CSV text (C4)."""
+    cu = table(spark, sf_dir, "customer")
+    cu = cu.select("c_custkey", F.to_json(F.struct(*cu.columns)).alias("payload"))
+    return P.convert_text_column(cu, "payload", "json", "csv").select("c_custkey", "converted")
+
+
 @register("c4_convert_json_text", """
 SELECT c_custkey, json_object('cCustkey', c_custkey, 'cName', c_name, 'cMktsegment', c_mktsegment)::VARCHAR
        AS converted FROM customer

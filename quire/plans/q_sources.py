@@ -320,6 +320,21 @@ def s3_csv_clean(spark, sf_dir):
     return CSV.read_csv(spark, out, sep=",")
 
 
+@register("k6_xml_names_all", """
+SELECT c_custkey AS "_1id", c_name AS "c_name", c_nationkey AS "nation_key", c_acctbal AS "_-balance", c_mktsegment AS "field_xmlSegment"
+FROM customer
+""")
+def k6_xml_names_all(spark, sf_dir):
+    """All customer columns under names that XML does not allow (K6)."""
+    cu = table(spark, sf_dir, "customer")
+    names = ["1id", "c name", "nation/key", "-balance", "xmlSegment"]
+    out = scratch_dir(spark, "xmlnamesall")
+    XML.write_xml(cu.toDF(*names), out, row_tag="customer")
+    back = XML.read_xml(spark, out, row_tag="customer")
+    valid = ["_1id", "c_name", "nation_key", "_-balance", "field_xmlSegment"]
+    return back.select(*[F.col(f"`{v}`").cast(f.dataType).alias(v) for v, f in zip(valid, cu.schema.fields)])
+
+
 @register("k6_xml_names", """
 SELECT c_custkey AS "_1id", c_name AS "c_name", c_mktsegment AS "field_xmlSegment" FROM customer
 """)
