@@ -2,7 +2,7 @@
 
 Categories are predicted in order; each model is linear in the words of a text (weighted by their
 log-count ratio in the training sample) and, from the second on, in the earlier categories'
-log-odds. While training, those earlier outputs come from models that did not see the document
+probabilities. While training, those earlier outputs come from models that did not see the document
 (out of fold), so a later model learns how far to trust them. Training runs on a bounded sample
 of labelled documents; scoring runs over all texts in tasks.
 """
@@ -10,7 +10,6 @@ of labelled documents; scoring runs over all texts in tasks.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, register, table
+from .common import materialize, prepare, register, table
 
 TRAIN_DOCS = 6000       # labelled documents fitted, the bound of the sample
-TRAIN_WORDS = 3000      # distinct words a document brings to the fit, by hash; scoring uses all of a text's words
 FOLDS = 3
 STEP = 250              # texts scored at a time, which bounds a worker's memory
 MIN_DOCS = 4            # documents of the sample that a word must occur in
@@ -35,15 +33,10 @@ def words(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
-def bag(text: str | None, most: int = TRAIN_WORDS) -> list[str]:
-    """At most ``most`` distinct words of a text, those with the smallest hashes."""
-    return sorted(words(text), key=lambda w: (zlib.crc32(w.encode()), w))[:most]
-
-
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("_t")
-        bags = [bag(texts[i].as_py()) for i in range(batch.num_rows)]
+        bags = [sorted(words(texts[i].as_py())) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_t"),
                                           pa.array(bags, pa.list_(pa.string()))],
                                          [*(c for c in batch.schema.names if c != "_t"), "_w"])
@@ -82,11 +75,16 @@ def fit(rows, cols, n_docs: int, n_words: int, y: np.ndarray, extra: np.ndarray,
     return Linear(ratio, theta[:n_words], theta[n_words:-1], float(theta[-1]))
 
 
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds cut with the best F1 on out-of-fold outputs, in the middle of its gap."""
+    """The log-odds cut with the best F1 on out-of-fold outputs, in the middle of its gap between distinct outputs."""
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(z) + 1) + max(y.sum(), 1))
+    f1[:-1][z[order[1:]] == z[order[:-1]]] = -1     # equal outputs stay on one side
     k = int(np.argmax(f1))
     low = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
     return float((z[order[k]] + low) / 2)
@@ -98,7 +96,7 @@ class Chain:
     def __init__(self, texts: list[str] | pa.ListArray, labels: np.ndarray, names: list[str]):
         """``texts``: the sample, as texts or as bags of distinct words."""
         self.names = names
-        bags = texts if isinstance(texts, pa.Array) else pa.array([bag(t) for t in texts], pa.list_(pa.string()))
+        bags = texts if isinstance(texts, pa.Array) else pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))
         n = len(bags)
         coded = bags.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,7 +117,7 @@ class Chain:
             if n == 0 or y.min() == y.max():     # nothing to learn: the category never fires
                 self.models.append(None)
                 self.cuts.append(0.0)
-                extra = np.column_stack((extra, np.full(n, -10.0)))
+                extra = np.column_stack((extra, np.zeros(n)))
                 continue
             out = np.zeros(n)
             for f in range(FOLDS):
@@ -134,7 +132,7 @@ class Chain:
                 out[fold == f] = z[fold == f]
             self.models.append(fit(rows, cols, n, len(self.vocab), y, extra))
             self.cuts.append(best_threshold(out, y))
-            extra = np.column_stack((extra, np.clip(out, -10, 10)))
+            extra = np.column_stack((extra, _probability(out)))
 
     def _matrix(self, bags) -> tuple[np.ndarray, np.ndarray]:
         get = self.vocab.get
@@ -158,10 +156,10 @@ class Chain:
         rows, cols = self._matrix(sorted(words(t) & keys) for t in texts)
         extra, probs, hits = np.zeros((n, 0)), [], []
         for model, cut in zip(self.models, self.cuts):
-            z = np.full(n, -10.0) if model is None else model.logit(rows, cols, n, extra)
-            probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            hits.append(z > cut if model is not None else np.zeros(n, bool))
-            extra = np.column_stack((extra, np.clip(z, -10, 10)))
+            z = None if model is None else model.logit(rows, cols, n, extra)
+            probs.append(np.zeros(n) if z is None else _probability(z))
+            hits.append(np.zeros(n, bool) if z is None else z > cut)
+            extra = np.column_stack((extra, probs[-1]))
         return probs, hits
 
 
@@ -180,8 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_docs: int = TRAIN
     # the sample's ids are bounded by max_docs
     marks = [f"_y{i}" for i in range(len(chain))]
     sample = texts.join(F.broadcast(lab), "_id").groupBy("_h", "_id", *marks).agg(F.min("_t").alias("_t"))
-    # words are taken in tasks: the driver gets at most max_docs bags of TRAIN_WORDS words, whatever the texts' length
-    got = sample.mapInArrow(_bags, "_h long, _id long, " + ", ".join(f"{m} int" for m in marks) + ", _w array<string>")
+    # words are taken and counted in tasks: the driver gets those that the fit uses, each in MIN_DOCS documents at least
+    keys = ["_h", "_id", *marks]
+    bags = materialize(sample.mapInArrow(
+        _bags, "_h long, _id long, " + ", ".join(f"{m} int" for m in marks) + ", _w array<string>"), "toxicity-words")
+    each = bags.select(*keys, F.explode_outer("_w").alias("_v"))
+    used = each.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).where(f"_v is not null and _c >= {MIN_DOCS}").select(
+        F.col("_v").alias("_u"))
+    got = each.join(used, F.col("_v") == F.col("_u"), "left").groupBy(*keys).agg(F.sort_array(F.collect_list("_u")).alias("_w"))
     got = got.toArrow().sort_by([("_h", "ascending"), ("_id", "ascending")])
     y = np.column_stack([got[m].to_numpy() for m in marks])
     return Chain(got["_w"].combine_chunks(), y, [name for name, _ in chain])

@@ -194,3 +194,22 @@ def test_chain_awkward_rows(spark):
     none = toxicity.train(docs, lab.limit(0))
     assert not any(x.toxic or x.low_quality for x in toxicity.classify(docs, none).collect())
     assert toxicity.classify(empty(spark), none).count() == 0
+
+
+def test_threshold_keeps_equal_outputs_together():
+    z, y = np.array([2.0, 1.0, 1.0, 1.0, 0.0, 0.0]), np.array([1.0, 1.0, 1.0, 0.0, 0.0, 0.0])
+    cut = toxicity.best_threshold(z, y)
+    assert 0 < cut < 1          # a cut at 1.0 itself would lose all that are there
+    assert toxicity.best_threshold(np.zeros(4), np.array([1.0, 0, 0, 0])) < 0
+
+
+def test_long_texts_bring_all_their_words_to_the_fit(spark):
+    # what tells the classes apart comes after 5,000 other words of a text
+    filler = " ".join("".join(chr(97 + int(c)) for c in f"{i:05d}") for i in range(5000))
+    rows = [(i, f"{filler} {'vile' if i % 2 else 'fine'} zz{'ab'[i % 2]}") for i in range(24)]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(24)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, lab)
+    assert len(model.vocab) == 5000 + 4
+    got = {r.doc_id: r.toxic for r in toxicity.classify(docs, model).collect()}
+    assert got == {i: bool(i % 2) for i in range(24)}
