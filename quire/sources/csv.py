@@ -7,6 +7,7 @@ line ends, and Spark's CSV parser types and reads the records. Large files have
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 import numpy as np
@@ -144,7 +145,14 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
     if encoding.lower().replace("-", "") != "utf8" or not multiline and sep is not None:
         if sep is None:
-            raise ValueError("name the delimiter of files that are not UTF-8")
+            # delimiters and quotes are the same bytes in the encodings that extend ASCII
+            chosen = delimiter_profile(spark, path).where("chosen").select("delimiter", "path")
+            found = sorted(r[0] for r in chosen.select("delimiter").distinct().collect())       # four at most
+            frames = [read_csv(spark, path if len(found) == 1 else [r[0] for r in chosen.where(
+                F.col("delimiter") == d).select("path").collect()], d, header, infer_schema, schema, encoding, multiline,
+                null_value, timestamp_format, sampling_ratio, clean) for d in found]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else \
+                spark.createDataFrame([], T.StructType([]))
         r = typed(reader(sep)).option("header", header).option("encoding", encoding).option("multiLine", multiline)
         if multiline and clean:
             # lines may end in \n or \r\n, also in turns: a left-over \r is white space, which cleaning trims
@@ -177,10 +185,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
         frames.append(finished(_csv_of(reader(d).schema(fields).option("header", False), rows)))
     if not frames:
         return spark.createDataFrame([], T.StructType([]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def _first_header(spark: SparkSession, path, profile: DataFrame, k: int, files: np.ndarray | None) -> DataFrame | None:

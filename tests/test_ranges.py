@@ -84,6 +84,12 @@ def test_types_headers_and_files_that_disagree(spark, small_ranges):
     assert bare.columns == ["_c0", "_c1"] and bare.count() == 2
 
 
+def test_other_encodings_are_sniffed_too(spark):
+    d = folder({"a.csv": "id;name\n1;Zoë\n".encode("latin-1"), "b.csv": "id,name\n2,\"é\nè\"\n".encode("latin-1")})
+    got = sorted((r.id, r.name) for r in C.read_csv(spark, d, encoding="ISO-8859-1").collect())
+    assert got == [(1, "Zoë"), (2, "é\nè")]
+
+
 def one_file_scores(text):
     """Logical lines and their fields, one character after the other."""
     lines, line, inside, blank = [], dict.fromkeys(csv_ranges.DELIMITERS, 1), False, True
