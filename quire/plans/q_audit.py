@@ -272,6 +272,43 @@ def l7_recovery_suggestions(spark, sf_dir):
     return ev.select("event_id", "code", F.array_join(got, "|").alias("suggestions"))
 
 
+def _rules_sql(t: str) -> str:
+    """The ordered rules written out from the design's table (SURVEY, L6), apart from the operator's own."""
+    def has(words: str) -> str:
+        return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words.split("; ")) + ")"
+    return f"""CASE
+  WHEN {has("enoent; eacces; eexist; eisdir; enotdir; file not found; directory not found; permission denied; file exists; not a directory; is a directory")} THEN CASE
+    WHEN {has("enoent; file not found")} THEN 'file_system/high/user_input/no'
+    WHEN {has("eacces; permission denied")} THEN 'permission/high/user_input/no'
+    WHEN {has("eexist; file exists")} THEN 'file_system/medium/fallback/yes' ELSE 'file_system/medium/retry/yes' END
+  WHEN {has("parse; parsing; invalid format; malformed; syntax error; unexpected token; invalid json; invalid xml; invalid csv; corrupt")} THEN CASE
+    WHEN {has("json; unexpected token")} THEN 'format/high/fallback/no' WHEN {has("xml; malformed")} THEN 'format/high/fallback/no'
+    WHEN {has("csv; delimiter")} THEN 'format/medium/fallback/yes' ELSE 'format/high/fallback/no' END
+  WHEN {has("validation; invalid; required; missing; constraint; schema; type mismatch")} THEN 'validation/medium/user_input/no'
+  WHEN {has("permission; access denied; unauthorized; forbidden; not allowed")} THEN 'permission/high/user_input/no'
+  WHEN {has("memory; disk space; quota; limit; too large; insufficient; out of; no space; space left")} THEN CASE
+    WHEN {has("memory")} THEN 'resource/critical/fallback/yes'
+    WHEN {has("disk space; no space")} THEN 'resource/critical/user_input/no' ELSE 'resource/high/fallback/yes' END
+  WHEN {has("network; connection; timeout; unreachable; dns; socket; http; https")} THEN 'network/medium/retry/yes'
+  ELSE 'unknown/medium/none/no' END"""
+
+
+@register("l6_error_rules", f"""
+SELECT 'doc ' || doc_id AS id, {_rules_sql("lower(text)")} AS found FROM documents
+UNION ALL SELECT 'page ' || page_id, {_rules_sql("lower(html)")} FROM pages
+UNION ALL SELECT 'event ' || event_id, {_rules_sql("lower(event_type || ' ' || props)")} FROM events
+""")
+def l6_error_rules(spark, sf_dir):
+    """Documents, pages and events read as error messages, by the ordered rules."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")), "html")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("event "), F.col("event_id").cast("string")),
+                                              F.concat_ws(" ", "event_type", "props"))
+    c = d.union(p).union(e).select("id", A.error_classify(F.col("text")).alias("c"))
+    return c.select("id", F.concat_ws("/", "c.category", "c.severity", "c.strategy",
+                                      F.when(F.col("c.retryable"), "yes").otherwise("no")).alias("found"))
+
+
 @register("l4_audit_log_partitioned", """
 SELECT CAST(event_id AS VARCHAR) AS id, ts AS "timestamp", event_type AS type,
        CASE WHEN event_type = 'error' THEN 'medium' ELSE 'low' END AS severity
