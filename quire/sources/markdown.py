@@ -1,7 +1,7 @@
 """Markdown scans (S13-S18), the Markdown sinks (K9-K12) and the structure profile (A10).
 
-A Markdown file is a whole document: it is read as one row per file (parallel across
-files); tables are found by splitting the text inside that row, without a shuffle.
+Tables are read by byte ranges (``markdown_ranges``), so a large file has many tasks. Lists, headings and
+paragraphs take a whole document: one row per file (parallel across files), without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from ..functions.jscompat import js_string, js_trim
 from ..functions.ordinal import with_ordinal
 from ..functions.maps import map_last_wins
+from ..session import written
+from . import markdown_ranges
 from .files import whole_texts, write_documents
 
 # The patterns of the Markdown structures the tool recognises.
@@ -85,14 +87,22 @@ def table_lines(docs: DataFrame, text_col: str = "text", key: str = "path") -> D
     inside one row of ``docs``: nothing is shuffled.
     """
     tables = docs.select(F.col(key).alias(key), F.posexplode(tables_of(F.col(text_col))).alias("table_index", "lines"))
-    headed = tables.select(key, "table_index", F.filter(_row_cells(F.get("lines", F.lit(0))), lambda p: F.length(p) > 0)
-                           .alias("headers"), F.posexplode("lines").alias("i", "line"))
-    parts = _row_cells(F.col("line"))
-    n = F.size(parts)
-    data_cells = F.filter(parts, lambda p, i: ~(((i == 0) & (p == "")) | ((i == n - 1) & (p == ""))))
-    return headed.where("i <> 1").select(
+    # the header is found before the lines become rows: a row would carry all lines of its table for it
+    headed = tables.select(key, "table_index", "lines", _header_cells(F.get("lines", F.lit(0))).alias("headers"))
+    rows = headed.select(key, "table_index", "headers", F.posexplode("lines").alias("i", "line")).where("i <> 1")
+    rows = rows.select(key, "table_index", "i", "headers", _row_cells(F.col("line")).alias("_q_parts"))
+    return rows.select(
         key, "table_index", F.when(F.col("i") == 0, F.lit(-1)).otherwise(F.col("i") - 2).alias("row_index"), "headers",
-        F.when(F.col("i") == 0, F.col("headers")).otherwise(data_cells).alias("cells"))
+        F.when(F.col("i") == 0, F.col("headers")).otherwise(_data_cells(F.col("_q_parts"))).alias("cells"))
+
+
+def _header_cells(line: Column) -> Column:
+    return F.filter(_row_cells(line), lambda p: F.length(p) > 0)
+
+
+def _data_cells(parts: Column) -> Column:
+    """The cells of a row without the empty ones outside its first and last pipe."""
+    return F.filter(parts, lambda p, i: ~(((i == 0) & (p == "")) | ((i == F.size(parts) - 1) & (p == ""))))
 
 
 def markdown_table_rows(docs: DataFrame, text_col: str = "text", key: str = "path",
@@ -101,27 +111,38 @@ def markdown_table_rows(docs: DataFrame, text_col: str = "text", key: str = "pat
     tl = table_lines(docs, text_col, key)
     if not all_tables:
         tl = tl.where(F.col("table_index") == 0)
-    body = tl.where((F.col("row_index") >= 0) & (F.size("cells") > 0))
+    return _rows_of(tl.where("row_index >= 0"), key)
+
+
+def _rows_of(body: DataFrame, key: str) -> DataFrame:
     cells = F.transform(F.col("headers"), lambda h, i: F.struct(
         h.alias("key"), cell_text(F.coalesce(F.get(F.col("cells"), i), F.lit(""))).alias("value")))
     # a header that occurs twice keeps its last cell
-    return body.withColumn("_q_cells", cells).select(key, "table_index", "row_index", "headers",
-                                                     map_last_wins(F.col("_q_cells")).alias("cells"))
+    return body.where(F.size("cells") > 0).withColumn("_q_cells", cells).select(
+        key, "table_index", "row_index", "headers", map_last_wins(F.col("_q_cells")).alias("cells"))
 
 
 def read_markdown_table(spark: SparkSession, path: str, all_tables: bool = False, typed: bool = True) -> DataFrame:
     """S13 wide form: one column per header (union over files), typed per column.
 
     Header names and per-column types are two small aggregates collected on the driver
-    (names and flags only); the rows stay distributed.
+    (names and flags only); the rows stay distributed, those of a large file too.
     """
-    rows = markdown_table_rows(read_markdown_texts(spark, path), all_tables=all_tables)
-    return widen_table(rows, typed)
+    profile = written(markdown_ranges.range_profile(spark, path), "markdown-ranges")
+    lines = markdown_ranges.table_rows(spark, path, profile, all_tables)
+    return widen_table(_rows_of(range_cells(lines), "file"), typed)
+
+
+def range_cells(lines: DataFrame) -> DataFrame:
+    """(file, table_index, row_index, headers, cells) of the rows that ``markdown_ranges`` finds."""
+    rows = lines.select("file", "table_index", "row_index", _header_cells(_trim(F.col("header"))).alias("headers"),
+                        _row_cells(_trim(F.col("line"))).alias("_q_parts"))
+    return rows.select("file", "table_index", "row_index", "headers", _data_cells(F.col("_q_parts")).alias("cells"))
 
 
 def widen_table(rows: DataFrame, typed: bool = True) -> DataFrame:
-    hdrs = rows.select(F.posexplode("headers").alias("i", "h")).groupBy("h").agg(F.min("i").alias("i")) \
-        .orderBy("i", "h").collect()
+    hdrs = rows.select("headers").distinct().select(F.posexplode("headers").alias("i", "h")).groupBy("h").agg(
+        F.min("i").alias("i")).orderBy("i", "h").collect()
     names = [r["h"] for r in hdrs]
     wide = rows.select(*[F.col("cells").getItem(n).alias(n) for n in names])
     if not typed or not names:
