@@ -11,7 +11,8 @@ from __future__ import annotations
 from functools import partial
 from typing import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..functions.ordinal import sort_columns
 from ..session import written
 from . import json_ranges
 from .files import write_documents
+from .ranges import portions
 
 LAYOUTS = ("rows", "indexed", "entries", "scalar")
 WRITE_LAYOUTS = ("lines", "array", "object", "keyValue")
@@ -156,7 +158,7 @@ def write_json(df: DataFrame, path: str, sort_keys: bool = False, overwrite: boo
     else:
         row, ends = F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), options), ("[", "]")
         row = F.replace(row, F.lit("\n"), F.lit("\n  ")) if indent else row
-    rows = out.select(row.alias("value")).mapInPandas(partial(_document, ends), "value string")
+    rows = out.select(row.alias("value")).mapInArrow(partial(_document, ends), "value string")
     write_documents(rows, path, overwrite, ".json", "".join(ends))
 
 
@@ -170,28 +172,22 @@ def json_ready(df: DataFrame) -> DataFrame:
     return df.select(*[map_leaves(F.col(f"`{f.name}`"), f.dataType, kinds, leaf).alias(f.name) for f in df.schema.fields])
 
 
-def _document(ends: tuple[str, str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document(ends: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turn a partition's JSON members into the lines of one document between ``ends``."""
+    def lines(values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
     pending = None
-    started = False
-    for pdf in batches:
-        vals = pdf["value"].tolist()
-        if not vals:
-            continue
-        out = []
-        if not started:
-            out.append(ends[0])
-            started = True
-        if pending is not None:
-            out.append("  " + pending + ",")
-        out.extend("  " + v + "," for v in vals[:-1])
-        pending = vals[-1]
-        yield pd.DataFrame({"value": out})
-    if started:
-        yield pd.DataFrame({"value": ["  " + pending, ends[1]]})
+    for batch in batches:
+        for values in portions(batch.column(0).cast(pa.string())):
+            yield lines([ends[0]] if pending is None else ["  " + pending + ","])
+            yield lines(pc.binary_join_element_wise("  ", values.slice(0, len(values) - 1), ",", ""))
+            pending = values[len(values) - 1].as_py()
+    if pending is not None:
+        yield lines(["  " + pending, ends[1]])
     elif TaskContext.get().partitionId() == 0:
         # Spark writes a file for the first partition even if it has no rows
-        yield pd.DataFrame({"value": ["".join(ends)]})
+        yield lines(["".join(ends)])
 
 
 def to_object_layout(df: DataFrame, order_by=None) -> DataFrame:

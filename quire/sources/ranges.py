@@ -26,6 +26,8 @@ PIECES = "file long, block long, size long, value string"
 RECORDS = "file long, block long, part int, value string"
 # A record, or how a fragment lies in its record; TITLE begins one that is not wanted.
 WHOLE, HEAD, MIDDLE, TAIL, TITLE = 0, 1, 2, 3, 4
+# Bytes of text worked on at a time: a batch of long pieces is far larger, and each step makes copies.
+PORTION = 2 << 20
 
 
 def pieces(spark: SparkSession, path, separator: str = "\n", glob: str | None = None) -> DataFrame:
@@ -49,14 +51,25 @@ def file_names(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.StringArray]]:
-    """((file, block), size, values) of the stretches of each batch that lie in one range."""
+    """((file, block), size, values) of the stretches of each batch that lie in one range, in portions."""
     for b in batches:
         if not b.num_rows:
             continue
         file, block = b.column(0).to_numpy(), b.column(1).to_numpy()
         cut = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
         for a, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
-            yield (int(file[a]), int(block[a])), b.column(2)[a].as_py(), _valid(b.column(3).slice(a, e - a))
+            for values in portions(b.column(3).slice(a, e - a)):
+                yield (int(file[a]), int(block[a])), b.column(2)[a].as_py(), _valid(values)
+
+
+def portions(values: pa.Array) -> Iterator[pa.Array]:
+    """``values`` in slices of about ``PORTION`` bytes, or one value that is longer."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PORTION, "right")))
+        yield values.slice(at, end - at)
+        at = end
 
 
 def _valid(values: pa.StringArray) -> pa.StringArray:
