@@ -3,11 +3,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pytest
 
 from quire.llm import lm_score, toxicity
+from quire.session import ensure_checkpoint_dir
 
 from .helpers import WORDS, awkward, crowded, documents, empty
 
@@ -144,6 +147,95 @@ def test_word_predictions_sum_to_one():
         b.sweep(number, k)
 
 
+def zipf_texts(seed, docs, words, pool):
+    r = random.Random(seed)
+    names = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 8))) for _ in range(pool)]
+    return [(i, " ".join(names[int(pool * r.random() ** 4)] for _ in range(words))) for i in range(docs)]
+
+
+def test_tables_between_the_steps_are_smaller_than_the_texts(spark):
+    rows = zipf_texts(2, 400, 400, 9000)
+    scratch = Path(unquote(urlparse(ensure_checkpoint_dir(spark)).path)) / "scratch"
+    size = lambda: sum(p.stat().st_size for p in scratch.glob("lm-*/**/*.parquet"))
+    before = size()
+    got = lm_score.score_texts(documents(spark, rows).repartition(3)).collect()
+    check_base(rows, got)
+    moved = (size() - before) / sum(len(t) for _, t in rows)
+    assert 0 < moved < 1
+
+
+def test_scores_are_those_of_one_process(spark):
+    """Sampled over plain dictionaries of hashes: neither chunks nor packing nor numbering change a score."""
+    rows = zipf_texts(6, 150, 80, 400) + [(900, None), (901, ""), (902, "nie gesehen é"), (911, "nie gesehen à b")]
+    toks = {d: lm_score.tokens(t or "") for d, t in rows}
+    count, pairs, seen = Counter(), Counter(), Counter()
+    for d, (h, v, c) in toks.items():
+        for w, p, x in zip(h.tolist(), v.tolist(), c.tolist()):
+            pairs[w, p, x] += not held(d)
+            count[w] += not held(d)
+            seen[p] += not held(d)
+    vocab = sorted(w for w in count if count[w])
+    number = {w: i for i, w in enumerate(vocab)}
+    code = lambda p, x: 0 if p == 0 else number[p] + 1 if p in number else len(vocab) + 1 + x
+    by2, by1, by0 = Counter(), Counter(), Counter()
+    for (w, p, x), n in pairs.items():
+        if n:
+            by2[n] += 1
+            by1[w, x] += 1
+    for w, _ in by1:
+        by0[w] += 1
+    found = [Counter(by0.values()), Counter(by1.values()), by2]
+    model = {"known": len(vocab), "seen": np.array([*(seen[w] for w in vocab), 0, seen[0]])}
+    for i, f in enumerate(found):
+        model[f"d{i}"] = lm_score._discount(f[1], f[2])
+        model[f"s{i}"] = lm_score.log_stirling(model[f"d{i}"])
+    blocks = []
+    for number_of in range(16):
+        e = sorted((w, p, x) for w, p, x in pairs if w >> 60 == number_of)
+        if e:
+            w, p, x = (np.array(v) for v in zip(*((number.get(w, len(vocab)), code(p, x), x) for w, p, x in e)))
+            order = np.lexsort((p, w))
+            n = np.array([pairs[k] for k in e])
+            blocks.append(([e[i] for i in order], lm_score.Words(number_of, w[order], p[order], x[order], n[order], model)))
+    prob = Counter()
+    for number_of in range(5):
+        k = {"seats": np.zeros(len(vocab) + 2), "customers": np.zeros(1 << 16), "tables": np.zeros(1 << 16), "c0": 0, "t0": 0}
+        for _, b in blocks:
+            np.add.at(k["seats"], b.at, b.t)
+            np.add.at(k["customers"], b.above.ctx, b.above.n)
+            np.add.at(k["tables"], b.above.ctx, b.above.t)
+            k["c0"] += b.above.c0.sum()
+            k["t0"] += b.above.t0.sum()
+        for e, b in blocks:
+            if number_of > lm_score.BURN_IN:
+                for key, v in zip(e, b.predict(k)):
+                    prob[key] += v / lm_score.SAMPLES
+            if number_of < 4:
+                b.sweep(number_of, k)
+    want = {d: sum(math.log10(prob[x]) for x in zip(*(v.tolist() for v in t))) for d, t in toks.items()}
+    got = {x.doc_id: x.score for x in lm_score.score_texts(documents(spark, rows).repartition(4)).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_entries_are_packed_and_found_again(monkeypatch):
+    r = np.random.default_rng(1)
+    for top in (1, 200, 70_000, 1 << 40):
+        v = r.integers(0, top, 500)
+        assert (lm_score._loose(lm_score._squeeze(v)) == v).all()
+    assert len(lm_score._loose(lm_score._squeeze(np.zeros(0, np.int64)))) == 0
+    rows = [(i, i % 7 == 2, t) for i, (_, t) in enumerate(zipf_texts(4, 30, 60, 300))]
+    hashes = np.unique(np.concatenate([lm_score.tokens(t)[0] for _, h, t in rows if not h]))
+    args = sorted(rows, key=lambda x: x[1]), hashes, np.ones(len(hashes), np.uint8), 4, 1800
+    short = list(lm_score._chunk(*args))
+    monkeypatch.setattr(lm_score, "KEY_BITS", 0)            # sorted by three columns instead of one number
+    assert short == list(lm_score._chunk(*args))
+    for row in short[1:]:
+        word, prev = lm_score._unpack(row)
+        assert lm_score._pack(word, prev) == {k: row[k] for k in ("word", "run", "prev")}
+        assert len({*zip(word.tolist(), prev.tolist())}) == len(word)
+    assert sum(len(lm_score._loose(row["doc"])) for row in short[1:]) == sum(len(t.split()) + 1 for _, _, t in rows)
+
+
 def toxic_rows(r, n, first=0):
     vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
     rows, labels = [], []
